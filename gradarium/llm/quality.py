@@ -33,20 +33,24 @@ def removed(text: Column, chars: str) -> Column:
     return (F.octet_length(text) - F.octet_length(rest)).cast("long")
 
 
+def after(array: Column, n: int) -> Column:
+    """The elements from the n-th on, counted from 0."""
+    return F.slice(array, F.lit(n + 1), F.size(array))
+
+
 def repeated_words(w: Column) -> Column:
     """Words that lie in a window of three words which the text has twice or more. Windows are compared by a 64-bit
     hash; sorted with their positions, equal ones are neighbours, so no window is compared with all others."""
-    many = F.lit(2**31 - 1)
-    pairs = F.zip_with(w, F.slice(w, F.lit(2), many), lambda a, b: F.xxhash64(a, b))
-    windows = F.slice(F.zip_with(pairs, F.slice(w, F.lit(3), many), lambda a, b: F.xxhash64(a, b)), F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
+    pairs = F.zip_with(w, after(w, 1), lambda a, b: F.xxhash64(a, b))
+    windows = F.slice(F.zip_with(pairs, after(w, 2), lambda a, b: F.xxhash64(a, b)), F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
     placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def twice(s: Column) -> Column:
-        equal = F.zip_with(s, F.slice(s, F.lit(2), many), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+        equal = F.zip_with(s, after(s, 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
         return F.sort_array(F.array_distinct(F.flatten(F.filter(equal, lambda x: x.isNotNull()))))
 
     def covered(p: Column) -> Column:
-        steps = F.zip_with(p, F.slice(p, F.lit(2), many), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
+        steps = F.zip_with(p, after(p, 1), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda n, x: n + x)
 
     return let(let(placed, twice), covered)
