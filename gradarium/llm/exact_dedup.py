@@ -67,6 +67,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bro
     return out.select(*docs.columns, keep.alias("keep_id"), F.coalesce("__n", F.lit(1)).cast("long").alias("group_size"), F.col(doc_id).eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
-def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows that exact_dedup keeps, with the columns of docs."""
-    return exact_dedup(docs).where("kept").select(*docs.columns)
+def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows that exact_dedup keeps, with the columns of docs, whatever their names."""
+    held = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), F.struct(*[F.col(c) for c in docs.columns]).alias("__row"))
+    return exact_dedup(held).where("kept").select("__row.*")

@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradarium.llm.common import fingerprints, mixed, prefix_sums, semi_join, slices, stored, utf8
-from gradarium.llm.suffix_dedup import COMPARE, LAST, SENT, SENT_SQL, by_doc, by_hash, decode_all, encode, message
+from gradarium.llm.common import BROADCAST_ROWS, fingerprints, mixed, prefix_sums, semi_join, slices, stored, utf8
+from gradarium.llm.suffix_dedup import COMPARE, LAST, SENT, SENT_SQL, by_doc, by_hash, decode_all, message
 
 #: N-grams that a task gathers before it sorts them and sends them on.
 GATHER = 2_000_000
@@ -366,10 +366,9 @@ def similarity_components(docs: DataFrame, n: int = 4, num: int = 85, den: int =
     return out.select(back(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("label", "doc")).alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without the documents that link to one with a smaller doc_id, directly or through others."""
-    found = similarity_components(docs, n, num, den)
-    dropped = stored(found.where("doc_id != component_id").select("doc_id").distinct(), "near_copies")
-    if dropped.count() <= 2_000_000:
-        return docs.join(F.broadcast(dropped), "doc_id", "left_anti")
-    return docs.join(dropped.hint("merge"), "doc_id", "left_anti")
+    found = similarity_components(docs, n, num, den, text, doc_id)
+    dropped = stored(found.where("doc_id != component_id").select(F.col("doc_id").alias("__dropped")).distinct(), "near_copies")
+    few = dropped.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(dropped) if few else dropped.hint("merge"), F.col(doc_id) == F.col("__dropped"), "left_anti")

@@ -50,7 +50,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.shard(table(spark, sf_dir, "documents"), 40)
+    out = sharding.shard(sharding.measured(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), 40)
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 

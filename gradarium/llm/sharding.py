@@ -38,8 +38,15 @@ def communication_matrix(rows: np.ndarray, columns: np.ndarray, seed: int = SEED
     return out
 
 
-def shard(docs: DataFrame, n_shards: int = 40, text: str = "text", doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """docs with size, text_crc32, law, shard, slot and grown_shard; columns of docs with these names are replaced.
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with size and text_crc32, which shard() needs of the text."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.withColumns({"size": F.octet_length(body).cast("long") + 16, "text_crc32": F.crc32(body)})
+
+
+def shard(docs: DataFrame, n_shards: int = 40, doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:
+    """Rows of measured() with law, shard, slot and grown_shard; columns with these names are replaced. Whatever other
+    columns docs has go along, the text among them unless it is dropped.
 
     The law is `rows`: shard sizes differ by one at most, and every assignment with these sizes is equally likely.
     Rows of a partition are permuted by a seeded hash, the matrix says how many of them go to each shard, and a
@@ -48,11 +55,9 @@ def shard(docs: DataFrame, n_shards: int = 40, text: str = "text", doc_id: str =
     A null text has size 16 and crc 0; nulls, repeated rows and equal texts are rows like any other; rows that tie
     in everything may swap places. grown_shard is null under this law. No rows give no rows.
     """
-    docs = docs.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    body = F.coalesce(F.col(text), F.lit(""))
-    by = F.xxhash64(F.col(doc_id).cast("string"), F.crc32(body), F.lit(seed))
-    narrow = docs.withColumns({"size": F.octet_length(body).cast("long") + 16, "text_crc32": F.crc32(body), "__h": by, "__part": F.spark_partition_id() % PARTITIONS})
-    rows = stored(narrow, "shard_rows")
+    docs = docs.drop("law", "shard", "slot", "grown_shard")
+    by = F.xxhash64(F.col(doc_id).cast("string"), F.col("text_crc32"), F.lit(seed))
+    rows = stored(docs.withColumns({"__h": by, "__part": F.spark_partition_id() % PARTITIONS}), "shard_rows")
     counts = {r[0]: r[1] for r in rows.groupBy("__part").count().collect()}  # at most 1024 rows
     parts = sorted(counts)
     total = sum(counts.values())
@@ -66,4 +71,4 @@ def shard(docs: DataFrame, n_shards: int = 40, text: str = "text", doc_id: str =
     again = F.xxhash64(F.col("__h"), F.lit(seed + 1))
     sent = sent.withColumns({"__h": again, "__slice": F.shiftright(again, 52)})
     sent = salted_rank(sent, ["shard"], "__slice", [F.col("__h"), F.col(doc_id)], "slot")
-    return sent.select(*docs.columns, "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return sent.select(*docs.columns, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
