@@ -66,7 +66,8 @@ class Maker:
             return self.box("share", None, self.links(r.randint(2, 5)))
         if kind == "form":
             tag = "form" if r.random() < 0.8 else "div"
-            return f'<{tag} class="{r.choice(NAMES["form"])}" data-main="0">' + (p(1, 1) if r.random() < 0.5 else "") + f"<label>{self.prose(1, 3)}</label><input><button>{self.prose(1, 2)}</button></{tag}>"
+            name = f' class="{r.choice(NAMES["form"])}"' if tag == "div" or r.random() < 0.5 else ' action="/go"'
+            return f'<{tag}{name} data-main="0">' + (p(1, 2) if r.random() < 0.6 else "") + f"<label>{self.prose(1, 3)}</label><input><button>{self.prose(1, 2)}</button></{tag}>"
         return self.box("footer", "footer", f"&copy; {self.prose(1, 3)} &middot; {self.sentences(1, 2)}" + (self.links(r.randint(2, 6)) if r.random() < 0.5 else ""))
 
     def article(self) -> str:
