@@ -41,6 +41,21 @@ def experiment_code(text: Column, digits: int) -> Column:
     return F.lpad(F.pmod(polynomial_hash(text), F.lit(10**digits).cast("long")).cast("string"), digits, "0")
 
 
+def experiment_stamp(text: Column, digits: int = 10, day: Column | None = None) -> Column:
+    """experiment_code and the day as YYYYMMDD, joined by an underscore."""
+    return F.concat(experiment_code(text, digits), F.lit("_"), F.date_format(F.current_date() if day is None else day, "yyyyMMdd"))
+
+
+def whole_or_null(text: Column) -> Column:
+    """The whole number that a text spells, else null."""
+    return text.try_cast("bigint")
+
+
+def number_or_null(text: Column) -> Column:
+    """The number that a text spells, else null."""
+    return text.try_cast("double")
+
+
 def portable_uniform(*keys: Column) -> Column:
     """A number in [0, 1) from the keys by MD5, the same in any engine and partitioning."""
     digest = F.md5(F.concat_ws("/", *[k.cast("string") for k in keys]))

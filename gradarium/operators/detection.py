@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradarium.functions.expressions import iou_sizes, portable_uniform
+from gradarium.functions.expressions import bin_of, iou_sizes, portable_uniform
 from gradarium.functions.ordering import running_sums
+from gradarium.operators.boosting import BoostedModel
+from gradarium.operators.rectangles import integral_arrays, rectangle_sum, scaled_boxes
 
 
 def scales(spark: SparkSession, n: int = 9, height: int = 96, width: int = 96, growth: float = 1.2, jump: float = 0.05) -> DataFrame:
@@ -27,6 +31,46 @@ def sliding_windows(frames: DataFrame, sized: DataFrame) -> DataFrame:
     return rows.withColumn("k0", F.explode(starts(F.col("width") - F.col("w"), F.col("dk")))).select("img_id", "s", "j0", "k0", "h", "w")
 
 
+def detect(images: DataFrame, features: DataFrame, sized: DataFrame, model: BoostedModel) -> DataFrame:
+    """(img_id, s, j, k, h, w, score): windows of the images (img_id, h, w, pixels) whose score is above the model's
+    threshold. The model's feature numbers are those of the catalogue `features`.
+
+    An image is one row with its integral image; its windows are scored inside that row, so the image is never copied
+    to its windows, nothing is shuffled, and only detections leave. Boxes of the selected features at each scale are
+    constants of the plan."""
+    used = sorted({r[1] for r in model.rows})
+    boxes = scaled_boxes(features.where(F.col("f").isin(used)), sized).collect()  # selected features x scales
+    scales_ = sorted(sized.collect())
+    constant = json.dumps([[{"b": list(x.bg), "w": list(x.white)} for x in sorted((b for b in boxes if b.s == s.s), key=lambda b: b.f)] for s in scales_])
+    steps = json.dumps([{"i": used.index(r[1]), "lo": r[2], "hi": r[3], "l": r[5]} for r in model.rows])
+    box = "struct<b: array<int>, w: array<int>>"
+    by_scale = F.from_json(F.lit(constant), f"array<array<{box}>>")
+    rounds = F.from_json(F.lit(steps), "array<struct<i: int, lo: double, hi: double, l: array<double>>>")
+    starts = lambda room, d: F.sequence(F.floor((room % d) / 2).cast("int"), room.cast("int"), d)
+
+    def windows_of(place: int, r) -> Column:
+        height, width = F.col("h").cast("int"), F.col("w").cast("int")
+        one = lambda j, k: F.struct(F.lit(place).alias("p"), F.lit(r.s).alias("s"), j.alias("j"), k.alias("k"), F.lit(r.h).alias("h"), F.lit(r.w).alias("w"))
+        grid = F.flatten(F.transform(starts(height - r.h, F.lit(r.dj)), lambda j: F.transform(starts(width - r.w, F.lit(r.dk)), lambda k: one(j, k))))
+        return F.when((height >= r.h) & (width >= r.w), grid).otherwise(F.array().cast("array<struct<p:int,s:int,j:int,k:int,h:int,w:int>>"))
+
+    def value(ii: Column, width: Column, window: Column, b: Column) -> Column:
+        total = lambda c: rectangle_sum(ii, width, window["j"] + c[0], window["k"] + c[1], window["j"] + c[0] + c[2] - 1, window["k"] + c[1] + c[3] - 1)
+        area, part = b["b"][2].cast("long") * b["b"][3], b["w"][2].cast("long") * b["w"][3]
+        whole, white = total(b["b"]), total(b["w"])
+        return F.when((part > 0) & (area > part), (white / part - (whole - white) / (area - part)).cast("smallint")).otherwise(F.lit(0).cast("smallint"))
+
+    def scored(ii: Column, width: Column, window: Column) -> Column:
+        x = F.transform(F.get(by_scale, window["p"]), lambda b: value(ii, width, window, b))
+        add = lambda v: F.aggregate(rounds, F.lit(0.0), lambda s, m: s + F.element_at(m["l"], bin_of(F.get(v, m["i"]), m["lo"], m["hi"], model.n_bins) + 1))
+        return F.transform(F.array(x), add)[0]
+
+    rows = integral_arrays(images).withColumn("__windows", F.concat(*[windows_of(i, r) for i, r in enumerate(scales_)]))
+    found = F.transform("__windows", lambda v: F.struct(v.alias("v"), scored(F.col("ii"), F.col("w"), v).alias("score")))
+    rows = rows.select("img_id", F.explode(F.filter(found, lambda x: x["score"] > model.threshold)).alias("d"))
+    return rows.select("img_id", *[F.col(f"d.v.{c}").alias(c) for c in "sjkhw"], F.col("d.score").alias("score"))
+
+
 def above(scored: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Detections: windows whose score is strictly above the threshold."""
     return scored.where(F.col("score") > threshold)

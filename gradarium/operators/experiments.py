@@ -14,6 +14,17 @@ from gradarium.operators.metrics import max_ratios
 SCHEMA = "data_name string, rounds int, n_bins int, metric string, value double"
 
 
+def boosted_stumps(train: DataFrame, label: str, features: list[str], rounds: int):
+    """A comparator of Spark's own library: gradient boosting of depth-1 trees on the same rows, as a fitted pipeline.
+    label holds 0 and 1."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    stages = [VectorAssembler(inputCols=features, outputCol="__x"), GBTClassifier(labelCol=label, featuresCol="__x", maxDepth=1, maxIter=rounds, seed=0)]
+    return Pipeline(stages=stages).fit(train)
+
+
 def run_grid(spark: SparkSession, data: dict[str, tuple[DataFrame, DataFrame]], label: Column | str, features: list[str] | str, rounds: list[int], n_bins: list[int], outliers_ratio: float = 0.05) -> DataFrame:
     """(data_name, rounds, n_bins, metric, value, ratio) for each data set (train, test) and setting: seconds of
     fitting and of prediction, accuracies, and ratios to the greatest value of each data set and metric. A model of

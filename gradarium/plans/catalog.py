@@ -21,6 +21,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
+    """Registers a query and, if SQL can express it, its SQL."""
+
     def register(f):
         QUERIES[f.__name__] = f
         if sql:
@@ -281,6 +283,21 @@ def rectangle_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("value", F.col("value").cast("int"))
 
 
+@query()
+def detect_in_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pipeline: rectangle features of every image train a model; its selected features score all windows of two
+    scales of the images; detections are suppressed by averaging."""
+    features, pictures = rectangles.catalogue(spark, 2, 1), images(spark, sf_dir)
+    sized = spark.createDataFrame([(0, 6, 6, 1, 1), (1, 8, 8, 1, 1)], "s int, h int, w int, dj int, dk int")
+    windows = detection.sliding_windows(pictures.select("img_id", F.col("h").alias("height"), F.col("w").alias("width")), sized.where("s = 1"))
+    values = rectangles.window_features(windows, rectangles.scaled_boxes(features, sized), rectangles.integral_arrays(pictures))
+    x = F.transform(F.array_sort(F.collect_list(F.struct("f", "value"))), lambda v: v["value"].cast("double"))
+    labels = embeddings(spark, sf_dir).select(F.col("vec_id").alias("img_id"), "y")
+    train = values.groupBy("img_id").agg(x.alias("x")).join(labels, "img_id")
+    model = boosting.BoostedBins(ROUNDS, BINS, TRIM, MOST).fit(train, "y", "x")
+    return detection.suppress(detection.detect(pictures, features, sized, model), average=True)
+
+
 # ---- windows and boxes: parts as frames, events as boxes ----
 
 _FRAMES_SQL = "frames AS (SELECT p_partkey AS img_id, 100 + p_size AS height, 120 + p_size AS width FROM part)"

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradarium.functions.expressions import bin_of, experiment_code, iou_corners, iou_sizes, logit, polynomial_hash
+from gradarium.functions.expressions import bin_of, experiment_code, experiment_stamp, iou_corners, iou_sizes, logit, number_or_null, polynomial_hash, whole_or_null
 from gradarium.operators.binning import feature_rows, find_ranges, long_form
 from gradarium.operators.boosting import BoostedBins, BoostedModel
 from gradarium.operators.metrics import accuracies, precision_threshold, roc_points
@@ -141,5 +141,7 @@ def test_boxes_and_text(spark):
     h = 0
     for c in text:
         h = h * 31 + ord(c)
+    assert one.select(experiment_stamp(F.lit(text), 4, F.lit("2024-02-03").cast("date"))).first()[0] == f"{str(h % 2**32 % 10**4).zfill(4)}_20240203"
+    assert list(one.select(whole_or_null(F.lit("12")), whole_or_null(F.lit("x")), number_or_null(F.lit("1.5")), number_or_null(F.lit("None"))).first()) == [12, None, 1.5, None]
     row = one.select(polynomial_hash(F.lit(text)), experiment_code(F.lit(text), 10)).first()
     assert row[0] == h % 2**32 and row[1] == str(h % 2**32 % 10**10).zfill(10)

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradarium.operators import detection, rectangles
+from gradarium.operators.boosting import BoostedModel
 from gradarium.sources import readers
 
 
@@ -60,6 +61,26 @@ def test_features_equal_numpy(spark, pictures):
         assert r.value == want
 
 
+def test_detection_equals_features_and_scores(spark, pictures):
+    features, sized = rectangles.catalogue(spark, 2, 2), spark.createDataFrame([(0, 9, 9, 1, 1), (1, 12, 12, 1, 2)], "s int, h int, w int, dj int, dk int")
+    images = frame_of(spark, pictures)
+    rng = np.random.default_rng(0)
+    rows = [(t, int(f), -60.0, 60.0, 1.0, rng.normal(size=8).tolist()) for t, f in enumerate((40, 3, 200, 40))]
+    model = BoostedModel(rows=rows, classes=[-1, 1], features=[], array_column="x", n_bins=8, threshold=-3.0)
+    got = {(r.img_id, r.s, r.j, r.k): r.score for r in detection.detect(images, features, sized, model).collect()}
+    windows = detection.sliding_windows(images.select("img_id", F.col("h").alias("height"), F.col("w").alias("width")), sized)
+    values = rectangles.window_features(windows, rectangles.scaled_boxes(features.where("f in (3, 40, 200)"), sized), rectangles.integral_arrays(images))
+    by_window = {}
+    for r in values.collect():
+        by_window.setdefault((r.img_id, r.s, r.j0, r.k0), {})[r.f] = r.value
+    want = {}
+    for key, v in by_window.items():
+        score = sum(logits[min(7, max(0, int(np.floor(8 * (v[f] + 60) / 120))))] for _, f, _, _, _, logits in rows)
+        if score > -3.0:
+            want[key] = score
+    assert got.keys() == want.keys() and len(want) > 3 and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def greedy(boxes, least):
     def iou(a, b):
         dj, dk = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]), min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])

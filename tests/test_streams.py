@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradarium.operators.boosting import BoostedBins
-from gradarium.operators.experiments import run_grid
+from gradarium.operators.experiments import boosted_stumps, run_grid
 from gradarium.streaming import streams
 
 
@@ -43,3 +43,8 @@ def test_grid(spark, rows):
     out = run_grid(spark, {"d": (rows.where("id < 90"), rows.where("id >= 90"))}, "y", ["v"], rounds=[1, 2], n_bins=[4]).collect()
     assert len(out) == 10 and all(r.ratio >= 1 for r in out)
     assert {r.metric for r in out} == {"time_fit", "time_predict_train", "time_predict_test", "acc_train", "acc_test"}
+
+
+def test_comparator(rows):
+    fitted = boosted_stumps(rows, "y", ["v"], 3).transform(rows)
+    assert fitted.where("prediction = y").count() == rows.count()
