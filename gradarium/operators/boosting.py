@@ -6,6 +6,8 @@ import json
 import math
 from dataclasses import asdict, dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,20 @@ def best_feature(errors: DataFrame) -> DataFrame:
     return best.where("s is not null").select(F.col("s.j").alias("j"), F.col("s.err").alias("err"), F.col("s.logits").alias("logits"))
 
 
+def best_of_histogram(cells: pa.Table, logit_max: float, n_bins: int) -> tuple[int, float, list[float]]:
+    """best_feature(feature_errors(..)) of a histogram that the driver holds: features x bins numbers, however many
+    rows it counts. It saves a round two exchanges of next to no data."""
+    j, b, wp, wn = (cells.column(c).to_numpy() for c in ("j", "b", "wp", "wn"))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        inner = np.clip(0.5 * np.log(wp / wn), -logit_max, logit_max)
+    l = np.where(wp == wn, 0.0, np.where(wp <= 0, -logit_max, np.where(wn <= 0, logit_max, inner)))  # noqa: E741
+    err = np.bincount(j, wp * np.exp(-l) + wn * np.exp(l))
+    best = int(np.argmin(np.round(err, TIE_DIGITS)))
+    logits = np.zeros(n_bins)
+    logits[b[j == best]] = l[j == best]
+    return best, float(err[best]), logits.tolist()
+
+
 def chosen(values: list[float], place: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, map(float, values))), place.cast("int") + 1)
 
@@ -62,7 +78,8 @@ class BoostedBins:
                 raise ValueError(said)
 
     def fit(self, df: DataFrame, label: Column | str, features: list[str] | str) -> BoostedModel:
-        """Ranges, bins (written once), then the rounds. Only the ranges and a round's chosen row reach the driver."""
+        """Ranges, bins (written once), then the rounds. Only ranges and histograms reach the driver: their size is that
+        of the model's inputs, features x bins, not of the data."""
         rows, classes = feature_rows(df, label, features)
         ranges = [(r.j, r.lo, r.hi) for r in find_ranges(long_form(rows), self.outliers_ratio).collect()]
         state = written(bin_rows(rows, ranges, self.n_bins).select("y", "bins", F.lit(0.0).alias("margin")))
@@ -79,11 +96,10 @@ class BoostedBins:
             if len(since) == CUT:
                 state, since, margin = written(state.withColumn("margin", margin)), [], F.col("margin")
             weight = F.exp(-F.col("y") * margin - F.lit(log_norm))
-            best = best_feature(feature_errors(histogram(state, weight), self.logit_max, self.n_bins)).first()
-            logits = [float(v) for v in best.logits]
-            model.rows.append((t, int(best.j), *map(float, by_j[best.j]), float(best.err), logits))
-            since.append((int(best.j), logits))
-            log_norm += math.log(best.err)
+            j, err, logits = best_of_histogram(histogram(state, weight).toArrow(), self.logit_max, self.n_bins)
+            model.rows.append((t, j, *map(float, by_j[j]), err, logits))
+            since.append((j, logits))
+            log_norm += math.log(err)
         return model
 
 
