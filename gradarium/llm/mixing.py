@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradarium.llm.common import SPACE, salted_rank, stored
+from gradarium.llm.common import SPACE, let, salted_rank, stored
 
 #: Weights by the rank of a source's name, repeating.
 WEIGHTS = (3, 1, 2)
@@ -16,8 +16,10 @@ FEW_SOURCES = 10_000
 
 
 def n_words(text: Column) -> Column:
-    parts = F.split(F.coalesce(text, F.lit("")), SPACE)
-    return (F.size(parts) - (parts[0] == "").cast("int") - ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")).cast("long")
+    def inner(parts: Column) -> Column:
+        return F.size(parts) - (parts[0] == "").cast("int") - ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")
+
+    return let(F.split(F.coalesce(text, F.lit("")), SPACE), inner).cast("long")
 
 
 def draw(doc_id: Column) -> Column:
@@ -82,11 +84,11 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     return rows.withColumn("copies", copies).select(*docs.columns, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as mix_sources takes it, with the columns of docs."""
-    taken = mix_sources(docs.withColumnRenamed("copies", "__copies") if "copies" in docs.columns else docs)
-    rows = taken.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return rows.select(*[F.col("__copies").alias("copies") if c == "copies" and "__copies" in rows.columns else F.col(c) for c in docs.columns])
+def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """The mix itself: each document as often as mix_sources takes it, with the columns of docs, whatever their names."""
+    held = docs.select(F.col(text).alias("text"), F.col(source).alias("source"), F.col(doc_id).alias("doc_id"), F.struct(*[F.col(c) for c in docs.columns]).alias("__row"))
+    taken = mix_sources(held).where("copies > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
 
 
 ORACLE = """
