@@ -19,7 +19,7 @@ GATHER = 2_000_000
 #: Bits of an n-gram's fingerprint in the first, coarse count; equal ones there are a superset of equal n-grams.
 COARSE_BITS = 40
 #: Sets that meet one other set in one task; a set with more candidates is copied to several tasks.
-GROUP = 1000
+GROUP = 200
 SIZE = 3
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -92,20 +92,25 @@ def _signatures(n: int):
 # ---- which sets can have a partner at all ----
 
 
-def _coarse(n: int, n_buckets: int):
+def _sent(n: int, n_homes: int, messages):
+    """Sizes of sets to their homes, and what `messages` makes of (n-gram, doc)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        sizes: list[tuple[np.ndarray, np.ndarray]] = []
 
         def send() -> Iterator[pa.RecordBatch]:
             gram, doc = (np.concatenate(c) for c in zip(*held, strict=True))
+            of, size = (np.concatenate(c) for c in zip(*sizes, strict=True))
             held.clear()
-            sizes = np.unique(doc, return_counts=True)
-            yield from message(SIZE, by_doc(sizes[0], n_buckets), [sizes[0], sizes[1]])
-            bucket = by_hash(gram, n_buckets)
-            yield from message(COMPARE, bucket, [(gram >> np.uint64(64 - COARSE_BITS)).view(np.int64), doc])
+            sizes.clear()
+            some = size > 0
+            yield from message(SIZE, by_doc(of[some], n_homes), [of[some], size[some]])
+            yield from messages(gram, doc)
 
         for doc, of, gram in _each(batches, n):
             held.append((gram, doc[of]))
+            sizes.append((doc, np.bincount(of, minlength=len(doc))))
             if sum(len(h[0]) for h in held) >= GATHER:
                 yield from send()
         if held:
@@ -114,6 +119,10 @@ def _coarse(n: int, n_buckets: int):
     return run
 
 
+def _coarse(n: int, n_buckets: int, n_homes: int):
+    return _sent(n, n_homes, lambda gram, doc: message(COMPARE, by_hash(gram, n_buckets), [(gram >> np.uint64(64 - COARSE_BITS)).view(np.int64), doc]))
+
+
 def _passed_on(table: pa.Table, kind: int) -> pa.RecordBatch:
     rows = table.filter(pc.equal(table["kind"], kind)).select(SENT.names)
     return pa.record_batch([c.combine_chunks() for c in rows.columns], schema=SENT)
@@ -129,14 +138,14 @@ def _group(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key, doc, np.bincount(group)[group] if len(group) else group
 
 
-def _count_shared(n_buckets: int):
+def _count_shared(n_homes: int):
     """For each document: how many of its n-grams in this bucket another document has."""
 
     def run(table: pa.Table) -> pa.Table:
         key, doc = decode_all(table, COMPARE, 2)
         _, doc, df = _group(key, doc)
         docs, count = np.unique(doc[df > 1], return_counts=True)
-        return pa.Table.from_batches([_passed_on(table, SIZE), *message(COMPARE, by_doc(docs, n_buckets), [docs, count])], SENT)
+        return pa.Table.from_batches([_passed_on(table, SIZE), *message(COMPARE, by_doc(docs, n_homes), [docs, count])], SENT)
 
     return run
 
@@ -149,7 +158,7 @@ def _sum_shared(num: int, den: int):
         shared_doc, count = decode_all(table, COMPARE, 2)
         docs, at = np.unique(np.concatenate([doc, shared_doc]), return_inverse=True)
         n = np.zeros(len(docs), np.int64)
-        np.add.at(n, at[: len(doc)], size)
+        np.maximum.at(n, at[: len(doc)], size)
         shared = np.zeros(len(docs), np.int64)
         np.add.at(shared, at[len(doc) :], count)
         return pa.table([pa.array(docs[(den * shared >= num * n) & (shared > 0)], pa.int64())], ["doc"])
@@ -160,35 +169,18 @@ def _sum_shared(num: int, den: int):
 # ---- globally ordered sets ----
 
 
-def _exact(n: int, n_buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def send() -> Iterator[pa.RecordBatch]:
-            gram, doc = (np.concatenate(c) for c in zip(*held, strict=True))
-            held.clear()
-            sizes = np.unique(doc, return_counts=True)
-            yield from message(SIZE, by_doc(sizes[0], n_buckets), [sizes[0], sizes[1]])
-            yield from message(COMPARE, by_hash(gram, n_buckets), [gram.view(np.int64), doc])
-
-        for doc, of, gram in _each(batches, n):
-            held.append((gram, doc[of]))
-            if sum(len(h[0]) for h in held) >= GATHER:
-                yield from send()
-        if held:
-            yield from send()
-
-    return run
+def _exact(n: int, n_buckets: int, n_homes: int):
+    return _sent(n, n_homes, lambda gram, doc: message(COMPARE, by_hash(gram, n_buckets), [gram.view(np.int64), doc]))
 
 
-def _frequencies(n_buckets: int):
+def _frequencies(n_homes: int):
     """n-grams in two documents or more, with their frequency, back to their documents."""
 
     def run(table: pa.Table) -> pa.Table:
         key, doc = decode_all(table, COMPARE, 2)
         key, doc, df = _group(key, doc)
         many = df > 1
-        return pa.Table.from_batches([_passed_on(table, SIZE), *message(COMPARE, by_doc(doc[many], n_buckets), [doc[many], key[many], df[many]])], SENT)
+        return pa.Table.from_batches([_passed_on(table, SIZE), *message(COMPARE, by_doc(doc[many], n_homes), [doc[many], key[many], df[many]])], SENT)
 
     return run
 
@@ -206,7 +198,7 @@ def _ordered(num: int, den: int):
         doc, size = decode_all(table, SIZE, 2)
         n_of: dict[int, int] = {}
         for d, s in zip(doc.tolist(), size.tolist(), strict=True):
-            n_of[d] = n_of.get(d, 0) + s
+            n_of[d] = max(n_of.get(d, 0), s)
         d, gram, df = decode_all(table, COMPARE, 3)
         order = np.lexsort((gram.view(np.uint64), df, d))
         d, gram = d[order], gram[order]
@@ -321,12 +313,14 @@ def similarity_components(docs: DataFrame, n: int = 4, num: int = 85, den: int =
        So large groups of near copies cost a comparison a member, and no link between components is lost.
     Shingles are compared by 64-bit fingerprints, sets in step 1 by two 64-bit sums.
 
-    A text that is null or has no word has n_shingles 0 and links with nothing: component_id is its doc_id. Rows with
-    the same doc_id count as one document whose set is the union of theirs from step 2 on. A null doc_id is greater
-    than all others. Other columns are not read. No rows: none.
+    A text that is null or has no word has n_shingles 0 and links with nothing: component_id is its doc_id. A row may be
+    repeated; rows with one doc_id and different texts are not one document in any useful sense, and what they link to
+    is not defined. A null doc_id is greater than all others; rows without one count as one document. Other columns are not read. No rows: none.
     """
     spark = docs.sparkSession
-    n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # n-grams meet in n_buckets, what is found about documents in n_homes: a bucket sends at most n_homes messages
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets, n_homes = 4 * parts, max(8, parts // 4)
     own = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     signed = stored(own.mapInArrow(_signatures(n), "doc long, n long, s1 long, s2 long"), "signatures")
     classes = stored(signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep")), "classes")
@@ -337,9 +331,9 @@ def similarity_components(docs: DataFrame, n: int = 4, num: int = 85, den: int =
 
     reps = classes.select(F.col("rep").alias("doc"))
     rows = semi_join(own.withColumn("doc", F.coalesce("doc", F.lit(int(LAST)))), reps, "doc", reps.count())
-    able = buckets(rows, _coarse(n, n_buckets), _count_shared(n_buckets), _sum_shared(num, den), "doc long", "able")
+    able = buckets(rows, _coarse(n, n_buckets, n_homes), _count_shared(n_homes), _sum_shared(num, den), "doc long", "able")
     rows = semi_join(own.withColumn("doc", F.coalesce("doc", F.lit(int(LAST)))), able, "doc", able.count())
-    sets = buckets(rows, _exact(n, n_buckets), _frequencies(n_buckets), _ordered(num, den), "doc long, n long, grams binary", "sets")
+    sets = buckets(rows, _exact(n, n_buckets, n_homes), _frequencies(n_homes), _ordered(num, den), "doc long, n long, grams binary", "sets")
     prefixes = stored(sets.select("doc", "n", "grams").mapInArrow(_prefixes(num, den), "gram long, doc long, n long, at long"), "prefixes")
 
     # a set of n meets those of num/den * n to den/num * n: pivots are chosen in ranges of sizes of that width

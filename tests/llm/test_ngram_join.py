@@ -71,6 +71,13 @@ def test_chain_and_nulls(spark):
     assert similarity_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_repeated_rows_keep_their_links(spark):
+    w = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(w)), (1, " ".join(w)), (2, " ".join([*w[:99], "x"])), (2, " ".join([*w[:99], "x"]))]
+    got = similarity_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert [(r.n_shingles, r.component_id) for r in got] == [(97, 1)] * 4
+
+
 def test_one_of_each_group_stays(spark):
     docs = corpus(5)
     df = spark.createDataFrame([(i, t, "en") for i, t in docs], "doc_id long, text string, lang string")
