@@ -194,7 +194,7 @@ def _docs(batch: pa.RecordBatch, i: int) -> np.ndarray:
     return batch.column(i).fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def suffix_messages(n_buckets: int):
+def suffix_messages(n_buckets: int, n_homes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
@@ -203,7 +203,7 @@ def suffix_messages(n_buckets: int):
             held.clear()
             key = value ^ stretch
             known = earlier_in_group(key, doc)  # also in a smaller document of this task: settled, and never sent
-            yield from message(REMOVED, by_doc(doc[known], n_buckets), [doc[known], first[known], n[known]])
+            yield from message(REMOVED, by_doc(doc[known], n_homes), [doc[known], first[known], n[known]])
             value, stretch, doc, first, n = (c[~known] for c in (value, stretch, doc, first, n))
             yield from message(COMPARE, by_hash(value, n_buckets), [value.view(np.int64), (stretch & np.uint64((1 << 48) - 1)).view(np.int64), doc, first, n])
 
@@ -221,7 +221,7 @@ def suffix_messages(n_buckets: int):
     return run
 
 
-def merge_scan(n_buckets: int):
+def merge_scan(n_homes: int):
     """All suffixes of a bucket enter an index family in the order of their documents. Out come the spans found in a
     smaller document, and those of suffixes that other documents have too, in another stretch."""
 
@@ -235,7 +235,7 @@ def merge_scan(n_buckets: int):
             cuts = np.unique([0, *np.searchsorted(rows["doc"], rows["doc"][np.linspace(0, len(doc) - 1, BATCHES + 1).astype(int)[1:-1]]), len(doc)])
             for a, b in zip(cuts, cuts[1:], strict=False):
                 found[a:b] = family.add({c: x[a:b] for c, x in rows.items()})
-            out += message(REMOVED, by_doc(rows["doc"][found], n_buckets), [rows[c][found] for c in ("doc", "first", "n")])
+            out += message(REMOVED, by_doc(rows["doc"][found], n_homes), [rows[c][found] for c in ("doc", "first", "n")])
             kept = family.whole()
             order = np.lexsort((kept["key"], kept["value"]))
             v, k = kept["value"][order], kept["key"][order]
@@ -243,13 +243,13 @@ def merge_scan(n_buckets: int):
             other = same & (k[1:] != k[:-1])
             group = np.cumsum(np.append(0, ~same))
             asked = order[np.bincount(group[1:][other], minlength=group[-1] + 1)[group] > 0]
-            out += message(ASKED, by_doc(kept["doc"][asked], n_buckets), [kept[c][asked] for c in ("doc", "first", "n")])
+            out += message(ASKED, by_doc(kept["doc"][asked], n_homes), [kept[c][asked] for c in ("doc", "first", "n")])
         return pa.Table.from_batches(out, SENT)
 
     return run
 
 
-def string_messages(n_buckets: int):
+def string_messages(n_buckets: int, n_homes: int):
     """The 50-byte strings of the asked spans, by fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +260,7 @@ def string_messages(n_buckets: int):
             held.clear()
             known = earlier_in_group(value, doc)
             spans = spans_of_starts(doc[known], start[known])
-            yield from message(REMOVED, by_doc(spans[0], n_buckets), list(spans))
+            yield from message(REMOVED, by_doc(spans[0], n_homes), list(spans))
             value, doc, start = value[~known], doc[~known], start[~known]
             yield from message(COMPARE, by_hash(value, n_buckets), [value.view(np.int64), doc, start])
 
@@ -285,14 +285,14 @@ def string_messages(n_buckets: int):
     return run
 
 
-def compare_strings(n_buckets: int):
+def compare_strings(n_homes: int):
     def run(table: pa.Table) -> pa.Table:
         out = [pa.record_batch([c.combine_chunks() for c in table.filter(pc.equal(table["kind"], REMOVED)).select(SENT.names).columns], schema=SENT)]
         value, doc, start = decode_all(table, COMPARE, 3)
         if len(value):
             found = earlier_in_group(value.view(np.uint64), doc)
             spans = spans_of_starts(doc[found], start[found])
-            out += message(REMOVED, by_doc(spans[0], n_buckets), list(spans))
+            out += message(REMOVED, by_doc(spans[0], n_homes), list(spans))
         return pa.Table.from_batches(out, SENT)
 
     return run
@@ -364,7 +364,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     A null text is empty. Rows with the same doc_id count as one document: they don't match each other, and their
     spans are joined by offset. A null doc_id is greater than all others. Other columns are not read. No rows: none.
     """
-    n_buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # suffixes and strings meet in n_buckets, spans of documents in n_homes: a bucket sends at most n_homes messages
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets, n_homes = 4 * parts, max(8, parts // 4)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     key = F.coalesce("doc_id", F.lit(int(LAST)))
 
@@ -373,10 +375,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         size = spans.agg(F.coalesce(F.sum(F.octet_length("__spans") + 24), F.lit(0))).first()[0]
         return F.broadcast(spans) if size <= broadcast_bytes else spans.hint("merge")
 
-    found = stored(own.mapInArrow(suffix_messages(n_buckets), SENT_SQL).groupBy("bucket").applyInArrow(merge_scan(n_buckets), SENT_SQL), "suffixes")
+    found = stored(own.mapInArrow(suffix_messages(n_buckets, n_homes), SENT_SQL).groupBy("bucket").applyInArrow(merge_scan(n_homes), SENT_SQL), "suffixes")
     asked = per_document(found, ASKED)
-    strings = own.join(asked, key == F.col("__doc")).select("doc_id", "text", "__spans").mapInArrow(string_messages(n_buckets), SENT_SQL)
-    more = strings.groupBy("bucket").applyInArrow(compare_strings(n_buckets), SENT_SQL)
+    strings = own.join(asked, key == F.col("__doc")).select("doc_id", "text", "__spans").mapInArrow(string_messages(n_buckets, n_homes), SENT_SQL)
+    more = strings.groupBy("bucket").applyInArrow(compare_strings(n_homes), SENT_SQL)
     spans = per_document(found.where(F.col("kind") == REMOVED).unionByName(more), REMOVED)
     rows = own.join(spans, key == F.col("__doc"), "left").select("doc_id", "text", "__spans")
     return rows.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, runs array<long>")
