@@ -9,18 +9,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradarium.llm.common import SPACE, SPACE_CHARS, stored
+from gradarium.llm.common import SPACE, SPACE_CHARS, let, stored
 
 SYMBOLS = "#*$%&|<>"
-#: Documents whose hash is least: on them costs and selectivities are estimated. They change the order of rules only.
+#: Documents drawn at random: on them costs and selectivities are estimated. They change the order of rules only.
 SAMPLE_ROWS = 1000
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
@@ -43,7 +38,9 @@ def repeated_words(w: Column) -> Column:
     hash; sorted with their positions, equal ones are neighbours, so no window is compared with all others."""
     pairs = F.zip_with(w, after(w, 1), lambda a, b: F.xxhash64(a, b))
     windows = F.slice(F.zip_with(pairs, after(w, 2), lambda a, b: F.xxhash64(a, b)), F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
-    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def placed(hashes: Column) -> Column:
+        return F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def twice(s: Column) -> Column:
         equal = F.zip_with(s, after(s, 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
@@ -53,84 +50,127 @@ def repeated_words(w: Column) -> Column:
         steps = F.zip_with(p, after(p, 1), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda n, x: n + x)
 
-    return let(let(placed, twice), covered)
+    return let(windows, lambda x: F.when(F.size(F.array_distinct(x)) == F.size(x), F.lit(0).cast("long")).otherwise(let(let(placed(x), twice), covered)))
 
 
 def lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def base_counts(text: Column) -> dict[str, Column]:
-    """Columns of whole texts; text must not be null."""
-    counted = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
-    lined = let(lines(text), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    return {"__counted": counted, "word_chars": (F.char_length(text) - removed(text, SPACE_CHARS)).cast("long"), "n_symbols": removed(text, SYMBOLS), "n_dup_lines": lined}
+class Measures:
+    """Counts of a whole text, which must not be null; each is computed where it is used."""
+
+    def __init__(self, text: Column):
+        self.text = text
+
+    def n_words(self) -> Column:
+        return F.size(words(self.text)).cast("long")
+
+    def n_repeat_words(self) -> Column:
+        return let(words(self.text), repeated_words)
+
+    def word_chars(self) -> Column:
+        return (F.char_length(self.text) - removed(self.text, SPACE_CHARS)).cast("long")
+
+    def n_symbols(self) -> Column:
+        return removed(self.text, SYMBOLS)
+
+    def n_lines(self) -> Column:
+        return F.size(lines(self.text)).cast("long")
+
+    def n_dup_lines(self) -> Column:
+        return let(lines(self.text), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+
+    def n_shouts(self) -> Column:
+        return (F.char_length(self.text) - F.char_length(F.replace(self.text, F.lit("!!")))).cast("long")
+
+
+class Counted(Measures):
+    """The same counts, read from columns that hold them."""
+
+    def __init__(self) -> None:
+        for name in ("n_words", "n_repeat_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_shouts"):
+            setattr(self, name, lambda name=name: F.col(f"__{name}"))
+
+
+def counted(docs: DataFrame, text: Column) -> DataFrame:
+    """docs with the columns that Counted reads."""
+    m = Measures(text)
+    by_word = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
+    by_line = let(lines(text), lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
+    rows = docs.withColumns({"__w": by_word, "__l": by_line, "__word_chars": m.word_chars(), "__n_symbols": m.n_symbols(), "__n_shouts": m.n_shouts()})
+    return rows.withColumns({"__n_words": F.col("__w.n_words"), "__n_repeat_words": F.col("__w.n_repeat_words"), "__n_lines": F.col("__l.n"), "__n_dup_lines": F.col("__l.dup")}).drop("__w", "__l")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """reject(text) is true for a text to refuse; text is never null there."""
+    """reject(measures) is true for a text to refuse."""
 
     name: str
-    reject: Callable[[Column], Column]
+    reject: Callable[[Measures], Column]
 
 
 #: Fixed thresholds. The first two are the base rules.
 RULES = (
-    Rule("few_words", lambda t: F.size(words(t)) < 50),
-    Rule("repeated_words", lambda t: let(words(t), lambda w: 100 * repeated_words(w) > 50 * F.size(w))),
-    Rule("symbols", lambda t: 10 * removed(t, SYMBOLS) > F.size(words(t))),
-    Rule("duplicate_lines", lambda t: let(lines(t), lambda x: 2 * (F.size(x) - F.size(F.array_distinct(x))) > F.size(x))),
-    Rule("word_length", lambda t: let(F.size(words(t)), lambda n: (F.char_length(t) - removed(t, SPACE_CHARS) > 12 * n) | (2 * (F.char_length(t) - removed(t, SPACE_CHARS)) < 5 * n))),
-    Rule("exclamation", lambda t: 3 * (F.char_length(t) - F.char_length(F.replace(t, F.lit("!!")))) > 2 * F.size(words(t))),
+    Rule("few_words", lambda m: m.n_words() < 50),
+    Rule("repeated_words", lambda m: 100 * m.n_repeat_words() > 50 * m.n_words()),
+    Rule("symbols", lambda m: 10 * m.n_symbols() > m.n_words()),
+    Rule("duplicate_lines", lambda m: 2 * m.n_dup_lines() > m.n_lines()),
+    Rule("long_words", lambda m: m.word_chars() > 12 * m.n_words()),
+    Rule("short_words", lambda m: 2 * m.word_chars() < 5 * m.n_words()),
+    Rule("shouts", lambda m: 3 * m.n_shouts() > 2 * m.n_words()),
 )
 
 
 def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """(rule, seconds, share rejected) on a sample, the greatest share rejected per second first."""
     body = F.coalesce(F.col(text), F.lit(""))
-    sample = stored(docs.select(body.alias("t")).orderBy(F.xxhash64("t"), "t").limit(sample_rows), "rule_sample")
+    share = min(1.0, 4.0 * sample_rows / max(1, docs.count()))  # thinned in place: the limit below meets few rows
+    sample = stored(docs.select(body.alias("t")).sample(False, share, seed=1).limit(sample_rows), "rule_sample")
     n = max(1, sample.count())
     found = []
     for rule in rules:
         began = time.perf_counter()
-        hits = sample.agg(F.coalesce(F.sum(rule.reject(F.col("t")).cast("int")), F.lit(0))).first()[0]
+        hits = sample.agg(F.coalesce(F.sum(rule.reject(Measures(F.col("t"))).cast("int")), F.lit(0))).first()[0]
         found.append((rule, time.perf_counter() - began, hits / n))
     return sorted(found, key=lambda x: (-x[2] / x[1], x[1]))
 
 
-def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Column:
-    """Name of the first rule that rejects the text, in the order that the sample gives; null if none does.
+def cascade(order: list[tuple[Rule, float, float]], measures: Measures) -> Column:
+    """Name of the first rule that rejects the text; null if none does.
 
     The branches of a CASE run one after the other, so a rejected text meets no later rule. The order decides which
     of several rejecting rules is named, never whether a text is rejected.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    verdict = None
-    for rule, _, _ in ordered_rules(docs, rules, text, sample_rows):
-        verdict = F.when(rule.reject(body), F.lit(rule.name)) if verdict is None else verdict.when(rule.reject(body), F.lit(rule.name))
+    verdict = F.when(F.lit(False), F.lit(""))
+    for rule, _, _ in order:
+        verdict = verdict.when(rule.reject(measures), F.lit(rule.name))
     return verdict
 
 
-def quality(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept; columns of docs
-    with these names are replaced.
+def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected_by and kept; columns
+    of docs with these names are replaced.
 
-    A null or empty text has no words, fails the base rules and is not kept. Each row is judged by itself: repeated
-    rows agree, other columns may be null. No rows give no rows.
+    All counts are asked for here, so the cascade reads them; keep_good() computes a count only when its rule's turn
+    comes. A null or empty text has no words, fails the base rules and is not kept. Each row is judged by itself:
+    repeated rows agree, other columns may be null. No rows give no rows.
     """
-    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    new = [*counts, "base_failed", "rejected_by", "kept"]
     docs = docs.drop(*new)
-    rejected = cascade(docs, RULES, text)
-    rows = docs.withColumns(base_counts(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.withColumns({"n_words": F.col("__counted.n_words"), "n_repeat_words": F.col("__counted.n_repeat_words")})
+    order = ordered_rules(docs, rules, text)
+    rows = counted(docs, F.coalesce(F.col(text), F.lit("")))
+    rows = rows.withColumns({c: F.col(f"__{c}") for c in counts})
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.withColumns({"base_failed": failed, "kept": ~failed & rejected.isNull()}).select(*docs.columns, *new)
+    rows = rows.withColumns({"base_failed": failed, "rejected_by": cascade(order, Counted())})
+    return rows.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).select(*docs.columns, *new)
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that no rule rejects, with the columns of docs."""
-    return docs.where(cascade(docs).isNull())
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.where(cascade(ordered_rules(docs, rules, text), Measures(body)).isNull())
 
 
 ORACLE = """
