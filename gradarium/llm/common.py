@@ -110,7 +110,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
-def slices(ends: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(ends: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Runs of whole texts of about `most` bytes; a longer text is a run of its own."""
     i, n = 0, len(ends) - 1
     while i < n:
