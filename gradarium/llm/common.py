@@ -40,6 +40,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """(row, held): each row of docs as a struct with a unique number from 0, stored once so that it stays the same in
+    all later jobs. Numbers say nothing about the order of doc_ids."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(c) for c in docs.columns]).alias("held")), name)
+
+
 def semi_join(df: DataFrame, keys: DataFrame, on: str, n_keys: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of df whose key is in keys: by broadcast while the counted keys are few, else by shuffle."""
     return df.join(F.broadcast(keys) if n_keys <= limit else keys.hint("merge"), on, "left_semi")

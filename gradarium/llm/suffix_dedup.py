@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradarium.llm.common import fingerprints, mixed, prefix_sums, slices, stored, utf8
+from gradarium.llm.common import fingerprints, mixed, numbered, prefix_sums, slices, stored, utf8
 
 LENGTH, ANCHOR = 50, 24
 #: Records (or 50-byte strings) that a task gathers before it sorts them and sends them on.
@@ -181,6 +181,18 @@ def earlier_in_group(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def ages(doc: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the rows' documents: by doc_id, where rows of one doc_id tie. Rows without a doc_id
+    (row < 0) are documents of their own and come last, by row number. They compare within this call's rows only."""
+    tie = np.where(row < 0, -row, 0)
+    if not tie.any():
+        return doc
+    order = np.lexsort((tie, doc))
+    out = np.zeros(len(doc), np.int64)
+    out[order] = np.cumsum(np.append(False, (doc[order][1:] != doc[order][:-1]) | (tie[order][1:] != tie[order][:-1])))
+    return out
+
+
 def spans_of_starts(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, first, n) of runs of neighbouring starts."""
     order = np.lexsort((start, doc))
@@ -190,8 +202,10 @@ def spans_of_starts(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.
     return doc[new], start[new], (start[last] - start[new] + 1) if len(new) else start[:0]
 
 
-def _docs(batch: pa.RecordBatch, i: int) -> np.ndarray:
-    return batch.column(i).fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
+def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """doc_id and row number of the batch's texts."""
+    doc, row = (batch.column(i).fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+    return doc, row
 
 
 def suffix_messages(n_buckets: int, n_homes: int):
@@ -199,20 +213,20 @@ def suffix_messages(n_buckets: int, n_homes: int):
         held: list[tuple[np.ndarray, ...]] = []
 
         def send() -> Iterator[pa.RecordBatch]:
-            value, stretch, doc, first, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            value, stretch, doc, row, first, n = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
             key = value ^ stretch
-            known = earlier_in_group(key, doc)  # also in a smaller document of this task: settled, and never sent
-            yield from message(REMOVED, by_doc(doc[known], n_homes), [doc[known], first[known], n[known]])
-            value, stretch, doc, first, n = (c[~known] for c in (value, stretch, doc, first, n))
-            yield from message(COMPARE, by_hash(value, n_buckets), [value.view(np.int64), (stretch & np.uint64((1 << 48) - 1)).view(np.int64), doc, first, n])
+            known = earlier_in_group(key, ages(doc, row))  # also in a smaller document of this task: settled, and never sent
+            yield from message(REMOVED, by_doc(row[known], n_homes), [row[known], first[known], n[known]])
+            value, stretch, doc, row, first, n = (c[~known] for c in (value, stretch, doc, row, first, n))
+            yield from message(COMPARE, by_hash(value, n_buckets), [value.view(np.int64), (stretch & np.uint64((1 << 48) - 1)).view(np.int64), doc, row, first, n])
 
         for batch in batches:
-            doc = _docs(batch, 0)
-            data, ends = utf8(batch.column(1))
+            doc, row = _rows(batch)
+            data, ends = utf8(batch.column(2))
             for i, j in slices(ends):
                 value, stretch, of, first, n = sampled_suffixes(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
-                held.append((value, stretch, doc[i:j][of], first, n))
+                held.append((value, stretch, doc[i:j][of], row[i:j][of], first, n))
                 if sum(len(h[0]) for h in held) >= GATHER:
                     yield from send()
         if held:
@@ -227,15 +241,16 @@ def merge_scan(n_homes: int):
 
     def run(table: pa.Table) -> pa.Table:
         out = [pa.record_batch([c.combine_chunks() for c in table.filter(pc.equal(table["kind"], REMOVED)).select(SENT.names).columns], schema=SENT)]
-        value, stretch, doc, first, n = decode_all(table, COMPARE, 5)
+        value, stretch, doc, row, first, n = decode_all(table, COMPARE, 6)
         if len(value):
+            doc = ages(doc, row)
             order = np.argsort(doc, kind="stable")
-            rows = {"key": (mixed(value.view(np.uint64)) ^ stretch.view(np.uint64))[order], "value": value.view(np.uint64)[order], "doc": doc[order], "first": first[order], "n": n[order]}
+            rows = {"key": (mixed(value.view(np.uint64)) ^ stretch.view(np.uint64))[order], "value": value.view(np.uint64)[order], "doc": doc[order], "row": row[order], "first": first[order], "n": n[order]}
             family, found = SuffixIndexFamily(), np.zeros(len(doc), bool)
             cuts = np.unique([0, *np.searchsorted(rows["doc"], rows["doc"][np.linspace(0, len(doc) - 1, BATCHES + 1).astype(int)[1:-1]]), len(doc)])
             for a, b in zip(cuts, cuts[1:], strict=False):
                 found[a:b] = family.add({c: x[a:b] for c, x in rows.items()})
-            out += message(REMOVED, by_doc(rows["doc"][found], n_homes), [rows[c][found] for c in ("doc", "first", "n")])
+            out += message(REMOVED, by_doc(rows["row"][found], n_homes), [rows[c][found] for c in ("row", "first", "n")])
             kept = family.whole()
             order = np.lexsort((kept["key"], kept["value"]))
             v, k = kept["value"][order], kept["key"][order]
@@ -243,7 +258,7 @@ def merge_scan(n_homes: int):
             other = same & (k[1:] != k[:-1])
             group = np.cumsum(np.append(0, ~same))
             asked = order[np.bincount(group[1:][other], minlength=group[-1] + 1)[group] > 0]
-            out += message(ASKED, by_doc(kept["doc"][asked], n_homes), [kept[c][asked] for c in ("doc", "first", "n")])
+            out += message(ASKED, by_doc(kept["row"][asked], n_homes), [kept[c][asked] for c in ("row", "first", "n")])
         return pa.Table.from_batches(out, SENT)
 
     return run
@@ -256,18 +271,18 @@ def string_messages(n_buckets: int, n_homes: int):
         held: list[tuple[np.ndarray, ...]] = []
 
         def send() -> Iterator[pa.RecordBatch]:
-            value, doc, start = (np.concatenate(c) for c in zip(*held, strict=True))
+            value, doc, row, start = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            known = earlier_in_group(value, doc)
-            spans = spans_of_starts(doc[known], start[known])
+            known = earlier_in_group(value, ages(doc, row))
+            spans = spans_of_starts(row[known], start[known])
             yield from message(REMOVED, by_doc(spans[0], n_homes), list(spans))
-            value, doc, start = value[~known], doc[~known], start[~known]
-            yield from message(COMPARE, by_hash(value, n_buckets), [value.view(np.int64), doc, start])
+            value, doc, row, start = (c[~known] for c in (value, doc, row, start))
+            yield from message(COMPARE, by_hash(value, n_buckets), [value.view(np.int64), doc, row, start])
 
         for batch in batches:
-            doc = _docs(batch, 0)
-            data, ends = utf8(batch.column(1))
-            asked = batch.column(2).to_pylist()
+            doc, row = _rows(batch)
+            data, ends = utf8(batch.column(2))
+            asked = batch.column(3).to_pylist()
             for i, j in slices(ends):
                 sums = prefix_sums(data[ends[i] : ends[j]])
                 for k in range(i, j):
@@ -276,7 +291,7 @@ def string_messages(n_buckets: int, n_homes: int):
                     at = start + (ends[k] - ends[i])
                     inside = start + LENGTH <= ends[k + 1] - ends[k]
                     at, start = at[inside], start[inside]
-                    held.append((fingerprints(sums, at, at + LENGTH), np.full(len(at), doc[k]), start))
+                    held.append((fingerprints(sums, at, at + LENGTH), np.full(len(at), doc[k]), np.full(len(at), row[k]), start))
                 if sum(len(h[0]) for h in held) >= GATHER:
                     yield from send()
         if held:
@@ -288,38 +303,38 @@ def string_messages(n_buckets: int, n_homes: int):
 def compare_strings(n_homes: int):
     def run(table: pa.Table) -> pa.Table:
         out = [pa.record_batch([c.combine_chunks() for c in table.filter(pc.equal(table["kind"], REMOVED)).select(SENT.names).columns], schema=SENT)]
-        value, doc, start = decode_all(table, COMPARE, 3)
+        value, doc, row, start = decode_all(table, COMPARE, 4)
         if len(value):
-            found = earlier_in_group(value.view(np.uint64), doc)
-            spans = spans_of_starts(doc[found], start[found])
+            found = earlier_in_group(value.view(np.uint64), ages(doc, row))
+            spans = spans_of_starts(row[found], start[found])
             out += message(REMOVED, by_doc(spans[0], n_homes), list(spans))
         return pa.Table.from_batches(out, SENT)
 
     return run
 
 
-def spans_by_document(kind: int):
-    """A row for each document: its spans of string starts, merged where they touch."""
+def spans_by_row(kind: int):
+    """One record for each row number: its spans of string starts, merged where they touch."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, first, n = decode_all(table, kind, 3)
-        order = np.lexsort((first, doc))
-        doc, first, n = doc[order], first[order], n[order]
-        docs, rows = [], []
-        if len(doc):
+        row, first, n = decode_all(table, kind, 3)
+        order = np.lexsort((first, row))
+        row, first, n = row[order], first[order], n[order]
+        numbers, rows = [], []
+        if len(row):
             reach = first + n
-            new_doc = np.append(True, doc[1:] != doc[:-1])
-            # furthest end so far in the document: ends are moved up by a document number that no end can cross
-            lift = (np.cumsum(new_doc) - 1) * (int(reach.max()) + 1)
+            new_row = np.append(True, row[1:] != row[:-1])
+            # furthest end so far in the row's text: ends are moved up by a number of the row that no end can cross
+            lift = (np.cumsum(new_row) - 1) * (int(reach.max()) + 1)
             furthest = np.maximum.accumulate(reach + lift) - lift
-            new = np.flatnonzero(new_doc | np.append(True, first[1:] > furthest[:-1]))
-            last = np.append(new[1:], len(doc)) - 1
-            d, a, m = doc[new], first[new], furthest[last] - first[new]
+            new = np.flatnonzero(new_row | np.append(True, first[1:] > furthest[:-1]))
+            last = np.append(new[1:], len(row)) - 1
+            d, a, m = row[new], first[new], furthest[last] - first[new]
             cut = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
             for x, y in zip(cut, np.append(cut[1:], len(d)), strict=True):
-                docs.append(int(d[x]))
+                numbers.append(int(d[x]))
                 rows.append(encode(a[x:y], m[x:y]))
-        return pa.table([pa.array(docs, pa.int64()), pa.array(rows, pa.binary())], ["__doc", "__spans"])
+        return pa.table([pa.array(numbers, pa.int64()), pa.array(rows, pa.binary())], ["__row", "__spans"])
 
     return run
 
@@ -361,24 +376,26 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     A value that very many documents share is sent once from each task. Buckets grow in number with
     spark.sql.shuffle.partitions. Texts are compared by 64-bit fingerprints.
 
-    A null text is empty. Rows with the same doc_id count as one document: they don't match each other, and their
-    spans are joined by offset. A null doc_id is greater than all others. Other columns are not read. No rows: none.
+    A null text is empty. Rows with the same doc_id don't match each other, but each loses only what its own text
+    repeats. Rows without a doc_id are documents of their own, greater than all with one; among them the row number
+    decides, which is given once and stored with the texts. Other columns are not read. No rows: none.
     """
-    # suffixes and strings meet in n_buckets, spans of documents in n_homes: a bucket sends at most n_homes messages
+    # suffixes and strings meet in n_buckets, spans of rows in n_homes: a bucket sends at most n_homes messages
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_buckets, n_homes = 4 * parts, max(8, parts // 4)
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    key = F.coalesce("doc_id", F.lit(int(LAST)))
+    held = numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "numbered")
+    number = F.when(F.col("held.doc_id").isNull(), -1 - F.col("row")).otherwise(F.col("row"))  # < 0 where doc_id is null
+    own = held.select("held.doc_id", number.alias("row"), "held.text")
 
-    def per_document(rows: DataFrame, kind: int) -> DataFrame:
-        spans = stored(rows.where(F.col("kind") == kind).groupBy("bucket").applyInArrow(spans_by_document(kind), "__doc long, __spans binary"), "spans")
+    def per_row(rows: DataFrame, kind: int) -> DataFrame:
+        spans = stored(rows.where(F.col("kind") == kind).groupBy("bucket").applyInArrow(spans_by_row(kind), "__row long, __spans binary"), "spans")
         size = spans.agg(F.coalesce(F.sum(F.octet_length("__spans") + 24), F.lit(0))).first()[0]
         return F.broadcast(spans) if size <= broadcast_bytes else spans.hint("merge")
 
     found = stored(own.mapInArrow(suffix_messages(n_buckets, n_homes), SENT_SQL).groupBy("bucket").applyInArrow(merge_scan(n_homes), SENT_SQL), "suffixes")
-    asked = per_document(found, ASKED)
-    strings = own.join(asked, key == F.col("__doc")).select("doc_id", "text", "__spans").mapInArrow(string_messages(n_buckets, n_homes), SENT_SQL)
+    asked = per_row(found, ASKED)
+    strings = own.join(asked, F.col("row") == F.col("__row")).select("doc_id", "row", "text", "__spans").mapInArrow(string_messages(n_buckets, n_homes), SENT_SQL)
     more = strings.groupBy("bucket").applyInArrow(compare_strings(n_homes), SENT_SQL)
-    spans = per_document(found.where(F.col("kind") == REMOVED).unionByName(more), REMOVED)
-    rows = own.join(spans, key == F.col("__doc"), "left").select("doc_id", "text", "__spans")
+    spans = per_row(found.where(F.col("kind") == REMOVED).unionByName(more), REMOVED)
+    rows = own.join(spans, F.col("row") == F.col("__row"), "left").select("doc_id", "text", "__spans")
     return rows.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, runs array<long>")

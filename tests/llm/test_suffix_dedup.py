@@ -68,6 +68,15 @@ def test_empty_table_and_null_ids(spark):
     assert sorted((r.doc_id or -1, r.n_removed) for r in rows) == [(-1, 70), (7, 0), (7, 0)]
 
 
+def test_rows_without_id_or_with_one_id_are_judged_by_their_own_text(spark):
+    r = random.Random(4)
+    a, b, c, d = ("".join(r.choice("abcdefgh ") for _ in range(120)) for _ in range(4))
+    rows = [(1, a), (None, a + b), (None, c), (None, c), (2**63 - 1, d), (None, d), (5, a), (5, b + "!")]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    # of the two rows with c one stays whole; b of the null-id row is in the smaller document 5
+    assert sorted((-1 if x.doc_id is None else x.doc_id, x.n_bytes, x.n_removed) for x in got) == [(-1, 120, 0), (-1, 120, 120), (-1, 120, 120), (-1, 240, 240), (1, 120, 0), (5, 120, 120), (5, 121, 0), (2**63 - 1, 120, 0)]
+
+
 def test_family_is_geometric_and_finds_every_earlier_key():
     rng = np.random.default_rng(0)
     key, doc = rng.integers(0, 300, 1000).astype(np.uint64), np.sort(rng.integers(0, 200, 1000))
