@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradarium.llm.common import BROADCAST_ROWS, fingerprints, mixed, prefix_sums, semi_join, slices, stored, utf8
-from gradarium.llm.suffix_dedup import COMPARE, LAST, SENT, SENT_SQL, by_doc, by_hash, decode_all, message
+from gradarium.llm.common import BROADCAST_ROWS, fingerprints, mixed, numbered, prefix_sums, semi_join, slices, stored, utf8
+from gradarium.llm.suffix_dedup import COMPARE, SENT, SENT_SQL, by_doc, by_hash, decode_all, message
 
 #: N-grams that a task gathers before it sorts them and sends them on.
 GATHER = 2_000_000
@@ -65,26 +65,29 @@ def ngram_sets(data: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def _each(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc ids of a run of texts, text, n-gram) of a doc_id and a text column."""
+    """(row numbers of a run of texts, text, n-gram) of a number and a text column. From here on a document is a row."""
     for batch in batches:
-        doc = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         data, ends = utf8(batch.column(1))
         for i, j in slices(ends):
             yield doc[i:j], *ngram_sets(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i], n)
 
 
 def _signatures(n: int):
-    """Of each text the size of its set and two sums over it, equal for equal sets."""
+    """Of each text, with its row number and doc_id, the size of its set and two sums over it, equal for equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, of, gram in _each(batches, n):
-            size = np.bincount(of, minlength=len(doc))
-            sums = np.zeros((2, len(gram) + 1), np.uint64)
-            np.cumsum(mixed(gram), out=sums[0, 1:])
-            np.cumsum(mixed(gram ^ np.uint64(0xD6E8FEB86659FD93)), out=sums[1, 1:])
-            cut = np.append(0, np.cumsum(size))
-            a, b = ((s[cut[1:]] - s[cut[:-1]]).view(np.int64) for s in sums)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(size.astype(np.int64)), pa.array(a), pa.array(b)], ["doc", "n", "s1", "s2"])
+        for batch in batches:
+            at = 0
+            for doc, of, gram in _each([batch], n):
+                size = np.bincount(of, minlength=len(doc))
+                sums = np.zeros((2, len(gram) + 1), np.uint64)
+                np.cumsum(mixed(gram), out=sums[0, 1:])
+                np.cumsum(mixed(gram ^ np.uint64(0xD6E8FEB86659FD93)), out=sums[1, 1:])
+                cut = np.append(0, np.cumsum(size))
+                a, b = ((s[cut[1:]] - s[cut[:-1]]).view(np.int64) for s in sums)
+                yield pa.RecordBatch.from_arrays([pa.array(doc), batch.column(2).slice(at, len(doc)), pa.array(size.astype(np.int64)), pa.array(a), pa.array(b)], ["doc", "doc_id", "n", "s1", "s2"])
+                at += len(doc)
 
     return run
 
@@ -300,39 +303,27 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("doc", "label")
 
 
-def similarity_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id): documents link when their sets of n-word shingles have a Jaccard similarity
-    of num / den at least; component_id is the smallest doc_id that links reach.
-
-    1. Documents with equal sets form a class; its smallest doc_id stands for it from here on.
-    2. A class stays if enough of its n-grams are in another one for any partner to reach the threshold.
-    3. N-grams are ordered by document frequency, then fingerprint. Similar sets share one in their prefixes.
-    4. Each prefix n-gram names a pivot in each range of sizes; all sets with that n-gram are compared with it. Sets
-       that link to a pivot are in one component whatever else holds between them.
-    5. N-grams whose sets are still in several components give all pairs across components, and these are compared.
-       So large groups of near copies cost a comparison a member, and no link between components is lost.
-    Shingles are compared by 64-bit fingerprints, sets in step 1 by two 64-bit sums.
-
-    A text that is null or has no word has n_shingles 0 and links with nothing: component_id is its doc_id. A row may be
-    repeated; rows with one doc_id and different texts are not one document in any useful sense, and what they link to
-    is not defined. A null doc_id is greater than all others; rows without one count as one document. Other columns are not read. No rows: none.
-    """
-    spark = docs.sparkSession
-    # n-grams meet in n_buckets, what is found about documents in n_homes: a bucket sends at most n_homes messages
+def _linked(held: DataFrame, n: int, num: int, den: int, text: str, doc_id: str) -> DataFrame:
+    """(row, doc_id, n_shingles, least) of the rows of a table made by `numbered`; least: (no_id, doc_id, row) of the
+    smallest row that links reach, null for a row without a word."""
+    spark = held.sparkSession
+    # n-grams meet in n_buckets, what is found about rows in n_homes: a bucket sends at most n_homes messages
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_buckets, n_homes = 4 * parts, max(8, parts // 4)
-    own = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    signed = stored(own.mapInArrow(_signatures(n), "doc long, n long, s1 long, s2 long"), "signatures")
-    classes = stored(signed.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep")), "classes")
+    own = held.select(F.col("row").alias("doc"), F.col("held").getField(text).alias("text"), F.col("held").getField(doc_id).cast("long").alias("doc_id"))
+    signed = stored(own.mapInArrow(_signatures(n), "doc long, doc_id long, n long, s1 long, s2 long"), "signatures")
+    own = own.drop("doc_id")
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("doc").alias("row"))).alias("least")
+    classes = stored(signed.where("n > 0").groupBy("s1", "s2", "n").agg(smallest).withColumn("rep", F.col("least.row")), "classes")
 
     def buckets(rows: DataFrame, send, meet, home, schema: str, name: str) -> DataFrame:
         there = rows.mapInArrow(send, SENT_SQL).groupBy("bucket").applyInArrow(meet, SENT_SQL)
         return stored(there.groupBy("bucket").applyInArrow(home, schema), name)
 
     reps = classes.select(F.col("rep").alias("doc"))
-    rows = semi_join(own.withColumn("doc", F.coalesce("doc", F.lit(int(LAST)))), reps, "doc", reps.count())
+    rows = semi_join(own, reps, "doc", reps.count())
     able = buckets(rows, _coarse(n, n_buckets, n_homes), _count_shared(n_homes), _sum_shared(num, den), "doc long", "able")
-    rows = semi_join(own.withColumn("doc", F.coalesce("doc", F.lit(int(LAST)))), able, "doc", able.count())
+    rows = semi_join(own, able, "doc", able.count())
     sets = buckets(rows, _exact(n, n_buckets, n_homes), _frequencies(n_homes), _ordered(num, den), "doc long, n long, grams binary", "sets")
     prefixes = stored(sets.select("doc", "n", "grams").mapInArrow(_prefixes(num, den), "gram long, doc long, n long, at long"), "prefixes")
 
@@ -354,15 +345,42 @@ def similarity_components(docs: DataFrame, n: int = 4, num: int = 85, den: int =
     second = similar_pairs(across, sets, num, den)
     labels = components(first.unionByName(second)).withColumnRenamed("doc", "rep") if second.limit(1).count() else labels.withColumnRenamed("doc", "rep")
 
-    named = stored(classes.join(labels, "rep", "left").select("s1", "s2", F.col("n").alias("size"), F.coalesce("label", "rep").alias("label")), "named")
+    named = classes.join(labels, "rep", "left").select("s1", "s2", F.col("n").alias("size"), "least", "label")
+    named = stored(named, "named")
+    firsts = stored(named.where("label is not null").groupBy("label").agg(F.min("least").alias("first")), "firsts")
+    named = named.join(firsts, "label", "left").select("s1", "s2", "size", F.coalesce("first", "least").alias("least"))
     out = signed.join(named, (signed["s1"] == named["s1"]) & (signed["s2"] == named["s2"]) & (signed["n"] == named["size"]), "left")
-    back = lambda c: F.when(c != int(LAST), c)
-    return out.select(back(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("label", "doc")).alias("component_id"))
+    return out.select(F.col("doc").alias("row"), "doc_id", F.col("n").alias("n_shingles"), "least")
+
+
+def similarity_components(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id): documents link when their sets of n-word shingles have a Jaccard similarity
+    of num / den at least; component_id is the smallest doc_id that links reach.
+
+    1. Rows are numbered and stored once. Rows with equal sets form a class; the number of its smallest row stands for
+       it from here on.
+    2. A class stays if enough of its n-grams are in another one for any partner to reach the threshold.
+    3. N-grams are ordered by document frequency, then fingerprint. Similar sets share one in their prefixes.
+    4. Each prefix n-gram names a pivot in each range of sizes; all sets with that n-gram are compared with it. Sets
+       that link to a pivot are in one component whatever else holds between them.
+    5. N-grams whose sets are still in several components give all pairs across components, and these are compared.
+       So large groups of near copies cost a comparison a member, and no link between components is lost.
+    Shingles are compared by 64-bit fingerprints, sets in step 1 by two 64-bit sums.
+
+    A text that is null or has no word has n_shingles 0 and links with nothing: component_id is its doc_id. Each row is
+    a document of its own, also where doc_ids repeat or are null. A null doc_id is greater than all others, so
+    component_id is null where no row of a component has one. Other columns are not read. No rows: none.
+    """
+    held = numbered(docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id")), "numbered")
+    component = F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    return _linked(held, n, num, den, "text", "doc_id").select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without the documents that link to one with a smaller doc_id, directly or through others."""
-    found = similarity_components(docs, n, num, den, text, doc_id)
-    dropped = stored(found.where("doc_id != component_id").select(F.col("doc_id").alias("__dropped")).distinct(), "near_copies")
+    """docs with one row of each group that links, directly or through others: that with the smallest doc_id (null is
+    greater than all), and of several with it that with the smallest row number. Rows without a word all stay."""
+    held = numbered(docs, "numbered")
+    found = _linked(held, n, num, den, text, doc_id)
+    dropped = stored(found.where("row != least.row").select(F.col("row").alias("__dropped")), "near_copies")
     few = dropped.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(dropped) if few else dropped.hint("merge"), F.col(doc_id) == F.col("__dropped"), "left_anti")
+    return held.join(F.broadcast(dropped) if few else dropped.hint("merge"), F.col("row") == F.col("__dropped"), "left_anti").select("held.*")

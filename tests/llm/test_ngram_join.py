@@ -86,6 +86,22 @@ def test_one_of_each_group_stays(spark):
     assert {r.doc_id for r in out.collect()} == want and out.columns == ["doc_id", "text", "lang"]
 
 
+def test_rows_without_id_or_with_one_id_link_by_their_own_text(spark):
+    u, v, x = ([f"{c}{i}" for i in range(60)] for c in "uvx")
+    near = lambda w: " ".join([*w[:59], "end"])
+    t = " ".join
+    # 1 and 2 are each near a null-id row, 3 and 4 near a row with id 9; two null-id rows are near each other only
+    rows = [(1, t(u)), (2, t(v)), (None, near(u)), (None, near(v)), (None, t(x)), (None, near(x)), (None, t(x))]
+    y, z = ([f"{c}{i}" for i in range(60)] for c in "yz")
+    rows += [(3, t(y)), (4, t(z)), (9, near(y)), (9, near(z))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, -1 if r.component_id is None else r.component_id) for r in similarity_components(df).collect())
+    assert got == [(-1, -1), (-1, -1), (-1, -1), (-1, 1), (-1, 2), (1, 1), (2, 2), (3, 3), (4, 4), (9, 3), (9, 4)]
+    left = drop_near_copies(df, 4, 85, 100).collect()
+    assert sorted(r.doc_id for r in left if r.doc_id is not None) == [1, 2, 3, 4]
+    assert [r.text[:2] for r in left if r.doc_id is None] == ["x0"]
+
+
 def test_trie_counts_exactly():
     rng = np.random.default_rng(3)
     base = rng.permutation(500)[:200].astype(np.int64)
