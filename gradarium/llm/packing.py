@@ -52,8 +52,18 @@ _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa
 LATIN_WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
 
-def encoder(tokenizer_json: str) -> Callable[[str], bytes]:
-    """text -> its ids as unsigned little-endian 32-bit words."""
+def added_tokens_of(tokenizer_json: str) -> dict[str, int]:
+    """The tokens that the tokenizers library finds in a text before it cuts words, with their ids."""
+    with open(tokenizer_json, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens") or []
+    if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens with single_word, lstrip or rstrip are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
+def encoder(tokenizer_json: str, added_tokens: bool = False) -> Callable[[str], bytes]:
+    """text -> its ids as unsigned little-endian 32-bit words; added_tokens: the file's added tokens keep their ids, as
+    they do in the tokenizers library, else they are ordinary text."""
     encoding = load_encoding(tokenizer_json)
     split = re.compile(LATIN_WORDS).findall
 
@@ -75,7 +85,16 @@ def encoder(tokenizer_json: str) -> Callable[[str], bytes]:
             return np.array(encoding.encode_ordinary(text), "<u4").tobytes()
         return b"".join(map(words.__getitem__, split(text)))
 
-    return encode
+    added = {t: np.array([i], "<u4").tobytes() for t, i in added_tokens_of(tokenizer_json).items()} if added_tokens else {}
+    if not added:
+        return encode
+    cut_at = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
+
+    def encode_with_added(text: str) -> bytes:
+        parts = cut_at(text)
+        return b"".join(added[p] if k % 2 else encode(p) for k, p in enumerate(parts)) if len(parts) > 1 else encode(text)
+
+    return encode_with_added
 
 
 def cut(n: int, capacity: int = CAPACITY) -> Iterator[tuple[int, int]]:
@@ -86,11 +105,11 @@ def cut(n: int, capacity: int = CAPACITY) -> Iterator[tuple[int, int]]:
         yield start, capacity
 
 
-def pieces(docs: DataFrame, tokenizer_json: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_json: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, added_tokens: bool = False) -> DataFrame:
     """A row for each piece of each document, with a checksum of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_json), np.array([END_ID], "<u4").tobytes()
+        encode, end = encoder(tokenizer_json, added_tokens), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
             for i, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -246,16 +265,17 @@ def plan(counts: np.ndarray) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-def pack(docs: DataFrame, tokenizer_json: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_json: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, added_tokens: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): a row for each piece of each document.
 
     Pieces are tokenized once, into a stored table. The driver sees a histogram of their lengths (at most `capacity`
     rows) and plans from it; each piece then finds its place by its rank among the pieces of its length. Ranks are
     taken in slices of a hash, so that a frequent length meets no single task.
     A null text is an empty one: the end id alone. A null doc_id stays null. Repeated rows are documents of their
-    own. No rows give no rows. Other columns of docs are not read.
+    own. added_tokens: the tokenizer file's added tokens, as <|endoftext|>, are found in texts and keep their ids, which
+    is what the tokenizers library does by default; without it they are ordinary text. No rows give no rows. Other columns of docs are not read.
     """
-    cut_up = stored(pieces(docs, tokenizer_json, text, doc_id, capacity).withColumn("__slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(256))), "pieces")
+    cut_up = stored(pieces(docs, tokenizer_json, text, doc_id, capacity, added_tokens).withColumn("__slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(256))), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for n, c in cut_up.groupBy("length").count().collect():  # at most `capacity` rows
         counts[n] = c

@@ -149,6 +149,22 @@ def test_packing_is_an_exact_round_trip(spark):
     assert packing.pack(spark.createDataFrame([], EMPTY), TOKENIZER).count() == 0 and r
 
 
+def test_added_tokens_keep_their_ids_in_query_and_pipeline(spark, tmp_path):
+    import corpus_pipeline
+    from gradarium.llm.queries import QUERIES
+
+    end = "<|endoftext|>"
+    texts = [end, f"a{end}b  {end}\n{end}{end} it's", f"日本 {end} テスト", "<|endoftext |> <|endoftext|", "plain text", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    want = {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids.items()}
+    assert ids[0] == [50256, 2]
+    for out in (QUERIES["op4_best_fit_packing"](spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, df, "")):
+        assert {r.doc_id: (r.length, r.ids_crc32) for r in out.collect()} == want
+
+
 @given(st.text(max_size=60))
 @settings(max_examples=150, deadline=None)
 def test_ids_are_those_of_the_tokenizer(text):
