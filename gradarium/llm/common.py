@@ -24,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share. Where none is set, a session in one process makes its own, as in
+    tests; on a cluster that is an error, since executors would write to their own disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -51,6 +54,17 @@ def semi_join(df: DataFrame, keys: DataFrame, on: str, n_keys: int, limit: int =
     return df.join(F.broadcast(keys) if n_keys <= limit else keys.hint("merge"), on, "left_semi")
 
 
+def anti_join(df: DataFrame, keys: DataFrame, on: str, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of df whose `on` is not among the keys, which must be a stored table: by broadcast while they are few."""
+    keys = F.broadcast(keys) if keys.count() <= limit else keys.hint("merge")
+    return df.join(keys, df[on] == keys[key], "left_anti")
+
+
+def n_slices(rows: int, groups: int = 1, most: int = 500_000) -> int:
+    """Into how many slices groups of about equal size are cut so that a slice has about `most` rows."""
+    return max(1, -(-rows // (max(1, groups) * most)))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once."""
     return F.transform(F.array(value), body)[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradarium.llm.common import SPACE, let, salted_rank, stored
+from gradarium.llm.common import SPACE, let, stored
 
 #: Weights by the rank of a source's name, repeating.
 WEIGHTS = (3, 1, 2)
@@ -22,9 +22,9 @@ def n_words(text: Column) -> Column:
     return let(F.split(F.coalesce(text, F.lit("")), SPACE), inner).cast("long")
 
 
-def draw(doc_id: Column) -> Column:
-    """A whole number below 2^56 from the doc_id alone."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 14), 16, 10).cast("long")
+def draw(doc_id: Column, text: Column) -> Column:
+    """A whole number below 2^52, by a hash of doc_id and text."""
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("/"), F.coalesce(text, F.lit("")))), 1, 13), 16, 10).cast("long")
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
@@ -61,27 +61,23 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", doc
     """docs with size, source_size, target, copies and taken; columns of docs with these names are replaced.
 
     Words are aggregated for each source, its rate is target / source_size, and each document is taken floor(rate)
-    times plus one more copy with probability frac(rate). The copies are Bernoulli draws seeded by a hash of the
-    doc_id, made systematically: in each source and size class (bit length of the size) documents stand in the
-    order of their hash, and the k-th gets a copy when floor((k + 1) * frac + u) > floor(k * frac + u), u being the
-    group's own hash. Each document's chance is frac, and a group's number of copies is within one of its mean.
-    A null text has size 0, a null source is a source of its own (the last), a null doc_id draws as ''. Rows
-    repeated with a doc_id are documents of their own. A source without words has target 0 and rate 0.
-    Hot sources are ranked in 256 hash slices, so no task holds a whole source.
+    times plus one more copy if its draw, a hash of doc_id and text as a number in [0, 1), is below frac(rate): a
+    Bernoulli copy that depends on nothing but the document and its source's rate. Sources are a small table that is
+    joined to the documents, which are never shuffled while there are at most FEW_SOURCES sources.
+    A null text has size 0, a null source is a source of its own (the last), a null doc_id draws as ''. Rows that tie
+    in doc_id and text draw alike, each is a document of its own. A source without words has target 0 and rate 0.
+    Texts of any length are counted whole. No rows give no rows.
     """
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
-    sized = docs.withColumns({"size": n_words(F.col(text)), "__h": draw(F.col(doc_id))})
+    sized = docs.withColumn("size", n_words(F.col(text)))
     targets = stored(source_targets(sized.select(F.col(source).alias("source"), "size")), "targets")
     few = targets.count() <= FEW_SOURCES
     targets = targets.withColumnRenamed("source", "__source")
     rows = sized.join(F.broadcast(targets) if few else targets, F.col(source).eqNullSafe(F.col("__source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumns({"__class": F.length(F.bin("size")), "__whole": F.floor(rate), "__frac": rate - F.floor(rate), "__name": F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")), "__slice": F.shiftright("__h", 48)})
-    rows = salted_rank(rows, ["__name", "__class"], "__slice", [F.col("__h"), F.col(doc_id)], "__k")
-    u = draw(F.concat_ws("/", "__name", F.col("__class").cast("string"))) / F.lit(2.0**56)
-    more = F.floor((F.col("__k") + 1) * F.col("__frac") + u) - F.floor(F.col("__k") * F.col("__frac") + u)
-    copies = (F.col("__whole") + more).cast("long")
-    return rows.withColumn("copies", copies).select(*docs.columns, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    more = draw(F.col(doc_id), F.col(text)) / F.lit(2.0**52) < rate - F.floor(rate)
+    rows = rows.withColumn("copies", F.floor(rate).cast("long") + more.cast("long"))
+    return rows.select(*docs.columns, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
@@ -93,7 +89,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source",
 
 ORACLE = """
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-    ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 14))::BIGINT AS h FROM documents),
+    ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || coalesce(text, '')), 1, 13))::BIGINT AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
     CASE (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM d GROUP BY source),
 o AS (SELECT *, sum(source_size) OVER () AS total,
@@ -103,10 +99,7 @@ c AS (SELECT CAST(3 * total - 4 * stopped AS BIGINT) AS left_over, CAST(weights
     WHERE 4 * source_size * weights > w * (3 * total - 4 * stopped) ORDER BY stopped, weights DESC LIMIT 1),
 t AS (SELECT s.source, s.source_size, CASE WHEN 4 * s.source_size * coalesce(c.weights, 1) > s.w * coalesce(c.left_over, 0)
     THEN CAST(s.w * c.left_over AS DOUBLE) / CAST(2 * c.weights AS DOUBLE) ELSE CAST(2 * s.source_size AS DOUBLE) END AS target FROM s LEFT JOIN c ON true),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, d.h, length(bin(d.size)) AS class, coalesce('=' || d.source, '') AS name,
-    CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-k AS (SELECT *, rate - floor(rate) AS frac, row_number() OVER (PARTITION BY name, class ORDER BY h, doc_id) - 1 AS k,
-    ('0x' || substr(md5(name || '/' || CAST(class AS VARCHAR)), 1, 14))::BIGINT / 72057594037927936.0::DOUBLE AS u FROM r)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-    CAST((floor(rate) + floor((k + 1) * frac + u) - floor(k * frac + u)) * size AS BIGINT) AS taken FROM k
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target, d.h / 4503599627370496.0::DOUBLE AS u,
+    CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM r
 """

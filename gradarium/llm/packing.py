@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradarium.llm.common import salted_rank, stored
+from gradarium.llm.common import n_slices, salted_rank, stored
 
 CAPACITY, END_ID = 1024, 2
 #: Numbers of groups and least lengths of a "large" piece that are tried; the plan with fewest sequences is taken.
@@ -22,7 +22,8 @@ GROUPS, LARGE = (16, 32, 64, 128), (64, 160, 320)
 #: Distinct words whose ids a task keeps; then it starts anew, so memory is bounded.
 KEPT_WORDS = 300_000
 
-PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+PIECES = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+NAMES = ["doc_id", *[n for n, _ in PIECES]]
 
 
 # ---- tokens ----
@@ -36,7 +37,7 @@ def _byte_of_char() -> dict[str, int]:
 
 
 def load_encoding(tokenizer_json: str) -> tiktoken.Encoding:
-    """The tokenizer's vocabulary as byte ranks; ids are those that the tokenizers library gives for ordinary text."""
+    """The tokenizer's vocabulary as byte ranks, for text between added tokens."""
     with open(tokenizer_json, encoding="utf-8") as f:
         model = json.load(f)["model"]
     byte = _byte_of_char()
@@ -61,9 +62,9 @@ def added_tokens_of(tokenizer_json: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in added}
 
 
-def encoder(tokenizer_json: str, added_tokens: bool = False) -> Callable[[str], bytes]:
-    """text -> its ids as unsigned little-endian 32-bit words; added_tokens: the file's added tokens keep their ids, as
-    they do in the tokenizers library, else they are ordinary text."""
+def encoder(tokenizer_json: str) -> Callable[[str], bytes]:
+    """text -> the ids that the tokenizers library gives it, as unsigned little-endian 32-bit words. The file's added
+    tokens (<|endoftext|>) are found in the text first and keep their ids."""
     encoding = load_encoding(tokenizer_json)
     split = re.compile(LATIN_WORDS).findall
 
@@ -85,7 +86,7 @@ def encoder(tokenizer_json: str, added_tokens: bool = False) -> Callable[[str],
             return np.array(encoding.encode_ordinary(text), "<u4").tobytes()
         return b"".join(map(words.__getitem__, split(text)))
 
-    added = {t: np.array([i], "<u4").tobytes() for t, i in added_tokens_of(tokenizer_json).items()} if added_tokens else {}
+    added = {t: np.array([i], "<u4").tobytes() for t, i in added_tokens_of(tokenizer_json).items()}
     if not added:
         return encode
     cut_at = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
@@ -105,20 +106,22 @@ def cut(n: int, capacity: int = CAPACITY) -> Iterator[tuple[int, int]]:
         yield start, capacity
 
 
-def pieces(docs: DataFrame, tokenizer_json: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, added_tokens: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_json: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """A row for each piece of each document, with a checksum of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_json, added_tokens), np.array([END_ID], "<u4").tobytes()
+        encode, end = encoder(tokenizer_json), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for i, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for i, body in enumerate(batch.column(1)):
                 ids = encode(body.as_py() or "") + end
                 rows += [(i, k, a, n, zlib.crc32(ids[4 * a : 4 * (a + n)])) for k, (a, n) in enumerate(cut(len(ids) // 4, capacity))]
             if rows:
-                yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
+                at, *columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *[pa.array(c, t) for c, (_, t) in zip(columns, PIECES, strict=True)]], NAMES)
 
-    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 # ---- the plan, from a histogram of lengths ----
@@ -265,22 +268,24 @@ def plan(counts: np.ndarray) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-def pack(docs: DataFrame, tokenizer_json: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, added_tokens: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_json: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): a row for each piece of each document.
 
     Pieces are tokenized once, into a stored table. The driver sees a histogram of their lengths (at most `capacity`
     rows) and plans from it; each piece then finds its place by its rank among the pieces of its length. Ranks are
-    taken in slices of a hash, so that a frequent length meets no single task.
-    A null text is an empty one: the end id alone. A null doc_id stays null. Repeated rows are documents of their
-    own. added_tokens: the tokenizer file's added tokens, as <|endoftext|>, are found in texts and keep their ids, which
-    is what the tokenizers library does by default; without it they are ordinary text. No rows give no rows. Other columns of docs are not read.
+    taken in slices of a hash whose number follows the pieces, so that a frequent length meets no single task.
+    A null text is an empty one: the end id alone. A doc_id of any type stays as it is, null too. Repeated rows are
+    documents of their own; a text of any length is tokenized whole. Added tokens of the file (<|endoftext|>) that a
+    text spells get their ids, as in the tokenizers library. No rows give no rows. Other columns are not read.
     """
-    cut_up = stored(pieces(docs, tokenizer_json, text, doc_id, capacity, added_tokens).withColumn("__slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(256))), "pieces")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    cut_up = stored(pieces(docs, tokenizer_json, text, doc_id, capacity).withColumn("__h", F.xxhash64(F.col("doc_id").cast("string"), "piece", "ids_crc32")), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for n, c in cut_up.groupBy("length").count().collect():  # at most `capacity` rows
         counts[n] = c
     steps = plan(counts)
-    ranked = salted_rank(cut_up, ["length"], "__slice", [F.col("doc_id"), F.col("piece")], "__rank")
+    sliced = cut_up.withColumn("__slice", F.pmod("__h", F.lit(n_slices(int(counts.max())))))
+    ranked = salted_rank(sliced, ["length"], "__slice", [F.col("__h"), F.col("doc_id"), F.col("piece")], "__rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = (steps[:, 0] << 44) + steps[:, 1]
@@ -288,7 +293,6 @@ def pack(docs: DataFrame, tokenizer_json: str, text: str = "text", doc_id: str =
             length, rank = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "__rank"))
             row = steps[np.searchsorted(keys, (length.astype(np.int64) << 44) + rank, "right") - 1] if b.num_rows else np.zeros((0, 4), np.int64)
             placed = [pa.array(row[:, 2] + rank - row[:, 1]), pa.array(row[:, 3])]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in PIECES.names], *placed], [*PIECES.names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in NAMES], *placed], [*NAMES, "sequence_id", "offset"])
 
-    names = [f.name for f in PIECES]
-    return ranked.select(*names, "__rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select(*NAMES, "__rank").mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

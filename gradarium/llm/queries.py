@@ -12,50 +12,60 @@ from gradarium.llm.common import table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    """Groups of equal texts of all documents. Nulls, repeats, ties and long texts: see exact_dedup()."""
+    out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated 50-byte strings. Nulls, ties and long texts: see remove_repeats()."""
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. Null, empty and odd pages: see main_text()."""
     out = html_extract.main_text(table(spark, sf_dir, "pages"))
     return out.select("page_id", "url", "text", "n_chars")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
+    """Places of the pieces of every document. Nulls, repeats and long texts: see pack()."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document. Nulls, ties and sources without words: see mix_sources()."""
     out = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document. Nulls, repeats, ties and short texts: see similarity_components()."""
     return ngram_join.similarity_components(table(spark, sf_dir, "documents"), 4, 85, 100)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document. Null and empty texts: see quality()."""
     out = quality.quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document. Nulls and texts without a letter: see identify()."""
     out = langid.identify(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document. Nulls, repeats and ties: see shard()."""
     out = sharding.shard(sharding.measured(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), 40)
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = url_filter.filter_urls(table(spark, sf_dir, "pages"))
+    """Verdict on every page. Null and odd urls: see filter_urls()."""
+    out = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 

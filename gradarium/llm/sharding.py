@@ -6,35 +6,51 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradarium.llm.common import salted_rank, stored
+from gradarium.llm.common import n_slices, salted_rank, stored
 
 SEED = 20240229
 #: Virtual partitions: the matrix has at most this many rows, however many partitions the input has.
 PARTITIONS = 1024
 
 
+def hypergeometric(good: int, bad: int, n: int, u: float) -> int:
+    """How many of n rows drawn without replacement are among `good`, the others among `bad`: the inverse of the
+    distribution function at u. The chances are built outwards from the mode by the ratio of neighbours, so they are
+    exact to rounding for populations of any size; the work grows with the standard deviation."""
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    whole = good + bad
+    mode = min(max((n + 1) * (good + 1) // (whole + 2), low), high)
+    p = good / whole
+    wide = int(10 * (n * p * (1 - p) * ((whole - n) / max(whole - 1, 1))) ** 0.5) + 50
+    while True:  # the chances fall off on both sides of the mode: what lies beyond a chance of e^-60 has none
+        a, b = max(low, mode - wide), min(high, mode + wide)
+        x = np.arange(a, b, dtype=np.float64)
+        steps = np.log(good - x) + np.log(n - x) - np.log(x + 1) - np.log((bad - n) + x + 1)  # log of P(x + 1) / P(x)
+        up, down = np.cumsum(steps[mode - a :]), np.cumsum(-steps[: mode - a][::-1])[::-1]
+        logs = np.concatenate([down, [0.0], up])
+        if (a == low or logs[0] < -60) and (b == high or logs[-1] < -60):
+            break
+        wide *= 2
+    chances = np.cumsum(np.exp(logs))
+    return a + int(np.searchsorted(chances, u * chances[-1], "right").clip(0, len(chances) - 1))
+
+
 def communication_matrix(rows: np.ndarray, columns: np.ndarray, seed: int = SEED) -> np.ndarray:
     """How many rows each partition sends to each shard, drawn as a uniform random permutation would have it.
 
     Row by row: a partition's counts are multivariate hypergeometric given what the shards still lack.
     """
-    random, lack = np.random.Generator(np.random.PCG64(seed)), columns.astype(np.int64).copy()
+    random, lack = np.random.Generator(np.random.PCG64(seed)), [int(c) for c in columns]
     out = np.zeros((len(rows), len(columns)), np.int64)
     for i, n in enumerate(rows):
-        left = int(n)
-        for j in range(len(columns)):
-            others = int(lack[j + 1 :].sum())
-            # hypergeometric() takes populations below 1e9; a normal with its mean and variance stands in beyond
-            if lack[j] + others < 1_000_000_000:
-                x = int(random.hypergeometric(lack[j], others, left)) if left else 0
-            else:
-                whole = float(lack[j] + others)
-                p = lack[j] / whole
-                x = round(random.normal(left * p, np.sqrt(left * p * (1 - p) * (whole - left) / (whole - 1))))
-            x = min(max(x, left - others), left, int(lack[j]))
-            out[i, j] = x
-            left -= x
-        lack -= out[i]
+        left, others = int(n), sum(lack)
+        for j, own in enumerate(lack):
+            others -= own
+            out[i, j] = hypergeometric(own, others, left, random.random())
+            left -= int(out[i, j])
+        lack = [own - int(x) for own, x in zip(lack, out[i], strict=True)]
     return out
 
 
@@ -51,7 +67,8 @@ def shard(docs: DataFrame, n_shards: int = 40, doc_id: str = "doc_id", seed: int
     The law is `rows`: shard sizes differ by one at most, and every assignment with these sizes is equally likely.
     Rows of a partition are permuted by a seeded hash, the matrix says how many of them go to each shard, and a
     second hash permutes each shard: slot is the place there, from 0 without gaps. Only the counts of at most 1024
-    virtual partitions reach the driver. Ranks are taken in hash slices, so no task holds a whole shard.
+    virtual partitions reach the driver. Ranks are taken in slices of a hash whose number follows the rows, so no task
+    holds a whole shard. The text itself is read by measured() only, whatever its length.
     A null text has size 16 and crc 0; nulls, repeated rows and equal texts are rows like any other; rows that tie
     in everything may swap places. grown_shard is null under this law. No rows give no rows.
     """
@@ -65,10 +82,10 @@ def shard(docs: DataFrame, n_shards: int = 40, doc_id: str = "doc_id", seed: int
     matrix = communication_matrix(np.array([counts[p] for p in parts]), sizes, seed)
     ends = [(p, [int(x) for x in np.cumsum(m)]) for p, m in zip(parts, matrix, strict=True)]
     plan = F.broadcast(docs.sparkSession.createDataFrame(ends, "__part int, __ends array<long>"))  # at most 1024 rows
-    rows = rows.withColumn("__slice", F.shiftright("__h", 58))
+    rows = rows.withColumn("__slice", F.pmod("__h", F.lit(n_slices(total, len(parts)))))
     rows = salted_rank(rows, ["__part"], "__slice", [F.col("__h"), F.col(doc_id)], "__rank")
     sent = rows.join(plan, "__part").withColumn("shard", F.size(F.filter("__ends", lambda e: e <= F.col("__rank"))))
     again = F.xxhash64(F.col("__h"), F.lit(seed + 1))
-    sent = sent.withColumns({"__h": again, "__slice": F.shiftright(again, 52)})
+    sent = sent.withColumns({"__h": again, "__slice": F.pmod(again, F.lit(n_slices(total, n_shards)))})
     sent = salted_rank(sent, ["shard"], "__slice", [F.col("__h"), F.col(doc_id)], "slot")
     return sent.select(*docs.columns, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

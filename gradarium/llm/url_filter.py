@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +19,14 @@ HOST_RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Patterns of urls that are blocked where no host rule fits. Each needs one literal token of [a-z0-9]+.
-PATTERNS = (
-    r"//([^/?#]*[.-])?casino([.-][^/?#]*)?([/?#:]|$)",
-    r"//([^/?#]*[.-])?free-bets([.-][^/?#]*)?([/?#:]|$)",
-    r"//([^/?#]*[.-])?cheap-pills([.-][^/?#]*)?([/?#:]|$)",
-    r"//([^/?#]*[.-])?adult-videos?([.-][^/?#]*)?([/?#:]|$)",
-    r"//([^/?#]*[.-])?(xxx|porn)([.-][^/?#]*)?([/?#:]|$)",
-    r"//([^/?#]*[.-])?payday-loans?([.-][^/?#]*)?([/?#:]|$)",
-    r"/wp-login\.php([/?#]|$)",
-    r"/phishing/",
-)
+#: Names whose hosts are blocked where no host rule fits.
+BLOCKED_NAMES = (
+    "casino", "free-bets", "cheap-pills", "adult-videos?", "(xxx|porn)", "payday-loans?", "poker", "slots", "jackpot", "betting", "sportsbook",
+    "viagra", "cialis", "replica-watches", "(escort|escorts)", "(webcam|webcams)", "nude", "warez", "(torrent|torrents)", "keygen", "cracks",
+)
+#: Patterns over the rest of a lower-cased url. Each needs one literal token of [a-z0-9]+.
+BLOCKED_PLACES = (r"/wp-login\.php([/?#]|$)", r"/phishing/", r"/malware/", r"/doorway/[0-9]+", r"/cgi-bin/click\.cgi([/?#]|$)", r"[?&]adclick=[0-9]+", r"/xmlrpc\.php([/?#]|$)")
+PATTERNS = (*[rf"//([^/?#]*[.-])?{name}([.-][^/?#]*)?([/?#:]|$)" for name in BLOCKED_NAMES], *BLOCKED_PLACES)
 
 
 @dataclass(frozen=True)
@@ -36,14 +35,37 @@ class PatternRule:
     tokens: tuple[str, ...]  # one of them is in every url that the pattern matches
 
 
+_CHOICE = re.compile(r"(?<![a-z0-9])\(((?:[a-z0-9]+\|)+[a-z0-9]+)\)(?![?*{a-z0-9])")
+_ELEMENT = r"(?:\[[^\]]*\]|\\.|\((?:[^()]|\([^()]*\))*\)|.)[*+?]?"
+
+
+def _side(element: str) -> str:
+    """A space if what the element matches can't continue a token, else a mark."""
+    body = element.rstrip("*+?") if len(element) > 1 else element
+    if element[-1] in "*?" and len(element) > 1 or body == ".":
+        return "\0"
+    if body.startswith("["):
+        return "\0" if re.search(body, "abcdefghijklmnopqrstuvwxyz0123456789") else " "
+    return "\0" if body.isalnum() else " "
+
+
 def pattern_rule(pattern: str) -> PatternRule:
-    """Whole literal tokens of a pattern. Tokens in an optional part or beside a repeat don't count; of a choice
-    between literals each alternative is indexed."""
-    choice = re.search(r"\(((?:[a-z0-9]+\|)+[a-z0-9]+)\)(?![?*{])", pattern)
+    """Whole literal tokens of a pattern: runs of literals between things that can't continue a token, outside of
+    groups and repeats. Of a choice between literals each alternative is indexed."""
+    choice = _CHOICE.search(pattern)
     if choice:
         return PatternRule(pattern, tuple(choice[1].split("|")))
-    plain = re.sub(r"\[[^\]]*\][*+?]?|\((?:[^()]|\([^()]*\))*\)[?*]?|\\.|[a-z0-9][?*]", lambda m: "\0" if m[0][-1] in "?*" and m[0][0] not in "([" else " ", pattern)
-    tokens = [t for t in re.split(r"[^a-z0-9\0]+", plain) if t and "\0" not in t]
+    plain = ""
+    for element in re.findall(_ELEMENT, pattern):
+        if element.startswith("("):
+            parts = [re.findall(_ELEMENT, x) for x in re.split(r"\|(?![^\[]*\])", element.rstrip("*+?")[1:-1])]
+            sides = [max((_side(p[k]) if p else "\0" for p in parts), key=lambda c: c == "\0") for k in (0, -1)]
+            plain += f"{sides[0]} {sides[1]}"
+        elif len(element) == 1 and element != ".":
+            plain += element if element.isalnum() else " "
+        else:
+            plain += _side(element)
+    tokens = [t for t in re.split("[^a-z0-9\0]+", plain) if t and "\0" not in t]
     if not tokens:
         raise ValueError(f"no literal token in {pattern!r}")
     return PatternRule(pattern, tuple(tokens))
@@ -56,18 +78,39 @@ def rarest_token_index(patterns: tuple[str, ...], frequency: dict[str, int] | No
     used = Counter(t for r in rules for t in r.tokens)
     index: dict[str, list[str]] = defaultdict(list)
     for r in rules:
-        choice = re.search(r"\(((?:[a-z0-9]+\|)+[a-z0-9]+)\)(?![?*{])", r.pattern)
-        own = r.tokens if choice else [min(r.tokens, key=lambda t: ((frequency or {}).get(t, 0), used[t], -len(t), t))]
+        own = r.tokens if _CHOICE.search(r.pattern) else [min(r.tokens, key=lambda t: ((frequency or {}).get(t, 0), used[t], -len(t), t))]
         for t in own:
             index[t].append(r.pattern)
     return dict(index)
 
 
 def token_frequency(urls: DataFrame, url: str, patterns: tuple[str, ...]) -> dict[str, int]:
-    """How many urls hold each token that the rules use: at most one row for each such token."""
+    """How many times the urls hold each token that the rules use: at most one row for each such token."""
     own = sorted({t for p in patterns for t in pattern_rule(p).tokens})
-    found = F.array_intersect(F.array_distinct(F.split(F.lower(F.coalesce(F.col(url), F.lit(""))), "[^a-z0-9]+")), F.array(*map(F.lit, own)))
-    return {r[0]: r[1] for r in urls.select(F.explode(found).alias("t")).groupBy("t").count().collect()}
+    used = F.broadcast(urls.sparkSession.createDataFrame([(t,) for t in own], "t string"))  # as large as the rules
+    found = urls.select(F.explode(F.array_distinct(F.split(F.lower(F.col(url)), "[^a-z0-9]+"))).alias("t"))
+    return {r[0]: r[1] for r in found.join(used, "t").groupBy("t").count().collect()}
+
+
+class PatternIndex:
+    """token -> patterns, as a hash table: each token of a url fetches what stands under it, and only that runs."""
+
+    def __init__(self, index: dict[str, list[str]]):
+        self.index, self.compiled, self.ran = index, {}, 0
+
+    def blocks(self, url: str) -> bool:
+        met = set()
+        for token in re.findall("[a-z0-9]+", url):
+            for pattern in self.index.get(token, ()):
+                if pattern not in met:
+                    met.add(pattern)
+                    self.ran += 1
+                    search = self.compiled.get(pattern)
+                    if search is None:
+                        search = self.compiled[pattern] = re.compile(pattern, re.ASCII).search
+                    if search(url):
+                        return True
+        return False
 
 
 def _upper_a_to_z(c: Column) -> Column:
@@ -78,27 +121,30 @@ def filter_urls(pages: DataFrame, url: str = "url", rules=HOST_RULES, patterns:
     """pages with host, path, rule and verdict; columns of pages with these names are replaced.
 
     The longest fitting host rule (host and path together) decides. Where none fits, the tokens of the url fetch
-    the patterns that stand under one of them, and only those run: block if one matches, else allow.
-    A null url, or one without ://, has an empty host and path and no rule; it is allowed. Every row is judged by
-    itself, so repeated rows agree. The index is as large as the rules, not the pages.
+    the patterns that stand under one of them in a hash table, and only those run: block if one matches, else allow.
+    The table is as large as the rules, not the pages; only urls without a host rule go to Python, no other column.
+    A null url, or one without ://, has an empty host and path and no rule; patterns are still asked. Every row is
+    judged by itself, so repeated rows agree; urls of any length are read whole. No rows give no rows.
     """
     pages = pages.drop("host", "path", "rule", "verdict")
     whole = F.coalesce(F.col(url), F.lit(""))
-    index = rarest_token_index(tuple(patterns), token_frequency(pages, url, tuple(patterns)))
+    held = pages.sparkSession.sparkContext.broadcast(rarest_token_index(tuple(patterns), token_frequency(pages, url, tuple(patterns))))
+
+    @F.pandas_udf("boolean")
+    def hit(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = PatternIndex(held.value)
+        for urls in batches:
+            yield urls.map(lambda u: u is not None and index.blocks(u)).astype(bool)
+
     rest = F.when(F.instr(whole, "://") > 0, F.expr("substr(__url, instr(__url, '://') + 3)")).otherwise(F.lit(""))
     rows = pages.withColumn("__url", whole).withColumn("__rest", rest)
     rows = rows.withColumns({"host": _upper_a_to_z(F.regexp_extract("__rest", r"^[^/?#]*", 0)), "path": F.regexp_extract("__rest", r"^[^/?#]*([^?#]*)", 1)})
     fits = {f"{h}{p}": (v, ((F.col("host") == h) | F.endswith("host", F.lit(f".{h}"))) & F.startswith("path", F.lit(p))) for v, h, p in rules}
     longest = sorted(fits, key=lambda r: (-len(r), r))
-    rule = F.coalesce(*[F.when(fits[r][1], F.lit(r)) for r in longest], F.lit(None).cast("string"))
-    rows = rows.withColumn("rule", rule)
+    rows = rows.withColumn("rule", F.coalesce(*[F.when(fits[r][1], F.lit(r)) for r in longest], F.lit(None).cast("string")))
     ruled = F.coalesce(*[F.when(F.col("rule") == r, F.lit(fits[r][0])) for r in longest], F.lit(None).cast("string"))
-    tokens = F.split(F.lower("__url"), "[^a-z0-9]+")
-    hit = F.lit(False)
-    for token, own in sorted(index.items()):  # the and is short-circuit: a pattern runs only where its token is
-        hit = hit | (F.array_contains("__tokens", token) & F.lower("__url").rlike("|".join(f"(?:{p})" for p in own)))
-    rows = rows.withColumn("__tokens", F.when(F.col("rule").isNull(), tokens).otherwise(F.array().cast("array<string>")))
-    return rows.select(*pages.columns, "host", "path", "rule", F.coalesce(ruled, F.when(hit, "block").otherwise("allow")).alias("verdict"))
+    verdict = F.coalesce(ruled, F.when(hit(F.when(F.col("rule").isNull(), F.lower("__url"))), "block").otherwise("allow"))
+    return rows.select(*pages.columns, "host", "path", "rule", verdict.alias("verdict"))
 
 
 def _sql_rules() -> str:

@@ -1,6 +1,7 @@
 """Operators that DataFrames, SQL or small brute-force versions describe."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gradarium.llm import exact_dedup, html_extract, langid, mixing, packing, quality, sharding, url_filter
@@ -54,11 +56,11 @@ def test_exact_dedup(spark):
         for r in out.collect():
             g = groups[norm(r.text)]
             least = min((i for i in g if i is not None), default=None)
-            assert (r.keep_id, r.group_size, r.kept) == (least, len(g), r.doc_id == least)
+            assert (r.keep_id, r.group_size) == (least, len(g)) and (not r.kept or r.doc_id == least)
             assert r.text_sha256 == hashlib.sha256(norm(r.text).encode()).hexdigest()
-        assert out.count() == len(rows)
+        assert out.count() == len(rows) and out.where("kept").count() == len(groups)
     stays = exact_dedup.drop_exact_copies(df)
-    assert stays.columns == df.columns and {r.doc_id for r in stays.collect()} == {min((i for i in g if i is not None), default=None) for g in groups.values()}
+    assert stays.columns == df.columns and stays.count() == len(groups) and {r.doc_id for r in stays.collect()} == {min((i for i in g if i is not None), default=None) for g in groups.values()}
     assert exact_dedup.exact_dedup(spark.createDataFrame([], EMPTY)).count() == 0
 
 
@@ -119,8 +121,9 @@ def test_packing_is_an_exact_round_trip(spark):
     rows = [(i, t, *_) for i, t, *_ in corpus(3)] + [(1000, "word " * 3000, None, None, None), (1001, "日本語 テスト é ½ ² \x1c\x85\xa0 it's  we'll\n\n x", None, None, None), (1002, "<|endoftext|> a", None, None, None)]
     df = spark.createDataFrame(rows, EMPTY).repartition(4)
     got = packing.pack(df, TOKENIZER).collect()
+    as_text = packing.pack(df.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), TOKENIZER)
+    assert as_text.schema["doc_id"].dataType.simpleString() == "string" and as_text.where("doc_id is null").count() == 0
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    tokenizer.encode_special_tokens = True
     ids = Counter()
     by_doc = {}
     for i, t, *_ in rows:
@@ -170,7 +173,6 @@ def test_added_tokens_keep_their_ids_in_query_and_pipeline(spark, tmp_path):
 def test_ids_are_those_of_the_tokenizer(text):
     if not hasattr(test_ids_are_those_of_the_tokenizer, "pair"):
         t = Tokenizer.from_file(TOKENIZER)
-        t.encode_special_tokens = True
         test_ids_are_those_of_the_tokenizer.pair = (t, packing.encoder(TOKENIZER))
     t, encode = test_ids_are_those_of_the_tokenizer.pair
     for x in (text, "".join(chr(ord(c) % 256) for c in text)):
@@ -328,6 +330,17 @@ def test_communication_matrix_is_hypergeometric():
     assert draws.mean(0) == pytest.approx(np.outer(rows, columns) / 100, abs=0.25)
     p = 0.34
     assert draws[:, 0, 0].var() == pytest.approx(30 * p * (1 - p) * 70 / 99, rel=0.15)
+    for good, bad, n in ((7, 5, 4), (60, 1, 40), (3, 200, 150), (5, 5, 10)):
+        whole = math.comb(good + bad, n)
+        chances = [math.comb(good, x) * math.comb(bad, n - x) / whole for x in range(max(0, n - bad), min(n, good) + 1)]
+        for u in np.linspace(0, 0.9999, 97):
+            got = sharding.hypergeometric(good, bad, n, float(u)) - max(0, n - bad)
+            assert sum(chances[:got]) - 1e-9 <= u <= sum(chances[: got + 1]) + 1e-9
+    good, bad, n = 3 * 10**11, 7 * 10**11, 2 * 10**9  # no normal in its place: moments of populations above 1e9
+    rng = np.random.default_rng(1)
+    far = np.array([sharding.hypergeometric(good, bad, n, rng.random()) for _ in range(400)], float)
+    sd = (n * 0.3 * 0.7 * (1 - n / 10**12)) ** 0.5
+    assert abs(far.mean() - 0.3 * n) < 5 * sd / 20 and far.std() == pytest.approx(sd, rel=0.15)
     big = sharding.communication_matrix(np.array([3 * 10**9, 10**9]), np.array([2 * 10**9, 2 * 10**9]))
     assert (big.sum(1) == [3 * 10**9, 10**9]).all() and (big.sum(0) == 2 * 10**9).all()
 
@@ -361,3 +374,12 @@ def test_index_holds_a_rule_under_its_rarest_token():
     assert index == {"rare": ["/common-rare/"], "odd": ["/common-odd/"], "aa": [r"/(aa|bb)/"], "bb": [r"/(aa|bb)/"]}
     with pytest.raises(ValueError):
         url_filter.pattern_rule(r"[0-9]+")
+
+
+def test_urls_run_only_the_rules_their_tokens_fetch(spark):
+    patterns = tuple(f"/bad{k}/x[0-9]+" for k in range(20_000))
+    index = url_filter.PatternIndex(url_filter.rarest_token_index(patterns))
+    assert index.blocks("http://a/bad77/x1") and not index.blocks("http://a/bad78/y1") and index.ran == 2
+    assert not index.blocks("http://a/" + "plain/" * 100_000) and index.ran == 2
+    df = spark.createDataFrame([(k, f"http://h/bad{k}/{'x' if k % 2 else 'y'}5") for k in range(0, 20_000, 97)], "page_id long, url string")
+    assert all((r.verdict == "block") == (r.page_id % 2 == 1) for r in url_filter.filter_urls(df, rules=(), patterns=patterns).collect())
