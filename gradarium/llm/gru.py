@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 
@@ -9,75 +11,91 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(-1, keepdims=True))
+    return e / e.sum(-1, keepdims=True)
+
+
 class ByteGRU:
     """Each direction: z, r = sigmoid(E[byte] + h U), c = tanh(E[byte] + (r h) V), h' = z h + (1 - z) c.
     E is a table of 256 rows that embedding and input weights have been joined to. Both directions' states at a
-    position give its label probabilities."""
+    position give its label probabilities. The two directions run side by side: the backward one reads each row from
+    its end, so all parameters and states have a first axis of two."""
 
     def __init__(self, n_labels: int, hidden: int = 16, seed: int = 5):
         r = np.random.default_rng(seed)
         self.hidden = hidden
-        self.p = {"W": r.normal(0, 0.3, (2 * hidden, n_labels)), "b": np.zeros(n_labels)}
-        for d in "fb":
-            self.p |= {f"E{d}": r.normal(0, 0.3, (256, 3 * hidden)), f"U{d}": r.normal(0, 0.2, (hidden, 2 * hidden)), f"V{d}": r.normal(0, 0.2, (hidden, hidden)), f"a{d}": np.zeros(3 * hidden)}
+        self.p = {"W": r.normal(0, 0.3, (2 * hidden, n_labels)), "b": np.zeros(n_labels), "E": r.normal(0, 0.3, (2, 256, 3 * hidden)), "U": r.normal(0, 0.2, (2, hidden, 2 * hidden)), "V": r.normal(0, 0.2, (2, hidden, hidden))}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def _run(self, x: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """States (length, rows, hidden) of rows of bytes (rows, length), all of the same length."""
-        h, k = np.zeros((len(x), self.hidden), np.float32), self.hidden
-        table, u, v = self.p[f"E{d}"] + self.p[f"a{d}"], self.p[f"U{d}"], self.p[f"V{d}"]
-        states, trace = np.empty((x.shape[1], len(x), k), np.float32), []
-        for t in range(x.shape[1]) if d == "f" else range(x.shape[1] - 1, -1, -1):
-            e = table[x[:, t]]
-            zr = sigmoid(e[:, : 2 * k] + h @ u)
-            z, r = zr[:, :k], zr[:, k:]
-            c = np.tanh(e[:, 2 * k :] + (r * h) @ v)
-            new = z * h + (1 - z) * c
+    def _states(self, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+        """States (length, 2, rows, hidden) of bytes (2, rows, length) after each byte, from zero."""
+        k, (_, rows, length) = self.hidden, x.shape
+        table, u, v = self.p["E"].reshape(512, 3 * k), self.p["U"], self.p["V"]
+        at = x.transpose(2, 0, 1).astype(np.int64) + np.array([[0], [256]])
+        h = np.zeros((2, rows, k), table.dtype)
+        states, trace = np.empty((length, 2, rows, k), table.dtype), []
+        for t in range(length):
+            e = table.take(at[t], 0)
+            zr = sigmoid(e[:, :, : 2 * k] + h @ u)
+            z, r = zr[:, :, :k], zr[:, :, k:]
+            c = np.tanh(e[:, :, 2 * k :] + (r * h) @ v)
             if keep:
-                trace.append((t, h, z, r, c))
-            h = states[t] = new
+                trace.append((h, z, r, c))
+            h = states[t] = c + z * (h - c)
         return states, trace
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """(rows, length, labels)."""
-        s = np.concatenate([self._run(x, "f", False)[0], self._run(x, "b", False)[0]], 2)
-        logits = s @ self.p["W"] + self.p["b"]
-        e = np.exp(logits - logits.max(2, keepdims=True))
-        return (e / e.sum(2, keepdims=True)).transpose(1, 0, 2)
+    def sums(self, rows: list[np.ndarray], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """(rows, labels): the label probabilities of the positions from begin to end of each row of bytes, added up.
+        Rows of any lengths run together; what lies behind a row's end comes after all its positions."""
+        n, size = len(rows), np.array([len(r) for r in rows])
+        longest, k = int(size.max()), self.hidden
+        x = np.zeros((2, n, longest), np.uint8)
+        for i, r in enumerate(rows):
+            x[0, i, : len(r)] = r
+            x[1, i, : len(r)] = r[::-1]
+        s, _ = self._states(x)
+        place = np.arange(longest)[:, None]
+        back = (s[:, 1] @ self.p["W"][k:])[np.maximum(size - 1 - place, 0), np.arange(n)]
+        p = softmax(s[:, 0] @ self.p["W"][:k] + back + self.p["b"])
+        return np.einsum("tnl,tn->nl", p, ((place >= begin) & (place < end)).astype(p.dtype))
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross entropy of all positions, each labelled as its row, and its gradients."""
+        """Mean cross entropy of all positions of rows of equal length, each labelled as its row, and its gradients."""
         k, (rows, length) = self.hidden, x.shape
-        runs = {d: self._run(x, d, True) for d in "fb"}
-        s = np.concatenate([runs["f"][0], runs["b"][0]], 2)
-        logits = s @ self.p["W"] + self.p["b"]
-        e = np.exp(logits - logits.max(2, keepdims=True))
-        p = e / e.sum(2, keepdims=True)
+        both = np.stack([x, x[:, ::-1]])
+        states, trace = self._states(both, True)
+        s = np.concatenate([states[:, 0], states[::-1, 1]], 2)
+        p = softmax(s @ self.p["W"] + self.p["b"])
         at = (slice(None), np.arange(rows), y)
         loss = float(-np.log(np.maximum(p[at], 1e-12)).mean())
         p[at] -= 1
         p /= rows * length
         g = {"W": np.tensordot(s, p, ((0, 1), (0, 1))), "b": p.sum((0, 1))}
         back = p @ self.p["W"].T
-        for d, part in (("f", back[:, :, :k]), ("b", back[:, :, k:])):
-            u, v = self.p[f"U{d}"], self.p[f"V{d}"]
-            gu, gv, ge = np.zeros_like(u), np.zeros_like(v), np.zeros((256, 3 * k), np.float32)
-            dh = np.zeros((rows, k), np.float32)
-            for t, h, z, r, c in reversed(runs[d][1]):
-                dh = dh + part[t]
-                dc = dh * (1 - z) * (1 - c * c)
-                drh = dc @ v.T
-                dz = dh * (h - c) * z * (1 - z)
-                dr = drh * h * r * (1 - r)
-                dzr = np.concatenate([dz, dr], 1)
-                gv += (r * h).T @ dc
-                gu += h.T @ dzr
-                np.add.at(ge, x[:, t], np.concatenate([dzr, dc], 1))
-                dh = dh * z + drh * r + dzr @ u.T
-            g |= {f"U{d}": gu, f"V{d}": gv, f"E{d}": ge, f"a{d}": ge.sum(0)}
-        return loss, g
+        back = np.stack([back[:, :, :k], back[::-1, :, k:]], 1)
+        u, v = self.p["U"], self.p["V"]
+        gu, gv = np.zeros_like(u), np.zeros_like(v)
+        inputs = np.empty((length, 2, rows, 3 * k), u.dtype)
+        dh = np.zeros((2, rows, k), u.dtype)
+        for t in range(length - 1, -1, -1):
+            h, z, r, c = trace[t]
+            dh = dh + back[t]
+            dc = dh * (1 - z) * (1 - c * c)
+            drh = dc @ v.transpose(0, 2, 1)
+            dzr = np.concatenate([dh * (h - c) * z * (1 - z), drh * h * r * (1 - r)], 2)
+            gv += (r * h).transpose(0, 2, 1) @ dc
+            gu += h.transpose(0, 2, 1) @ dzr
+            inputs[t] = np.concatenate([dzr, dc], 2)
+            dh = dh * z + drh * r + dzr @ u.transpose(0, 2, 1)
+        ge = np.zeros((512, 3 * k), u.dtype)
+        byte = (both.transpose(2, 0, 1).astype(np.int64) + np.array([[0], [256]])).ravel()
+        order = np.argsort(byte, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(byte[order]) > 0))
+        ge[byte[order][first]] = np.add.reduceat(inputs.reshape(-1, 3 * k)[order], first)
+        return loss, g | {"U": gu, "V": gv, "E": ge.reshape(2, 256, 3 * k)}
 
-    def fit(self, batches, rate: float = 0.01) -> ByteGRU:
+    def fit(self, batches: Iterable[tuple[np.ndarray, np.ndarray]], rate: float = 0.01) -> ByteGRU:
         """batches: (bytes, labels), rows of equal length. Adam."""
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,26 +11,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradarium.llm.common import utf8
 from gradarium.llm.gru import ByteGRU
 
-#: The training sample: so many documents of each language (those of least hash), so many characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 250, 3000
-#: Training steps and rows of a step.
-STEPS, ROWS = 500, 512
-#: The network reads runs of letters; a longer run is read in parts of so many bytes.
-RUN = 24
-#: Distinct runs whose probabilities a task keeps; then it starts anew, so memory is bounded.
-KEPT_RUNS = 400_000
+#: The training sample: so many documents of each language (those of least hash), and so many places drawn from all of
+#: the text of each, at which so many characters are read.
+SAMPLE_DOCS, PLACES, PLACE_CHARS = 250, 24, 72
+#: Training: steps, rows of a step, bytes of a row.
+STEPS, ROWS, LENGTH = 400, 192, 64
+#: A longer text is read in windows of so many bytes; each also reads the bytes before and after it, whose labels
+#: belong to its neighbours, so that states at its edges know what surrounds it.
+WINDOW, CONTEXT = 1024, 64
+#: Bytes that run through the network at a time.
+TOGETHER = 400_000
 
-#: ASCII letters in lower case and all bytes of other characters stay; other ASCII is a space.
-LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-
-
-def runs(text: str) -> list[bytes]:
-    out = text.encode("utf-8", "replace").translate(LETTERS).split()
-    if any(len(w) > RUN for w in out):
-        out = [w[i : i + RUN] for w in out for i in range(0, len(w), RUN)]
-    return out
+LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -37,38 +33,42 @@ class LanguageModel:
     languages: list[str]
     network: ByteGRU
 
-    def sums(self, words: list[bytes]) -> np.ndarray:
-        """For each run of bytes the sum over its positions of their label probabilities."""
-        out = np.zeros((len(words), len(self.languages)), np.float32)
-        size = np.array([len(w) for w in words])
-        for n in np.unique(size):
-            at = np.flatnonzero(size == n)
-            for i in range(0, len(at), 8192):
-                part = at[i : i + 8192]
-                x = np.frombuffer(b"".join(words[k] for k in part), np.uint8).reshape(len(part), n)
-                out[part] = self.network.probabilities(x).sum(1)
+    def sums(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For each text (they lie one after the other in data) the sum of the label probabilities of all its bytes."""
+        out = np.zeros((len(ends) - 1, len(self.languages)))
+        pieces = []  # (text, first byte read, end of them, first own byte, end of them)
+        for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            pieces += [(i, max(a, s - CONTEXT), min(b, s + WINDOW + CONTEXT), s, min(b, s + WINDOW)) for s in range(a, b, WINDOW)]
+        pieces.sort(key=lambda p: p[2] - p[1])
+        at = len(pieces)
+        while at:  # the longest first; rows of a run are about as long as each other
+            first = max(0, at - max(1, TOGETHER // (pieces[at - 1][2] - pieces[at - 1][1])))
+            own = np.array(pieces[first:at])
+            sums = self.network.sums([data[a:b] for _, a, b, _, _ in pieces[first:at]], own[:, 3] - own[:, 1], own[:, 4] - own[:, 1])
+            np.add.at(out, own[:, 0], sums)
+            at = first
         return out
 
 
-def train(texts: list[tuple[str, str]], steps: int = STEPS, rows: int = ROWS, seed: int = 7) -> LanguageModel:
-    """From (language, text): steps draw a run length and a language by their frequency, then rows of that length."""
+def train(texts: list[tuple[str, str]], seed: int = 7) -> LanguageModel:
+    """From (language, text): a step draws rows of LENGTH bytes, first a language, then a text, then a place in it."""
     languages = sorted({lang for lang, _ in texts})
-    random, by_size = np.random.default_rng(seed), {}
-    for lang, text in texts:
-        for w in runs(text):
-            by_size.setdefault(len(w), {}).setdefault(languages.index(lang), []).append(w)
+    random = np.random.default_rng(seed)
+    by_label = [[np.frombuffer(t.encode("utf-8", "replace"), np.uint8) for lang, t in texts if lang == name and t] for name in languages]
+    labels = [k for k, own in enumerate(by_label) if own]
     network = ByteGRU(len(languages))
-    if not by_size:
+    if not labels:
         return LanguageModel(languages, network)
-    sizes = sorted(by_size)
-    weight = np.array([float(sum(map(len, by_size[n].values()))) * n for n in sizes]) ** 0.7
 
     def batches() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for n in random.choice(sizes, steps, p=weight / weight.sum()):
-            labels = sorted(by_size[int(n)])
-            y = random.choice(labels, rows)
-            words = [by_size[int(n)][k][random.integers(len(by_size[int(n)][k]))] for k in y]
-            yield np.frombuffer(b"".join(words), np.uint8).reshape(rows, int(n)), y
+        for _ in range(STEPS):
+            y = random.choice(labels, ROWS)
+            x = np.empty((ROWS, LENGTH), np.uint8)
+            for i, k in enumerate(y):
+                t = by_label[k][random.integers(len(by_label[k]))]
+                start = random.integers(max(1, len(t) - LENGTH + 1))
+                x[i] = np.resize(t[start:], LENGTH)  # a shorter text is repeated
+            yield x, y
 
     return LanguageModel(languages, network.fit(batches()))
 
@@ -78,50 +78,41 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, text: str, lang: str, doc_id: str) -> list[tuple[str, str]]:
-    """At most SAMPLE_DOCS documents of each language, by hash. Documents are first thinned by their hash to about four
-    times as many, whatever the size of the language, so the ranking below meets few rows."""
-    rows = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("h"))
+    """(language, characters at a place) of at most SAMPLE_DOCS documents of each language, by hash; the places are drawn by
+    hash from all of the text. Documents are first thinned by their hash to about four times as many, whatever the
+    size of the language, so the ranking below meets few rows."""
+    rows = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("h"))
     share = rows.groupBy("lang").agg((F.lit(4.0 * SAMPLE_DOCS) / F.count(F.lit(1))).alias("share"))  # a row a language
-    rows = rows.join(F.broadcast(share), "lang").where(F.shiftrightunsigned("h", 12) < F.col("share") * F.lit(2.0**52))
-    rows = rows.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("t"), "h")
+    rows = rows.join(share, "lang").where(F.shiftrightunsigned("h", 12) < F.col("share") * F.lit(2.0**52))
+    room = F.greatest(F.length("text") - PLACE_CHARS, F.lit(0)) + 1
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(PLACES)), lambda i: F.substring(F.col("text"), (F.pmod(F.xxhash64(F.col("h"), i), room) + 1).cast("int"), F.lit(PLACE_CHARS)))
+    rows = rows.select("lang", drawn.alias("t"), "h")
     first = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("k") <= SAMPLE_DOCS)
-    return sorted((r.lang, r.t) for r in first.select("lang", "t").collect())
-
-
-def score_texts(texts: list[str | None], model: LanguageModel, cache: dict, held: list[np.ndarray]) -> tuple[list[str], list[float]]:
-    """Languages and scores; cache and held keep the sums of runs that have been met."""
-    cut = [runs(t or "") for t in texts]
-    if len(cache) > KEPT_RUNS:
-        cache.clear()
-        held[:] = [np.zeros((0, len(model.languages)), np.float32)]
-    new = list({w for ws in cut for w in ws} - cache.keys())
-    if new:
-        cache.update(zip(new, range(len(held[0]), len(held[0]) + len(new)), strict=True))
-        held[0] = np.concatenate([held[0], model.sums(new)])
-    langs, scores = [], []
-    for t, ws in zip(texts, cut, strict=True):
-        positions = sum(map(len, ws))
-        letter = positions and (t.isascii() or any(map(str.isalpha, t)))
-        if not letter or not model.languages:
-            langs.append("und")
-            scores.append(0.0)
-            continue
-        at = np.fromiter(map(cache.__getitem__, ws), np.int64, len(ws))
-        mean = np.minimum(held[0][at].sum(0, dtype=np.float64) / positions, 1.0)
-        langs.append(model.languages[int(mean.argmax())])
-        scores.append(float(mean.max()))
+    return sorted((r.lang, t) for r in first.select("lang", "t").collect() for t in r.t)
+
+
+def score_texts(column: pa.Array, model: LanguageModel) -> tuple[list[str], list[float]]:
+    """Languages and scores of a column of texts."""
+    known = np.array([bool(model.languages and t and LETTER.search(t)) for t in column.to_pylist()], bool)
+    langs, scores = ["und"] * len(known), [0.0] * len(known)
+    if known.any():
+        data, ends = utf8(column.filter(pa.array(known)))
+        mean = np.minimum(model.sums(data, ends) / np.diff(ends)[:, None], 1.0)
+        for i, p in zip(np.flatnonzero(known).tolist(), mean, strict=True):
+            langs[i], scores[i] = model.languages[int(p.argmax())], float(p.max())
     return langs, scores
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", model: LanguageModel | None = None) -> DataFrame:
     """docs with held_out, lang_pred and score; columns of docs with these names are replaced.
 
-    A bidirectional GRU reads the bytes of each run of letters (ASCII lower-cased; digits, marks and spaces separate
-    runs; a run above 24 bytes is read in parts) and gives every position label probabilities; a document has the mean
-    over all its positions, its language is the likeliest and score that mean. Whole texts are read; a run is computed
-    once for each task. The network is trained on a bounded sample of documents whose crc32(doc_id) mod 3 is not 1.
+    A bidirectional GRU reads the UTF-8 bytes of each text, whatever they are, and gives every position label
+    probabilities; a document has their mean over all its bytes, its language is the likeliest and score that mean. A
+    text above WINDOW bytes is read in windows that see CONTEXT more bytes on both sides, so memory is bounded for a
+    text of any length and every byte is labelled once. The network is trained on a bounded sample of documents whose
+    crc32(doc_id) mod 3 is not 1, at places from all of their texts.
     A text that is null or has no letter is `und` with score 0, as is every text where nothing can be learned. Rows
-    are judged by themselves. A null doc_id counts as ''.
+    are judged by themselves, so repeated rows agree. A null doc_id counts as ''. No rows give no rows.
     """
     docs = docs.drop("held_out", "lang_pred", "score")
     trained = model or train(training_sample(docs, text, lang, doc_id))
@@ -131,12 +122,10 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     schema = rows.drop("__text").select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
-        held = [np.zeros((0, len(trained.languages)), np.float32)]
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                langs, scores = score_texts(part.column(part.num_columns - 1).to_pylist(), trained, cache, held)
+                langs, scores = score_texts(part.column(part.num_columns - 1), trained)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
     return rows.mapInArrow(run, schema)

@@ -1,8 +1,9 @@
-"""N-gram Jaccard join: globally ordered n-gram sets, candidates by prefix, overlaps counted along a trie."""
+"""N-gram Jaccard join: globally ordered n-gram sets, candidates below trie nodes, overlaps counted along a trie."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -11,15 +12,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradarium.llm.common import BROADCAST_ROWS, fingerprints, mixed, numbered, prefix_sums, semi_join, slices, stored, utf8
+from gradarium.llm.common import anti_join, mixed, numbered, semi_join, slices, stored, utf8
 from gradarium.llm.suffix_dedup import COMPARE, SENT, SENT_SQL, by_doc, by_hash, decode_all, message
 
 #: N-grams that a task gathers before it sorts them and sends them on.
 GATHER = 2_000_000
 #: Bits of an n-gram's fingerprint in the first, coarse count; equal ones there are a superset of equal n-grams.
 COARSE_BITS = 40
+#: N-grams that meet in one bucket, about: the number of buckets follows from the counted n-grams.
+BUCKET = 2_000_000
 #: Sets that meet one other set in one task; a set with more candidates is copied to several tasks.
 GROUP = 200
+#: Bytes that are read at a time, and the places in a word that have random numbers of their own in a table.
+PIECE, PLACES = 2_000_000, 64
 SIZE = 3
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -30,18 +35,60 @@ _SPACE[[32, *range(9, 14)]] = True
 # ---- sets ----
 
 
-def ngram_sets(data: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=4)
+def _numbers(seed: int) -> np.ndarray:
+    """A random number for each byte at each of PLACES places."""
+    return mixed(np.arange(PLACES * 256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+
+
+def word_values(data: np.ndarray, ends: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, text) of each word of texts that lie one after the other. A word is a run without white space,
+    A-Z lower-cased. Its hash sums up a random number for each pair of byte and place, so no word has a pattern that
+    another undoes. Bytes are read PIECE at a time, whatever the length of texts and words."""
+    numbers, sums, sizes, texts = _numbers(seed), [], [], []
+    inside = False
+    for lo in range(0, len(data), PIECE):
+        piece = _LOWER[data[lo : lo + PIECE]]
+        word = ~_SPACE[piece]
+        cut = np.zeros(len(piece) + 1, bool)
+        a, b = np.searchsorted(ends, [lo, lo + len(piece)])
+        cut[ends[a:b] - lo] = True
+        place = np.flatnonzero(word)
+        if not len(place):
+            inside = False
+            continue
+        first = word & ~np.append(False, word[:-1]) | word & cut[:-1]
+        goes_on = inside and word[0] and not cut[0]
+        first[0] |= word[0]
+        start = np.flatnonzero(first)
+        of = np.cumsum(first)[place] - 1
+        at = place - start[of]
+        if goes_on:
+            at[of == 0] += sizes[-1][-1]
+        own = numbers[(at % PLACES) * 256 + piece[place]]
+        far = at >= PLACES
+        if far.any():
+            own[far] = mixed(own[far] + (at[far] // PLACES).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        bounds = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        sum_, size = np.add.reduceat(own, bounds), np.diff(np.append(bounds, len(of)))
+        if goes_on:
+            sums[-1][-1:] += sum_[:1]
+            sizes[-1][-1:] += size[:1]
+            sum_, size, start = sum_[1:], size[1:], start[1:]
+        if len(sum_):
+            sums.append(sum_)
+            sizes.append(size)
+            texts.append(np.searchsorted(ends, start + lo, "right") - 1)
+        inside = bool(word[-1])
+    if not sums:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return mixed(np.concatenate(sums) + np.concatenate(sizes).astype(np.uint64)), np.concatenate(texts)
+
+
+def ngram_sets(data: np.ndarray, ends: np.ndarray, n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """(text, n-gram) of the distinct n-grams of each text, in this order, as 64-bit fingerprints. Texts lie one after
-    the other. Words are runs without white space, A-Z lower-cased; fewer than n words are one n-gram."""
-    data = _LOWER[data]
-    word = ~_SPACE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[ends] = True
-    before = np.append(False, word[:-1])[: len(word)] & ~edge[:-1]
-    after = np.append(word[1:], False)[: len(word)] & ~edge[1:]
-    start, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    value = fingerprints(prefix_sums(data), start, end)
-    text = np.searchsorted(ends, start, "right") - 1
+    the other; fewer than n words are one n-gram."""
+    value, text = word_values(data, ends, seed)
     count = np.bincount(text, minlength=len(ends) - 1)
     last = np.cumsum(count)
 
@@ -51,7 +98,7 @@ def ngram_sets(data: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray,
             h = mixed(h * np.uint64(0x9FB21C651E98DF25) + value[at + i])
         return h
 
-    whole = np.flatnonzero(np.arange(len(start)) + n <= last[text]) if len(start) else start
+    whole = np.flatnonzero(np.arange(len(value)) + n <= last[text]) if len(value) else np.zeros(0, np.int64)
     grams, of = [joined(whole, n)], [text[whole]]
     for k in range(1, n):
         few = np.flatnonzero(count == k)
@@ -74,20 +121,22 @@ def _each(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarra
 
 
 def _signatures(n: int):
-    """Of each text, with its row number and doc_id, the size of its set and two sums over it, equal for equal sets."""
+    """Of each text, with its row number and doc_id, the size of its set and two sums over it, equal for equal sets. The
+    sums are of two independent hashes of the n-grams: 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for doc, of, gram in _each([batch], n):
-                size = np.bincount(of, minlength=len(doc))
-                sums = np.zeros((2, len(gram) + 1), np.uint64)
-                np.cumsum(mixed(gram), out=sums[0, 1:])
-                np.cumsum(mixed(gram ^ np.uint64(0xD6E8FEB86659FD93)), out=sums[1, 1:])
-                cut = np.append(0, np.cumsum(size))
-                a, b = ((s[cut[1:]] - s[cut[:-1]]).view(np.int64) for s in sums)
-                yield pa.RecordBatch.from_arrays([pa.array(doc), batch.column(2).slice(at, len(doc)), pa.array(size.astype(np.int64)), pa.array(a), pa.array(b)], ["doc", "doc_id", "n", "s1", "s2"])
-                at += len(doc)
+            data, ends = utf8(batch.column(1))
+            for i, j in slices(ends):
+                part, at = data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
+                found = []
+                for seed in (1, 2):
+                    of, gram = ngram_sets(part, at, n, seed)
+                    size = np.bincount(of, minlength=j - i)
+                    sums = np.append(np.uint64(0), np.cumsum(mixed(gram)))
+                    cut = np.append(0, np.cumsum(size))
+                    found += [size.astype(np.int64), (sums[cut[1:]] - sums[cut[:-1]]).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), *map(pa.array, (found[0], found[1], found[3]))], ["doc", "doc_id", "n", "s1", "s2"])
 
     return run
 
@@ -235,34 +284,59 @@ def _prefixes(num: int, den: int):
 # ---- overlaps along a trie ----
 
 
-def trie_overlaps(pivot: np.ndarray, n_pivot: int, sets: list[tuple[int, np.ndarray]], num: int, den: int) -> np.ndarray:
-    """Which of the sets (size, ordered shared n-grams) are similar to the pivot.
+class Trie:
+    """Globally ordered sets of n-grams as a trie: sorted paths, from their most frequent n-gram on, and how long each
+    agrees with the one before it. A node is a range of sorted sets; its children begin where neighbours part."""
+
+    def __init__(self, sets: list[tuple[int, np.ndarray]]):
+        paths = [np.ascontiguousarray(g[::-1]) for _, g in sets]
+        self.order = sorted(range(len(sets)), key=lambda i: paths[i].tobytes())
+        self.paths = [paths[i] for i in self.order]
+        self.length = np.array([len(p) for p in self.paths])
+        self.size = np.array([sets[i][0] for i in self.order])
+        self.agree = np.zeros(len(sets), np.int64)
+        for i in range(1, len(sets)):
+            a, b = self.paths[i - 1], self.paths[i]
+            k = min(len(a), len(b))
+            differ = np.flatnonzero(a[:k] != b[:k])
+            self.agree[i] = differ[0] if len(differ) else k
+        self.cut = 0  # sets below the nodes where the last traversals turned back
+
+    def similar(self, pivot: np.ndarray, n_pivot: int, num: int, den: int) -> np.ndarray:
+        """Which sets are similar to the pivot. The overlap with the pivot is counted once for all sets below a node;
+        where it and the most that can follow miss the threshold for each of them, the whole subtree is left."""
+        pivot = np.sort(pivot)
+        out = np.zeros(len(self.paths), bool)
+        if not len(self.paths) or not len(pivot):
+            return out
+        stack = [(0, len(self.paths), 0, 0)]
+        while stack:
+            lo, hi, depth, overlap = stack.pop()
+            need = -(-num * (n_pivot + int(self.size[lo:hi].min())) // (num + den))
+            longest = int(self.length[lo:hi].max())
+            if overlap + min(longest - depth, len(pivot) - overlap) < need:
+                self.cut += hi - lo
+                continue
+            end = int(self.agree[lo + 1 : hi].min()) if hi - lo > 1 else len(self.paths[lo])
+            if end > depth:
+                edge = self.paths[lo][depth:end]
+                at = np.minimum(np.searchsorted(pivot, edge), len(pivot) - 1)
+                overlap += int((pivot[at] == edge).sum())
+                if overlap + min(longest - end, len(pivot) - overlap) < need:
+                    self.cut += hi - lo
+                    continue
+            while lo < hi and self.length[lo] == end:  # sets that end at this node come first
+                out[self.order[lo]] = den * overlap >= num * (n_pivot + int(self.size[lo]) - overlap)
+                lo += 1
+            if lo < hi:
+                starts = [lo, *(lo + 1 + np.flatnonzero(self.agree[lo + 1 : hi] == end)).tolist(), hi]
+                stack += [(a, b, end, overlap) for a, b in zip(starts, starts[1:], strict=False)]
+        return out
 
-    The sets, from their most frequent n-gram on, are sorted; neighbours share a path of the trie from its root as
-    far as they agree, and so the overlap with the pivot that is counted on it. A set is left as soon as the overlap
-    so far and all that remains of it can't reach the threshold.
-    """
-    pivot = np.sort(pivot)
-    paths = [np.ascontiguousarray(g[::-1]) for _, g in sets]
-    order = sorted(range(len(sets)), key=lambda i: paths[i].tobytes())
-    similar = np.zeros(len(sets), bool)
-    path, overlap, known = np.zeros(0, np.int64), np.zeros(1, np.int64), 0  # overlap[d] after d steps, d <= known
-    for i in order:
-        n, new = sets[i][0], paths[i]
-        k = min(len(path), len(new))
-        differ = np.flatnonzero(path[:k] != new[:k])
-        shared = min(int(differ[0]) if len(differ) else k, known)
-        need = -(-num * (n_pivot + n) // (num + den))
-        path, known, overlap = new, shared, overlap[: shared + 1]
-        if overlap[shared] + min(len(new) - shared, len(pivot) - overlap[shared]) < need:
-            continue
-        at = np.searchsorted(pivot, new[shared:])
-        hit = pivot[np.minimum(at, len(pivot) - 1)] == new[shared:]
-        overlap = np.concatenate([overlap, overlap[shared] + np.cumsum(hit)])
-        known = len(new)
-        both = int(overlap[known])
-        similar[i] = den * both >= num * (n_pivot + n - both)
-    return similar
+
+def trie_overlaps(pivot: np.ndarray, n_pivot: int, sets: list[tuple[int, np.ndarray]], num: int, den: int) -> np.ndarray:
+    """Which of the sets (size, ordered shared n-grams) are similar to the pivot."""
+    return Trie(sets).similar(pivot, n_pivot, num, den)
 
 
 def _verify(num: int, den: int):
@@ -303,25 +377,93 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("doc", "label")
 
 
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (doc, label) after more links (a, b): only the labels that these touch spread anew."""
+    by = lambda end: labels.select(F.col("doc").alias(end), F.col("label").alias(f"l{end}"))
+    ends = links.join(by("a"), "a", "left").join(by("b"), "b", "left")
+    ends = stored(ends.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")), "ends")
+    moved = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("doc").alias("label"), F.col("label").alias("to"))
+    all_ = labels.unionByName(ends.select(F.col("a").alias("doc"), F.col("la").alias("label"))).unionByName(ends.select(F.col("b").alias("doc"), F.col("lb").alias("label"))).distinct()
+    return stored(all_.join(moved, "label", "left").select("doc", F.coalesce("to", "label").alias("label")), "labels")
+
+
+def _below(num: int, den: int):
+    """Of each set at a trie node (the level-th common n-gram of it and a similar set stands at place `at`), the nodes
+    further down at level `to` that both can share: the to-th common n-gram is one of a few, since each that is passed
+    over is missed, and no set can miss more than its size less the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, range_, doc, label, n, at, level, to, raw in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                gram = np.frombuffer(raw, np.uint64)
+                alone = n - len(gram)
+                first = at + to - level
+                place = np.arange(first - alone, min(n + -num * n // den + to - alone, len(gram)))
+                k = len(place)
+                below = mixed(np.full(k, node, np.int64).view(np.uint64) * np.uint64(0x9FB21C651E98DF25) + gram[place]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(below), *[pa.array(np.full(k, x)) for x in (range_, doc, label, n)], pa.array(alone + place), pa.array(np.full(k, to)), pa.array(np.full(k, node))], ["node", "range", "doc", "label", "n", "at", "level", "above"])
+
+    return run
+
+
+def _open_nodes(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, k, most): nodes whose sets have several labels, with their number and the label of most."""
+    counts = rows.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("c"))
+    found = counts.groupBy(*by).agg(F.sum("c").alias("k"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("c", "label"))["label"].alias("most"))
+    return found.where("labels > 1").drop("labels")
+
+
+def candidates_below(rows: DataFrame, sets: DataFrame, num: int, den: int, width: float) -> DataFrame:
+    """Candidate pairs (a, b) with different labels among rows (node, range, doc, label, n, at, level): at the nodes
+    themselves, or, where more than GROUP sets with several labels stand at a node, at nodes further down the trie, a
+    quarter of the least overlap at a time, as long as that at least halves the pairs. Every similar pair stands
+    together at one node of each level, so none is lost whichever is taken. Sets at a node have sizes of two ranges."""
+    pairs = None
+    for quarter in (1, 2, 3, 4):
+        nodes = stored(_open_nodes(rows, ["node"]), "nodes")
+        here = stored(rows.join(nodes, "node"), "at_nodes")
+        least = F.ceil(F.lit(num) * F.floor(F.exp((F.col("range") - 1) * F.lit(width)) * F.lit(1 - 1e-9)) / F.lit(den))
+        to = F.greatest(F.col("level") + 1, F.floor(least * quarter / 4))
+        big, below = here.withColumn("to", to.cast("long")).where((F.col("k") > GROUP) & (F.col("to") <= least)), None
+        if quarter < 4 and big.limit(1).count():
+            down = big.join(sets.select("doc", "grams"), "doc").select("node", "range", "doc", "label", "n", "at", "level", "to", "grams")
+            below = stored(down.mapInArrow(_below(num, den), "node long, range long, doc long, label long, n long, at long, level long, above long"), "below")
+            less = _open_nodes(below, ["above", "node"]).groupBy("above").agg(F.sum(F.col("k") * (F.col("k") - 1)).alias("pairs"))
+            left = big.select("node", "k").distinct().join(less.withColumnRenamed("above", "node"), "node", "left")
+            better = stored(left.where(F.coalesce("pairs", F.lit(0)) * 2 <= F.col("k") * (F.col("k") - 1)).select("node"), "better")
+            here = here.join(better, "node", "left_anti")
+        x, y = here.where("label != most").alias("x"), here.alias("y")
+        # bounds for the case that the node is all that both have in common so far: sizes, and what can follow
+        fits = "x.label != y.label and (y.label = y.most or x.doc < y.doc) and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and ({num} + {den}) * (x.level + least(x.n - x.at, y.n - y.at) - 1) >= {num} * (x.n + y.n)".format(num=num, den=den)
+        own = x.join(y, F.col("x.node") == F.col("y.node")).where(fits).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
+        pairs = own if pairs is None else pairs.unionByName(own)
+        if below is None or not better.limit(1).count():
+            break
+        rows = stored(below.join(better.withColumnRenamed("node", "above"), "above").drop("above").distinct(), "rows_below")
+    return pairs
+
+
 def _linked(held: DataFrame, n: int, num: int, den: int, text: str, doc_id: str) -> DataFrame:
     """(row, doc_id, n_shingles, least) of the rows of a table made by `numbered`; least: (no_id, doc_id, row) of the
     smallest row that links reach, null for a row without a word."""
     spark = held.sparkSession
-    # n-grams meet in n_buckets, what is found about rows in n_homes: a bucket sends at most n_homes messages
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets, n_homes = 4 * parts, max(8, parts // 4)
-    own = held.select(F.col("row").alias("doc"), F.col("held").getField(text).alias("text"), F.col("held").getField(doc_id).cast("long").alias("doc_id"))
-    signed = stored(own.mapInArrow(_signatures(n), "doc long, doc_id long, n long, s1 long, s2 long"), "signatures")
+    own = held.select(F.col("row").alias("doc"), F.col("held").getField(text).alias("text"), F.col("held").getField(doc_id).alias("doc_id"))
+    kind = own.schema["doc_id"].dataType.simpleString()
+    signed = stored(own.mapInArrow(_signatures(n), f"doc long, doc_id {kind}, n long, s1 long, s2 long"), "signatures")
     own = own.drop("doc_id")
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("doc").alias("row"))).alias("least")
     classes = stored(signed.where("n > 0").groupBy("s1", "s2", "n").agg(smallest).withColumn("rep", F.col("least.row")), "classes")
+    n_reps, n_grams = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # n-grams meet in n_buckets, what is found about rows in n_homes: a bucket sends at most n_homes messages
+    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_grams // BUCKET)
+    n_homes = max(8, n_buckets // 4)
 
     def buckets(rows: DataFrame, send, meet, home, schema: str, name: str) -> DataFrame:
         there = rows.mapInArrow(send, SENT_SQL).groupBy("bucket").applyInArrow(meet, SENT_SQL)
         return stored(there.groupBy("bucket").applyInArrow(home, schema), name)
 
     reps = classes.select(F.col("rep").alias("doc"))
-    rows = semi_join(own, reps, "doc", reps.count())
+    rows = semi_join(own, reps, "doc", n_reps)
     able = buckets(rows, _coarse(n, n_buckets, n_homes), _count_shared(n_homes), _sum_shared(num, den), "doc long", "able")
     rows = semi_join(own, able, "doc", able.count())
     sets = buckets(rows, _exact(n, n_buckets, n_homes), _frequencies(n_homes), _ordered(num, den), "doc long, n long, grams binary", "sets")
@@ -334,16 +476,11 @@ def _linked(held: DataFrame, n: int, num: int, den: int, text: str, doc_id: str)
     first = similar_pairs(ranged.join(pivots, ["gram", "range"]).where("a < doc").select("a", F.col("doc").alias("b")), sets, num, den)
     labels = components(first)
 
-    labelled = stored(prefixes.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc")), "labelled")
-    largest = labelled.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("gram").agg(F.max(F.struct("k", "label")).alias("m"), F.count(F.lit(1)).alias("labels"))
-    largest = stored(largest.where("labels > 1").select("gram", F.col("m.label").alias("most")), "largest")
-    open_rows = stored(labelled.join(largest, "gram"), "open")
-    x, y = open_rows.where("label != most").drop("most").alias("x"), open_rows.alias("y")
-    # bounds for the case that this n-gram is the first that both have: sizes, and what can follow it
-    fits = "x.label != y.label and (y.label = y.most or x.doc < y.doc) and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and ({num} + {den}) * (1 + least(x.n - x.at, y.n - y.at) - 1) >= {num} * (x.n + y.n)".format(num=num, den=den)
-    across = x.join(y, F.col("x.gram") == F.col("y.gram")).where(fits).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
-    second = similar_pairs(across, sets, num, den)
-    labels = components(first.unionByName(second)).withColumnRenamed("doc", "rep") if second.limit(1).count() else labels.withColumnRenamed("doc", "rep")
+    # ranges of two similar sets differ by one at most, so they meet in the greater: each set stands in its own and the next
+    labelled = ranged.join(labels, "doc", "left").withColumn("range", F.explode(F.array("range", F.col("range") + 1)))
+    labelled = labelled.select(F.xxhash64("gram", "range").alias("node"), "range", "doc", F.coalesce("label", "doc").alias("label"), "n", "at", F.lit(1).cast("long").alias("level"))
+    second = similar_pairs(candidates_below(stored(labelled, "labelled"), sets, num, den, width), sets, num, den)
+    labels = (joined_labels(labels, second) if second.limit(1).count() else labels).withColumnRenamed("doc", "rep")
 
     named = classes.join(labels, "rep", "left").select("s1", "s2", F.col("n").alias("size"), "least", "label")
     named = stored(named, "named")
@@ -361,15 +498,19 @@ def similarity_components(docs: DataFrame, n: int = 4, num: int = 85, den: int =
        it from here on.
     2. A class stays if enough of its n-grams are in another one for any partner to reach the threshold.
     3. N-grams are ordered by document frequency, then fingerprint. Similar sets share one in their prefixes.
-    4. Each prefix n-gram names a pivot in each range of sizes; all sets with that n-gram are compared with it. Sets
+    4. Each prefix n-gram names a pivot in each range of sizes; all sets with that n-gram are put into a trie, which is
+       traversed with the pivot: overlaps are shared along it, subtrees that can't reach the threshold are left. Sets
        that link to a pivot are in one component whatever else holds between them.
-    5. N-grams whose sets are still in several components give all pairs across components, and these are compared.
+    5. N-grams whose sets are still in several components are nodes of the trie over all prefixes: pairs across
+       components are compared, and where many sets stand at a node, only those that also meet further down.
        So large groups of near copies cost a comparison a member, and no link between components is lost.
-    Shingles are compared by 64-bit fingerprints, sets in step 1 by two 64-bit sums.
+    Shingles are compared by 64-bit fingerprints (for a pair of sets of k shingles each, the chance that two that differ
+    agree is below k * k / 2^64), equal sets by 128 bits.
 
     A text that is null or has no word has n_shingles 0 and links with nothing: component_id is its doc_id. Each row is
-    a document of its own, also where doc_ids repeat or are null. A null doc_id is greater than all others, so
-    component_id is null where no row of a component has one. Other columns are not read. No rows: none.
+    a document of its own, also where doc_ids repeat or are null; doc_ids may be of any type with an order. A null
+    doc_id is greater than all others, so component_id is null where no row of a component has one. Texts and words of
+    any length are read in pieces. Other columns are not read. No rows: none.
     """
     held = numbered(docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id")), "numbered")
     component = F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
@@ -382,5 +523,4 @@ def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     held = numbered(docs, "numbered")
     found = _linked(held, n, num, den, text, doc_id)
     dropped = stored(found.where("row != least.row").select(F.col("row").alias("__dropped")), "near_copies")
-    few = dropped.count() <= BROADCAST_ROWS
-    return held.join(F.broadcast(dropped) if few else dropped.hint("merge"), F.col("row") == F.col("__dropped"), "left_anti").select("held.*")
+    return anti_join(held, dropped, "row", "__dropped").select("held.*")

@@ -13,7 +13,9 @@ from gradarium.llm.common import SPACE, SPACE_CHARS, let, stored
 
 SYMBOLS = "#*$%&|<>"
 #: Documents drawn at random: on them costs and selectivities are estimated. They change the order of rules only.
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 500
+#: How many times each cost is measured; the median counts.
+REPEATS = 3
 
 
 def words(text: Column) -> Column:
@@ -58,16 +60,17 @@ def lines(text: Column) -> Column:
 
 
 class Measures:
-    """Counts of a whole text, which must not be null; each is computed where it is used."""
+    """Counts of a whole text, which must not be null, and of its words, split once by the caller. Each is computed
+    where it is used."""
 
-    def __init__(self, text: Column):
-        self.text = text
+    def __init__(self, text: Column, w: Column | None = None):
+        self.text, self.w = text, w
 
     def n_words(self) -> Column:
-        return F.size(words(self.text)).cast("long")
+        return F.size(self.w).cast("long")
 
     def n_repeat_words(self) -> Column:
-        return let(words(self.text), repeated_words)
+        return repeated_words(self.w)
 
     def word_chars(self) -> Column:
         return (F.char_length(self.text) - removed(self.text, SPACE_CHARS)).cast("long")
@@ -75,30 +78,32 @@ class Measures:
     def n_symbols(self) -> Column:
         return removed(self.text, SYMBOLS)
 
-    def n_lines(self) -> Column:
-        return F.size(lines(self.text)).cast("long")
-
-    def n_dup_lines(self) -> Column:
-        return let(lines(self.text), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    def has_dup_lines(self) -> Column:
+        """More than half of the lines with a word are equal to an earlier one."""
+        return let(lines(self.text), lambda x: 2 * F.size(F.array_distinct(x)) < F.size(x))
 
     def n_shouts(self) -> Column:
         return (F.char_length(self.text) - F.char_length(F.replace(self.text, F.lit("!!")))).cast("long")
 
 
 class Counted(Measures):
-    """The same counts, read from columns that hold them."""
+    """The same where the counts that are asked for anyway stand in columns; the others are still computed in place."""
 
-    def __init__(self) -> None:
-        for name in ("n_words", "n_repeat_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_shouts"):
+    def __init__(self, text: Column):
+        super().__init__(text)
+        for name in ("n_words", "n_repeat_words", "word_chars", "n_symbols"):
             setattr(self, name, lambda name=name: F.col(f"__{name}"))
 
+    def has_dup_lines(self) -> Column:
+        return 2 * F.col("__n_dup_lines") > F.col("__n_lines")
+
 
 def counted(docs: DataFrame, text: Column) -> DataFrame:
     """docs with the columns that Counted reads."""
     m = Measures(text)
     by_word = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
     by_line = let(lines(text), lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
-    rows = docs.withColumns({"__w": by_word, "__l": by_line, "__word_chars": m.word_chars(), "__n_symbols": m.n_symbols(), "__n_shouts": m.n_shouts()})
+    rows = docs.withColumns({"__w": by_word, "__l": by_line, "__word_chars": m.word_chars(), "__n_symbols": m.n_symbols()})
     return rows.withColumns({"__n_words": F.col("__w.n_words"), "__n_repeat_words": F.col("__w.n_repeat_words"), "__n_lines": F.col("__l.n"), "__n_dup_lines": F.col("__l.dup")}).drop("__w", "__l")
 
 
@@ -115,62 +120,96 @@ RULES = (
     Rule("few_words", lambda m: m.n_words() < 50),
     Rule("repeated_words", lambda m: 100 * m.n_repeat_words() > 50 * m.n_words()),
     Rule("symbols", lambda m: 10 * m.n_symbols() > m.n_words()),
-    Rule("duplicate_lines", lambda m: 2 * m.n_dup_lines() > m.n_lines()),
+    Rule("duplicate_lines", lambda m: m.has_dup_lines()),
     Rule("long_words", lambda m: m.word_chars() > 12 * m.n_words()),
     Rule("short_words", lambda m: 2 * m.word_chars() < 5 * m.n_words()),
     Rule("shouts", lambda m: 3 * m.n_shouts() > 2 * m.n_words()),
 )
 
 
-def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected) on a sample, the greatest share rejected per second first."""
+def sampled(docs: DataFrame, text: str, sample_rows: int) -> DataFrame:
+    """(t, w): about sample_rows whole texts and their words, stored as one part, so that a job over it is one task."""
     body = F.coalesce(F.col(text), F.lit(""))
     share = min(1.0, 4.0 * sample_rows / max(1, docs.count()))  # thinned in place: the limit below meets few rows
-    sample = stored(docs.select(body.alias("t")).sample(False, share, seed=1).limit(sample_rows), "rule_sample")
-    n = max(1, sample.count())
-    found = []
-    for rule in rules:
-        began = time.perf_counter()
-        hits = sample.agg(F.coalesce(F.sum(rule.reject(Measures(F.col("t"))).cast("int")), F.lit(0))).first()[0]
-        found.append((rule, time.perf_counter() - began, hits / n))
-    return sorted(found, key=lambda x: (-x[2] / x[1], x[1]))
-
-
-def cascade(order: list[tuple[Rule, float, float]], measures: Measures) -> Column:
-    """Name of the first rule that rejects the text; null if none does.
-
-    The branches of a CASE run one after the other, so a rejected text meets no later rule. The order decides which
-    of several rejecting rules is named, never whether a text is rejected.
-    """
-    verdict = F.when(F.lit(False), F.lit(""))
+    texts = docs.select(body.alias("t")).sample(False, share, seed=1).limit(sample_rows)
+    return stored(texts.select("t", words(F.col("t")).alias("w")).coalesce(1), "rule_sample")
+
+
+def rule_costs(sample: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[float]:
+    """Seconds that each rule takes over the sample: the median of REPEATS runs less that of a job that only reads the
+    texts and words, after a run of each that doesn't count."""
+    m = Measures(F.col("t"), F.col("w"))
+    read = F.sum(F.octet_length("t") + F.size("w"))
+    jobs = [sample.agg(read), *[sample.agg(read, F.sum(r.reject(m).cast("int"))) for r in rules]]
+    took: list[list[float]] = [[] for _ in jobs]
+    for k in range(REPEATS + 1):
+        for job, seconds in zip(jobs, took, strict=True):
+            began = time.perf_counter()
+            job.collect()  # one row
+            if k:
+                seconds.append(time.perf_counter() - began)
+    median = [sorted(t)[len(t) // 2] for t in took]
+    return [max(t - median[0], 1e-4) for t in median[1:]]
+
+
+def rule_order(rejects: dict[tuple[bool, ...], int], costs: list[float]) -> list[tuple[int, int]]:
+    """(rule, texts it rejects of those that all rules before it let through): at each place the rule that rejects most
+    of the survivors per second, of equal ones the cheaper. rejects: how many texts each combination of rules rejects."""
+    left, order = set(range(len(costs))), []
+    while left:
+        hits = {k: sum(n for c, n in rejects.items() if c[k] and not any(c[j] for j, _ in order)) for k in left}
+        best = min(left, key=lambda k: (-hits[k] / costs[k], costs[k], k))
+        order.append((best, hits[best]))
+        left.remove(best)
+    return order
+
+
+def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, int]]:
+    """(rule, seconds, sampled texts rejected of those that are left) in the order of the cascade."""
+    sample = sampled(docs, text, sample_rows)
+    m = Measures(F.col("t"), F.col("w"))
+    counts = sample.groupBy(*[F.coalesce(r.reject(m), F.lit(False)).alias(f"r{k}") for k, r in enumerate(rules)]).count()
+    rejects = {tuple(r)[:-1]: r["count"] for r in counts.collect()}  # at most a row for each combination in the sample
+    costs = rule_costs(sample, rules)
+    return [(rules[k], costs[k], hits) for k, hits in rule_order(rejects, costs)]
+
+
+def rejected(order: list[tuple[Rule, float, int]], measures: Measures) -> Column:
+    """Whether a rule rejects the text. The branches of a CASE run one after the other, so a rejected text meets no later
+    rule. The order never decides whether a text is rejected."""
+    verdict = F.when(F.lit(False), F.lit(True))
     for rule, _, _ in order:
-        verdict = verdict.when(rule.reject(measures), F.lit(rule.name))
-    return verdict
+        verdict = verdict.when(rule.reject(measures), F.lit(True))
+    return verdict.otherwise(F.lit(False))
 
 
 def quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected_by and kept; columns
-    of docs with these names are replaced.
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept; columns of docs with
+    these names are replaced.
 
-    All counts are asked for here, so the cascade reads them; keep_good() computes a count only when its rule's turn
-    comes. A null or empty text has no words, fails the base rules and is not kept. Each row is judged by itself:
-    repeated rows agree, other columns may be null. No rows give no rows.
+    These counts are asked for here, so the cascade reads them where a rule needs one, and computes the others in its
+    turn; keep_good() computes every count only when its rule's turn comes. A null or empty text has no words, fails
+    the base rules and is not kept. Each row is judged by itself: repeated rows agree, other columns may be null, texts
+    of any length are read whole. No rows give no rows.
     """
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    new = [*counts, "base_failed", "rejected_by", "kept"]
+    new = [*counts, "base_failed", "kept"]
     docs = docs.drop(*new)
     order = ordered_rules(docs, rules, text)
-    rows = counted(docs, F.coalesce(F.col(text), F.lit("")))
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = counted(docs, body)
     rows = rows.withColumns({c: F.col(f"__{c}") for c in counts})
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = rows.withColumns({"base_failed": failed, "rejected_by": cascade(order, Counted())})
-    return rows.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).select(*docs.columns, *new)
+    kept = F.when(failed, F.lit(False)).otherwise(~rejected(order, Counted(body)))
+    return rows.withColumn("base_failed", failed).withColumn("kept", kept).select(*docs.columns, *new)
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that no rule rejects, with the columns of docs."""
+    """The rows that no rule rejects, with the columns of docs; nulls, repeats and long texts as in quality(). Words are
+    split once, everything else is computed only for the texts that are still left at its rule's turn."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.where(cascade(ordered_rules(docs, rules, text), Measures(body)).isNull())
+    order = ordered_rules(docs, rules, text)
+    return docs.where(~let(words(body), lambda w: rejected(order, Measures(body, w))))
 
 
 ORACLE = """

@@ -53,7 +53,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document. Nulls and texts without a letter: see identify()."""
-    out = langid.identify(table(spark, sf_dir, "documents"))
+    out = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 

@@ -102,6 +102,54 @@ def test_rows_without_id_or_with_one_id_link_by_their_own_text(spark):
     assert [r.text[:2] for r in left if r.doc_id is None] == ["x0"]
 
 
+def test_words_that_undo_polynomials_and_words_across_pieces(spark, monkeypatch):
+    t = "a"
+    while len(t) < 4096:
+        t += t.translate(str.maketrans("ab", "ba"))
+    docs = [(k, x) for k, x in enumerate([t[:1024], t[1024:2048], t[:2048], t[2048:], t, t.upper(), "b" + t, "a b", "ab"])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in similarity_components(df).collect()} == brute(docs, 4, 85, 100)
+    r = random.Random(1)
+    texts = ["".join(r.choice("aB é\n") for _ in range(r.randint(0, 400))) for _ in range(40)]
+    raw = [x.encode() for x in texts]
+    data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    whole = ngram_join.ngram_sets(data, ends, 2)
+    for size in (1, 7, 50):
+        monkeypatch.setattr(ngram_join, "PIECE", size)
+        assert all((a == b).all() for a, b in zip(whole, ngram_join.ngram_sets(data, ends, 2), strict=True))
+    assert np.bincount(whole[0], minlength=40).tolist() == [len(shingles(x, 2)) for x in texts]
+
+
+def test_boilerplate_makes_few_candidates(spark, monkeypatch):
+    """Rows that share passages of a pool in ever other choices stand at the same nodes: below them few still meet."""
+    r = random.Random(4)
+    pool = [[f"p{k}w{i}" for i in range(12)] for k in range(80)]
+    docs = [(k, " ".join(w for p in sorted(r.sample(range(80), 5)) for w in pool[p])) for k in range(1500)]
+    held = ngram_join.numbered(spark.createDataFrame(docs, "doc_id long, text string"), "t")
+    seen, old = [], ngram_join.candidates_below
+
+    def counted(*of):
+        out = ngram_join.stored(old(*of).distinct(), "pairs")
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "candidates_below", counted)
+    want = {i: c for i, (_, c) in brute(docs, 4, 85, 100).items()}
+    for group in (10**6, 20):
+        monkeypatch.setattr(ngram_join, "GROUP", group)
+        got = ngram_join._linked(held, 4, 85, 100, "text", "doc_id").collect()
+        assert {x.doc_id: x.least.doc_id for x in got} == want
+    assert seen[1] <= seen[0] < 1500 * 1499 / 2 / 100
+
+
+def test_trie_leaves_whole_subtrees():
+    far = np.arange(1000, 1200, dtype=np.int64)
+    sets = [(200, np.concatenate([np.arange(k, k + 20), far[20:]]).astype(np.int64)) for k in range(0, 400, 20)]
+    trie = ngram_join.Trie(sets)
+    assert not trie.similar(np.arange(200, dtype=np.int64), 200, 85, 100).any() and trie.cut == len(sets)
+    assert trie.similar(sets[3][1], 200, 85, 100).sum() == sum(len(np.intersect1d(s, sets[3][1])) >= 184 for _, s in sets)
+
+
 def test_trie_counts_exactly():
     rng = np.random.default_rng(3)
     base = rng.permutation(500)[:200].astype(np.int64)

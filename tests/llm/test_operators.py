@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -261,10 +262,21 @@ def test_quality_counts(spark):
     assert quality.quality(spark.createDataFrame([], EMPTY)).count() == 0
 
 
-def test_rules_are_ordered_by_rejection_per_cost(spark):
+def test_rules_are_ordered_by_rejection_per_cost_of_what_is_left(spark):
+    r = random.Random(3)
+    for _ in range(30):
+        n = r.randint(1, 5)
+        texts = [tuple(r.random() < 0.3 for _ in range(n)) for _ in range(50)]
+        costs = [r.choice([0.1, 0.2, 1.0]) for _ in range(n)]
+        order = quality.rule_order(Counter(texts), costs)
+        assert sorted(k for k, _ in order) == list(range(n))
+        for place, (k, hits) in enumerate(order):
+            left = [t for t in texts if not any(t[j] for j, _ in order[:place])]
+            gain = {j: sum(t[j] for t in left) / costs[j] for j, _ in order[place:]}
+            assert hits == sum(t[k] for t in left) and gain[k] == max(gain.values())
     order = quality.ordered_rules(spark.createDataFrame(corpus(6), EMPTY))
-    gain = [share / seconds for _, seconds, share in order]
-    assert gain == sorted(gain, reverse=True) and len(order) == len(quality.RULES)
+    assert {x.name for x, _, _ in order} == {x.name for x in quality.RULES} and all(c > 0 for _, c, _ in order)
+    assert len(quality.ordered_rules(spark.createDataFrame([], EMPTY))) == len(quality.RULES)
 
 
 # ---- 8 ----
@@ -276,7 +288,7 @@ def test_gradients():
     x, y = rng.integers(0, 256, (5, 6)).astype(np.uint8), rng.integers(0, 3, 5)
     _, g = net.gradients(x, y)
     for name, v in net.p.items():
-        at = tuple(int(rng.integers(0, n)) for n in v.shape) if name[0] != "E" else (int(x[2, 3]), 5)
+        at = tuple(int(rng.integers(0, n)) for n in v.shape) if name != "E" else (1, int(x[2, 3]), 5)
         old, e = v[at], 1e-3
         v[at] = old + e
         up = net.gradients(x, y)[0]
@@ -286,8 +298,49 @@ def test_gradients():
         assert g[name][at] == pytest.approx((up - down) / (2 * e), abs=2e-3)
 
 
+def slow_probabilities(net, data):
+    """One byte after the other, in plain loops over the definition."""
+    k, p = net.hidden, net.p
+    states = []
+    for d, row in ((0, data), (1, data[::-1])):
+        h, own = np.zeros(k), []
+        for b in row:
+            e = p["E"][d][b].astype(float)
+            zr = 1 / (1 + np.exp(-(e[: 2 * k] + h @ p["U"][d])))
+            c = np.tanh(e[2 * k :] + (zr[k:] * h) @ p["V"][d])
+            h = zr[:k] * h + (1 - zr[:k]) * c
+            own.append(h)
+        states.append(own if d == 0 else own[::-1])
+    logits = np.concatenate([np.array(states[0]), np.array(states[1])], 1) @ p["W"] + p["b"]
+    e = np.exp(logits - logits.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def slow_document(net, data):
+    """Windows of the definition, each with what surrounds it, one after the other."""
+    own = []
+    for s in range(0, len(data), langid.WINDOW):
+        a, e = max(0, s - langid.CONTEXT), min(len(data), s + langid.WINDOW)
+        own.append(slow_probabilities(net, data[a : e + langid.CONTEXT])[s - a : e - a])
+    return np.concatenate(own).mean(0)
+
+
+def test_every_byte_is_labelled_as_by_a_slow_pass():
+    r = random.Random(2)
+    texts = [("aa", "ka lo mi ren " * 20), ("bb", "sch ung ver ü " * 20)]
+    model = langid.train(texts)
+    docs = ["k", "ka lo 12 !!", "ver ü " * 100, "x" * 1024, "".join(r.choice(["ka lo ", "ung ü ", "7"]) for _ in range(900)), "ka " * 3000]
+    langs, scores = langid.score_texts(pa.array([*docs, None, "", "12 !"]), model)
+    assert langs[-3:] == ["und"] * 3
+    for t, lang, score in zip(docs, langs, scores, strict=False):
+        want = slow_document(model.network, t.encode())
+        assert score == pytest.approx(want.max(), abs=1e-5) and lang == model.languages[int(want.argmax())]
+    whole = slow_probabilities(model.network, docs[-1].encode()).mean(0)  # one language: windows and an unbroken pass agree
+    assert scores[5] == pytest.approx(whole.max(), abs=2e-3)
+
+
 def test_language_id(spark, monkeypatch):
-    monkeypatch.setattr(langid, "STEPS", 120)
+    monkeypatch.setattr(langid, "STEPS", 150)
     r = random.Random(3)
     syllables = {"aa": "ka lo mi ren".split(), "bb": "sch ung ver ü".split()}
     rows = [(i, " ".join("".join(r.choices(syllables[k], k=r.randint(1, 4))) for _ in range(r.randint(3, 80))), k) for i in range(300) for k in [r.choice(["aa", "bb"])]]
