@@ -2,9 +2,9 @@
 
 A suffix is sampled where the fingerprint of its first 24 bytes is the least in some 50-byte string (a minimizer), so
 each 50-byte string of any document holds exactly one sampled value, and equal strings hold equal ones. About one
-suffix in 14 is sampled. Suffix arrays order the sampled suffixes by that fingerprint and then by the fingerprint of
-the whole stretch of text whose 50-byte strings share it; equality is all that is asked, so order by fingerprint
-serves as order by bytes would, at 8 bytes a suffix.
+suffix in 14 is sampled. Neighbouring strings with the same value form a stretch of at most 76 bytes. Stretches whose
+value occurs in one document only can't repeat; the others meet in buckets as bytes, where suffix arrays in the order
+of bytes find the long matches. Fingerprints choose what is compared; what is removed is decided by bytes alone.
 """
 
 from __future__ import annotations
@@ -18,23 +18,34 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from gradarium.llm.common import fingerprints, mixed, numbered, prefix_sums, slices, stored, utf8
 
 LENGTH, ANCHOR = 50, 24
-#: Records (or 50-byte strings) that a task gathers before it sorts them and sends them on.
-GATHER = 2_000_000
+#: Neighbouring strings that can share a sampled place, and the bytes that they cover.
+STARTS = LENGTH - ANCHOR + 1
+WIDTH = STARTS - 1 + LENGTH
+#: Records that a task gathers before it sorts them and sends them on: places, and stretches with their bytes.
+GATHER, GATHER_STRETCHES = 2_000_000, 400_000
+#: Bytes of text whose sampled places meet in one bucket, and stretches that do, about: numbers of buckets follow from
+#: what is counted.
+BUCKET_BYTES, BUCKET_STRETCHES = 32_000_000, 400_000
+#: A value in more stretches than this, and than a millionth of all, is hot: its strings meet by their own hash.
+HOT = 50_000
 #: Batches in which a bucket's suffixes enter its index family.
 BATCHES = 8
 #: Bytes of spans that may be broadcast to the documents; beyond it the join shuffles.
 BROADCAST_BYTES = 64_000_000
 #: Stands for a null doc_id, which is greater than any other.
 LAST = np.iinfo(np.int64).max
+#: Bytes of a text that are read at a time.
+PIECE = 1_000_000
 
 SENT = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("rows", pa.binary())])
 SENT_SQL = "kind int, bucket int, rows binary"
-#: Kinds of messages: suffixes or strings to compare; spans of removed strings; spans whose strings must be compared.
-COMPARE, REMOVED, ASKED = 0, 1, 2
+#: Kinds of messages: what is to be compared; spans of removed strings; stretches to be compared; hot values.
+COMPARE, REMOVED, ASKED, HOT_VALUES = 0, 1, 2, 3
 
 
 # ---- columns of whole numbers as bytes ----
@@ -82,6 +93,11 @@ def message(kind: int, bucket: np.ndarray, columns: list[np.ndarray]) -> Iterato
     yield pa.record_batch([pa.array(np.full(len(start), kind, np.int32)), pa.array(bucket[start].astype(np.int32)), pa.array(rows, pa.binary())], schema=SENT)
 
 
+def pass_on(table: pa.Table, kind: int) -> list[pa.RecordBatch]:
+    rows = table.filter(pc.equal(table["kind"], kind)).select(SENT.names)
+    return [pa.record_batch([c.combine_chunks() for c in rows.columns], schema=SENT)]
+
+
 def by_hash(value: np.ndarray, n: int) -> np.ndarray:
     return (((value.view(np.uint64) >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
@@ -90,7 +106,7 @@ def by_doc(doc: np.ndarray, n: int) -> np.ndarray:
     return by_hash(mixed(doc.view(np.uint64)), n)
 
 
-# ---- sampled suffixes ----
+# ---- stretches of strings that share a sampled suffix ----
 
 
 def least_in_windows(x: np.ndarray, width: int) -> np.ndarray:
@@ -104,81 +120,136 @@ def least_in_windows(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def sampled_suffixes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For texts that lie one after the other: (value, stretch, text, first, n) of each run of neighbouring 50-byte
-    strings with the same least fingerprint; `first` counts from the text's begin, `stretch` is a fingerprint of all
-    the bytes that these n strings cover."""
-    n = len(data)
+def segments(ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(i, j, a, b): bytes a to b hold the texts i to j - 1, or a part of the long text i. Parts overlap so that every
+    50-byte string starts in exactly one of them and lies in it."""
+    for i, j in slices(ends, PIECE):
+        if ends[j] - ends[i] <= PIECE + LENGTH:
+            yield i, j, int(ends[i]), int(ends[j])
+        else:
+            for a in range(int(ends[i]), int(ends[j]) - LENGTH + 1, PIECE):
+                yield i, j, a, min(int(ends[j]), a + PIECE + LENGTH - 1)
+
+
+def anchors(data: np.ndarray) -> np.ndarray:
+    """The fingerprint of the 24 bytes from each place on."""
+    place = np.arange(max(0, len(data) - ANCHOR + 1))
+    return fingerprints(prefix_sums(data), place, place + ANCHOR)
+
+
+def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For texts that lie one after the other: (value, text, first, n) of each stretch of n neighbouring 50-byte strings
+    with the same least fingerprint; `first` counts from data's begin. A longer run of the same value is cut."""
+    n, none = len(data), (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
     if n < LENGTH:
-        return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
-    sums = prefix_sums(data)
-    place = np.arange(n - ANCHOR + 1)
-    value = fingerprints(sums, place, place + ANCHOR)
-    least = least_in_windows(value, LENGTH - ANCHOR + 1)[: n - LENGTH + 1]
+        return none
+    least = least_in_windows(anchors(data), STARTS)[: n - LENGTH + 1]
     size = np.diff(ends)
     room = np.repeat(np.maximum(ends[1:] - LENGTH, ends[:-1] - 1), size)[: n - LENGTH + 1]  # last start in the text
     text = np.repeat(np.arange(len(size)), size)[: n - LENGTH + 1]
     start = np.flatnonzero(np.arange(n - LENGTH + 1) <= room)
     if not len(start):
-        return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+        return none
     own, of = least[start], text[start]
     new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (of[1:] != of[:-1])))
-    first, count = start[new], np.diff(np.append(new, len(start)))
-    stretch = fingerprints(sums, first, first + count - 1 + LENGTH)
-    return mixed(own[new] ^ np.uint64(0x5851F42D4C957F2D)), stretch, of[new], first - ends[of[new]], count
+    count = np.diff(np.append(new, len(start)))
+    parts = -(-count // STARTS)
+    within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    new, count = np.repeat(new, parts), np.repeat(count, parts)
+    return mixed(own[new] ^ np.uint64(0x5851F42D4C957F2D)), of[new], start[new] + STARTS * within, np.minimum(count - STARTS * within, STARTS)
+
+
+def bytes_of(data: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Rows of WIDTH bytes, each one more than in the text so that none is zero, with zeros behind the stretch: their
+    order is that of the suffixes, cut off where the stretch ends."""
+    place = np.arange(WIDTH)
+    at = np.minimum(first[:, None] + place, len(data) - 1)
+    return np.where(place < (n + LENGTH - 1)[:, None], data[at] + np.uint8(1), np.uint8(0)).view(f"S{WIDTH}").ravel()
+
+
+def matrix(keys: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(len(keys), keys.dtype.itemsize)
+
+
+# ---- the index family ----
 
 
 class SuffixIndexFamily:
-    """Sparse suffix arrays whose sizes grow geometrically.
+    """Suffix arrays in the order of bytes, whose sizes grow geometrically.
 
-    Batches come in the order of doc_id. A batch becomes a suffix array of its own; a merge-scan against each array of
-    the family, and against the batch itself, finds the suffixes whose whole stretch is in an earlier document; the
-    others enter. Arrays of about equal size are merged, so a suffix is rewritten as often as the logarithm of the
-    number of batches.
+    Batches come in the order of their documents. A batch's suffixes are sorted into an array of their own, which is
+    merge-scanned against each array of the family: the longest common prefix with the suffix that follows in the array
+    tells how far the match goes. A suffix that an older one matches in its whole length is found; the others enter.
+    Arrays of about equal size are merged, so a suffix is rewritten as often as the logarithm of the number of batches.
     """
 
     def __init__(self) -> None:
-        self.levels: list[dict[str, np.ndarray]] = []
-
-    def add(self, batch: dict[str, np.ndarray]) -> np.ndarray:
-        """batch: key, value, doc and other columns. True where the key is in a smaller document; documents of a batch
-        are greater than those added before."""
-        order = np.lexsort((batch["doc"], batch["key"]))
-        key, doc = batch["key"][order], batch["doc"][order]
-        head = np.append(True, key[1:] != key[:-1])[: len(key)]
-        found = doc > doc[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
+        self.levels: list[np.ndarray] = []
+
+    def add(self, keys: np.ndarray, age: np.ndarray) -> np.ndarray:
+        """keys: suffixes (without zero bytes) in ascending order of age, all older ones having been added before. True
+        where a suffix of smaller age begins with the whole key."""
+        order = np.argsort(keys, kind="stable")
+        k, a = keys[order], age[order]
+        head = np.append(True, k[1:] != k[:-1])[: len(k)]
+        at = np.flatnonzero(head)
+        own = k[at]
+        length = np.char.str_len(own) if len(own) else at
+        known = np.zeros(len(own), bool)
         for level in self.levels:
-            at = np.searchsorted(level["key"], key)
-            found |= level["key"][np.minimum(at, len(level["key"]) - 1)] == key
-        new = order[~found]
-        if len(new):
-            self.levels.append({c: x[new] for c, x in batch.items()})
-        while len(self.levels) > 1 and len(self.levels[-2]["key"]) <= 2 * len(self.levels[-1]["key"]):
-            self._merge_last()
-        out = np.zeros(len(key), bool)
-        out[order] = found
-        return out
-
-    def _merge_last(self) -> None:
-        b, a = self.levels.pop(), self.levels.pop()
-        both = {c: np.concatenate([a[c], b[c]]) for c in a}
-        order = np.argsort(both["key"], kind="stable")  # two sorted runs
-        self.levels.append({c: x[order] for c, x in both.items()})
-
-    def whole(self) -> dict[str, np.ndarray]:
-        while len(self.levels) > 1:
-            self._merge_last()
-        return self.levels[0] if self.levels else {}
-
-
-def earlier_in_group(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """True where the same key is in a smaller document of these rows."""
-    order = np.lexsort((doc, key))
-    k, d = key[order], doc[order]
-    head = np.append(True, k[1:] != k[:-1])[: len(k)]
-    out = np.zeros(len(key), bool)
-    out[order] = d > d[np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))]
-    return out
+            known |= common_prefix(own, level[np.minimum(np.searchsorted(level, own), len(level) - 1)]) >= length
+        if not known.all():
+            self.levels.append(own[~known])
+        while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
+            both = np.concatenate([self.levels.pop(), self.levels.pop()])
+            both.sort(kind="stable")  # two sorted runs
+            self.levels.append(both)
+        group = np.cumsum(head) - 1
+        found = np.zeros(len(k), bool)
+        found[order] = known[group] | (a > a[at][group]) if len(k) else found
+        return found
+
+
+def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common prefix of each pair of suffixes."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    differ = matrix(a) != matrix(b)
+    return np.where(differ.any(1), differ.argmax(1), a.dtype.itemsize)
+
+
+def in_batches(keys: np.ndarray, age: np.ndarray) -> np.ndarray:
+    """What a family finds of keys in ascending order of age, added batch by batch; an age is never divided."""
+    family, found = SuffixIndexFamily(), np.zeros(len(age), bool)
+    if len(age):
+        cuts = np.unique([0, *np.searchsorted(age, age[np.linspace(0, len(age) - 1, BATCHES + 1).astype(int)[1:-1]]), len(age)])
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            found[a:b] = family.add(keys[a:b], age[a:b])
+    return found
+
+
+def found_strings(value: np.ndarray, age: np.ndarray, row: np.ndarray, first: np.ndarray, n: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, first, n) of the runs of strings that are also in a smaller document, among the stretches of a bucket.
+
+    Stretches that an older one holds in their whole length are found by a family over the stretches. Of the others,
+    those whose value stands in several different stretches differ from these somewhere, as at the edges of a repeat:
+    every one of their strings enters a second family as a suffix of its own."""
+    order = np.argsort(age, kind="stable")
+    value, age, row, first, n, keys = (x[order] for x in (value, age, row, first, n, keys))
+    found = in_batches(keys, age)
+    left = np.flatnonzero(~found)
+    left = left[np.lexsort((keys[left], value[left]))]
+    v, k = value[left], keys[left]
+    other = (v[1:] == v[:-1]) & (k[1:] != k[:-1])
+    group = np.cumsum(np.append(0, v[1:] != v[:-1])[: len(v)])
+    mixed_ = np.sort(left[np.bincount(group[1:][other], minlength=len(v) + 1)[group] > 0])
+    count = n[mixed_]
+    of = np.repeat(mixed_, count)
+    offset = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    strings = np.lib.stride_tricks.sliding_window_view(matrix(keys), LENGTH, axis=1)[of, offset] if len(of) else np.zeros((0, LENGTH), np.uint8)
+    again = in_batches(np.ascontiguousarray(strings).view(f"S{LENGTH}").ravel(), age[of])
+    runs = spans_of_starts(row[of[again]], (first[of] + offset)[again])
+    return tuple(np.concatenate([x[found], y]) for x, y in zip((row, first, n), runs, strict=True))
 
 
 def ages(doc: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -202,31 +273,37 @@ def spans_of_starts(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.
     return doc[new], start[new], (start[last] - start[new] + 1) if len(new) else start[:0]
 
 
-def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """doc_id and row number of the batch's texts."""
-    doc, row = (batch.column(i).fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-    return doc, row
+# ---- messages between tasks ----
 
 
-def suffix_messages(n_buckets: int, n_homes: int):
+def place_messages(n_buckets: int, n_homes: int):
+    """The sampled places of all texts to buckets by value. A value in several rows of what a task has gathered is known
+    to be shared: its stretches are asked for at once, and a single record tells the bucket, so a frequent value sends
+    one record a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def send() -> Iterator[pa.RecordBatch]:
-            value, stretch, doc, row, first, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            value, row, first, n = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            key = value ^ stretch
-            known = earlier_in_group(key, ages(doc, row))  # also in a smaller document of this task: settled, and never sent
-            yield from message(REMOVED, by_doc(row[known], n_homes), [row[known], first[known], n[known]])
-            value, stretch, doc, row, first, n = (c[~known] for c in (value, stretch, doc, row, first, n))
-            yield from message(COMPARE, by_hash(value, n_buckets), [value.view(np.int64), (stretch & np.uint64((1 << 48) - 1)).view(np.int64), doc, row, first, n])
+            order = np.lexsort((row, value))
+            value, row, first, n = value[order], row[order], first[order], n[order]
+            head = np.append(True, value[1:] != value[:-1])
+            group = np.cumsum(head) - 1
+            shared = (np.bincount(group[1:], weights=~head[1:] & (row[1:] != row[:-1]), minlength=group[-1] + 1) > 0)[group] if len(value) else head[:0]
+            yield from message(ASKED, by_doc(row[shared], n_homes), [row[shared], first[shared], n[shared]])
+            one, count = np.flatnonzero(shared & head), np.bincount(group)
+            columns = [(value[~shared], value[one]), (np.ones((~shared).sum(), np.int64), count[group[one]]), (row[~shared], np.full(len(one), -1)), (first[~shared], np.zeros(len(one), np.int64)), (n[~shared], np.zeros(len(one), np.int64))]
+            value, *rest = (np.concatenate(c) for c in columns)
+            yield from message(COMPARE, by_hash(value, n_buckets), [value.view(np.int64), *rest])
 
         for batch in batches:
-            doc, row = _rows(batch)
-            data, ends = utf8(batch.column(2))
-            for i, j in slices(ends):
-                value, stretch, of, first, n = sampled_suffixes(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
-                held.append((value, stretch, doc[i:j][of], row[i:j][of], first, n))
+            row = batch.column(0).to_numpy(zero_copy_only=False)
+            data, ends = utf8(batch.column(1))
+            for i, j, a, b in segments(ends):
+                value, of, first, n = stretches(data[a:b], np.clip(ends[i : j + 1], a, b) - a)
+                held.append((value, row[i:j][of], first + a - ends[i:j][of], n))
                 if sum(len(h[0]) for h in held) >= GATHER:
                     yield from send()
         if held:
@@ -235,64 +312,92 @@ def suffix_messages(n_buckets: int, n_homes: int):
     return run
 
 
-def merge_scan(n_homes: int):
-    """All suffixes of a bucket enter an index family in the order of their documents. Out come the spans found in a
-    smaller document, and those of suffixes that other documents have too, in another stretch."""
+def shared_places(n_homes: int, hot: int):
+    """Of each bucket the stretches whose value is in several rows, and the values that are in more than `hot` stretches."""
 
     def run(table: pa.Table) -> pa.Table:
-        out = [pa.record_batch([c.combine_chunks() for c in table.filter(pc.equal(table["kind"], REMOVED)).select(SENT.names).columns], schema=SENT)]
-        value, stretch, doc, row, first, n = decode_all(table, COMPARE, 6)
+        out = pass_on(table, ASKED)
+        value, count, row, first, n = decode_all(table, COMPARE, 5)
+        order = np.lexsort((row, value))
+        value, count, row, first, n = (x[order] for x in (value, count, row, first, n))
         if len(value):
-            doc = ages(doc, row)
-            order = np.argsort(doc, kind="stable")
-            rows = {"key": (mixed(value.view(np.uint64)) ^ stretch.view(np.uint64))[order], "value": value.view(np.uint64)[order], "doc": doc[order], "row": row[order], "first": first[order], "n": n[order]}
-            family, found = SuffixIndexFamily(), np.zeros(len(doc), bool)
-            cuts = np.unique([0, *np.searchsorted(rows["doc"], rows["doc"][np.linspace(0, len(doc) - 1, BATCHES + 1).astype(int)[1:-1]]), len(doc)])
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                found[a:b] = family.add({c: x[a:b] for c, x in rows.items()})
-            out += message(REMOVED, by_doc(rows["row"][found], n_homes), [rows[c][found] for c in ("row", "first", "n")])
-            kept = family.whole()
-            order = np.lexsort((kept["key"], kept["value"]))
-            v, k = kept["value"][order], kept["key"][order]
-            same = v[1:] == v[:-1]
-            other = same & (k[1:] != k[:-1])
-            group = np.cumsum(np.append(0, ~same))
-            asked = order[np.bincount(group[1:][other], minlength=group[-1] + 1)[group] > 0]
-            out += message(ASKED, by_doc(kept["row"][asked], n_homes), [kept[c][asked] for c in ("row", "first", "n")])
+            head = np.append(True, value[1:] != value[:-1])
+            group = np.cumsum(head) - 1
+            size = group[-1] + 1
+            many = np.bincount(group, weights=row < 0, minlength=size) + np.bincount(group[1:], weights=~head[1:] & (row[1:] != row[:-1]), minlength=size)
+            asked = (many[group] > 0) & (row >= 0)
+            out += message(ASKED, by_doc(row[asked], n_homes), [row[asked], first[asked], n[asked]])
+            warm = value[head][np.bincount(group, weights=count) > hot]
+            out += message(HOT_VALUES, np.zeros(len(warm), np.int64), [warm])
         return pa.Table.from_batches(out, SENT)
 
     return run
 
 
-def string_messages(n_buckets: int, n_homes: int):
-    """The 50-byte strings of the asked spans, by fingerprint."""
+def asked_by_row(table: pa.Table) -> pa.Table:
+    """One record for each row number: its stretches that are to be compared, in order."""
+    row, first, n = decode_all(table, ASKED, 3)
+    order = np.lexsort((first, row))
+    row, first, n = row[order], first[order], n[order]
+    cut = np.flatnonzero(np.append(True, row[1:] != row[:-1])[: len(row)])
+    ends = np.append(cut[1:], len(row))[: len(cut)]
+    spans = [encode(first[x:y], n[x:y]) for x, y in zip(cut, ends, strict=True)]
+    return pa.table([pa.array(row[cut], pa.int64()), pa.array(ends - cut, pa.int64()), pa.array(spans, pa.binary())], ["__row", "__n", "__spans"])
+
+
+def stretch_messages(n_buckets: int, n_homes: int, hot: np.ndarray):
+    """The bytes of the asked stretches, to buckets by value; those of hot values as single strings, by their own hash.
+    A stretch that a smaller document of what the task has gathered has too is settled and never sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def send() -> Iterator[pa.RecordBatch]:
-            value, doc, row, start = (np.concatenate(c) for c in zip(*held, strict=True))
+            value, doc, row, first, n, keys = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            known = earlier_in_group(value, ages(doc, row))
-            spans = spans_of_starts(row[known], start[known])
-            yield from message(REMOVED, by_doc(spans[0], n_homes), list(spans))
-            value, doc, row, start = (c[~known] for c in (value, doc, row, start))
-            yield from message(COMPARE, by_hash(value, n_buckets), [value.view(np.int64), doc, row, start])
+            age = ages(doc, row)
+            order = np.argsort(age, kind="stable")
+            order = order[np.argsort(keys[order], kind="stable")]
+            k, a = keys[order], age[order]
+            head = np.append(True, k[1:] != k[:-1])[: len(k)]
+            settled = np.zeros(len(k), bool)
+            settled[order] = a > a[np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))]
+            yield from message(REMOVED, by_doc(row[settled], n_homes), [row[settled], first[settled], n[settled]])
+            sent = order[~settled[order]]
+            bucket = by_hash(value[sent], n_buckets)
+            sent = sent[np.argsort(bucket, kind="stable")]
+            bucket = np.sort(bucket)
+            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+            rows = []
+            for x, y in zip(cut, np.append(cut[1:], len(bucket))[: len(cut)], strict=True):
+                own = sent[x:y]
+                m = matrix(keys[own])
+                numbers = encode(doc[own], (value[own] & np.uint64(0xFFFFFFFF)).view(np.int64), row[own], first[own], n[own])
+                rows.append(len(numbers).to_bytes(8, "little") + numbers + zstandard.ZstdCompressor(level=1).compress(m[m > 0].tobytes()))
+            if rows:
+                yield pa.record_batch([pa.array(np.full(len(rows), COMPARE, np.int32)), pa.array(bucket[cut].astype(np.int32)), pa.array(rows, pa.binary())], schema=SENT)
 
         for batch in batches:
-            doc, row = _rows(batch)
+            doc, row = (batch.column(i).fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             data, ends = utf8(batch.column(2))
-            asked = batch.column(3).to_pylist()
-            for i, j in slices(ends):
-                sums = prefix_sums(data[ends[i] : ends[j]])
-                for k in range(i, j):
-                    first, n = decode(asked[k], 2)
-                    start = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    at = start + (ends[k] - ends[i])
-                    inside = start + LENGTH <= ends[k + 1] - ends[k]
-                    at, start = at[inside], start[inside]
-                    held.append((fingerprints(sums, at, at + LENGTH), np.full(len(at), doc[k]), np.full(len(at), row[k]), start))
-                if sum(len(h[0]) for h in held) >= GATHER:
+            asked = [decode(x, 2) for x in batch.column(3).to_pylist()]
+            for i, j, a, b in segments(ends):
+                own = [(first + ends[t] - a, n, t) for t, (first, n) in enumerate(asked[i:j], i)]
+                first, n, of = (np.concatenate(c) for c in zip(*[(x, m, np.full(len(x), t)) for x, m, t in own], strict=True))
+                inside = (first >= 0) & (first <= b - a - LENGTH)
+                first, n, of = first[inside], n[inside], of[inside]
+                if not len(first):
+                    continue
+                part = data[a:b]
+                value = mixed(least_at(part, first) ^ np.uint64(0x5851F42D4C957F2D))
+                warm = np.isin(value, hot)
+                if warm.any():
+                    k = n[warm]
+                    at = np.repeat(first[warm] - np.cumsum(k) + k, k) + np.arange(k.sum())
+                    strings = mixed(fingerprints(prefix_sums(part), at, at + LENGTH) ^ np.uint64(0xA0761D6478BD642F))
+                    value, first, of, n = np.concatenate([value[~warm], strings]), np.concatenate([first[~warm], at]), np.concatenate([of[~warm], np.repeat(of[warm], k)]), np.concatenate([n[~warm], np.ones(len(at), np.int64)])
+                held.append((value, doc[of], row[of], first + a - ends[of], n, bytes_of(part, first, n)))
+                if sum(len(h[0]) for h in held) >= GATHER_STRETCHES:
                     yield from send()
         if held:
             yield from send()
@@ -300,13 +405,29 @@ def string_messages(n_buckets: int, n_homes: int):
     return run
 
 
-def compare_strings(n_homes: int):
+def least_at(data: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The least fingerprint in the string that begins at each place."""
+    value = anchors(data)
+    out = value[first]
+    for k in range(1, STARTS):
+        np.minimum(out, value[first + k], out=out)
+    return out
+
+
+def merge_scan(n_homes: int):
+    """The index families of a bucket: out come the spans of strings that a smaller document has."""
+
     def run(table: pa.Table) -> pa.Table:
-        out = [pa.record_batch([c.combine_chunks() for c in table.filter(pc.equal(table["kind"], REMOVED)).select(SENT.names).columns], schema=SENT)]
-        value, doc, row, start = decode_all(table, COMPARE, 4)
-        if len(value):
-            found = earlier_in_group(value.view(np.uint64), ages(doc, row))
-            spans = spans_of_starts(row[found], start[found])
+        out, found = pass_on(table, REMOVED), []
+        for raw in table.filter(pc.equal(table["kind"], COMPARE)).column("rows").to_pylist():
+            cut = 8 + int.from_bytes(raw[:8], "little")
+            columns = decode(raw[8:cut], 5)
+            m = np.zeros((len(columns[0]), WIDTH), np.uint8)
+            m[np.arange(WIDTH) < (columns[4] + LENGTH - 1)[:, None]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[cut:]), np.uint8)
+            found.append((*columns, m.view(f"S{WIDTH}").ravel()))
+        if found:
+            doc, value, row, first, n, keys = (np.concatenate(c) for c in zip(*found, strict=True))
+            spans = found_strings(value, ages(doc, row), row, first, n, keys)
             out += message(REMOVED, by_doc(spans[0], n_homes), list(spans))
         return pa.Table.from_batches(out, SENT)
 
@@ -364,38 +485,49 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(out, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(runs, pa.list_(pa.int64()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "runs"])
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_bytes: int = BROADCAST_BYTES, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, runs): what is left of each text without the bytes that lie
     in a 50-byte string which also starts in a document with a smaller doc_id. runs: begin and end of each removed run.
 
-    1. Every task sends the sampled suffixes of its documents, less those it can settle itself, to buckets by value.
-    2. Each bucket adds them to its index family, batch by batch: suffixes whose whole stretch is in a smaller document
-       are settled; those that differ only at the edge of a repeat are asked for.
-    3. The strings of asked spans (a few hundredths of all) are compared one by one, in buckets by fingerprint.
-    4. Spans are merged for each document and applied to its text.
-    A value that very many documents share is sent once from each task. Buckets grow in number with
-    spark.sql.shuffle.partitions. Texts are compared by 64-bit fingerprints.
-
-    A null text is empty. Rows with the same doc_id don't match each other, but each loses only what its own text
-    repeats. Rows without a doc_id are documents of their own, greater than all with one; among them the row number
-    decides, which is given once and stored with the texts. Other columns are not read. No rows: none.
+    1. Every task sends the sampled places of its documents to buckets by value; stretches whose value is in one row
+       only are done with.
+    2. The bytes of the other stretches meet in buckets by value, less those that a task can settle itself. Each bucket
+       adds them to its index family in the order of doc_id, batch by batch: what a smaller document has is found by
+       the common prefix with its neighbour in the suffix arrays.
+    3. Spans are merged for each document and applied to its text.
+    A value that very many documents share is sent once from each task; the strings around a hot one are dealt out by
+    their own hash, so no bucket holds them all. Buckets follow the counted bytes and stretches. Hot values, at most a
+    million, are the only thing that reaches the driver. Nothing is removed that isn't equal byte for byte.
+
+    A null text is empty. doc_id is a whole number, other types raise. Rows with the same doc_id don't match each
+    other, but each loses only what its own text repeats. Rows without a doc_id are documents of their own, greater
+    than all with one; among them the row number decides, which is given once and stored with the texts. A text of any
+    length is read in pieces. Other columns are not read. No rows: none.
     """
-    # suffixes and strings meet in n_buckets, spans of rows in n_homes: a bucket sends at most n_homes messages
+    if not isinstance(docs.schema[doc_id].dataType, IntegralType):
+        raise TypeError(f"{doc_id} must be a whole number")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets, n_homes = 4 * parts, max(8, parts // 4)
     held = numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "numbered")
     number = F.when(F.col("held.doc_id").isNull(), -1 - F.col("row")).otherwise(F.col("row"))  # < 0 where doc_id is null
-    own = held.select("held.doc_id", number.alias("row"), "held.text")
+    n_bytes = held.agg(F.coalesce(F.sum(F.octet_length("held.text")), F.lit(0))).first()[0]
+    n_buckets = max(parts, n_bytes // BUCKET_BYTES)
+    n_homes = max(8, n_buckets // 4)  # what is found about rows goes there: a bucket sends at most so many messages
 
-    def per_row(rows: DataFrame, kind: int) -> DataFrame:
-        spans = stored(rows.where(F.col("kind") == kind).groupBy("bucket").applyInArrow(spans_by_row(kind), "__row long, __spans binary"), "spans")
+    def joined(spans: DataFrame, how: str) -> DataFrame:
+        """doc_id, row, text and spans of the rows (all, or those that have some)."""
         size = spans.agg(F.coalesce(F.sum(F.octet_length("__spans") + 24), F.lit(0))).first()[0]
-        return F.broadcast(spans) if size <= broadcast_bytes else spans.hint("merge")
-
-    found = stored(own.mapInArrow(suffix_messages(n_buckets, n_homes), SENT_SQL).groupBy("bucket").applyInArrow(merge_scan(n_homes), SENT_SQL), "suffixes")
-    asked = per_row(found, ASKED)
-    strings = own.join(asked, F.col("row") == F.col("__row")).select("doc_id", "row", "text", "__spans").mapInArrow(string_messages(n_buckets, n_homes), SENT_SQL)
-    more = strings.groupBy("bucket").applyInArrow(compare_strings(n_homes), SENT_SQL)
-    spans = per_row(found.where(F.col("kind") == REMOVED).unionByName(more), REMOVED)
-    rows = own.join(spans, F.col("row") == F.col("__row"), "left").select("doc_id", "text", "__spans")
+        rows = held.join(F.broadcast(spans) if size <= broadcast_bytes else spans.hint("merge"), F.col("row") == F.col("__row"), how)
+        return rows.select("held.doc_id", number.alias("row"), "held.text", "__spans")
+
+    places = held.select("row", "held.text").mapInArrow(place_messages(n_buckets, n_homes), SENT_SQL).groupBy("bucket")
+    shared = stored(places.applyInArrow(shared_places(n_homes, max(hot, n_bytes // (14 * 1_000_000))), SENT_SQL), "shared")
+    asked = stored(shared.where(F.col("kind") == ASKED).groupBy("bucket").applyInArrow(asked_by_row, "__row long, __n long, __spans binary"), "asked")
+    warm = [decode(r[0], 1)[0] for r in shared.where(F.col("kind") == HOT_VALUES).select("rows").collect()]  # a million values at most
+    warm = np.concatenate([np.zeros(0, np.int64), *warm]).view(np.uint64)
+    n_buckets = max(parts, asked.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0] // BUCKET_STRETCHES)
+    sent = joined(asked, "inner").mapInArrow(stretch_messages(n_buckets, n_homes, warm), SENT_SQL)
+    found = stored(sent.groupBy("bucket").applyInArrow(merge_scan(n_homes), SENT_SQL), "found")
+    spans = found.where(F.col("kind") == REMOVED).groupBy("bucket").applyInArrow(spans_by_row(REMOVED), "__row long, __spans binary")
+    spans = spans.select(F.when(F.col("__row") < 0, -1 - F.col("__row")).otherwise(F.col("__row")).alias("__row"), "__spans")
+    rows = joined(stored(spans, "spans"), "left").select("doc_id", "text", "__spans")
     return rows.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, runs array<long>")
