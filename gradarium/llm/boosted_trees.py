@@ -6,10 +6,11 @@ import numpy as np
 
 
 class BoostedTrees:
-    """Trees of equal depth; a node at place i has its children at 2i + 1 and 2i + 2."""
+    """Trees of equal depth; a node at place i has its children at 2i + 1 and 2i + 2. Each tree is grown on a random share
+    of the rows."""
 
-    def __init__(self, n_trees: int = 120, depth: int = 4, rate: float = 0.25, bins: int = 32, l2: float = 1.0, least: float = 4.0):
-        self.n_trees, self.depth, self.rate, self.bins, self.l2, self.least = n_trees, depth, rate, bins, l2, least
+    def __init__(self, n_trees: int = 90, depth: int = 4, rate: float = 0.3, bins: int = 32, l2: float = 1.0, least: float = 2.0, share: float = 0.3):
+        self.n_trees, self.depth, self.rate, self.bins, self.l2, self.least, self.share = n_trees, depth, rate, bins, l2, least, share
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
         n, m = x.shape
@@ -21,17 +22,19 @@ class BoostedTrees:
         self.threshold = np.full((self.n_trees, inner), np.inf)
         self.leaf = np.zeros((self.n_trees, inner + 1))
         margin = np.full(n, self.bias)
-        shift = np.arange(m) * self.bins
+        shift, random = np.arange(m) * self.bins, np.random.default_rng(1)
         for t in range(self.n_trees):
             p = 1 / (1 + np.exp(-margin))
             g, h = y - p, p * (1 - p)
             at = np.zeros(n, np.int64)
+            own = random.permutation(n)[: max(1, round(n * self.share))]
+            cells, g_own, h_own = shift + binned[own], np.repeat(g[own], m), np.repeat(h[own], m)
             for d in range(self.depth):
                 first, width = 2**d - 1, 2**d
-                cell = ((at - first)[:, None] * (m * self.bins) + shift + binned).ravel()
+                cell = ((at[own] - first)[:, None] * (m * self.bins) + cells).ravel()
                 size = width * m * self.bins
-                G = np.bincount(cell, np.repeat(g, m), size).reshape(width, m, self.bins).cumsum(2)
-                H = np.bincount(cell, np.repeat(h, m), size).reshape(width, m, self.bins).cumsum(2)
+                G = np.bincount(cell, g_own, size).reshape(width, m, self.bins).cumsum(2)
+                H = np.bincount(cell, h_own, size).reshape(width, m, self.bins).cumsum(2)
                 g_all, h_all = G[:, :1, -1:], H[:, :1, -1:]
                 gain = G**2 / (H + self.l2) + (g_all - G) ** 2 / (h_all - H + self.l2) - g_all**2 / (h_all + self.l2)
                 gain[(H < self.least) | (h_all - H < self.least)] = 0

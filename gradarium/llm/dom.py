@@ -18,7 +18,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their text is never part of a page's text.
 RAW = frozenset("script style noscript template title textarea iframe object svg select head".split())
-CLOSED_BY_BLOCK = frozenset(["p"])
+RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW}
+P_SCOPE = frozenset(["table", "td", "th", "button", "div", "section", "article"])
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
@@ -66,28 +67,29 @@ class Page:
         self.attributes = [""]
         self.pieces: list[tuple[int, str, bool]] = []
         stack, names, at, fresh, links = [0], ["html"], 0, True, 0
-        search, n = TAG.search, len(html)
+        search, n, last = TAG.search, len(html), html.rfind(">")
+        open_at: dict[str, list[int]] = {}  # where each name stands in the stack
 
         def close(to: int) -> None:
             while len(stack) > to:
                 k = stack.pop()
-                names.pop()
+                open_at[names.pop()].pop()
                 p = self.parent[k]
                 self.text[p] += self.text[k]
                 self.link[p] += self.link[k]
                 self.ends[p] += self.ends[k]
                 self.size[p] += self.size[k]
 
+        def top(name: str) -> int:
+            return open_at[name][-1] if open_at.get(name) else 0
+
         def find(name: str, stop: frozenset | set) -> int:
-            for k in range(len(names) - 1, 0, -1):
-                if names[k] == name:
-                    return k
-                if names[k] in stop:
-                    return 0
-            return 0
+            """Where the innermost open element of this name stands, 0 if there is none inside the innermost of `stop`."""
+            k = top(name)
+            return k if k and k >= max(map(top, stop), default=0) else 0
 
         while at < n:
-            m = search(html, at)
+            m = search(html, at) if at <= last or html.startswith("<!", html.find("<", at)) else None  # no tag ends behind the last ">"
             raw = html[at : m.start()] if m else html[at:]
             if raw and not raw.isspace():
                 k, size = stack[-1], len(raw)
@@ -124,8 +126,8 @@ class Page:
             if tag == "head" or tag in RAW:
                 if tag == "head":
                     continue
-                if not attributes.endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
+                if tag != "svg" or not attributes.endswith("/"):  # of these only svg can close itself
+                    end = RAW_END[tag].search(html, at)
                     at = end.end() if end else n
                 fresh = True
                 continue
@@ -135,7 +137,7 @@ class Page:
             if tag in ("html", "body"):
                 self.mask[0] |= mask_of("body", attributes, cache)
                 continue
-            p_open = find("p", {"table", "td", "th", "button", "div", "section", "article"})
+            p_open = find("p", P_SCOPE)
             if p_open:
                 close(p_open)
             for other in SIBLINGS.get(tag, ()):
@@ -155,6 +157,7 @@ class Page:
             for column in (self.own, self.text, self.link, self.ends, self.children):
                 column.append(0)
             self.size.append(1)
+            open_at.setdefault(tag, []).append(len(stack))
             stack.append(k)
             names.append(tag)
         close(1)

@@ -22,14 +22,15 @@ class ByteGRU:
     position give its label probabilities. The two directions run side by side: the backward one reads each row from
     its end, so all parameters and states have a first axis of two."""
 
-    def __init__(self, n_labels: int, hidden: int = 16, seed: int = 5):
+    def __init__(self, n_labels: int, hidden: int = 8, seed: int = 5):
         r = np.random.default_rng(seed)
         self.hidden = hidden
         self.p = {"W": r.normal(0, 0.3, (2 * hidden, n_labels)), "b": np.zeros(n_labels), "E": r.normal(0, 0.3, (2, 256, 3 * hidden)), "U": r.normal(0, 0.2, (2, hidden, 2 * hidden)), "V": r.normal(0, 0.2, (2, hidden, hidden))}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def _states(self, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States (length, 2, rows, hidden) of bytes (2, rows, length) after each byte, from zero."""
+    def _states(self, x: np.ndarray) -> tuple[np.ndarray, list]:
+        """States (length, 2, rows, hidden) of bytes (2, rows, length) after each byte, from zero, and what the steps
+        computed, for backpropagation."""
         k, (_, rows, length) = self.hidden, x.shape
         table, u, v = self.p["E"].reshape(512, 3 * k), self.p["U"], self.p["V"]
         at = x.transpose(2, 0, 1).astype(np.int64) + np.array([[0], [256]])
@@ -40,11 +41,44 @@ class ByteGRU:
             zr = sigmoid(e[:, :, : 2 * k] + h @ u)
             z, r = zr[:, :, :k], zr[:, :, k:]
             c = np.tanh(e[:, :, 2 * k :] + (r * h) @ v)
-            if keep:
-                trace.append((h, z, r, c))
+            trace.append((h, z, r, c))
             h = states[t] = c + z * (h - c)
         return states, trace
 
+    def _states_only(self, x: np.ndarray) -> np.ndarray:
+        """The same states, in place, gate by gate: sigmoid and tanh are written by exp, with its signs and factors in
+        the weights."""
+        k, (_, rows, length) = self.hidden, x.shape
+        table = self.p["E"].reshape(512, 3 * k)
+        e_z, e_r, e_c = (np.ascontiguousarray(f * table[:, i * k : (i + 1) * k]) for i, f in enumerate((-1, -1, -2)))
+        u_z, u_r, v = np.ascontiguousarray(-self.p["U"][:, :, :k]), np.ascontiguousarray(-self.p["U"][:, :, k:]), -2 * self.p["V"]
+        at = np.ascontiguousarray(x.transpose(2, 0, 1).astype(np.int64) + np.array([[0], [256]]))
+        z, r, c, own = np.empty((4, 2, rows, k), np.float32)
+        states = np.empty((length + 1, 2, rows, k), np.float32)
+        states[0] = 0
+        with np.errstate(over="ignore"):
+            for t in range(length):
+                h, new = states[t], states[t + 1]
+                np.matmul(h, u_r, out=r)
+                r += e_r.take(at[t], 0, out=own, mode="clip")
+                np.exp(r, out=r)
+                r += 1
+                np.divide(h, r, out=r)
+                np.matmul(h, u_z, out=z)
+                z += e_z.take(at[t], 0, out=own, mode="clip")
+                np.exp(z, out=z)
+                z += 1
+                np.matmul(r, v, out=c)
+                c += e_c.take(at[t], 0, out=own, mode="clip")
+                np.exp(c, out=c)
+                c += 1
+                np.divide(2, c, out=c)
+                c -= 1
+                np.subtract(h, c, out=new)
+                new /= z
+                new += c
+        return states[1:]
+
     def sums(self, rows: list[np.ndarray], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """(rows, labels): the label probabilities of the positions from begin to end of each row of bytes, added up.
         Rows of any lengths run together; what lies behind a row's end comes after all its positions."""
@@ -54,17 +88,21 @@ class ByteGRU:
         for i, r in enumerate(rows):
             x[0, i, : len(r)] = r
             x[1, i, : len(r)] = r[::-1]
-        s, _ = self._states(x)
+        s = self._states_only(x)
         place = np.arange(longest)[:, None]
-        back = (s[:, 1] @ self.p["W"][k:])[np.maximum(size - 1 - place, 0), np.arange(n)]
-        p = softmax(s[:, 0] @ self.p["W"][:k] + back + self.p["b"])
-        return np.einsum("tnl,tn->nl", p, ((place >= begin) & (place < end)).astype(p.dtype))
+        back = np.ascontiguousarray((s[:, 1] @ self.p["W"][k:])[np.maximum(size - 1 - place, 0), np.arange(n)].transpose(2, 0, 1))
+        p = np.ascontiguousarray((s[:, 0] @ self.p["W"][:k] + self.p["b"]).transpose(2, 0, 1))
+        p += back
+        p -= p.max(0)
+        np.exp(p, out=p)
+        p *= ((place >= begin) & (place < end)) / p.sum(0)
+        return p.sum(1).T
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross entropy of all positions of rows of equal length, each labelled as its row, and its gradients."""
         k, (rows, length) = self.hidden, x.shape
         both = np.stack([x, x[:, ::-1]])
-        states, trace = self._states(both, True)
+        states, trace = self._states(both)
         s = np.concatenate([states[:, 0], states[::-1, 1]], 2)
         p = softmax(s @ self.p["W"] + self.p["b"])
         at = (slice(None), np.arange(rows), y)

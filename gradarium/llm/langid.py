@@ -18,12 +18,12 @@ from gradarium.llm.gru import ByteGRU
 #: the text of each, at which so many characters are read.
 SAMPLE_DOCS, PLACES, PLACE_CHARS = 250, 24, 72
 #: Training: steps, rows of a step, bytes of a row.
-STEPS, ROWS, LENGTH = 400, 192, 64
+STEPS, ROWS, LENGTH = 400, 160, 64
 #: A longer text is read in windows of so many bytes; each also reads the bytes before and after it, whose labels
 #: belong to its neighbours, so that states at its edges know what surrounds it.
 WINDOW, CONTEXT = 1024, 64
-#: Bytes that run through the network at a time.
-TOGETHER = 400_000
+#: Rows and bytes that run through the network at a time, at most: what a step computes then stays in the cache.
+TOGETHER, TOGETHER_BYTES = 512, 600_000
 
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -42,7 +42,7 @@ class LanguageModel:
         pieces.sort(key=lambda p: p[2] - p[1])
         at = len(pieces)
         while at:  # the longest first; rows of a run are about as long as each other
-            first = max(0, at - max(1, TOGETHER // (pieces[at - 1][2] - pieces[at - 1][1])))
+            first = max(0, at - max(1, min(TOGETHER, TOGETHER_BYTES // (pieces[at - 1][2] - pieces[at - 1][1]))))
             own = np.array(pieces[first:at])
             sums = self.network.sums([data[a:b] for _, a, b, _, _ in pieces[first:at]], own[:, 3] - own[:, 1], own[:, 4] - own[:, 1])
             np.add.at(out, own[:, 0], sums)

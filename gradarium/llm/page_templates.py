@@ -68,7 +68,8 @@ class Maker:
             tag = "form" if r.random() < 0.8 else "div"
             name = f' class="{r.choice(NAMES["form"])}"' if tag == "div" or r.random() < 0.5 else ' action="/go"'
             return f'<{tag}{name} data-main="0">' + (p(1, 2) if r.random() < 0.6 else "") + f"<label>{self.prose(1, 3)}</label><input><button>{self.prose(1, 2)}</button></{tag}>"
-        return self.box("footer", "footer", f"&copy; {self.prose(1, 3)} &middot; {self.sentences(1, 2)}" + (self.links(r.randint(2, 6)) if r.random() < 0.5 else ""))
+        line = r.choice([f"&copy; {self.prose(1, 3)} &middot; {self.sentences(1, 2)}", f"<p>{self.sentences(1, 3)}</p>", f"{r.randint(1990, 2030)} {self.prose(1, 4)}", f"<div>{self.prose(2, 6)}</div><div>{self.prose(2, 6)}</div>"])
+        return self.box("footer", "footer", line + (self.links(r.randint(2, 6)) if r.random() < 0.5 else ""))
 
     def article(self) -> str:
         r, parts = self.r, []
@@ -87,6 +88,8 @@ class Maker:
                 parts.append("<ul>" + "".join(f"<li>{self.sentences(1, 1)}</li>" for _ in range(r.randint(2, 6))) + "</ul>")
             elif x < 0.9:
                 parts.append(f"<blockquote><p>{self.sentences(1, 3)}</p></blockquote>")
+            elif x < 0.905:
+                parts.append(f"<figure><img src=a.png><figcaption>{self.sentences(1, 1)}</figcaption></figure>")
             elif x < 0.92:
                 parts.append("<table>" + "".join(f"<tr><td>{self.prose(1, 3)}</td><td>{self.prose(1, 3)}</td></tr>" for _ in range(r.randint(2, 5))) + "</table>")
             elif x < 0.95:
@@ -114,4 +117,4 @@ class Maker:
             body = f'<div{r.choice(["", f" class={chr(34)}wrap{chr(34)}", f" id={chr(34)}page{chr(34)}"])}>{body}</div>'
         if r.random() < 0.85:
             body += self.boilerplate("footer")
-        return f"<!DOCTYPE html><html><head><title>{self.prose(2, 6)}</title><script>var a='</p>';</script></head><body>{body}</body></html>"
+        return f"<!DOCTYPE html><html><head><title>{self.prose(2, 6)}</title>{r.choice(["<script>var a='</p>';</script>", "<script src=/a.js></script>", "<style>p { margin: 0 }</style>", ""])}</head><body>{body}</body></html>"

@@ -1,14 +1,17 @@
 """Operators that DataFrames, SQL or small brute-force versions describe."""
 
 import hashlib
+import html
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -99,6 +102,29 @@ def test_pages_of_odd_form():
     assert html_extract.extract(["just text, no markup", "<p>a<p>b", "a < b and <", "<div><div>" * 300, '<p title="x>y">z</p>'], trees)[0] == "just text, no markup"
 
 
+def test_given_pages_against_a_plain_reading():
+    """The pages of the test data hold one article each: its text by regular expressions and the html module."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    told = [h for h in pages if h and len(re.findall(r"<article[ >]", h)) == 1]
+    want = []
+    for h in told:
+        body = re.search(r"<article[^>]*>(.*)</article>", h, re.S)[1]
+        body = re.sub(r"<!--.*?-->", "", body, flags=re.S)
+        blocks = re.split(r"</?(?:p|h[1-6]|div|br|ul|li|blockquote)(?: [^>]*)?>", body)
+        want.append(" ".join(" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)) for b in blocks).split()))
+    got = html_extract.extract(told, html_extract.trained())
+    assert len(told) > 100 and sum(a == b for a, b in zip(got, want, strict=True)) >= 0.99 * len(told)
+
+
+def test_time_grows_with_the_page_alone():
+    trees = html_extract.trained()
+    for page in ("<center>" * 60_000 + "x", "<div><p>" + "<center>" * 60_000 + "x", "<ul><li>" + "<dl>" * 20_000 + "<li>x", "<a <b " * 100_000, '<a title="x ' * 50_000, "<table>" * 20_000 + "<td>" * 20_000, "word " * 200_000, "<!" * 100_000):
+        began = time.perf_counter()
+        html_extract.extract([page], trees)
+        assert time.perf_counter() - began < 20, page[:20]
+    assert html_extract.extract(["<article><p>One two three four five.</p><script src=/a/>var secret=1;</script><p>Six seven eight.</p></article>"], trees) == ["One two three four five. Six seven eight."]
+
+
 def test_nothing_is_kept_below_a_dropped_node():
     rng = np.random.default_rng(0)
     for _ in range(50):
