@@ -27,10 +27,10 @@ LENGTH, ANCHOR = 50, 24
 STARTS = LENGTH - ANCHOR + 1
 WIDTH = STARTS - 1 + LENGTH
 #: Records that a task gathers before it sorts them and sends them on: places, and stretches with their bytes.
-GATHER, GATHER_STRETCHES = 2_000_000, 400_000
+GATHER, GATHER_STRETCHES = 1_000_000, 250_000
 #: Bytes of text whose sampled places meet in one bucket, and stretches that do, about: numbers of buckets follow from
 #: what is counted.
-BUCKET_BYTES, BUCKET_STRETCHES = 32_000_000, 400_000
+BUCKET_BYTES, BUCKET_STRETCHES = 16_000_000, 250_000
 #: A value in more stretches than this, and than a millionth of all, is hot: its strings meet by their own hash.
 HOT = 50_000
 #: Batches in which a bucket's suffixes enter its index family.
@@ -40,7 +40,7 @@ BROADCAST_BYTES = 64_000_000
 #: Stands for a null doc_id, which is greater than any other.
 LAST = np.iinfo(np.int64).max
 #: Bytes of a text that are read at a time.
-PIECE = 1_000_000
+PIECE = 500_000
 
 SENT = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("rows", pa.binary())])
 SENT_SQL = "kind int, bucket int, rows binary"
