@@ -78,8 +78,3 @@ def iou_sizes(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """The same for boxes (j, k, height, width)."""
     corners = lambda c: (c[0], c[1], c[0] + c[2] - 1, c[1] + c[3] - 1)
     return iou_corners(corners(a), corners(b))
-
-
-def luminance(blue: Column, green: Column, red: Column) -> Column:
-    """Gray level of a pixel with the usual weights, rounded."""
-    return F.rint(F.lit(0.114) * blue + F.lit(0.587) * green + F.lit(0.299) * red).cast("smallint")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
@@ -13,20 +14,66 @@ from pyspark.sql import functions as F
 
 from gradarium.functions.expressions import bin_of, logit
 from gradarium.functions.ordering import written
-from gradarium.operators.binning import bin_rows, feature_rows, find_ranges, long_form
+from gradarium.operators.binning import STATE_SCHEMA, bin_state, feature_rows, find_ranges, long_form
 
-#: A round's choice: argmin of the error to so many digits, then of the feature's number.
-TIE_DIGITS = 10
+#: A round's choice: argmin of the error, then of the feature's number. Sums of doubles in another order differ behind
+#: so many digits, so features that hold the same tie there.
+TIE_DIGITS = 13
 #: Rounds after which the margin is written down, so that expressions stay short.
 CUT = 16
 MODEL_SCHEMA = "t int, j int, lo double, hi double, err double, logits array<double>"
 
 
-def histogram(binned: DataFrame, weight: Column) -> DataFrame:
-    """(j, b, wp, wn): weights of both classes in each bin of each feature, summed up on the map side first."""
-    cells = binned.select("y", weight.alias("w"), F.posexplode("bins").alias("j", "b"))
-    side = lambda y: F.sum(F.when(F.col("y") == y, F.col("w")).otherwise(0.0))
-    return cells.groupBy("j", "b").agg(side(1).alias("wp"), side(-1).alias("wn"))
+def histogram(state: DataFrame, n_features: int, n_bins: int, since: list[tuple[int, list[float]]] | None = None, log_norm: float = 0.0) -> DataFrame:
+    """(j, b, wp, wn): weights of both classes in each bin of each feature, of a table made by bin_state. Weights are
+    exp(-y * margin - log_norm), the margin being that of the table plus the responses `since` (feature, logits).
+
+    Each task counts its rows into one array of features x bins x classes, whatever their number; only these partial
+    histograms are exchanged, so rows are never multiplied by features."""
+    since, size = since or [], 2 * n_features * n_bins
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        place = np.arange(n_features, dtype=np.int64) * 2 * n_bins
+        for y, margin, bins in state_arrays(batches, n_features):
+            w = np.exp(-y * with_responses(margin, bins, since) - log_norm)
+            step = max(1, 2_000_000 // n_features)
+            for k in range(0, len(y), step):
+                cell = bins[k : k + step] + place + (y[k : k + step] > 0)[:, None] * n_bins
+                total += np.bincount(cell.ravel(), np.repeat(w[k : k + step], n_features), size)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], ["cell", "w"])
+
+    cells = state.mapInArrow(run, "cell long, w double").groupBy("cell").agg(F.sum("w").alias("w"))
+    b, side = F.col("cell") % (2 * n_bins), lambda holds: F.sum(F.when(holds, F.col("w")).otherwise(0.0))
+    return cells.groupBy(F.floor(F.col("cell") / (2 * n_bins)).cast("int").alias("j"), (b % n_bins).cast("tinyint").alias("b")).agg(side(b >= n_bins).alias("wp"), side(b < n_bins).alias("wn"))
+
+
+def state_arrays(batches: Iterator[pa.RecordBatch], n_features: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(y, margin, bins as a matrix) of batches of bin_state's rows."""
+    for batch in batches:
+        if batch.num_rows:
+            y, margin, bins = (batch.column(batch.schema.get_field_index(c)) for c in ("y", "margin", "bins"))
+            raw = np.frombuffer(bins.buffers()[2], np.uint8)
+            first = np.frombuffer(bins.buffers()[1], np.int32)[bins.offset]
+            yield y.to_numpy().astype(np.float64), margin.to_numpy(), raw[first : first + len(y) * n_features].reshape(len(y), n_features)
+
+
+def with_responses(margin: np.ndarray, bins: np.ndarray, since: list[tuple[int, list[float]]]) -> np.ndarray:
+    for j, logits in since:
+        margin = margin + np.asarray(logits)[bins[:, j]]
+    return margin
+
+
+def moved_on(state: DataFrame, n_features: int, since: list[tuple[int, list[float]]]) -> DataFrame:
+    """The table with the responses added to its margins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, margin, bins in state_arrays([batch], n_features):
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(with_responses(margin, bins, since))], ["y", "bins", "margin"])
+
+    return state.select("y", "bins", "margin").mapInArrow(run, STATE_SCHEMA)
 
 
 def feature_errors(hist: DataFrame, logit_max: float, n_bins: int) -> DataFrame:
@@ -79,24 +126,22 @@ class BoostedBins:
 
     def fit(self, df: DataFrame, label: Column | str, features: list[str] | str) -> BoostedModel:
         """Ranges, bins (written once), then the rounds. Only ranges and histograms reach the driver: their size is that
-        of the model's inputs, features x bins, not of the data."""
+        of the model's inputs, features x bins, not of the data. A round is one pass over the bins, a byte each."""
         rows, classes = feature_rows(df, label, features)
         ranges = [(r.j, r.lo, r.hi) for r in find_ranges(long_form(rows), self.outliers_ratio).collect()]
-        state = written(bin_rows(rows, ranges, self.n_bins).select("y", "bins", F.lit(0.0).alias("margin")))
+        n = len(ranges)
+        state = written(bin_state(rows, ranges, self.n_bins))
         m = state.count()
         by_j = {j: (lo, hi) for j, lo, hi in ranges}
-        names = features if isinstance(features, list) else [f"{features}[{j}]" for j in range(len(ranges))]
-        model = BoostedModel(rows=[], classes=classes, features=names, array_column=features if isinstance(features, str) else None, n_bins=self.n_bins)
+        names = features if isinstance(features, list) else [f"{features}[{j}]" for j in range(n)]
+        settings = asdict(self) | {"rows": m, "features": n}
+        model = BoostedModel(rows=[], classes=classes, features=names, array_column=features if isinstance(features, str) else None, n_bins=self.n_bins, settings=settings)
         # weights are exp(-y * margin) / (m * product of errors): the margin is kept, never the weights
         log_norm, since = math.log(m), []
         for t in range(self.rounds):
-            margin = F.col("margin")
-            for j, logits in since:
-                margin = margin + chosen(logits, F.element_at("bins", j + 1))
             if len(since) == CUT:
-                state, since, margin = written(state.withColumn("margin", margin)), [], F.col("margin")
-            weight = F.exp(-F.col("y") * margin - F.lit(log_norm))
-            j, err, logits = best_of_histogram(histogram(state, weight).toArrow(), self.logit_max, self.n_bins)
+                state, since = written(moved_on(state, n, since)), []
+            j, err, logits = best_of_histogram(histogram(state, n, self.n_bins, since, log_norm).toArrow(), self.logit_max, self.n_bins)
             model.rows.append((t, j, *map(float, by_j[j]), err, logits))
             since.append((j, logits))
             log_norm += math.log(err)
@@ -118,6 +163,14 @@ class BoostedModel:
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, MODEL_SCHEMA)
 
+    def describe(self, verbose: bool = False) -> str:
+        """The estimator's settings and what was fitted, as text; verbose adds a line for each round."""
+        s = {k: v for k, v in self.settings.items() if k in BoostedBins.__dataclass_fields__}
+        lines = [f"BoostedBins({', '.join(f'{k}={v}' for k, v in s.items())})", f"classes {self.classes}, features {len(self.features)}, distinct selected {len({r[1] for r in self.rows})}, rounds {len(self.rows)}, threshold {self.threshold}"]
+        if verbose:
+            lines += [f"round {t}: {self.features[j]} in [{lo}, {hi}], error {err:.6g}, logits {[round(v, 4) for v in logits]}" for t, j, lo, hi, err, logits in self.rows]
+        return "\n".join(lines)
+
     def truncated(self, rounds: int) -> BoostedModel:
         if not 1 <= rounds <= len(self.rows):
             raise ValueError("rounds must be from 1 to the model's rounds")

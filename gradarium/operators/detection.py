@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradarium.functions.expressions import bin_of, iou_sizes, portable_uniform
-from gradarium.functions.ordering import running_sums
+from gradarium.functions.ordering import running_sums, written
 from gradarium.operators.boosting import BoostedModel
-from gradarium.operators.rectangles import integral_arrays, rectangle_sum, scaled_boxes
+from gradarium.operators.rectangles import box_value, integral_arrays, scaled_boxes
 
 
 def scales(spark: SparkSession, n: int = 9, height: int = 96, width: int = 96, growth: float = 1.2, jump: float = 0.05) -> DataFrame:
@@ -31,21 +33,17 @@ def sliding_windows(frames: DataFrame, sized: DataFrame) -> DataFrame:
     return rows.withColumn("k0", F.explode(starts(F.col("width") - F.col("w"), F.col("dk")))).select("img_id", "s", "j0", "k0", "h", "w")
 
 
-def detect(images: DataFrame, features: DataFrame, sized: DataFrame, model: BoostedModel) -> DataFrame:
-    """(img_id, s, j, k, h, w, score): windows of the images (img_id, h, w, pixels) whose score is above the model's
-    threshold. The model's feature numbers are those of the catalogue `features`.
+def detections_in_rows(images: DataFrame, features: DataFrame, sized: DataFrame, models: dict[str, BoostedModel]) -> DataFrame:
+    """(img_id, model, found array<struct<s, j, k, h, w, score>>), a row for each image and model: windows of the images
+    (img_id, h, w, pixels) whose score is above the model's threshold, in the order of scale, row and column. Feature
+    numbers of all models are those of the catalogue `features`.
 
-    An image is one row with its integral image; its windows are scored inside that row, so the image is never copied
-    to its windows, nothing is shuffled, and only detections leave. Boxes of the selected features at each scale are
-    constants of the plan."""
-    used = sorted({r[1] for r in model.rows})
+    An image is one row with one integral image for all models; its windows are scored inside that row, so the image is
+    never copied to its windows, nothing is shuffled, and images may come as a stream. Boxes of the selected features
+    at each scale are constants of the plan."""
+    used = sorted({r[1] for m in models.values() for r in m.rows})
     boxes = scaled_boxes(features.where(F.col("f").isin(used)), sized).collect()  # selected features x scales
     scales_ = sorted(sized.collect())
-    constant = json.dumps([[{"b": list(x.bg), "w": list(x.white)} for x in sorted((b for b in boxes if b.s == s.s), key=lambda b: b.f)] for s in scales_])
-    steps = json.dumps([{"i": used.index(r[1]), "lo": r[2], "hi": r[3], "l": r[5]} for r in model.rows])
-    box = "struct<b: array<int>, w: array<int>>"
-    by_scale = F.from_json(F.lit(constant), f"array<array<{box}>>")
-    rounds = F.from_json(F.lit(steps), "array<struct<i: int, lo: double, hi: double, l: array<double>>>")
     starts = lambda room, d: F.sequence(F.floor((room % d) / 2).cast("int"), room.cast("int"), d)
 
     def windows_of(place: int, r) -> Column:
@@ -54,21 +52,32 @@ def detect(images: DataFrame, features: DataFrame, sized: DataFrame, model: Boos
         grid = F.flatten(F.transform(starts(height - r.h, F.lit(r.dj)), lambda j: F.transform(starts(width - r.w, F.lit(r.dk)), lambda k: one(j, k))))
         return F.when((height >= r.h) & (width >= r.w), grid).otherwise(F.array().cast("array<struct<p:int,s:int,j:int,k:int,h:int,w:int>>"))
 
-    def value(ii: Column, width: Column, window: Column, b: Column) -> Column:
-        total = lambda c: rectangle_sum(ii, width, window["j"] + c[0], window["k"] + c[1], window["j"] + c[0] + c[2] - 1, window["k"] + c[1] + c[3] - 1)
-        area, part = b["b"][2].cast("long") * b["b"][3], b["w"][2].cast("long") * b["w"][3]
-        whole, white = total(b["b"]), total(b["w"])
-        return F.when((part > 0) & (area > part), (white / part - (whole - white) / (area - part)).cast("smallint")).otherwise(F.lit(0).cast("smallint"))
+    def found_by(model: BoostedModel) -> Column:
+        own = sorted({r[1] for r in model.rows})
+        constant = json.dumps([[{"b": list(x.bg), "w": list(x.white)} for x in sorted((b for b in boxes if b.s == s.s and b.f in own), key=lambda b: b.f)] for s in scales_])
+        steps = json.dumps([{"i": own.index(r[1]), "lo": r[2], "hi": r[3], "l": r[5]} for r in model.rows])
+        by_scale = F.from_json(F.lit(constant), "array<array<struct<b: array<int>, w: array<int>>>>")
+        rounds = F.from_json(F.lit(steps), "array<struct<i: int, lo: double, hi: double, l: array<double>>>")
 
-    def scored(ii: Column, width: Column, window: Column) -> Column:
-        x = F.transform(F.get(by_scale, window["p"]), lambda b: value(ii, width, window, b))
-        add = lambda v: F.aggregate(rounds, F.lit(0.0), lambda s, m: s + F.element_at(m["l"], bin_of(F.get(v, m["i"]), m["lo"], m["hi"], model.n_bins) + 1))
-        return F.transform(F.array(x), add)[0]
+        def scored(window: Column) -> Column:
+            x = F.transform(F.get(by_scale, window["p"]), lambda b: box_value(F.col("ii"), F.col("w"), window["j"], window["k"], b["b"], b["w"]))
+            add = lambda v: F.aggregate(rounds, F.lit(0.0), lambda s, m: s + F.element_at(m["l"], bin_of(F.get(v, m["i"]), m["lo"], m["hi"], model.n_bins) + 1))
+            return F.struct(*[window[c].alias(c) for c in "sjkhw"], F.transform(F.array(x), add)[0].alias("score"))
+
+        return F.filter(F.transform("__windows", scored), lambda x: x["score"] > model.threshold)
 
     rows = integral_arrays(images).withColumn("__windows", F.concat(*[windows_of(i, r) for i, r in enumerate(scales_)]))
-    found = F.transform("__windows", lambda v: F.struct(v.alias("v"), scored(F.col("ii"), F.col("w"), v).alias("score")))
-    rows = rows.select("img_id", F.explode(F.filter(found, lambda x: x["score"] > model.threshold)).alias("d"))
-    return rows.select("img_id", *[F.col(f"d.v.{c}").alias(c) for c in "sjkhw"], F.col("d.score").alias("score"))
+    by_model = F.array(*[F.struct(F.lit(name).alias("model"), found_by(m).alias("found")) for name, m in models.items()])
+    return rows.select("img_id", F.explode(by_model).alias("m")).select("img_id", "m.model", "m.found")
+
+
+def detect(images: DataFrame, features: DataFrame, sized: DataFrame, models: BoostedModel | dict[str, BoostedModel]) -> DataFrame:
+    """(img_id, s, j, k, h, w, score) of one model, with a column model for several: a row for each detection of
+    detections_in_rows()."""
+    many = isinstance(models, dict)
+    rows = detections_in_rows(images, features, sized, models if many else {"": models})
+    rows = rows.select("img_id", "model", F.explode("found").alias("d"))
+    return rows.select("img_id", *(["model"] if many else []), "d.*")
 
 
 def above(scored: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -76,47 +85,102 @@ def above(scored: DataFrame, threshold: float = 0.0) -> DataFrame:
     return scored.where(F.col("score") > threshold)
 
 
-def _clusters(rows: pd.DataFrame, least: float, drop_last: bool):
-    """Indices of greedy clusters: the best box left takes all later ones that overlap it enough."""
-    rows = rows.sort_values(["score", "j", "k", "h", "w"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
-    j, k, h, w = (rows[c].to_numpy("float64") for c in "jkhw")
-    left = list(range(len(rows)))
-    while left:
+def clusters(boxes: np.ndarray, least: float, drop_last: bool = False) -> list[np.ndarray]:
+    """Greedy clusters of boxes (j, k, h, w), the best first: the first box left takes all later ones that overlap it by an
+    IoU of `least` or more."""
+    j, k, h, w = boxes.T.astype(np.float64)
+    area, left, out = h * w, np.arange(len(boxes)), []
+    while len(left):
         if drop_last and len(left) == 1:
-            return
-        i, rest = left[0], pd.Index(left[1:]).to_numpy()
-        if len(rest):
-            dj = (pd.Series(j[rest] + h[rest]).clip(upper=j[i] + h[i]) - pd.Series(j[rest]).clip(lower=j[i])).to_numpy()
-            dk = (pd.Series(k[rest] + w[rest]).clip(upper=k[i] + w[i]) - pd.Series(k[rest]).clip(lower=k[i])).to_numpy()
-            both = dj.clip(min=0) * dk.clip(min=0)
-            near = both / (h[rest] * w[rest] + h[i] * w[i] - both) >= least
-        else:
-            near = []
-        own = [i, *[int(r) for r, hit in zip(rest, near, strict=True) if hit]]
-        yield rows.iloc[own]
-        left = [int(r) for r, hit in zip(rest, near, strict=True) if not hit]
+            break
+        i, rest = left[0], left[1:]
+        dj = np.minimum(j[rest] + h[rest], j[i] + h[i]) - np.maximum(j[rest], j[i])
+        dk = np.minimum(k[rest] + w[rest], k[i] + w[i]) - np.maximum(k[rest], k[i])
+        both = np.maximum(dj, 0) * np.maximum(dk, 0)
+        near = both / (area[rest] + area[i] - both) >= least
+        out.append(left[np.append(True, near)])
+        left = rest[~near]
+    return out
 
 
-_OUT = "img_id long, j int, k int, h int, w int, score double"
+def _kept(boxes: np.ndarray, score: np.ndarray, least: float, average: bool, drop_last: bool) -> tuple[np.ndarray, np.ndarray]:
+    found = clusters(boxes, least, drop_last)
+    if average:
+        return np.array([np.rint(boxes[c].mean(0)) for c in found]).reshape(-1, 4), np.array([score[c].mean() for c in found])
+    head = np.array([c[0] for c in found], np.int64)
+    return boxes[head], score[head]
 
 
 def suppress(detections: DataFrame, least: float = 0.25, average: bool = False, drop_last: bool = False) -> DataFrame:
-    """Greedy suppression within each image: best score first (ties by place); boxes that overlap it by an IoU of
-    `least` or more join its cluster. The cluster is its best box, or with average the rounded mean box and mean score.
-    Order decides here, so each image is one group, bounded by its windows. drop_last: a last box alone in its
-    cluster is not returned."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = list(_clusters(rows, least, drop_last))
-        if average:
-            parts = [{**{c: int(round(x[c].mean())) for c in "jkhw"}, "score": x["score"].mean()} for x in found]
-        else:
-            parts = [{**{c: int(x[c].iloc[0]) for c in "jkhw"}, "score": x["score"].iloc[0]} for x in found]
-        out = pd.DataFrame(parts, columns=[*"jkhw", "score"])
-        out.insert(0, "img_id", rows["img_id"].iloc[0])
-        return out
-
-    return detections.select("img_id", *[F.col(c).cast("int").alias(c) for c in "jkhw"], F.col("score").cast("double").alias("score")).groupBy("img_id").applyInPandas(run, _OUT)
+    """(img_id, j, k, h, w, score), with model if detections have it: greedy suppression within each image (and model),
+    best score first; ties by scale, row and column where the scale s is known, else by place and size. Boxes that overlap
+    the best by an IoU of `least` or more join its cluster. The cluster is its best box, or with average the rounded
+    mean box and mean score. drop_last: a last box alone in its cluster is not returned.
+
+    Order decides here, so an image is looked at as a whole, which is bounded by its windows; images are sorted within
+    the tasks they are dealt out to, and stream through them one after the other."""
+    keys = ["img_id", *(["model"] if "model" in detections.columns else [])]
+    places = ["s", "j", "k"] if "s" in detections.columns else list("jkhw")
+    rows = detections.select(*keys, *[F.col(c).cast("int").alias(c) for c in dict.fromkeys([*places, *"jkhw"])], F.col("score").cast("double").alias("score"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("score"), *places).select(*keys, *"jkhw", "score")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(table: pa.Table) -> pa.RecordBatch:
+            boxes = np.stack([table.column(c).to_numpy() for c in "jkhw"], 1)
+            score, new = table.column("score").to_numpy(), starts(table)
+            parts = [_kept(boxes[a:b], score[a:b], least, average, drop_last) for a, b in zip(new, np.append(new[1:], len(score)), strict=True)]
+            of = np.repeat(new, [len(p[1]) for p in parts])
+            out = np.concatenate([p[0] for p in parts]).astype(np.int32)
+            columns = [table.column(c).take(pa.array(of)).combine_chunks() for c in keys] + [pa.array(np.ascontiguousarray(c)) for c in out.T] + [pa.array(np.concatenate([p[1] for p in parts]))]
+            return pa.RecordBatch.from_arrays(columns, [*keys, *"jkhw", "score"])
+
+        def starts(table: pa.Table) -> np.ndarray:
+            new = np.zeros(table.num_rows, bool)
+            new[0] = True
+            for c in keys:
+                v = table.column(c).to_pandas().to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            return np.flatnonzero(new)
+
+        held: pa.Table | None = None
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                held = table if held is None else pa.concat_tables([held, table])
+                last = int(starts(held)[-1])  # this image may go on
+                if last:
+                    yield done(held.slice(0, last))
+                    held = held.slice(last)
+        if held is not None:
+            yield done(held)
+
+    schema = rows.select(*keys, *"jkhw", "score").schema
+    return rows.mapInArrow(run, schema)
+
+
+def suppress_in_rows(rows: DataFrame, least: float = 0.25, average: bool = False, drop_last: bool = False) -> DataFrame:
+    """The same for the rows of detections_in_rows(): an image's detections already lie in one row, so nothing is
+    shuffled and images may come as a stream. The best score comes first, of equal ones the window that comes first."""
+    names = ["img_id", "model", *"jkhw", "score"]
+    kind = rows.schema["img_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(2)
+            flat, sizes = found.flatten(), np.array([len(x) if x.is_valid else 0 for x in found])
+            boxes = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in "jkhw"], 1) if len(flat) else np.zeros((0, 4), np.int32)
+            score = flat.field("score").to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0)
+            parts, at = [], 0
+            for n in sizes:
+                order = at + np.argsort(-score[at : at + n], kind="stable")
+                parts.append(_kept(boxes[order], score[order], least, average, drop_last))
+                at += n
+            of = pa.array(np.repeat(np.arange(len(sizes)), [len(p[1]) for p in parts]))
+            out = np.concatenate([np.zeros((0, 4)), *[p[0] for p in parts]]).astype(np.int32)
+            columns = [batch.column(0).take(of), batch.column(1).take(of), *[pa.array(np.ascontiguousarray(c)) for c in out.T], pa.array(np.concatenate([np.zeros(0), *[p[1] for p in parts]]))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return rows.select("img_id", "model", "found").mapInArrow(run, f"img_id {kind}, model string, j int, k int, h int, w int, score double")
 
 
 def rescaled(detections: DataFrame, scale: Column | float) -> DataFrame:
@@ -148,20 +212,32 @@ def valid_targets(targets: DataFrame, least_relative: float = 0.075) -> DataFram
     return targets.where(inside & (F.col("h") / F.col("height") >= least_relative))
 
 
-def negative_windows(images: DataFrame, targets: DataFrame, per_image: int, draws: int = 20, most_iou: float = 0.5) -> DataFrame:
-    """(img_id, draw, j, k, h, w): square windows of 0.1 to 0.5 of the height at places drawn by a hash, whose IoU with
-    every target of the image is below most_iou; the first `per_image` of `draws`. An image whose draws run out has
-    fewer."""
+def negative_windows(images: DataFrame, targets: DataFrame, per_image: int, draws: int = 20, most_iou: float = 0.5, rounded: bool = False, most_rounds: int = 100) -> DataFrame:
+    """(img_id, draw, j, k, h, w): square windows of 0.1 to 0.5 of the height (cut to a whole number, or rounded) at places
+    drawn by a hash, whose IoU with every target of the image is below most_iou; the first `per_image` of them.
+
+    Draws come `draws` at a time; images that are still short go on with the next ones, until none is. Images where
+    most_rounds rounds don't suffice have no room: that is an error."""
     u = lambda what: portable_uniform(F.col("img_id"), F.col("draw"), F.lit(what))
-    drawn = images.select("img_id", "height", "width").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    side = F.greatest(F.floor((F.lit(0.1) + u("side") * 0.4) * F.col("height")), F.lit(1)).cast("int")
-    drawn = drawn.withColumn("h", side).withColumn("w", F.col("h"))
-    drawn = drawn.withColumns({"j": F.floor(u("j") * (F.col("height") - F.col("h") + 1)).cast("int"), "k": F.floor(u("k") * (F.col("width") - F.col("w") + 1)).cast("int")})
-    a, b = drawn.alias("a"), targets.select("img_id", *"jkhw").alias("b")
+    whole = F.rint if rounded else F.floor
+    short, out = images.select("img_id", "height", "width", F.lit(0).cast("long").alias("__have")), None
     corner = lambda s: tuple(F.col(f"{s}.{c}") for c in "jkhw")
-    clear = a.join(b, (F.col("a.img_id") == F.col("b.img_id")) & (iou_sizes(corner("a"), corner("b")) >= most_iou), "left_anti")
-    nth = F.row_number().over(Window.partitionBy("img_id").orderBy("draw"))
-    return clear.withColumn("__n", nth).where(F.col("__n") <= per_image).select("img_id", "draw", *"jkhw")
+    for k in range(most_rounds):
+        drawn = short.withColumn("draw", F.explode(F.sequence(F.lit(k * draws), F.lit((k + 1) * draws - 1))))
+        side = F.greatest(whole((F.lit(0.1) + u("side") * 0.4) * F.col("height")), F.lit(1)).cast("int")
+        drawn = drawn.withColumn("h", side).withColumn("w", F.col("h"))
+        drawn = drawn.withColumns({"j": F.floor(u("j") * (F.col("height") - F.col("h") + 1)).cast("int"), "k": F.floor(u("k") * (F.col("width") - F.col("w") + 1)).cast("int")})
+        a, b = drawn.alias("a"), targets.select("img_id", *"jkhw").alias("b")
+        clear = a.join(b, (F.col("a.img_id") == F.col("b.img_id")) & (iou_sizes(corner("a"), corner("b")) >= most_iou), "left_anti")
+        nth = F.row_number().over(Window.partitionBy("img_id").orderBy("draw"))
+        taken = written(clear.withColumn("__n", nth).where(F.col("__n") <= per_image - F.col("__have")).select("img_id", "draw", *"jkhw"))
+        out = taken if out is None else out.unionByName(taken)
+        new = taken.groupBy("img_id").agg(F.count(F.lit(1)).alias("__new"))
+        have = F.col("__have") + F.coalesce("__new", F.lit(0))
+        short = written(short.join(new, "img_id", "left").select("img_id", "height", "width", have.alias("__have")).where(F.col("__have") < per_image))
+        if not short.limit(1).count():
+            return out
+    raise ValueError(f"no room for {per_image} negative windows in image {short.first().img_id}")
 
 
 def head_tail_split(rows: DataFrame, ratio: float, *order: str) -> DataFrame:

@@ -43,12 +43,13 @@ def roc_points(scored: DataFrame, y: str = "y", score: str = "score", digits: in
 
 def precision_threshold(roc: DataFrame, coefficient: float = 0.25) -> DataFrame:
     """One row (rank, precision, threshold). Precision tp / (tp + fp) is taken at vertices with false positives; the
-    first best one gives the threshold, mixed with that of the vertex before it among these: c * own + (1 - c) * before."""
+    first best one is mixed with the vertex before it among these, in threshold and precision: c * own + (1 - c) *
+    before."""
     own = written(roc.where("fp > 0").withColumn("precision", F.col("tp") / (F.col("tp") + F.col("fp"))))
-    best = own.agg(F.min(F.struct((-F.round("precision", 12)).alias("k"), "rank", "precision", "threshold")).alias("s")).select("s.rank", "s.precision", F.col("s.threshold").alias("own"))
-    before = own.crossJoin(F.broadcast(best.select(F.col("rank").alias("best")))).where("rank < best").agg(F.max(F.struct("rank", "threshold")).alias("b"))
-    mixed = F.lit(coefficient) * F.col("own") + F.lit(1 - coefficient) * F.col("b.threshold")
-    return best.crossJoin(before).select("rank", "precision", F.when(F.col("b").isNull(), F.col("own")).otherwise(mixed).alias("threshold"))
+    best = own.agg(F.min(F.struct((-F.round("precision", 12)).alias("k"), "rank", "precision", "threshold")).alias("s")).select("s.rank", F.col("s.precision").alias("p"), F.col("s.threshold").alias("t"))
+    before = own.crossJoin(F.broadcast(best.select(F.col("rank").alias("best")))).where("rank < best").agg(F.max(F.struct("rank", "threshold", "precision")).alias("b"))
+    mixed = lambda c, b: F.when(F.col("b").isNull(), F.col(c)).otherwise(F.lit(coefficient) * F.col(c) + F.lit(1 - coefficient) * F.col(f"b.{b}")).alias(b)
+    return best.crossJoin(before).select("rank", mixed("p", "precision"), mixed("t", "threshold"))
 
 
 def max_ratios(measured: DataFrame, by: list[str], value: str = "value", least: float = 1e-9) -> DataFrame:

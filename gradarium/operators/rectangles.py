@@ -86,17 +86,22 @@ def scaled_boxes(features: DataFrame, scales: DataFrame) -> DataFrame:
     return features.crossJoin(scales.select("s", "h", "w")).select("s", "f", cut("bg").alias("bg"), cut("white").alias("white"))
 
 
+def box_value(ii: Column, width: Column, j0: Column, k0: Column, bg: Column, white: Column) -> Column:
+    """Mean of the white part less mean of the black part, cut to a whole number, of boxes (j, k, height, width) in a window
+    at (j0, k0). A part without area gives 0."""
+
+    def total(box: Column) -> tuple[Column, Column]:
+        j, k = j0 + box[0], k0 + box[1]
+        return rectangle_sum(ii, width, j, k, j + box[2] - 1, k + box[3] - 1), box[2].cast("long") * box[3]
+
+    (whole, area), (lit, part) = total(bg), total(white)
+    return F.when((part > 0) & (area > part), (lit / part - (whole - lit) / (area - part)).cast("smallint")).otherwise(F.lit(0).cast("smallint"))
+
+
 def window_features(windows: DataFrame, boxes: DataFrame, images: DataFrame) -> DataFrame:
-    """(img_id, s, j0, k0, f, value): mean of the white part less mean of the black part, cut to a whole number.
+    """(img_id, s, j0, k0, f, value): the box_value of each feature in each window.
 
     windows (img_id, s, j0, k0), boxes from scaled_boxes (a parameter table, broadcast), images with ii."""
     rows = windows.select("img_id", "s", "j0", "k0").join(images.select("img_id", "w", "ii"), "img_id").join(F.broadcast(boxes), "s")
-
-    def total(box: str) -> tuple[Column, Column]:
-        j, k = F.col("j0") + F.col(box)[0], F.col("k0") + F.col(box)[1]
-        area = F.col(box)[2].cast("long") * F.col(box)[3]
-        return rectangle_sum(F.col("ii"), F.col("w"), j, k, j + F.col(box)[2] - 1, k + F.col(box)[3] - 1), area
-
-    (whole, area), (white, part) = total("bg"), total("white")
-    value = F.when((part > 0) & (area > part), (white / part - (whole - white) / (area - part)).cast("smallint")).otherwise(F.lit(0).cast("smallint"))
+    value = box_value(F.col("ii"), F.col("w"), F.col("j0"), F.col("k0"), F.col("bg"), F.col("white"))
     return rows.select("img_id", "s", "j0", "k0", "f", value.alias("value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -74,7 +75,7 @@ long AS (SELECT vec_id, y, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS
         parts += [
             f"g{t} AS (SELECT j, b, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS wp, sum(CASE WHEN y = -1 THEN w ELSE 0 END) AS wn FROM binned JOIN w{t} USING (vec_id) GROUP BY j, b)",
             f"h{t} AS (SELECT j, b, wp, wn, {logit_sql()} AS l FROM g{t})",
-            f"s{t} AS (SELECT j, sum(wp * exp(-l) + wn * exp(l)) AS err FROM h{t} GROUP BY j ORDER BY round(err, 10), j LIMIT 1)",
+            f"s{t} AS (SELECT j, sum(wp * exp(-l) + wn * exp(l)) AS err FROM h{t} GROUP BY j ORDER BY round(err, 13), j LIMIT 1)",
             f"w{t + 1} AS (SELECT vec_id, w * exp(-y * l) / err AS w FROM w{t} JOIN binned USING (vec_id) JOIN s{t} USING (j) JOIN h{t} USING (j, b))",
         ]
     return "WITH " + ",\n".join(parts)
@@ -140,8 +141,7 @@ def bins_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _first_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = binning.feature_rows(embeddings(spark, sf_dir), "y", "embedding")
     ranges = [tuple(r) for r in binning.find_ranges(binning.long_form(rows), TRIM).collect()]
-    binned = binning.bin_rows(rows, ranges, BINS)
-    return boosting.histogram(binned, F.lit(1.0) / F.lit(float(binned.count())))
+    return boosting.histogram(binning.bin_state(rows, ranges, BINS), len(ranges), BINS, log_norm=math.log(rows.count()))
 
 
 @query(boosting_sql(1) + "\nSELECT j, b, round(wp, 9) AS wp, round(wn, 9) AS wn, round(l, 9) AS l FROM h0")
@@ -206,8 +206,8 @@ def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores_sql(ROUNDS)
     + _ROC_SQL
     + """,
-q AS (SELECT rank, threshold, tp / (tp + fp) AS precision, lag(threshold) OVER (ORDER BY rank) AS before FROM roc WHERE fp > 0)
-SELECT rank, round(precision, 9) AS precision, round(CASE WHEN before IS NULL THEN threshold ELSE 0.25 * threshold + 0.75 * before END, 9) AS threshold FROM q ORDER BY round(precision, 12) DESC, rank LIMIT 1"""
+q AS (SELECT rank, threshold, tp / (tp + fp) AS precision, lag(threshold) OVER (ORDER BY rank) AS before, lag(tp / (tp + fp)) OVER (ORDER BY rank) AS p0 FROM roc WHERE fp > 0)
+SELECT rank, round(CASE WHEN before IS NULL THEN precision ELSE 0.25 * precision + 0.75 * p0 END, 9) AS precision, round(CASE WHEN before IS NULL THEN threshold ELSE 0.25 * threshold + 0.75 * before END, 9) AS threshold FROM q ORDER BY round(precision, 12) DESC, rank LIMIT 1"""
 )
 def threshold_by_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = metrics.precision_threshold(metrics.roc_points(_scored(spark, sf_dir), digits=6))
@@ -399,7 +399,7 @@ def _u(what: str) -> str:
 @query(
     f"""WITH {_BOXES_SQL},
 img AS (SELECT DISTINCT img_id FROM boxes),
-d0 AS (SELECT img_id, draw FROM img, (SELECT unnest(range(0, 10)) AS draw)),
+d0 AS (SELECT img_id, draw FROM img, (SELECT unnest(range(0, 400)) AS draw)),
 d1 AS (SELECT img_id, draw, CAST(greatest(floor((0.1::DOUBLE + {_u("side")} * 0.4::DOUBLE) * 200), 1) AS INTEGER) AS h FROM d0),
 d2 AS (SELECT *, h AS w, CAST(floor({_u("j")} * (200 - h + 1)) AS INTEGER) AS j, CAST(floor({_u("k")} * (200 - h + 1)) AS INTEGER) AS k FROM d1),
 hit AS (SELECT DISTINCT d.img_id, d.draw FROM (SELECT a.img_id, a.draw, a.h AS ah, a.w AS aw, b.h AS bh, b.w AS bw, least(a.j + a.h, b.j + b.h) - greatest(a.j, b.j) AS dj, least(a.k + a.w, b.k + b.w) - greatest(a.k, b.k) AS dk
@@ -462,7 +462,7 @@ def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path if _is_folder(spark, path) else f"{path}*")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path if _is_folder(spark, path) else f"{path}*")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

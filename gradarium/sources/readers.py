@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradarium.functions.expressions import portable_uniform
 
+#: Shares of blue, green and red in a gray level.
+GRAY = np.array([0.114, 0.587, 0.299])
+
 
 def matrix(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame:
     """A labelled matrix in any format that Spark reads (parquet, orc, json, csv with a schema)."""
@@ -46,6 +51,22 @@ def image_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
+def gray_images(spark: SparkSession, path: str) -> DataFrame:
+    """(path, h, w, pixels array<smallint> by rows) of image files, decoded by Spark's image source. Colours become gray
+    levels with the usual weights; a fourth channel is left out. Files that are no images are dropped."""
+
+    @F.pandas_udf("array<smallint>")
+    def gray(data: pd.Series, channels: pd.Series) -> pd.Series:
+        out = []
+        for raw, n in zip(data, channels, strict=True):
+            p = np.frombuffer(raw, np.uint8).reshape(-1, int(n)).astype(np.float64)
+            out.append((np.rint(p[:, :3] @ GRAY) if n >= 3 else p[:, 0]).astype(np.int16))
+        return pd.Series(out)
+
+    rows = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    return rows.select(F.col("origin").alias("path"), F.col("height").alias("h"), F.col("width").alias("w"), gray("data", "nChannels").alias("pixels"))
+
+
 def ellipse_annotations(spark: SparkSession, path: str) -> DataFrame:
     """(file, image, nth, major, minor, angle, cx, cy) of annotation files: a path, a count, then so many lines of
     ellipses (five numbers and a flag). Lines of an ellipse follow the nearest path line before them."""
@@ -66,9 +87,10 @@ def ellipses(lines: DataFrame) -> DataFrame:
 
 
 def ellipse_targets(ellipse_rows: DataFrame) -> DataFrame:
-    """Square boxes of side floor(1.5 * major), centred on the ellipse: j, k, h, w."""
-    side = F.floor(F.col("major") * 1.5).cast("int")
-    return ellipse_rows.withColumns({"h": side, "w": side, "j": F.floor(F.col("cy") - side / 2).cast("int"), "k": F.floor(F.col("cx") - side / 2).cast("int")})
+    """Square boxes of side 1.5 * major around the ellipse's centre: j, k, h, w, all cut towards zero."""
+    side = (F.col("major") * 1.5).cast("int")
+    start = lambda c: (F.col(c) - side * 0.5).cast("int")
+    return ellipse_rows.withColumns({"h": side, "w": side, "j": start("cy"), "k": start("cx")})
 
 
 def box_annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -83,7 +105,9 @@ def boxes_of_json(df: DataFrame, column: str) -> DataFrame:
 
 
 def box_targets(boxes: DataFrame, label: str, height: Column, width: Column) -> DataFrame:
-    """Square boxes of the larger side around the centres of boxes with this label: j, k, h, w in pixels, rounded."""
-    side = F.rint(F.greatest(F.col("bh") * height, F.col("bw") * width)).cast("int")
-    centre = lambda at, size, whole: (F.col(at) + F.col(size) / 2) * whole
-    return boxes.where(F.col("label") == label).withColumns({"h": side, "w": side, "j": F.rint(centre("y", "bh", height) - side / 2).cast("int"), "k": F.rint(centre("x", "bw", width) - side / 2).cast("int")})
+    """Square boxes of the larger side around the centres of boxes with this label: j, k, h, w in pixels. Places are moved
+    by half of what the unrounded sides differ; everything is rounded last, half to even."""
+    h, w = F.col("bh") * height, F.col("bw") * width
+    side = F.greatest(h, w)
+    start = lambda at, own: F.rint(at + (own - side) * 0.5).cast("int")
+    return boxes.where(F.col("label") == label).withColumns({"h": F.rint(side).cast("int"), "w": F.rint(side).cast("int"), "j": start(F.col("y") * height, h), "k": start(F.col("x") * width, w)})

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gradarium.functions.ordering import written
 from gradarium.operators.boosting import BoostedModel
+from gradarium.operators.detection import detections_in_rows, suppress_in_rows
 
 DECAY = 0.9
 
@@ -25,31 +28,76 @@ def score_stream(stream: DataFrame, models: dict[str, BoostedModel]) -> DataFram
     return out
 
 
+def detect_stream(frames: DataFrame, features: DataFrame, sized: DataFrame, models: dict[str, BoostedModel], least: float = 0.25, average: bool = True, drop_last: bool = False) -> DataFrame:
+    """(img_id, model, j, k, h, w, score): suppressed detections of each model in a stream of frames (img_id, h, w,
+    pixels). Frames share one integral image between the models and are finished one by one, without state."""
+    return suppress_in_rows(detections_in_rows(frames, features, sized, models), least, average, drop_last)
+
+
+def folded(x: np.ndarray, start: float, decay: float, step: int = 256) -> np.ndarray:
+    """a' = decay * a + (1 - decay) * x from a = start, after each x. Weights run over pieces of bounded length, so their
+    powers stay in range."""
+    out = np.empty(len(x))
+    step = max(1, min(step, int(500 / -np.log(decay)))) if decay > 0 else 1
+    for k in range(0, len(x), step):
+        part = x[k : k + step]
+        up = decay ** np.arange(1, len(part) + 1) if decay > 0 else np.zeros(len(part))
+        out[k : k + step] = up * (start + (1 - decay) * np.cumsum(part / up)) if decay > 0 else part
+        start = out[min(k + step, len(x)) - 1]
+    return out
+
+
 def moving_average(rows: DataFrame, key: str, order: str, value: str, decay: float = DECAY) -> DataFrame:
     """Exponential moving average of each key up to each row, corrected for its start, for batches. Ties in order are
-    not defined. Rows so far back that their weight is below 1e-18 can't change a double and are not folded, so a
-    frame is bounded however many rows a key has."""
-    horizon = math.ceil(math.log(1e-18) / math.log(decay))
-    w = Window.partitionBy(key).orderBy(order)
-    seen = F.collect_list(value).over(w.rowsBetween(-horizon, 0))
-    folded = F.aggregate(seen, F.lit(0.0), lambda s, x: F.lit(decay) * s + F.lit(1 - decay) * x)
-    return rows.withColumn("ema", folded / (F.lit(1.0) - F.pow(F.lit(decay), F.row_number().over(w).cast("double"))))
+    not defined.
+
+    Rows are dealt out by ranges of (key, order) and each range is folded from zero in one pass; the average is linear in
+    where it starts, so a range's start, folded over the ranges of its key before it, is added with its weight. A key
+    with most of the rows is many ranges; only a row for each key and range meets in a window."""
+    ranged = rows.repartitionByRange(key, order).sortWithinPartitions(key, order).withColumn("__part", F.spark_partition_id())
+    names = [*ranged.columns, "__own", "__n"]
+    at = ranged.columns.index(key), ranged.columns.index(value)
+    schema = ranged.select("*", F.lit(0.0).alias("__own"), F.lit(0).cast("long").alias("__n")).schema
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name: Any = None
+        average, n, fresh = 0.0, 0, True
+        for batch in batches:
+            keys, x = batch.column(at[0]).to_pandas().to_numpy(), batch.column(at[1]).to_numpy(zero_copy_only=False).astype(np.float64)
+            own, count = np.empty(len(x)), np.empty(len(x), np.int64)
+            new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+            for a, b in zip(new, np.append(new[1:], len(x))[: len(new)], strict=True):
+                if fresh or keys[a] != name:
+                    name, average, n, fresh = keys[a], 0.0, 0, False
+                own[a:b] = folded(x[a:b], average, decay)
+                count[a:b] = np.arange(n + 1, n + 1 + b - a)
+                average, n = own[b - 1], n + b - a
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(count)], names)
+
+    local = written(ranged.mapInArrow(fold, schema))
+    ends = local.groupBy(key, "__part").agg(F.max("__n").alias("n"), F.max_by("__own", "__n").alias("own"))  # a row for each key and range
+    seen = F.collect_list(F.struct("n", "own")).over(Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    power = lambda n: F.pow(F.lit(decay), n.cast("double"))
+    begin = F.aggregate(seen, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("own")), lambda s, e: F.struct((s["n"] + e["n"]).alias("n"), (s["own"] * power(e["n"]) + e["own"]).alias("own")))
+    starts = written(ends.select(F.col(key).alias("__key"), F.col("__part").alias("__of"), begin.alias("__start")))
+    out = local.join(starts, (F.col(key) == F.col("__key")) & (F.col("__part") == F.col("__of")))
+    ema = (F.col("__own") + F.col("__start.own") * power(F.col("__n"))) / (F.lit(1.0) - power(F.col("__start.n") + F.col("__n")))
+    return out.select(*rows.columns, ema.alias("ema"))
 
 
 def moving_average_stream(stream: DataFrame, key: str, order: str, value: str, decay: float = DECAY) -> DataFrame:
     """(key, order, value, ema, n, total) of a stream of rows that come in order within each key: the state is the
-    average, the number and the total of the rows so far. Keys are strings, order is a whole number."""
+    average, the number and the total of the rows so far. Keys are strings, order is a whole number. A key's rows of one
+    trigger are put in order together, so a source of files should be read a bounded number of files at a time."""
 
     def update(name: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         average, n, total = state.get if state.exists else (0.0, 0, 0.0)
         rows = pd.concat(list(batches)).sort_values("order")
-        out = []
-        for x in rows["value"]:
-            average, n, total = decay * average + (1 - decay) * x, n + 1, total + x
-            out.append((average / (1 - decay**n), n, total))
-        state.update((average, n, total))
-        ema, count, sums = zip(*out, strict=True)
-        yield pd.DataFrame({"key": name[0], "order": rows["order"].to_numpy(), "value": rows["value"].to_numpy(), "ema": ema, "n": count, "total": sums})
+        x = rows["value"].to_numpy()
+        own, count = folded(x, average, decay), np.arange(n + 1, n + 1 + len(x))
+        sums = np.cumsum(np.append(total, x))[1:]
+        state.update((float(own[-1]), int(count[-1]), float(sums[-1])))
+        yield pd.DataFrame({"key": name[0], "order": rows["order"].to_numpy(), "value": x, "ema": own / (1 - decay ** count.astype(float)), "n": count, "total": sums})
 
     own = stream.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("order"), F.col(value).cast("double").alias("value"))
     schema = "key string, order long, value double, ema double, n long, total double"

@@ -29,7 +29,7 @@ def numpy_fit(x, y, rounds, b=8, r=0.05, most=2.0):
             with np.errstate(divide="ignore", invalid="ignore"):
                 v = np.where(p == q, 0, np.where(p == 0, -most, np.where(q == 0, most, np.clip(0.5 * np.log(p / q), -most, most))))
             err = float((w * np.exp(-y * v[bins[:, j]])).sum())
-            if best is None or round(err, 10) < round(best[1], 10):
+            if best is None or round(err, 13) < round(best[1], 13):
                 best = (j, err, v)
         j, err, v = best
         w = w * np.exp(-y * v[bins[:, j]]) / err
@@ -58,6 +58,7 @@ def test_fit_equals_numpy(data):
     scores = np.array([r.score for r in model.transform(df).orderBy("id").collect()])
     assert scores == pytest.approx(sum(v[bins[:, j]] for j, _, v in want), abs=1e-9)
     assert model.truncated(7).rows == model.rows[:7]
+    assert "rounds=20" in model.describe() and model.describe(verbose=True).count("\n") == 21
 
 
 def test_many_rounds_score_alike(data, spark):

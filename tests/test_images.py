@@ -1,8 +1,10 @@
+import struct
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradarium.operators import detection, rectangles
+from gradarium.operators import builders, detection, rectangles
 from gradarium.operators.boosting import BoostedModel
 from gradarium.sources import readers
 
@@ -133,6 +135,62 @@ def test_annotations(spark, tmp_path):
     assert [(r.image, r.h, r.w, r.j, r.k) for r in box] == [("x1", 60, 60, -5, 20)]
 
 
+def test_targets_are_cut_and_rounded_at_the_end(spark):
+    rows = spark.createDataFrame([(67.5, 50.2, 50.9), (10.0, 50.0, 6.6), (10.0, 6.6, 50.0), (10.0, 6.0, 50.0)], "major double, cx double, cy double")
+    got = [(r.h, r.j, r.k) for r in readers.ellipse_targets(rows).collect()]
+    assert got == [(int(1.5 * m), int(y - 0.5 * int(1.5 * m)), int(x - 0.5 * int(1.5 * m))) for m, x, y in ((67.5, 50.2, 50.9), (10.0, 50.0, 6.6), (10.0, 6.6, 50.0), (10.0, 6.0, 50.0))]
+    assert got[1][1] == 0 and got[3][2] == -1  # -0.9 is cut to 0, -1.5 to -1
+    box = spark.createDataFrame([("a", 0, "palm", 0.031, 0.027, 0.106, 0.104)], "image string, nth int, label string, x double, y double, bw double, bh double")
+    r = readers.box_targets(box, "palm", F.lit(100), F.lit(100)).first()
+    assert (r.h, r.j, r.k) == (11, 3, 3)
+
+
+def test_negatives_go_on_until_there_are_enough(spark):
+    images = spark.createDataFrame([(i, 100, 100) for i in range(6)], "img_id long, height int, width int")
+    crowd = spark.createDataFrame([(i, 10 * a, 10 * b, 28, 28) for i in range(6) for a in range(8) for b in range(8)], "img_id long, j int, k int, h int, w int")
+    few = detection.negative_windows(images, crowd, 4, draws=4, most_iou=0.2).collect()
+    assert all(sum(r.img_id == i for r in few) == 4 for i in range(6)) and max(r.draw for r in few) >= 4
+    whole = detection.negative_windows(images, crowd, 4, draws=400, most_iou=0.2).collect()
+    assert sorted(few) == sorted(whole)
+    full = spark.createDataFrame([(0, 0, 0, 9, 9)], "img_id long, j int, k int, h int, w int")
+    with pytest.raises(ValueError, match="no room"):
+        detection.negative_windows(images.where("img_id = 0"), full, 1, draws=2, most_iou=0.0, most_rounds=2)
+
+
+def test_examples_from_images_and_annotations(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    (tmp_path / "im" / "a").mkdir(parents=True)
+    shapes = {"one": (60, 80), "two": (50, 50)}
+    pixels = {n: rng.integers(0, 256, (*s, 3)).astype(np.uint8) for n, s in shapes.items()}
+    for n, p in pixels.items():  # a bitmap: rows from the bottom up, padded to four bytes, blue first
+        h, w, _ = p.shape
+        lines = b"".join(r.tobytes() + b"\0" * (-3 * w % 4) for r in p[::-1])
+        (tmp_path / "im" / "a" / f"{n}.bmp").write_bytes(b"BM" + struct.pack("<IHHIIiiHHIIiiII", 54 + len(lines), 0, 0, 54, 40, w, h, 1, 24, 0, len(lines), 0, 0, 0, 0) + lines)
+    gray = {r.path.split("/")[-1]: np.array(r.pixels).reshape(r.h, r.w) for r in readers.gray_images(spark, f"{tmp_path}/im/a").collect()}
+    for n, p in pixels.items():
+        assert (gray[f"{n}.bmp"] == np.rint(p.astype(float) @ [0.114, 0.587, 0.299])).all()
+    (tmp_path / "fold-03.txt").write_text("a/one\n2\n20 10 0.1 40 30 1\n20 10 0.1 5 30 1\n")
+    (tmp_path / "fold-10.txt").write_text("a/two\n1\n12 5 0.1 25 25 1\n")
+    features = rectangles.catalogue(spark, 2, 1)
+    unit = {r.f: (r.bg, r.white) for r in features.collect()}
+
+    def value(p, r, f):
+        (a, b, c, d), (e, g, u, v) = ([int(x * s) for x, s in zip(box, (r.h, r.w, r.h, r.w), strict=True)] for box in unit[f])
+        whole, white = p[r.j + a : r.j + a + c, r.k + b : r.k + b + d], p[r.j + e : r.j + e + u, r.k + g : r.k + g + v]
+        return int(white.sum() / white.size - (whole.sum() - white.sum()) / (whole.size - white.size)) if white.size and whole.size > white.size else 0
+
+    rows = builders.ellipse_examples(spark, f"{tmp_path}/im/a", f"{tmp_path}/fold-*.txt", features, 3, folders=1).collect()
+    assert sorted((r.img_id, r.nth, r.y, r.is_train) for r in rows) == [(n, k, 1 if k == 0 else -1, n == "a/one") for n in ("a/one", "a/two") for k in range(4)]
+    assert {(r.img_id, r.j, r.k, r.h) for r in rows if r.y == 1} == {("a/one", 15, 25, 30), ("a/two", 16, 16, 18)}
+    for r in rows:
+        p = gray[r.img_id[2:] + ".bmp"].astype(int)
+        assert r.x == [value(p, r, f) for f in sorted(unit)]
+    (tmp_path / "b.json").write_text('{"one": {"bboxes": [[0.2, 0.2, 0.3, 0.3], [0, 0, 0.2, 0.2]], "labels": ["palm", "none"]}, "two": {"bboxes": [[0.1, 0.1, 0.5, 0.4]], "labels": ["palm"]}}')
+    rows = builders.box_examples(spark, f"{tmp_path}/im/a", f"{tmp_path}/b.json", "palm", features, 3).orderBy("img_id", "nth").collect()
+    assert [r.is_train for r in rows] == [True] * 6 + [False] * 2 and [r.y for r in rows] == [1, -1, -1, -1] * 2
+    assert [(r.j, r.k, r.h) for r in rows if r.y == 1] == [(9, 16, 24), (2, 5, 25)]
+
+
 def test_sources(spark):
     a, b = (readers.random_matrix(spark, 50, 4, 62, True, seed=3).repartition(n).orderBy("row_id").collect() for n in (1, 7))
     assert a == b and {r.y for r in a} == {-1, 1} and all(0 <= v < 62 and v == int(v) for r in a for v in r.x)

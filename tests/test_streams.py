@@ -1,8 +1,11 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gradarium.operators.boosting import BoostedBins
-from gradarium.operators.experiments import boosted_stumps, run_grid
+from gradarium.operators import detection, rectangles
+from gradarium.operators.boosting import BoostedModel
+from gradarium.operators.experiments import CLASSIFIERS, grid_name, random_grid, run_grid
 from gradarium.streaming import streams
 
 
@@ -39,12 +42,49 @@ def test_moving_average_with_state(spark, rows, tmp_path):
         assert got[r.id][1:] == (n, pytest.approx(t))
 
 
-def test_grid(spark, rows):
-    out = run_grid(spark, {"d": (rows.where("id < 90"), rows.where("id >= 90"))}, "y", ["v"], rounds=[1, 2], n_bins=[4]).collect()
-    assert len(out) == 10 and all(r.ratio >= 1 for r in out)
-    assert {r.metric for r in out} == {"time_fit", "time_predict_train", "time_predict_test", "acc_train", "acc_test"}
+def test_moving_average_of_a_hot_key_over_many_ranges(spark):
+    rng = np.random.default_rng(0)
+    key, x = rng.choice(["hot"] * 8 + ["b", "c"], 3000), rng.normal(size=3000) * 100
+    df = spark.createDataFrame([(int(i), str(k), float(v), 7) for i, (k, v) in enumerate(zip(key, x, strict=True))], "id long, name string, v double, n int").repartition(5)
+    got = {r.id: r.ema for r in streams.moving_average(df, "name", "id", "v").collect()}
+    state, want = {}, {}
+    for i, (k, v) in enumerate(zip(key, x, strict=True)):
+        a, n = state.get(k, (0.0, 0))
+        a, n = 0.9 * a + 0.1 * v, n + 1
+        state[k] = (a, n)
+        want[i] = a / (1 - 0.9**n)
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-9)
+    assert streams.folded(np.arange(2000.0), 5.0, 0.5)[-1] == pytest.approx(1998.0) and streams.folded(np.array([1.0, 2.0]), 0.0, 0.0).tolist() == [1.0, 2.0]
+
 
+def test_images_are_detected_in_a_stream_by_several_models(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    frames = spark.createDataFrame([(i, 16, 20, rng.integers(0, 256, 320).tolist()) for i in range(12)], "img_id long, h int, w int, pixels array<int>")
+    frames.repartition(3).write.parquet(f"{tmp_path}/in")
+    features, sized = rectangles.catalogue(spark, 2, 1), detection.scales(spark, 3, 8, 8, 1.3, 0.2)
+    model = lambda t, seed: BoostedModel(rows=[(k, f, -40.0, 40.0, 1.0, np.random.default_rng(seed + k).normal(size=8).tolist()) for k, f in enumerate((5, 11, 30))], classes=[-1, 1], features=[], array_column="x", n_bins=8, threshold=t)
+    models = {"a": model(0.5, 1), "b": model(1.0, 7), "none": model(99.0, 1)}
+    source = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    found = streams.detect_stream(source, features, sized, models)
+    streams.run_available(found, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    got = sorted(map(tuple, spark.read.schema(found.schema).parquet(f"{tmp_path}/out").collect()))
+    want = []
+    for name in "ab":
+        single = detection.suppress(detection.detect(frames, features, sized, models[name]), average=True)
+        want += [(r.img_id, name, r.j, r.k, r.h, r.w, r.score) for r in single.collect()]
+    assert got == sorted(want) and len(want) > 12
+    both = detection.suppress(detection.detect(frames, features, sized, models), average=True)
+    assert sorted((r.img_id, r.model, r.j, r.k, r.h, r.w, r.score) for r in both.collect()) == sorted(want)
 
-def test_comparator(rows):
-    fitted = boosted_stumps(rows, "y", ["v"], 3).transform(rows)
-    assert fitted.where("prediction = y").count() == rows.count()
+
+def test_grid(spark, rows):
+    df = rows.withColumn("x", F.array("v", F.lit(1.0))).withColumn("y", F.col("y") * 2 - 1)
+    out = run_grid(spark, {"d": (df.where("id < 90"), df.where("id >= 90"))}, "y", "x", [1, 2], [8], CLASSIFIERS).collect()
+    assert len(out) == 2 * len(CLASSIFIERS) * 9
+    assert {r.metric for r in out} == {"time_fit", *[f"{m}_{p}" for m in ("time_predict", "acc", "sensitivity", "far") for p in ("train", "test")]}
+    assert all(0 <= r.value <= 1 for r in out if "time" not in r.metric) and all(r.value >= 0.8 for r in out if "acc" in r.metric)
+    assert all(r.ratio >= 1 for r in out)
+    small = random_grid(spark, [(3, 40, 20)], [1], [4]).collect()
+    assert {r.data_name for r in small} == {"3-40-20"} and len(small) == 9
+    names = [grid_name(spark, "random", {"rounds": [1, k], "seed": 0}) for k in (2, 2, 3)]
+    assert names[0] == names[1] != names[2] and names[0].startswith("random_") and len(names[0]) == 17
