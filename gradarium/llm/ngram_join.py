@@ -432,9 +432,11 @@ def candidates_below(rows: DataFrame, sets: DataFrame, num: int, den: int, width
             left = big.select("node", "k").distinct().join(less.withColumnRenamed("above", "node"), "node", "left")
             better = stored(left.where(F.coalesce("pairs", F.lit(0)) * 2 <= F.col("k") * (F.col("k") - 1)).select("node"), "better")
             here = here.join(better, "node", "left_anti")
-        x, y = here.where("label != most").alias("x"), here.alias("y")
         # bounds for the case that the node is all that both have in common so far: sizes, and what can follow
-        fits = "x.label != y.label and (y.label = y.most or x.doc < y.doc) and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and ({num} + {den}) * (x.level + least(x.n - x.at, y.n - y.at) - 1) >= {num} * (x.n + y.n)".format(num=num, den=den)
+        # a pair meets at the node of the greater of its ranges only
+        here = here.withColumn("own", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)))
+        x, y = here.where("label != most").alias("x"), here.alias("y")
+        fits = "greatest(x.own, y.own) = x.range and x.label != y.label and (y.label = y.most or x.doc < y.doc) and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and ({num} + {den}) * (x.level + least(x.n - x.at, y.n - y.at) - 1) >= {num} * (x.n + y.n)".format(num=num, den=den)
         own = x.join(y, F.col("x.node") == F.col("y.node")).where(fits).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
         pairs = own if pairs is None else pairs.unionByName(own)
         if below is None or not better.limit(1).count():
@@ -472,8 +474,10 @@ def _linked(held: DataFrame, n: int, num: int, den: int, text: str, doc_id: str)
     # a set of n meets those of num/den * n to den/num * n: pivots are chosen in ranges of sizes of that width
     width = float(np.log(den / num)) or 1.0
     ranged = prefixes.withColumn("range", F.floor(F.log(F.col("n").cast("double")) / width))
-    pivots = stored(ranged.groupBy("gram", "range").agg(F.min("doc").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "pivots")
-    first = similar_pairs(ranged.join(pivots, ["gram", "range"]).where("a < doc").select("a", F.col("doc").alias("b")), sets, num, den)
+    # the pivot is the set with the fewest rare n-grams: an original rather than one of its altered copies
+    central = F.min(F.struct("at", "doc"))["doc"].alias("a")
+    pivots = stored(ranged.groupBy("gram", "range").agg(central, F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "pivots")
+    first = similar_pairs(ranged.join(pivots, ["gram", "range"]).where("a <> doc").select("a", F.col("doc").alias("b")), sets, num, den)
     labels = components(first)
 
     # ranges of two similar sets differ by one at most, so they meet in the greater: each set stands in its own and the next
@@ -498,7 +502,7 @@ def similarity_components(docs: DataFrame, n: int = 4, num: int = 85, den: int =
        it from here on.
     2. A class stays if enough of its n-grams are in another one for any partner to reach the threshold.
     3. N-grams are ordered by document frequency, then fingerprint. Similar sets share one in their prefixes.
-    4. Each prefix n-gram names a pivot in each range of sizes; all sets with that n-gram are put into a trie, which is
+    4. Each prefix n-gram names a pivot, its set with the fewest rare n-grams, in each range of sizes; all sets with that n-gram are put into a trie, which is
        traversed with the pivot: overlaps are shared along it, subtrees that can't reach the threshold are left. Sets
        that link to a pivot are in one component whatever else holds between them.
     5. N-grams whose sets are still in several components are nodes of the trie over all prefixes: pairs across
