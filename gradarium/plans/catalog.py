@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gradarium.functions import expressions as E
 from gradarium.functions.ordering import shared_dir
-from gradarium.operators import binning, boosting, detection, metrics, rectangles
+from gradarium.operators import binning, boosting, builders, detection, metrics, rectangles
 from gradarium.sources import readers
 from gradarium.streaming import streams
 
@@ -62,13 +62,16 @@ def logit_sql(most: float = MOST) -> str:
     return f"CASE WHEN wp = wn THEN 0.0::DOUBLE WHEN wp <= 0 THEN -{most}::DOUBLE WHEN wn <= 0 THEN {most}::DOUBLE ELSE greatest(-{most}::DOUBLE, least({most}::DOUBLE, 0.5::DOUBLE * ln(wp / wn))) END"
 
 
-def boosting_sql(rounds: int) -> str:
+_EMBEDDED = """e AS (SELECT vec_id, CASE WHEN label < 5 THEN -1 ELSE 1 END AS y, embedding FROM embeddings),
+long AS (SELECT vec_id, y, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM e)"""
+
+
+def boosting_sql(rounds: int, before: str = _EMBEDDED, head: str = "WITH ") -> str:
     """CTEs up to s0 .. s{rounds - 1}: (j, err) of each round, h0 ..: (j, b, l) responses, and w{rounds}: the weights."""
     parts = [
-        """e AS (SELECT vec_id, CASE WHEN label < 5 THEN -1 ELSE 1 END AS y, embedding FROM embeddings),
-long AS (SELECT vec_id, y, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM e)""",
+        before,
         ranges_sql("long"),
-        f"binned AS (SELECT vec_id, y, long.j, {bin_sql('x')} AS b FROM long JOIN ranges USING (j))",
+        f"binned AS MATERIALIZED (SELECT vec_id, y, long.j, {bin_sql('x')} AS b FROM long JOIN ranges USING (j))",
         "w0 AS (SELECT vec_id, 1.0::DOUBLE / (SELECT count(*) FROM e) AS w FROM e)",
     ]
     for t in range(rounds):
@@ -78,7 +81,7 @@ long AS (SELECT vec_id, y, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS
             f"s{t} AS (SELECT j, sum(wp * exp(-l) + wn * exp(l)) AS err FROM h{t} GROUP BY j ORDER BY round(err, 13), j LIMIT 1)",
             f"w{t + 1} AS (SELECT vec_id, w * exp(-y * l) / err AS w FROM w{t} JOIN binned USING (vec_id) JOIN s{t} USING (j) JOIN h{t} USING (j, b))",
         ]
-    return "WITH " + ",\n".join(parts)
+    return head + ",\n".join(parts)
 
 
 def scores_sql(rounds: int) -> str:
@@ -236,9 +239,13 @@ def one_vs_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- images: embeddings as 8 x 8 gray images ----
 
 
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _gray(rows: DataFrame) -> DataFrame:
     gray = F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v.cast("double") + 1) * 128))).cast("smallint"))
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img_id"), F.lit(8).alias("h"), F.lit(8).alias("w"), gray.alias("pixels"))
+    return rows.select(F.col("vec_id").alias("img_id"), F.lit(8).alias("h"), F.lit(8).alias("w"), gray.alias("pixels"))
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _gray(table(spark, sf_dir, "embeddings"))
 
 
 _PIXELS = """WITH px AS (SELECT vec_id AS img_id, CAST(place // 8 AS INTEGER) AS j, CAST(place % 8 AS INTEGER) AS k, CAST(greatest(0, least(255, floor((x + 1) * 128))) AS BIGINT) AS v
@@ -259,14 +266,15 @@ def rectangle_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SIZES = ((0, 6), (1, 8))
+_TEMPLATES_SQL = "SELECT unnest(range(0, 9)) AS t, " + ", ".join(f"unnest([{', '.join(f'{w[k]!r}::DOUBLE' for w in rectangles.TEMPLATES)}]) AS {n}" for k, n in enumerate("abcd"))
 
 
 @query(
     _PIXELS
-    + """,
-t AS (SELECT unnest(range(0, 4)) AS t, unnest([0.0, 0.0, 0.25, 0.0]) AS a, unnest([0.0, 0.0, 0.0, 0.25]) AS b, unnest([0.5, 1.0, 0.5, 1.0]) AS c, unnest([1.0, 0.5, 1.0, 0.5]) AS d),
+    + f""",
+t AS ({_TEMPLATES_SQL}),
 z AS (SELECT unnest([0, 1]) AS s, unnest([6, 8]) AS size),
-box AS (SELECT s, t AS f, size, a::DOUBLE * 0.25 + 0.375 AS j, b::DOUBLE * 0.25 + 0.375 AS k, c::DOUBLE * 0.25 AS h, d::DOUBLE * 0.25 AS w FROM t, z),
+box AS (SELECT s, t AS f, size, a * 0.25::DOUBLE + 0.375::DOUBLE AS j, b * 0.25::DOUBLE + 0.375::DOUBLE AS k, c * 0.25::DOUBLE AS h, d * 0.25::DOUBLE AS w FROM t, z),
 cut AS (SELECT s, f, floor(size * 0.375) AS bj, floor(size * 0.25) AS bh, floor(size * j) AS j, floor(size * k) AS k, floor(size * h) AS h, floor(size * w) AS w FROM box),
 win AS (SELECT img_id, s, CAST(j0 AS INTEGER) AS j0, CAST(k0 AS INTEGER) AS k0 FROM (SELECT DISTINCT img_id FROM px), z, (SELECT unnest(range(0, 3)) AS j0) a, (SELECT unnest(range(0, 3)) AS k0) b WHERE j0 <= 8 - size AND k0 <= 8 - size),
 sums AS (SELECT win.img_id, win.s, j0, k0, f, bh * bh AS area, h * w AS part, sum(v) AS whole, coalesce(sum(v) FILTER (px.j >= j0 + cut.j AND px.j < j0 + cut.j + cut.h AND px.k >= k0 + cut.k AND px.k < k0 + cut.k + cut.w), 0) AS white
@@ -274,8 +282,8 @@ sums AS (SELECT win.img_id, win.s, j0, k0, f, bh * bh AS area, h * w AS part, su
 SELECT img_id, s, j0, k0, CAST(f AS BIGINT) AS f, CAST(CASE WHEN part > 0 AND area > part THEN trunc(white / part - (whole - white) / (area - part)) ELSE 0 END AS INTEGER) AS value FROM sums"""
 )
 def rectangle_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four band templates at one size and place in all windows of two scales of every image."""
-    features = rectangles.catalogue(spark, 1, 1).where("t < 4").select(F.col("t").cast("long").alias("f"), "bg", "white")
+    """The nine templates at one size and place in all windows of two scales of every image."""
+    features = rectangles.catalogue(spark, 1, 1).select(F.col("t").cast("long").alias("f"), "bg", "white")
     sized = F.broadcast(spark.createDataFrame([(s, n, n, 1, 1) for s, n in _SIZES], "s int, h int, w int, dj int, dk int"))
     frames = images(spark, sf_dir)
     windows = detection.sliding_windows(frames.select("img_id", F.col("h").alias("height"), F.col("w").alias("width")), sized)
@@ -283,21 +291,6 @@ def rectangle_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("value", F.col("value").cast("int"))
 
 
-@query()
-def detect_in_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole pipeline: rectangle features of every image train a model; its selected features score all windows of two
-    scales of the images; detections are suppressed by averaging."""
-    features, pictures = rectangles.catalogue(spark, 2, 1), images(spark, sf_dir)
-    sized = spark.createDataFrame([(0, 6, 6, 1, 1), (1, 8, 8, 1, 1)], "s int, h int, w int, dj int, dk int")
-    windows = detection.sliding_windows(pictures.select("img_id", F.col("h").alias("height"), F.col("w").alias("width")), sized.where("s = 1"))
-    values = rectangles.window_features(windows, rectangles.scaled_boxes(features, sized), rectangles.integral_arrays(pictures))
-    x = F.transform(F.array_sort(F.collect_list(F.struct("f", "value"))), lambda v: v["value"].cast("double"))
-    labels = embeddings(spark, sf_dir).select(F.col("vec_id").alias("img_id"), "y")
-    train = values.groupBy("img_id").agg(x.alias("x")).join(labels, "img_id")
-    model = boosting.BoostedBins(ROUNDS, BINS, TRIM, MOST).fit(train, "y", "x")
-    return detection.suppress(detection.detect(pictures, features, sized, model), average=True)
-
-
 # ---- windows and boxes: parts as frames, events as boxes ----
 
 _FRAMES_SQL = "frames AS (SELECT p_partkey AS img_id, 100 + p_size AS height, 120 + p_size AS width FROM part)"
@@ -373,14 +366,86 @@ def suppress_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detection.suppress(detection.above(boxes(spark, sf_dir), 100.0))
 
 
-@query(
-    _greedy_sql()
-    + "\nSELECT det.img_id, CAST(round_even(avg(j), 0) AS INTEGER) AS j, CAST(round_even(avg(k), 0) AS INTEGER) AS k, CAST(round_even(avg(h), 0) AS INTEGER) AS h, CAST(round_even(avg(w), 0) AS INTEGER) AS w, round(avg(score), 6) AS score FROM det JOIN clusters c ON c.img_id = det.img_id AND c.n = det.n GROUP BY det.img_id, c.head"
-)
+_CLUSTER_MEANS = "\nSELECT det.img_id, CAST(round_even(avg(j), 0) AS INTEGER) AS j, CAST(round_even(avg(k), 0) AS INTEGER) AS k, CAST(round_even(avg(h), 0) AS INTEGER) AS h, CAST(round_even(avg(w), 0) AS INTEGER) AS w, round(avg(score), 6) AS score FROM det JOIN clusters c ON c.img_id = det.img_id AND c.n = det.n GROUP BY det.img_id, c.head"
+
+
+@query(_greedy_sql() + _CLUSTER_MEANS)
 def suppress_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detection.suppress(detection.above(boxes(spark, sf_dir), 100.0), average=True).withColumn("score", F.round("score", 6))
 
 
+def _detected_sql() -> str:
+    """The features of all windows, a model trained on those of the whole images, its scores, greedy clusters."""
+    values = (
+        _PIXELS.removeprefix("WITH ")
+        + f""",
+t AS ({_TEMPLATES_SQL}),
+feat AS (SELECT (t * 2 + sj) * 2 + sk AS f, a, b, c, d, 0.25::DOUBLE + sj * 0.5::DOUBLE AS h, 0.25::DOUBLE + sk * 0.5::DOUBLE AS v FROM t, (SELECT unnest([0, 1]) AS sj), (SELECT unnest([0, 1]) AS sk)),
+z AS (SELECT unnest([0, 1]) AS s, unnest([6, 8]) AS size),
+cut AS (SELECT s, f, trunc(size * (0.5::DOUBLE - h / 2)) AS bj, trunc(size * (0.5::DOUBLE - v / 2)) AS bk, trunc(size * h) AS bh, trunc(size * v) AS bw,
+    trunc(size * (a * h + (0.5::DOUBLE - h / 2))) AS wj, trunc(size * (b * v + (0.5::DOUBLE - v / 2))) AS wk, trunc(size * (c * h)) AS wh, trunc(size * (d * v)) AS ww FROM feat, z),
+win AS (SELECT img_id, s, size, CAST(j0 AS INTEGER) AS j0, CAST(k0 AS INTEGER) AS k0 FROM (SELECT DISTINCT img_id FROM px), z, (SELECT unnest(range(0, 3)) AS j0) x, (SELECT unnest(range(0, 3)) AS k0) y WHERE j0 <= 8 - size AND k0 <= 8 - size),
+sums AS (SELECT win.img_id, s, j0, k0, f, bh * bw AS area, wh * ww AS part, coalesce(sum(v) FILTER (px.j >= j0 + bj AND px.j < j0 + bj + bh AND px.k >= k0 + bk AND px.k < k0 + bk + bw), 0) AS whole,
+    coalesce(sum(v) FILTER (px.j >= j0 + wj AND px.j < j0 + wj + wh AND px.k >= k0 + wk AND px.k < k0 + wk + ww), 0) AS white FROM win JOIN cut USING (s) JOIN px ON px.img_id = win.img_id GROUP BY ALL),
+vals AS MATERIALIZED (SELECT img_id, s, j0, k0, f, CASE WHEN part > 0 AND area > part THEN trunc(white / part - (whole - white) / (area - part)) ELSE 0 END AS value FROM sums),
+e AS (SELECT vec_id, CASE WHEN label < 5 THEN -1 ELSE 1 END AS y FROM embeddings),
+long AS MATERIALIZED (SELECT img_id AS vec_id, y, CAST(f AS INTEGER) AS j, CAST(value AS DOUBLE) AS x FROM vals JOIN e ON e.vec_id = vals.img_id WHERE s = 1)"""
+    )
+    terms = " UNION ALL ".join(f"SELECT img_id, s, j0, k0, coalesce(l, 0) AS l FROM (SELECT v.*, c.j, {bin_sql('value')} AS b FROM vals v JOIN s{t} c ON c.j = v.f JOIN ranges r ON r.j = v.f) LEFT JOIN h{t} USING (j, b)" for t in range(ROUNDS))
+    det = f"""scored AS (SELECT img_id, s, j0, k0, sum(l) AS score FROM ({terms}) GROUP BY ALL),
+det AS MATERIALIZED (SELECT img_id, j0 AS j, k0 AS k, size AS h, size AS w, score, row_number() OVER (PARTITION BY img_id ORDER BY round(score, 9) DESC, s, j0, k0) AS n FROM scored JOIN z USING (s) WHERE round(score, 12) > 0)"""
+    greedy = _greedy_sql()
+    return boosting_sql(ROUNDS, values, "WITH RECURSIVE ") + ",\n" + det + ",\n" + greedy[greedy.index("pairs AS") :] + _CLUSTER_MEANS
+
+
+def _two_scales(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(s, n, n, 1, 1) for s, n in _SIZES], "s int, h int, w int, dj int, dk int")
+
+
+def _image_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, boosting.BoostedModel]:
+    """A catalogue of features and a model of three rounds over their values in the whole images."""
+    features, pictures, sized = rectangles.catalogue(spark, 2, 1), images(spark, sf_dir), _two_scales(spark)
+    windows = detection.sliding_windows(pictures.select("img_id", F.col("h").alias("height"), F.col("w").alias("width")), sized.where("s = 1"))
+    values = rectangles.window_features(windows, rectangles.scaled_boxes(features, sized), rectangles.integral_arrays(pictures))
+    x = F.transform(F.array_sort(F.collect_list(F.struct("f", "value"))), lambda v: v["value"].cast("double"))
+    labels = embeddings(spark, sf_dir).select(F.col("vec_id").alias("img_id"), "y")
+    train = values.groupBy("img_id").agg(x.alias("x")).join(labels, "img_id")
+    return features, boosting.BoostedBins(ROUNDS, BINS, TRIM, MOST).fit(train, "y", "x")
+
+
+@query(_detected_sql())
+def detect_in_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pipeline: rectangle features of every image train a model; its selected features score all windows of two
+    scales of the images; detections are suppressed by averaging."""
+    features, model = _image_model(spark, sf_dir)
+    found = detection.detect(images(spark, sf_dir), features, _two_scales(spark), model)
+    return detection.suppress(found, average=True).withColumn("score", F.round("score", 6))
+
+
+@query(_detected_sql().replace("SELECT det.img_id, CAST", "SELECT det.img_id, 'three' AS model, CAST"))
+def detect_in_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same images as a stream of files; detections of an image are suppressed in its row."""
+    features, model = _image_model(spark, sf_dir)
+    stream = _stream(spark, sf_dir, "embeddings")
+    found = streams.detect_stream(_gray(stream), features, _two_scales(spark), {"three": model})
+    return _streamed(spark, found.withColumn("score", F.round("score", 6)))
+
+
+@query()
+def window_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled feature rows of every image: a target, and three negatives that overlap it by less than half."""
+    pictures = images(spark, sf_dir)
+    size = (F.col("img_id") % 3 + 3).cast("int")
+    targets = pictures.select("img_id", F.lit(0).alias("nth"), (F.col("img_id") % 2).cast("int").alias("j"), (F.col("img_id") % 4).cast("int").alias("k"), size.alias("h"), size.alias("w"))
+    return builders.examples(pictures, targets, rectangles.catalogue(spark, 2, 2), 3)
+
+
+@query()
+def score_long_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eighty rounds on the embeddings: margins are written down on the way, and the score is folded over a constant."""
+    return _scored(spark, sf_dir, 80).select("vec_id", F.round("score", 6).alias("score"), "prediction")
+
+
 @query(f"WITH {_BOXES_SQL} SELECT box, CAST(round_even(j * 1.5::DOUBLE, 0) AS INTEGER) AS j, CAST(round_even(k * 1.5::DOUBLE, 0) AS INTEGER) AS k, CAST(round_even(h * 1.5::DOUBLE, 0) AS INTEGER) AS h, CAST(round_even(w * 1.5::DOUBLE, 0) AS INTEGER) AS w FROM boxes")
 def rescaled_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detection.rescaled(boxes(spark, sf_dir), 1.5).select("box", *"jkhw")
