@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradarium.llm.common import utf8
+from gradarium.llm.common import stored, utf8
 from gradarium.llm.gru import ByteGRU
 
 #: The training sample: so many documents of each language (those of least hash), and so many places drawn from all of
 #: the text of each, at which so many characters are read.
 SAMPLE_DOCS, PLACES, PLACE_CHARS = 250, 24, 72
+#: Languages that may be broadcast; beyond it the join with documents shuffles.
+FEW_LANGUAGES = 10_000
 #: Training: steps, rows of a step, bytes of a row.
 STEPS, ROWS, LENGTH = 400, 160, 64
 #: A longer text is read in windows of so many bytes; each also reads the bytes before and after it, whose labels
@@ -82,8 +84,8 @@ def training_sample(docs: DataFrame, text: str, lang: str, doc_id: str) -> list[
     hash from all of the text. Documents are first thinned by their hash to about four times as many, whatever the
     size of the language, so the ranking below meets few rows."""
     rows = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("h"))
-    share = rows.groupBy("lang").agg((F.lit(4.0 * SAMPLE_DOCS) / F.count(F.lit(1))).alias("share"))  # a row a language
-    rows = rows.join(share, "lang").where(F.shiftrightunsigned("h", 12) < F.col("share") * F.lit(2.0**52))
+    share = stored(rows.groupBy("lang").agg((F.lit(4.0 * SAMPLE_DOCS) / F.count(F.lit(1))).alias("share")), "languages")
+    rows = rows.join(F.broadcast(share) if share.count() <= FEW_LANGUAGES else share, "lang").where(F.shiftrightunsigned("h", 12) < F.col("share") * F.lit(2.0**52))
     room = F.greatest(F.length("text") - PLACE_CHARS, F.lit(0)) + 1
     drawn = F.transform(F.sequence(F.lit(1), F.lit(PLACES)), lambda i: F.substring(F.col("text"), (F.pmod(F.xxhash64(F.col("h"), i), room) + 1).cast("int"), F.lit(PLACE_CHARS)))
     rows = rows.select("lang", drawn.alias("t"), "h")

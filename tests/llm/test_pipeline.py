@@ -50,3 +50,26 @@ def test_run(spark):
 def test_empty_documents(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 0").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_take_nulls_ties_repeats_long_texts_and_clashing_names(spark):
+    prose = " ".join(f"w{i}" for i in range(300))
+    other = " ".join(f"v{i}" for i in range(300))
+    long = " ".join(f"long{i}" for i in range(30_000))
+    rows = [(1, prose, "a"), (1, prose, "a"), (None, prose, None), (None, other, "a"), (None, other, "a"), (2, other + " end", None), (3, None, "a"), (4, "", "a"), (5, long, "b"), (6, long + " x", "b")]
+    clash = "row long, held int, n int, kept boolean, size string, component_id int, piece int, told int"
+    df = spark.createDataFrame([(*r, 1, 2, 3, True, "s", 4, 5, 6) for r in rows], f"doc_id long, text string, source string, {clash}").repartition(3)
+    held, left = df, []
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, held, "")
+        assert out.columns == df.columns
+        rows = out.collect()
+        held = spark.createDataFrame(rows, df.schema)
+        left.append(sorted((str(r.doc_id), (r.text or "")[:2]) for r in rows))
+    good, exact, near, _ = left
+    assert len(good) == 8 and exact == [("1", "w0"), ("2", "v0"), ("5", "lo"), ("6", "lo"), ("None", "v0")]
+    assert near == [("1", "w0"), ("2", "v0"), ("5", "lo")]
+    packed = corpus_pipeline.pack_sequences(spark, held, "").collect()
+    assert {(r.doc_id) for r in packed} <= {1, 2, 5}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.where("doc_id > 99"), "").count() == 0
