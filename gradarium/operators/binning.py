@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradarium.functions.expressions import bin_of, signed_label
-from gradarium.functions.ordering import running_sums
+from gradarium.functions.ordering import running_sums, written
 
 
 def feature_rows(df: DataFrame, label: Column | str, features: list[str] | str, row_id: str | None = None) -> tuple[DataFrame, list]:
@@ -39,12 +39,14 @@ def find_ranges(long: DataFrame, outliers_ratio: float = 0.05) -> DataFrame:
     (j, x). One value is refused, as its trimmed rank does not exist."""
     if not 0 <= outliers_ratio <= 0.25:
         raise ValueError("outliers_ratio must be from 0 to 0.25")
-    ends = long.groupBy("j").agg(F.count(F.lit(1)).alias("m"), F.min("x").alias("least"), F.max("x").alias("most"), F.count("x").alias("known"), F.max(F.isnan("x")).alias("nan"))
-    bad = F.when((F.col("known") < F.col("m")) | F.col("nan"), F.raise_error(F.lit("features must not be null or NaN"))).when(F.col("m") < 2, F.raise_error(F.lit("two rows are needed")))
+    counts = long.groupBy("j", "x").agg(F.count(F.lit(1)).alias("c"))
+    counts = written(counts) if outliers_ratio else counts
+    ends = counts.groupBy("j").agg(F.sum("c").alias("m"), F.min("x").alias("least"), F.max("x").alias("most"), F.sum(F.when(F.col("x").isNotNull(), F.col("c"))).alias("known"), F.max(F.isnan("x")).alias("nan"))
+    bad = F.when((F.coalesce("known", F.lit(0)) < F.col("m")) | F.col("nan"), F.raise_error(F.lit("features must not be null or NaN"))).when(F.col("m") < 2, F.raise_error(F.lit("two rows are needed")))
     ends = ends.withColumn("m", F.coalesce(bad.cast("long"), "m"))
     if outliers_ratio == 0:
         return ends.select("j", F.col("least").alias("lo"), F.col("most").alias("hi"))
-    counts = running_sums(long.groupBy("j", "x").agg(F.count(F.lit(1)).alias("c")), ["j"], [F.col("x")], {"upto": "c"})
+    counts = running_sums(counts, ["j"], [F.col("x")], {"upto": "c"})
     at_lo, at_hi = F.ceil(F.lit(outliers_ratio) * F.col("m")), F.floor((F.lit(1.0) - F.lit(outliers_ratio)) * F.col("m"))
     holds = lambda k: (F.col("upto") > k) & (F.col("upto") - F.col("c") <= k)
     trimmed = counts.join(ends, "j").groupBy("j").agg(F.max(F.when(holds(at_lo), F.col("x"))).alias("lo"), F.max(F.when(holds(at_hi), F.col("x"))).alias("hi"), F.first("least").alias("least"), F.first("most").alias("most"))
