@@ -31,15 +31,36 @@ def long_form(rows: DataFrame) -> DataFrame:
     return rows.select(F.posexplode("x").alias("j", "x"))
 
 
+def counted_values(rows: DataFrame) -> DataFrame:
+    """(j, x, c): how often each value of each feature occurs in rows (y, x). Tasks sort the columns of a batch and count
+    runs of equal values, so a frequent value is one row of a batch; a null counts as NaN."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.num_rows
+            if not m:
+                continue
+            x = np.sort(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(m, -1).T)
+            new = np.append(np.ones((len(x), 1), bool), x[:, 1:] != x[:, :-1], 1)
+            at = np.flatnonzero(new.ravel())
+            yield pa.record_batch([pa.array((at // m).astype(np.int32)), pa.array(x.ravel()[at]), pa.array(np.diff(np.append(at, x.size)))], ["j", "x", "c"])
+
+    return rows.select("x").mapInArrow(run, "j int, x double, c long").groupBy("j", "x").agg(F.sum("c").alias("c"))
+
+
 def find_ranges(long: DataFrame, outliers_ratio: float = 0.05) -> DataFrame:
-    """(j, lo, hi): the values at ranks ceil(r m) and floor((1 - r) m), from 0, of each feature's m ascending values;
-    least and greatest if these are not ascending, or if r is 0.
+    """ranges_of_counts() of rows (j, x)."""
+    return ranges_of_counts(long.groupBy("j", "x").agg(F.count(F.lit(1)).alias("c")), outliers_ratio)
+
+
+def ranges_of_counts(counts: DataFrame, outliers_ratio: float = 0.05) -> DataFrame:
+    """(j, lo, hi): the values at ranks ceil(r m) and floor((1 - r) m), from 0, of each feature's m ascending values, given
+    how often each occurs (j, x, c); least and greatest if these are not ascending, or if r is 0.
 
-    Exact: equal values are counted first, so a frequent value is one row, and counts are then summed up in ranges of
-    (j, x). One value is refused, as its trimmed rank does not exist."""
+    Exact: a frequent value is one row, and counts are summed up in ranges of (j, x). One value is refused, as its
+    trimmed rank does not exist."""
     if not 0 <= outliers_ratio <= 0.25:
         raise ValueError("outliers_ratio must be from 0 to 0.25")
-    counts = long.groupBy("j", "x").agg(F.count(F.lit(1)).alias("c"))
     counts = written(counts) if outliers_ratio else counts
     ends = counts.groupBy("j").agg(F.sum("c").alias("m"), F.min("x").alias("least"), F.max("x").alias("most"), F.sum(F.when(F.col("x").isNotNull(), F.col("c"))).alias("known"), F.max(F.isnan("x")).alias("nan"))
     bad = F.when((F.coalesce("known", F.lit(0)) < F.col("m")) | F.col("nan"), F.raise_error(F.lit("features must not be null or NaN"))).when(F.col("m") < 2, F.raise_error(F.lit("two rows are needed")))

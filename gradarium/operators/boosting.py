@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gradarium.functions.expressions import bin_of, logit
 from gradarium.functions.ordering import written
-from gradarium.operators.binning import STATE_SCHEMA, bin_state, feature_rows, find_ranges, long_form
+from gradarium.operators.binning import STATE_SCHEMA, bin_state, counted_values, feature_rows, ranges_of_counts
 
 #: A round's choice: argmin of the error, then of the feature's number. Sums of doubles in another order differ behind
 #: so many digits, so features that hold the same tie there.
@@ -41,12 +41,12 @@ def histogram(state: DataFrame, n_features: int, n_bins: int, since: list[tuple[
             for k in range(0, len(y), step):
                 cell = bins[k : k + step] + place + (y[k : k + step] > 0)[:, None] * n_bins
                 total += np.bincount(cell.ravel(), np.repeat(w[k : k + step], n_features), size)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at), pa.array(total[at])], ["cell", "w"])
+        wn, wp = total.reshape(n_features, 2, n_bins).transpose(1, 0, 2)
+        j, b = np.nonzero(wn + wp)
+        yield pa.record_batch([pa.array(j.astype(np.int32)), pa.array(b.astype(np.int8)), pa.array(wp[j, b]), pa.array(wn[j, b])], ["j", "b", "wp", "wn"])
 
-    cells = state.mapInArrow(run, "cell long, w double").groupBy("cell").agg(F.sum("w").alias("w"))
-    b, side = F.col("cell") % (2 * n_bins), lambda holds: F.sum(F.when(holds, F.col("w")).otherwise(0.0))
-    return cells.groupBy(F.floor(F.col("cell") / (2 * n_bins)).cast("int").alias("j"), (b % n_bins).cast("tinyint").alias("b")).agg(side(b >= n_bins).alias("wp"), side(b < n_bins).alias("wn"))
+    parts = state.mapInArrow(run, "j int, b tinyint, wp double, wn double")
+    return parts.groupBy("j", "b").agg(F.sum("wp").alias("wp"), F.sum("wn").alias("wn"))
 
 
 def state_arrays(batches: Iterator[pa.RecordBatch], n_features: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -128,7 +128,7 @@ class BoostedBins:
         """Ranges, bins (written once), then the rounds. Only ranges and histograms reach the driver: their size is that
         of the model's inputs, features x bins, not of the data. A round is one pass over the bins, a byte each."""
         rows, classes = feature_rows(df, label, features)
-        ranges = [(r.j, r.lo, r.hi) for r in find_ranges(long_form(rows), self.outliers_ratio).collect()]
+        ranges = [(r.j, r.lo, r.hi) for r in ranges_of_counts(counted_values(rows), self.outliers_ratio).collect()]
         n = len(ranges)
         state = written(bin_state(rows, ranges, self.n_bins))
         m = state.count()

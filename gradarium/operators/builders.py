@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradarium.operators.detection import negative_windows, valid_targets
+from gradarium.operators.detection import head_tail_split, negative_windows, valid_targets
 from gradarium.operators.rectangles import box_value, integral_arrays
 from gradarium.sources import readers
 
@@ -56,8 +56,6 @@ def ellipse_examples(spark: SparkSession, image_path: str, annotation_path: str,
 def box_examples(spark: SparkSession, image_path: str, annotation_path: str, label: str, features: DataFrame, negatives: int, train_ratio: float = 0.75) -> DataFrame:
     """examples() of images named by JSON files of boxes with this label, with is_train: the first train_ratio of the
     rows in the order of image and window."""
-    from gradarium.operators.detection import head_tail_split
-
     boxes = readers.box_annotations(spark, annotation_path).withColumnRenamed("image", "img_id")
     images = readers.gray_images(spark, image_path).withColumn("img_id", stem(F.col("path"), 0)).drop("path").join(boxes.select("img_id").distinct(), "img_id", "left_semi")
     placed = boxes.join(images.select("img_id", F.col("h").alias("height"), F.col("w").alias("width")), "img_id")

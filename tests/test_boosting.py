@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradarium.functions.expressions import bin_of, experiment_code, experiment_stamp, iou_corners, iou_sizes, logit, number_or_null, polynomial_hash, whole_or_null
-from gradarium.operators.binning import feature_rows, find_ranges, long_form
+from gradarium.operators.binning import feature_rows, find_ranges
 from gradarium.operators.boosting import BoostedBins, BoostedModel
 from gradarium.operators.metrics import accuracies, precision_threshold, roc_points
 
