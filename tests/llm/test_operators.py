@@ -462,3 +462,17 @@ def test_urls_run_only_the_rules_their_tokens_fetch(spark):
     assert not index.blocks("http://a/" + "plain/" * 100_000) and index.ran == 2
     df = spark.createDataFrame([(k, f"http://h/bad{k}/{'x' if k % 2 else 'y'}5") for k in range(0, 20_000, 97)], "page_id long, url string")
     assert all((r.verdict == "block") == (r.page_id % 2 == 1) for r in url_filter.filter_urls(df, rules=(), patterns=patterns).collect())
+
+
+def test_texts_and_urls_of_any_length(spark):
+    long = " ".join(f"ka{i % 977}lo" for i in range(150_000)) + "\n#"
+    df = spark.createDataFrame([(1, long, "aa", "s", 1), (2, "ka lo mi", "aa", "s", 1), (3, None, None, None, 1)], EMPTY)
+    assert {r.doc_id: r.size for r in mixing.mix_sources(df).collect()} == {1: 150_001, 2: 3, 3: 0}
+    counts = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_repeat_words) for r in quality.quality(df).collect()}
+    assert counts == {1: (150_001, len(long) - 150_000, 1, 150_000), 2: (3, 6, 0, 0), 3: (0, 0, 0, 0)}
+    model = langid.train([("aa", "ka lo mi ren " * 20), ("bb", "sch ung ver ü " * 20)])
+    told = {r.doc_id: r.lang_pred for r in langid.identify(df, model=model).collect()}
+    assert told == {1: "aa", 2: "aa", 3: "und"}
+    url = "http://a.net/" + "x-" * 300_000 + "/phishing/"
+    pages = spark.createDataFrame([(1, url), (2, url + "?"), (3, url[:-1])], "page_id long, url string")
+    assert [r.verdict for r in url_filter.filter_urls(pages).orderBy("page_id").collect()] == ["block", "block", "allow"]
