@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gradarium.operators import builders, detection, rectangles
 from gradarium.operators.boosting import BoostedModel
-from gradarium.sources import readers
+from gradarium.sources import readers, sinks
 
 
 def test_known_numbers_of_windows_and_features(spark):
@@ -196,3 +196,16 @@ def test_sources(spark):
     assert a == b and {r.y for r in a} == {-1, 1} and all(0 <= v < 62 and v == int(v) for r in a for v in r.x)
     nested = spark.createDataFrame([(1, [[1, 2], [3, 4]])], "id int, m array<array<int>>")
     assert readers.flattened(nested, "m", 2).first().x == [1.0, 2.0, 3.0, 4.0]
+
+
+def test_tables_round_trip_and_folders_are_listed(spark, tmp_path):
+    df = readers.random_matrix(spark, 30, 5, seed=2).withColumn("part", F.col("row_id") % 2)
+    for fmt in ("parquet", "orc"):
+        sinks.save_table(df, f"{tmp_path}/{fmt}", fmt, partition_by=["part"])
+        back = readers.matrix(spark, f"{tmp_path}/{fmt}", fmt).select("row_id", "y", "x").orderBy("row_id").collect()
+        assert back == df.select("row_id", "y", "x").orderBy("row_id").collect()
+    with pytest.raises(Exception, match="already exists"):
+        sinks.save_table(df, f"{tmp_path}/orc", "orc")
+    for n in ("a.bin", "b.bin", "c.txt"):
+        (tmp_path / n).write_bytes(n.encode())
+    assert {(r.path.split("/")[-1], bytes(r.content)) for r in readers.image_files(spark, f"{tmp_path}/*.bin").collect()} == {("a.bin", b"a.bin"), ("b.bin", b"b.bin")}
