@@ -11,6 +11,7 @@ TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
     re.DOTALL,
 )
+OPENERS = ("<!--", "<![CDATA[")
 ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 
 #: Elements that are neither nodes nor ends of a block.
@@ -89,8 +90,9 @@ class Page:
             return k if k and k >= max(map(top, stop), default=0) else 0
 
         while at < n:
-            m = search(html, at) if at <= last or html.startswith("<!", html.find("<", at)) else None  # no tag ends behind the last ">"
-            raw = html[at : m.start()] if m else html[at:]
+            m = search(html, at, last + 1) if at <= last else None  # no tag ends behind the last ">"
+            until = m.start() if m else min((k for k in (html.find(x, at) for x in OPENERS) if k >= 0), default=n)
+            raw = html[at:until]  # behind it only an unclosed comment is no text, and has the rest of the page
             if raw and not raw.isspace():
                 k, size = stack[-1], len(raw)
                 self.pieces.append((k, raw, fresh))
@@ -105,6 +107,8 @@ class Page:
             if not m:
                 break
             at = m.end()
+            if at == last + 1 and m[0].startswith(OPENERS) and not (m[0].endswith("-->", 4) if m[0][2] == "-" else m[0].endswith("]]>")):
+                break  # an unclosed comment
             slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
             if not tag:
                 continue

@@ -125,6 +125,19 @@ def test_time_grows_with_the_page_alone():
     assert html_extract.extract(["<article><p>One two three four five.</p><script src=/a/>var secret=1;</script><p>Six seven eight.</p></article>"], trees) == ["One two three four five. Six seven eight."]
 
 
+def test_time_of_odd_repeats_is_linear():
+    rng = random.Random(3)
+    odd = ["<!", "<!-", "<!--", "<![", "<?", "<a", "<a ", '<a "', "<a '", "</", "</a", "<a>", "<!-->", '"', "'<", "<a/", "<!--<!", "<script", "</script", "<p>", "</p>", "<a x='"] + ["".join(rng.choice("<!-[?>\"' a/") for _ in range(rng.randint(1, 6))) for _ in range(120)]
+    for x in odd:
+        for end in ("", ">"):
+            took = []
+            for n in (50_000, 100_000):
+                page, began = (x * n)[:n] + end, time.process_time()
+                Page(page)
+                took.append(time.process_time() - began)
+            assert took[1] < 3 * took[0] + 0.5, (x, end, took)
+
+
 def test_nothing_is_kept_below_a_dropped_node():
     rng = np.random.default_rng(0)
     for _ in range(50):
