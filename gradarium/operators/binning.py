@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradarium.functions.expressions import bin_of, signed_label
-from gradarium.functions.ordering import running_sums, written
+from gradarium.operators import selection
 
 
 def feature_rows(df: DataFrame, label: Column | str, features: list[str] | str, row_id: str | None = None) -> tuple[DataFrame, list]:
@@ -26,53 +27,29 @@ def feature_rows(df: DataFrame, label: Column | str, features: list[str] | str,
     return rows.select("row_id", signed_label(F.col("label"), classes).alias("y"), "x"), classes
 
 
-def long_form(rows: DataFrame) -> DataFrame:
-    """(j, x): a row for each value. Null and NaN are refused when the ranges are read."""
-    return rows.select(F.posexplode("x").alias("j", "x"))
+def find_ranges(rows: DataFrame, outliers_ratio: float = 0.05, x: str = "x") -> list[tuple[int, float, float]]:
+    """(j, lo, hi) of each feature of the array column x: the values at ranks ceil(r m) and floor((1 - r) m), from 0, of
+    its m ascending values; least and greatest if these are not ascending, or if r is 0.
 
-
-def counted_values(rows: DataFrame) -> DataFrame:
-    """(j, x, c): how often each value of each feature occurs in rows (y, x). Tasks sort the columns of a batch and count
-    runs of equal values, so a frequent value is one row of a batch; a null counts as NaN."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = batch.num_rows
-            if not m:
-                continue
-            x = np.sort(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(m, -1).T)
-            new = np.append(np.ones((len(x), 1), bool), x[:, 1:] != x[:, :-1], 1)
-            at = np.flatnonzero(new.ravel())
-            yield pa.record_batch([pa.array((at // m).astype(np.int32)), pa.array(x.ravel()[at]), pa.array(np.diff(np.append(at, x.size)))], ["j", "x", "c"])
-
-    return rows.select("x").mapInArrow(run, "j int, x double, c long").groupBy("j", "x").agg(F.sum("c").alias("c"))
-
-
-def find_ranges(long: DataFrame, outliers_ratio: float = 0.05) -> DataFrame:
-    """ranges_of_counts() of rows (j, x)."""
-    return ranges_of_counts(long.groupBy("j", "x").agg(F.count(F.lit(1)).alias("c")), outliers_ratio)
-
-
-def ranges_of_counts(counts: DataFrame, outliers_ratio: float = 0.05) -> DataFrame:
-    """(j, lo, hi): the values at ranks ceil(r m) and floor((1 - r) m), from 0, of each feature's m ascending values, given
-    how often each occurs (j, x, c); least and greatest if these are not ascending, or if r is 0.
-
-    Exact: a frequent value is one row, and counts are summed up in ranges of (j, x). One value is refused, as its
-    trimmed rank does not exist."""
+    Exact, by a few passes that count digits (see selection.at_ranks): values are not exchanged, and the driver sees counts
+    whose number is bounded. Null arrays, arrays of several lengths, null and NaN are refused, as is one row, whose trimmed
+    rank does not exist."""
     if not 0 <= outliers_ratio <= 0.25:
         raise ValueError("outliers_ratio must be from 0 to 0.25")
-    counts = written(counts) if outliers_ratio else counts
-    ends = counts.groupBy("j").agg(F.sum("c").alias("m"), F.min("x").alias("least"), F.max("x").alias("most"), F.sum(F.when(F.col("x").isNotNull(), F.col("c"))).alias("known"), F.max(F.isnan("x")).alias("nan"))
-    bad = F.when((F.coalesce("known", F.lit(0)) < F.col("m")) | F.col("nan"), F.raise_error(F.lit("features must not be null or NaN"))).when(F.col("m") < 2, F.raise_error(F.lit("two rows are needed")))
-    ends = ends.withColumn("m", F.coalesce(bad.cast("long"), "m"))
-    if outliers_ratio == 0:
-        return ends.select("j", F.col("least").alias("lo"), F.col("most").alias("hi"))
-    counts = running_sums(counts, ["j"], [F.col("x")], {"upto": "c"})
-    at_lo, at_hi = F.ceil(F.lit(outliers_ratio) * F.col("m")), F.floor((F.lit(1.0) - F.lit(outliers_ratio)) * F.col("m"))
-    holds = lambda k: (F.col("upto") > k) & (F.col("upto") - F.col("c") <= k)
-    trimmed = counts.join(ends, "j").groupBy("j").agg(F.max(F.when(holds(at_lo), F.col("x"))).alias("lo"), F.max(F.when(holds(at_hi), F.col("x"))).alias("hi"), F.first("least").alias("least"), F.first("most").alias("most"))
-    fine = F.col("lo") < F.col("hi")
-    return trimmed.select("j", F.when(fine, F.col("lo")).otherwise(F.col("least")).alias("lo"), F.when(fine, F.col("hi")).otherwise(F.col("most")).alias("hi"))
+    rows = rows.select(F.col(x).cast("array<double>").alias("x"))
+    width = selection.width_of(rows, "x")
+    m, lo, hi = selection.ends_of(rows, "x", width)
+    if m < 2:
+        raise ValueError("two rows are needed")
+    if outliers_ratio:
+        trimmed = selection.at_ranks(rows, "x", width, [math.ceil(outliers_ratio * m), math.floor((1.0 - outliers_ratio) * m)], lo, hi)
+        fine = trimmed[:, 0] < trimmed[:, 1]
+        lo, hi = np.where(fine, trimmed[:, 0], lo), np.where(fine, trimmed[:, 1], hi)
+    return [(j, float(lo[j]), float(hi[j])) for j in range(width)]
+
+
+def range_table(spark: SparkSession, ranges: list[tuple[int, float, float]]) -> DataFrame:
+    return spark.createDataFrame(ranges, "j int, lo double, hi double")
 
 
 def bin_rows(rows: DataFrame, ranges: list[tuple[int, float, float]], n_bins: int) -> DataFrame:
@@ -96,7 +73,7 @@ def bin_state(rows: DataFrame, ranges: list[tuple[int, float, float]], n_bins: i
             values, m = batch.column(1), batch.num_rows
             if not m:
                 continue
-            x = values.flatten().to_numpy(zero_copy_only=False).reshape(m, len(lo))
+            x = selection.matrix_of(values, len(lo))
             with np.errstate(divide="ignore", invalid="ignore"):
                 place = np.floor(n_bins * (x - lo) / (hi - lo))
             bins = np.where(hi > lo, np.clip(place, 0, n_bins - 1), 0).astype(np.uint8)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gradarium.functions.expressions import bin_of, logit
 from gradarium.functions.ordering import written
-from gradarium.operators.binning import STATE_SCHEMA, bin_state, counted_values, feature_rows, ranges_of_counts
+from gradarium.operators.binning import STATE_SCHEMA, bin_state, feature_rows, find_ranges
 
 #: A round's choice: argmin of the error, then of the feature's number. Sums of doubles in another order differ behind
 #: so many digits, so features that hold the same tie there.
@@ -128,7 +128,7 @@ class BoostedBins:
         """Ranges, bins (written once), then the rounds. Only ranges and histograms reach the driver: their size is that
         of the model's inputs, features x bins, not of the data. A round is one pass over the bins, a byte each."""
         rows, classes = feature_rows(df, label, features)
-        ranges = [(r.j, r.lo, r.hi) for r in ranges_of_counts(counted_values(rows), self.outliers_ratio).collect()]
+        ranges = find_ranges(rows, self.outliers_ratio)
         n = len(ranges)
         state = written(bin_state(rows, ranges, self.n_bins))
         m = state.count()

@@ -111,7 +111,7 @@ def fit_boosted_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH long AS (SELECT CAST(unnest(range(0, len(embedding))) AS INTEGER) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),\n" + ranges_sql("long") + "\nSELECT j, lo, hi FROM ranges")
 def ranges_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = binning.feature_rows(embeddings(spark, sf_dir), "y", "embedding")
-    return binning.find_ranges(binning.long_form(rows), TRIM)
+    return binning.range_table(spark, binning.find_ranges(rows, TRIM))
 
 
 _LINEITEM = "WITH long AS (SELECT j, x FROM (SELECT unnest([0, 1, 2, 3]) AS j, unnest([l_quantity, l_extendedprice, l_discount, l_tax]) AS x FROM lineitem)),\n"
@@ -121,12 +121,12 @@ _LINEITEM = "WITH long AS (SELECT j, x FROM (SELECT unnest([0, 1, 2, 3]) AS j, u
 def ranges_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges of tall numeric columns with many equal values."""
     x = F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return binning.find_ranges(table(spark, sf_dir, "lineitem").select(F.posexplode(x).alias("j", "x")), 0.1)
+    return binning.range_table(spark, binning.find_ranges(table(spark, sf_dir, "lineitem").select(x.alias("x")), 0.1))
 
 
 @query("SELECT CAST(0 AS INTEGER) AS j, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer")
 def ranges_untrimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binning.find_ranges(table(spark, sf_dir, "customer").select(F.lit(0).alias("j"), F.col("c_acctbal").alias("x")), 0.0)
+    return binning.range_table(spark, binning.find_ranges(table(spark, sf_dir, "customer").select(F.array("c_acctbal").alias("x")), 0.0))
 
 
 @query(
@@ -136,14 +136,13 @@ def ranges_untrimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bins_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").withColumn("x", F.array(F.col("p_size").cast("double"), F.col("p_retailprice")))
-    ranges = [tuple(r) for r in binning.find_ranges(part.select(F.posexplode("x").alias("j", "x")), TRIM).collect()]  # a row a feature
-    binned = binning.bin_rows(part.withColumnsRenamed({"p_partkey": "row_id"}).withColumn("y", F.lit(1)), ranges, BINS)
+    binned = binning.bin_rows(part.withColumnsRenamed({"p_partkey": "row_id"}).withColumn("y", F.lit(1)), binning.find_ranges(part, TRIM), BINS)
     return binned.select(F.col("row_id").alias("p_partkey"), F.posexplode("bins").alias("j", "b")).withColumn("b", F.col("b").cast("int"))
 
 
 def _first_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = binning.feature_rows(embeddings(spark, sf_dir), "y", "embedding")
-    ranges = [tuple(r) for r in binning.find_ranges(binning.long_form(rows), TRIM).collect()]
+    ranges = binning.find_ranges(rows, TRIM)
     return boosting.histogram(binning.bin_state(rows, ranges, BINS), len(ranges), BINS, log_norm=math.log(rows.count()))
 
 

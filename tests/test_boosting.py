@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradarium.functions.expressions import bin_of, experiment_code, experiment_stamp, iou_corners, iou_sizes, logit, number_or_null, polynomial_hash, whole_or_null
+from gradarium.operators import selection
 from gradarium.operators.binning import feature_rows, find_ranges
 from gradarium.operators.boosting import BoostedBins, BoostedModel
 from gradarium.operators.metrics import accuracies, precision_threshold, roc_points
@@ -86,15 +87,51 @@ def test_validation(spark):
         with pytest.raises(ValueError):
             feature_rows(df, "y", ["a"])
     with pytest.raises(Exception, match="two rows"):
-        find_ranges(spark.createDataFrame([(0, 1.0)], "j int, x double")).collect()
+        find_ranges(spark.createDataFrame([([1.0],)], "x array<double>"))
     with pytest.raises(Exception, match="null or NaN"):
-        find_ranges(spark.createDataFrame([(0, 1.0), (0, None)], "j int, x double")).collect()
+        find_ranges(spark.createDataFrame([([1.0],), ([None],)], "x array<double>"))
+
+
+@pytest.mark.parametrize("bad", [[None], [[1.0, 2.0, 3.0]], [[1.0]], [[1.0, None]], [[1.0, math.nan]], [[]]])
+def test_odd_feature_arrays_are_refused(spark, bad):
+    rows = [(k % 2, [float(k), 1.0]) for k in range(40)]
+    for place in (0, 25):
+        df = spark.createDataFrame(rows[:place] + [(0, x) for x in bad] + rows[place:], "y int, x array<double>").coalesce(1)
+        for ratio in (0.0, 0.05):
+            with pytest.raises(Exception, match="features"):
+                BoostedBins(rounds=1, outliers_ratio=ratio).fit(df, "y", "x")
+    columns = spark.createDataFrame([(k % 2, float(k), None if k == 3 else 1.0) for k in range(40)], "y int, a double, b double")
+    with pytest.raises(Exception, match="null or NaN"):
+        BoostedBins(rounds=1).fit(columns, "y", ["a", "b"])
+
+
+def test_selection_equals_a_sort(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    m = 3000
+    columns = [
+        rng.normal(size=m), rng.integers(0, 3, m).astype(float), np.zeros(m), np.full(m, -2.5), np.where(rng.random(m) < 0.5, -0.0, 0.0),
+        rng.normal(size=m) * 10.0 ** rng.integers(-300, 300, m), np.where(rng.random(m) < 0.4, np.inf, -np.inf), np.where(rng.random(m) < 0.5, 5e-324, -5e-324),
+        1.0 + rng.integers(0, 40, m) * 2.0**-52, np.where(rng.random(m) < 0.9, 7.0, rng.normal(size=m)), np.sort(rng.random(m)), np.where(np.arange(m) == 5, 1e308, -1e308),
+    ]
+    x = np.stack(columns, 1)
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(5)
+    ranks, ordered = [0, 1, 150, 1499, 2850, 2999], np.sort(x, 0)
+    for counts, fetch in ((2**19, 2**18), (2**19, 0), (2**8, 500), (2**8, 0)):
+        monkeypatch.setattr(selection, "COUNTS", counts)
+        monkeypatch.setattr(selection, "FETCHED", fetch)
+        rows, least, most = selection.ends_of(df, "x", x.shape[1])
+        assert rows == m and (least == ordered[0]).all() and (most == ordered[-1]).all()
+        got = selection.at_ranks(df, "x", x.shape[1], ranks, least, most)
+        assert (got == ordered[ranks].T).all() and not np.signbit(got[4]).any()
+    keys = selection.ordered_keys(ordered[:, 5])
+    assert (np.diff(keys.astype(object)) >= 0).all() and (selection.doubles_of(keys) == ordered[:, 5]).all()
 
 
 def test_ranges_and_bins(spark):
-    rows = [(0, float(v)) for v in range(100)] + [(1, 5.0)] * 100 + [(2, 5.0)] * 98 + [(2, 1.0), (2, 9.0)]
-    got = {r.j: (r.lo, r.hi) for r in find_ranges(spark.createDataFrame(rows, "j int, x double")).collect()}
-    assert got == {0: (5.0, 95.0), 1: (5.0, 5.0), 2: (1.0, 9.0)}
+    columns = [float(v) for v in range(100)], [5.0] * 100, [5.0] * 98 + [1.0, 9.0]
+    rows = spark.createDataFrame([(list(v),) for v in zip(*columns, strict=True)], "x array<double>")
+    assert find_ranges(rows) == [(0, 5.0, 95.0), (1, 5.0, 5.0), (2, 1.0, 9.0)]
+    assert find_ranges(rows, 0.0) == [(0, 0.0, 99.0), (1, 5.0, 5.0), (2, 1.0, 9.0)]
     values = spark.createDataFrame([(v,) for v in (-1e9, 0.0, 0.99, 1.0, 7.99, 8.0, 1e9)], "x double")
     assert [r[0] for r in values.select(bin_of(F.col("x"), 0.0, 8.0, 8)).collect()] == [0, 0, 0, 1, 7, 7, 7]
     assert [r[0] for r in values.select(bin_of(F.col("x"), 3.0, 3.0, 8)).collect()] == [0] * 7
