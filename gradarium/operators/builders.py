@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradarium.operators import kernels
 from gradarium.operators.detection import head_tail_split, negative_windows, valid_targets
-from gradarium.operators.rectangles import box_value, integral_arrays
 from gradarium.sources import readers
 
 
@@ -17,8 +19,8 @@ def examples(images: DataFrame, targets: DataFrame, features: DataFrame, negativ
     `negatives` windows of each image (y = -1) that overlap none of its valid targets by most_iou. nth numbers an image's
     positives, then its negatives. images (img_id, h, w, pixels), targets (img_id, nth, j, k, h, w).
 
-    An image's windows are gathered into one array, and features are taken inside its row: neither the image nor its
-    integral image is copied to windows. Boxes of the catalogue are a constant of the plan."""
+    An image's windows are gathered into one array, and features are taken inside its row, in numpy: neither the image nor
+    its integral image is copied to windows. Boxes of the catalogue are a constant of the plan."""
     frames = images.select("img_id", F.col("h").alias("height"), F.col("w").alias("width"))
     good = valid_targets(targets.select("img_id", "nth", *"jkhw").join(frames, "img_id"), least_relative)
     window = lambda y, at: F.struct(F.lit(-y).alias("order"), F.col(at).cast("long").alias("at"), F.lit(y).alias("y"), *[F.col(c).cast("int").alias(c) for c in "jkhw"])
@@ -26,16 +28,24 @@ def examples(images: DataFrame, targets: DataFrame, features: DataFrame, negativ
     both = good.select("img_id", window(1, "nth").alias("v"))
     both = both.unionByName(drawn.select("img_id", window(-1, "draw").alias("v"))) if negatives else both
     gathered = both.groupBy("img_id").agg(F.array_sort(F.collect_list("v")).alias("windows"))  # an image's own windows
-    units = [{"b": list(map(float, r.bg)), "w": list(map(float, r.white))} for r in features.select("f", "bg", "white").orderBy("f").collect()]
-    unit = F.from_json(F.lit(json.dumps(units)), "array<struct<b: array<double>, w: array<double>>>")
+    units = features.select("f", "bg", "white").orderBy("f").collect()  # parameters
+    unit_bg, unit_white = (np.array([r[c] for r in units], np.float64).reshape(-1, 4) for c in ("bg", "white"))
+    rows = gathered.join(images.select("img_id", "h", "w", "pixels"), "img_id").select("img_id", "windows", "h", "w", "pixels")
+    kind = rows.schema["img_id"].dataType.simpleString()
 
-    def values(v: Column) -> Column:
-        cut = lambda c: F.zip_with(c, F.array(v["h"], v["w"], v["h"], v["w"]), lambda a, s: (a * s).cast("smallint"))
-        return F.transform(unit, lambda u: box_value(F.col("ii"), F.col("w"), v["j"], v["k"], cut(u["b"]), cut(u["w"])).cast("double"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, image in kernels.images_of(batch):
+                if image is None:
+                    continue
+                own = batch.column("windows")[i].values
+                at = np.stack([own.field(c).to_numpy() for c in "jkhw"], 1).astype(np.int64)
+                x, m = kernels.window_values(kernels.integral(image), at, unit_bg, unit_white), len(at)
+                values = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * len(unit_bg), pa.int32()), pa.array(x.ravel()))
+                columns = [batch.column("img_id").take(pa.array(np.full(m, i))), pa.array(np.arange(m, dtype=np.int32)), own.field("y").cast(pa.int8()), *[own.field(c) for c in "jkhw"], values]
+                yield pa.RecordBatch.from_arrays(columns, ["img_id", "nth", "y", *"jkhw", "x"])
 
-    rows = gathered.join(integral_arrays(images).select("img_id", "w", "ii"), "img_id")
-    rows = rows.select("img_id", F.posexplode(F.transform("windows", lambda v: F.struct(v.alias("v"), values(v).alias("x")))).alias("nth", "e"))
-    return rows.select("img_id", "nth", F.col("e.v.y").cast("tinyint").alias("y"), *[F.col(f"e.v.{c}").alias(c) for c in "jkhw"], F.col("e.x").alias("x"))
+    return rows.mapInArrow(run, f"img_id {kind}, nth int, y tinyint, j int, k int, h int, w int, x array<double>")
 
 
 def stem(path: Column, folders: int) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradarium.functions.expressions import bin_of, iou_sizes, portable_uniform
+from gradarium.functions.expressions import iou_sizes, portable_uniform
 from gradarium.functions.ordering import running_sums, written
+from gradarium.operators import kernels
 from gradarium.operators.boosting import BoostedModel
-from gradarium.operators.rectangles import box_value, integral_arrays, scaled_boxes
+from gradarium.operators.rectangles import scaled_boxes
 
 
 def scales(spark: SparkSession, n: int = 9, height: int = 96, width: int = 96, growth: float = 1.2, jump: float = 0.05) -> DataFrame:
@@ -33,42 +33,45 @@ def sliding_windows(frames: DataFrame, sized: DataFrame) -> DataFrame:
     return rows.withColumn("k0", F.explode(starts(F.col("width") - F.col("w"), F.col("dk")))).select("img_id", "s", "j0", "k0", "h", "w")
 
 
+FOUND = "array<struct<s: int, j: int, k: int, h: int, w: int, score: double>>"
+
+
 def detections_in_rows(images: DataFrame, features: DataFrame, sized: DataFrame, models: dict[str, BoostedModel]) -> DataFrame:
     """(img_id, model, found array<struct<s, j, k, h, w, score>>), a row for each image and model: windows of the images
     (img_id, h, w, pixels) whose score is above the model's threshold, in the order of scale, row and column. Feature
-    numbers of all models are those of the catalogue `features`.
+    numbers of all models are those of the catalogue `features`. A null or empty image has no windows.
 
-    An image is one row with one integral image for all models; its windows are scored inside that row, so the image is
-    never copied to its windows, nothing is shuffled, and images may come as a stream. Boxes of the selected features
-    at each scale are constants of the plan."""
+    An image is one row with one integral image for all models, made and scored in numpy by the task that holds it: the
+    image is never copied to its windows, nothing is shuffled, and images may come as a stream. A window is left once its
+    rounds to come cannot lift it above the threshold. Boxes of the selected features are constants of the plan."""
     used = sorted({r[1] for m in models.values() for r in m.rows})
-    boxes = scaled_boxes(features.where(F.col("f").isin(used)), sized).collect()  # selected features x scales
-    scales_ = sorted(sized.collect())
-    starts = lambda room, d: F.sequence(F.floor((room % d) / 2).cast("int"), room.cast("int"), d)
-
-    def windows_of(place: int, r) -> Column:
-        height, width = F.col("h").cast("int"), F.col("w").cast("int")
-        one = lambda j, k: F.struct(F.lit(place).alias("p"), F.lit(r.s).alias("s"), j.alias("j"), k.alias("k"), F.lit(r.h).alias("h"), F.lit(r.w).alias("w"))
-        grid = F.flatten(F.transform(starts(height - r.h, F.lit(r.dj)), lambda j: F.transform(starts(width - r.w, F.lit(r.dk)), lambda k: one(j, k))))
-        return F.when((height >= r.h) & (width >= r.w), grid).otherwise(F.array().cast("array<struct<p:int,s:int,j:int,k:int,h:int,w:int>>"))
-
-    def found_by(model: BoostedModel) -> Column:
-        own = sorted({r[1] for r in model.rows})
-        constant = json.dumps([[{"b": list(x.bg), "w": list(x.white)} for x in sorted((b for b in boxes if b.s == s.s and b.f in own), key=lambda b: b.f)] for s in scales_])
-        steps = json.dumps([{"i": own.index(r[1]), "lo": r[2], "hi": r[3], "l": r[5]} for r in model.rows])
-        by_scale = F.from_json(F.lit(constant), "array<array<struct<b: array<int>, w: array<int>>>>")
-        rounds = F.from_json(F.lit(steps), "array<struct<i: int, lo: double, hi: double, l: array<double>>>")
-
-        def scored(window: Column) -> Column:
-            x = F.transform(F.get(by_scale, window["p"]), lambda b: box_value(F.col("ii"), F.col("w"), window["j"], window["k"], b["b"], b["w"]))
-            add = lambda v: F.aggregate(rounds, F.lit(0.0), lambda s, m: s + F.element_at(m["l"], bin_of(F.get(v, m["i"]), m["lo"], m["hi"], model.n_bins) + 1))
-            return F.struct(*[window[c].alias(c) for c in "sjkhw"], F.transform(F.array(x), add)[0].alias("score"))
-
-        return F.filter(F.transform("__windows", scored), lambda x: x["score"] > model.threshold)
-
-    rows = integral_arrays(images).withColumn("__windows", F.concat(*[windows_of(i, r) for i, r in enumerate(scales_)]))
-    by_model = F.array(*[F.struct(F.lit(name).alias("model"), found_by(m).alias("found")) for name, m in models.items()])
-    return rows.select("img_id", F.explode(by_model).alias("m")).select("img_id", "m.model", "m.found")
+    scales_ = [(r.s, r.h, r.w, r.dj, r.dk) for r in sorted(sized.select("s", "h", "w", "dj", "dk").collect())]
+    boxes = {(b.s, b.f): (b.bg, b.white) for b in scaled_boxes(features.where(F.col("f").isin(used)), sized).collect()}  # selected features x scales
+    cascades = {}
+    for name, m in models.items():
+        bg, white = (np.array([[boxes[s[0], r[1]][k] for r in m.rows] for s in scales_], np.int64).reshape(len(scales_), len(m.rows), 4) for k in (0, 1))
+        cascades[name] = kernels.Cascade(scales_, bg, white, np.array([r[2] for r in m.rows]), np.array([r[3] for r in m.rows]), np.array([r[5] for r in m.rows]), m.threshold)
+    kind = images.schema["img_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, names, sizes, windows, scores = [], [], [], [np.zeros((0, 5), np.int64)], [np.zeros(0)]
+            for i, image in kernels.images_of(batch):
+                ii = kernels.integral(image) if image is not None else None
+                gray = image is not None and 0 <= image.min() and image.max() <= kernels.GRAY
+                for name, cascade in cascades.items():
+                    found, score = cascade.detected(ii, gray) if ii is not None else (windows[0], scores[0])
+                    of.append(i)
+                    names.append(name)
+                    sizes.append(len(score))
+                    windows.append(found)
+                    scores.append(score)
+            flat = pa.StructArray.from_arrays([*[pa.array(c) for c in np.ascontiguousarray(np.concatenate(windows).T.astype(np.int32))], pa.array(np.concatenate(scores))], [*"sjkhw", "score"])
+            found = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(names, pa.string()), found], ["img_id", "model", "found"])
+
+    rows = images.select("img_id", "h", "w", "pixels")
+    return rows.mapInArrow(run, f"img_id {kind.simpleString()}, model string, found {FOUND}")
 
 
 def detect(images: DataFrame, features: DataFrame, sized: DataFrame, models: BoostedModel | dict[str, BoostedModel]) -> DataFrame:
