@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gradarium.functions.expressions import bin_of, logit
 from gradarium.functions.ordering import written
 from gradarium.operators.binning import STATE_SCHEMA, bin_state, feature_rows, find_ranges
+from gradarium.operators.selection import matrix_of
 
 #: A round's choice: argmin of the error, then of the feature's number. Sums of doubles in another order differ behind
 #: so many digits, so features that hold the same tie there.
@@ -201,6 +202,64 @@ class BoostedModel:
         scored = df.withColumn("score", self.score())
         return scored.withColumn("prediction", F.when(F.col("score") > self.threshold, F.lit(self.classes[1])).otherwise(F.lit(self.classes[0])))
 
+    def staged(self, df: DataFrame, stages: list[int]) -> DataFrame:
+        """df with scores array<double>: the score after each number of rounds in `stages`, in one pass over the selected
+        features, equal to truncated(t).score() for each t."""
+        cut = self._stages(stages)
+        names = [*df.columns, "scores"]
+        used = self._used()
+        rows = df.withColumn("__x", F.array(*[self._value(j).cast("double") for j in used]))
+        schema = df.withColumn("scores", F.array().cast("array<double>")).schema
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                m = batch.num_rows
+                scores = self.running_scores(matrix_of(batch.column(batch.num_columns - 1), len(used)), cut)
+                values = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * len(cut), pa.int32()), pa.array(scores.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], names)
+
+        return rows.mapInArrow(run, schema)
+
+    def staged_figures(self, df: DataFrame, y: Column | str, stages: list[int]) -> DataFrame:
+        """(rounds, m, accuracy, sensitivity, far) of df for the models of so many rounds each, in one pass: tasks count
+        hits of both classes at every stage, and only these counts are exchanged. y is -1 or 1, a null y is not counted."""
+        cut, used = self._stages(stages), self._used()
+        rows = df.select((F.col(y) if isinstance(y, str) else y).cast("int").alias("y"), F.array(*[self._value(j).cast("double") for j in used]).alias("x")).where("y is not null")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((4, len(cut)), np.int64)
+            for batch in batches:
+                positive = batch.column(0).to_numpy() > 0
+                above = self.running_scores(matrix_of(batch.column(1), len(used)), cut) > self.threshold
+                total += np.stack([above[positive].sum(0), (~above[~positive]).sum(0), np.full(len(cut), positive.sum()), np.full(len(cut), (~positive).sum())])
+            yield pa.record_batch([pa.array(np.array(cut, np.int32)), *[pa.array(t) for t in total]], ["rounds", "tp", "tn", "p", "n"])
+
+        counts = rows.mapInArrow(run, "rounds int, tp long, tn long, p long, n long").groupBy("rounds").agg(*[F.sum(c).alias(c) for c in ("tp", "tn", "p", "n")])
+        share = lambda a, b: F.when(b > 0, a / b)
+        return counts.select("rounds", (F.col("p") + F.col("n")).alias("m"), share(F.col("tp") + F.col("tn"), F.col("p") + F.col("n")).alias("accuracy"), share(F.col("tp"), F.col("p")).alias("sensitivity"), share(F.col("n") - F.col("tn"), F.col("n")).alias("far"))
+
+    def _stages(self, stages: list[int]) -> list[int]:
+        if not stages or min(stages) < 1 or max(stages) > len(self.rows):
+            raise ValueError("stages must be from 1 to the model's rounds")
+        return sorted(set(stages))
+
+    def _used(self) -> list[int]:
+        return sorted({r[1] for r in self.rows})
+
+    def running_scores(self, x: np.ndarray, stages: list[int]) -> np.ndarray:
+        """(rows x stages) of the values x of the selected features, in the order of their numbers: rounds are added one
+        after the other, so a stage has the very sum that a shorter model has."""
+        used = self._used()
+        score, out = np.zeros(len(x)), np.empty((len(x), len(stages)))
+        for t in range(stages[-1]):
+            _, j, lo, hi, _, logits = self.rows[t]
+            with np.errstate(invalid="ignore"):
+                place = np.floor(self.n_bins * (x[:, used.index(j)] - lo) / (hi - lo)) if hi > lo else np.zeros(len(x))
+            score += np.array(logits)[np.clip(place, 0, self.n_bins - 1).astype(np.int64)]
+            if t + 1 in stages:
+                out[:, stages.index(t + 1)] = score
+        return out
+
     def with_threshold(self, threshold: float) -> BoostedModel:
         return replace(self, threshold=float(threshold))
 

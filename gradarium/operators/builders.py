@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradarium.operators import kernels
 from gradarium.operators.detection import head_tail_split, negative_windows, valid_targets
+from gradarium.operators.rectangles import window_arrays
 from gradarium.sources import readers
 
 
@@ -28,24 +24,8 @@ def examples(images: DataFrame, targets: DataFrame, features: DataFrame, negativ
     both = good.select("img_id", window(1, "nth").alias("v"))
     both = both.unionByName(drawn.select("img_id", window(-1, "draw").alias("v"))) if negatives else both
     gathered = both.groupBy("img_id").agg(F.array_sort(F.collect_list("v")).alias("windows"))  # an image's own windows
-    units = features.select("f", "bg", "white").orderBy("f").collect()  # parameters
-    unit_bg, unit_white = (np.array([r[c] for r in units], np.float64).reshape(-1, 4) for c in ("bg", "white"))
-    rows = gathered.join(images.select("img_id", "h", "w", "pixels"), "img_id").select("img_id", "windows", "h", "w", "pixels")
-    kind = rows.schema["img_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, image in kernels.images_of(batch):
-                if image is None:
-                    continue
-                own = batch.column("windows")[i].values
-                at = np.stack([own.field(c).to_numpy() for c in "jkhw"], 1).astype(np.int64)
-                x, m = kernels.window_values(kernels.integral(image), at, unit_bg, unit_white), len(at)
-                values = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * len(unit_bg), pa.int32()), pa.array(x.ravel()))
-                columns = [batch.column("img_id").take(pa.array(np.full(m, i))), pa.array(np.arange(m, dtype=np.int32)), own.field("y").cast(pa.int8()), *[own.field(c) for c in "jkhw"], values]
-                yield pa.RecordBatch.from_arrays(columns, ["img_id", "nth", "y", *"jkhw", "x"])
-
-    return rows.mapInArrow(run, f"img_id {kind}, nth int, y tinyint, j int, k int, h int, w int, x array<double>")
+    rows = window_arrays(gathered.join(images.select("img_id", "h", "w", "pixels"), "img_id"), features)
+    return rows.select("img_id", "nth", F.col("window.y").cast("tinyint").alias("y"), *[F.col(f"window.{c}").alias(c) for c in "jkhw"], "x")
 
 
 def stem(path: Column, folders: int) -> Column:

@@ -112,3 +112,26 @@ def window_features(windows: DataFrame, boxes: DataFrame, images: DataFrame) ->
     rows = windows.select("img_id", "s", "j0", "k0").join(images.select("img_id", "w", "ii"), "img_id").join(F.broadcast(boxes), "s")
     value = box_value(F.col("ii"), F.col("w"), F.col("j0"), F.col("k0"), F.col("bg"), F.col("white"))
     return rows.select("img_id", "s", "j0", "k0", "f", value.alias("value"))
+
+
+def window_arrays(images: DataFrame, features: DataFrame) -> DataFrame:
+    """(img_id, nth, window, x array<double>): the values of all features, in the order of their numbers, in each of an
+    image's own `windows`, an array of structs that have j, k, h and w. Boxes of the catalogue, cut to each window's size,
+    are constants; windows are looked at inside the image's row. A null or empty image, or no window, gives no rows."""
+    units = features.select("f", "bg", "white").orderBy("f").collect()  # parameters
+    unit_bg, unit_white = (np.array([r[c] for r in units], np.float64).reshape(-1, 4) for c in ("bg", "white"))
+    rows = images.select("img_id", "h", "w", "pixels", "windows")
+    schema = rows.select("img_id", F.lit(0).alias("nth"), F.col("windows")[0].alias("window"), F.array().cast("array<double>").alias("x")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, image in kernels.images_of(batch):
+                windows = batch.column(4)[i].values
+                if image is None or not windows:
+                    continue
+                at = np.stack([windows.field(c).to_numpy() for c in "jkhw"], 1).astype(np.int64)
+                x, m = kernels.window_values(kernels.integral(image), at, unit_bg, unit_white), len(at)
+                values = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * len(units), pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(m, i))), pa.array(np.arange(m, dtype=np.int32)), windows, values], schema.names)
+
+    return rows.mapInArrow(run, schema)

@@ -76,10 +76,10 @@ def boosting_sql(rounds: int, before: str = _EMBEDDED, head: str = "WITH ") -> s
     ]
     for t in range(rounds):
         parts += [
-            f"g{t} AS (SELECT j, b, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS wp, sum(CASE WHEN y = -1 THEN w ELSE 0 END) AS wn FROM binned JOIN w{t} USING (vec_id) GROUP BY j, b)",
-            f"h{t} AS (SELECT j, b, wp, wn, {logit_sql()} AS l FROM g{t})",
-            f"s{t} AS (SELECT j, sum(wp * exp(-l) + wn * exp(l)) AS err FROM h{t} GROUP BY j ORDER BY round(err, 13), j LIMIT 1)",
-            f"w{t + 1} AS (SELECT vec_id, w * exp(-y * l) / err AS w FROM w{t} JOIN binned USING (vec_id) JOIN s{t} USING (j) JOIN h{t} USING (j, b))",
+            f"g{t} AS MATERIALIZED (SELECT j, b, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS wp, sum(CASE WHEN y = -1 THEN w ELSE 0 END) AS wn FROM binned JOIN w{t} USING (vec_id) GROUP BY j, b)",
+            f"h{t} AS MATERIALIZED (SELECT j, b, wp, wn, {logit_sql()} AS l FROM g{t})",
+            f"s{t} AS MATERIALIZED (SELECT j, sum(wp * exp(-l) + wn * exp(l)) AS err FROM h{t} GROUP BY j ORDER BY round(err, 13), j LIMIT 1)",
+            f"w{t + 1} AS MATERIALIZED (SELECT vec_id, w * exp(-y * l) / err AS w FROM w{t} JOIN binned USING (vec_id) JOIN s{t} USING (j) JOIN h{t} USING (j, b))",
         ]
     return head + ",\n".join(parts)
 
@@ -186,6 +186,25 @@ def accuracy_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.accuracies(scored, ["is_test"]).select("is_test", *[F.round(c, 9).alias(c) for c in ("accuracy", "sensitivity", "far")])
 
 
+_STAGES = (1, 2, 4, 7)
+
+
+def _staged_sql() -> str:
+    """Scores of each stage from its own rounds."""
+    parts = " UNION ALL ".join(f"SELECT {n} AS rounds, vec_id, l FROM (" + " UNION ALL ".join(f"SELECT vec_id, coalesce(l, 0) AS l FROM binned JOIN s{t} USING (j) LEFT JOIN h{t} USING (j, b)" for t in range(n)) + ")" for n in _STAGES)
+    return f"""{boosting_sql(max(_STAGES))},
+staged AS (SELECT rounds, vec_id, sum(l) AS score FROM ({parts}) GROUP BY ALL),
+p AS (SELECT rounds, y, round(score, 12) > 0 AS above FROM staged JOIN e USING (vec_id))
+SELECT CAST(rounds AS INTEGER) AS rounds, count(*) AS m, round(avg(CAST((y = 1) = above AS INTEGER)), 9) AS accuracy, round(avg(CASE WHEN y = 1 THEN CAST(above AS INTEGER) END), 9) AS sensitivity, round(avg(CASE WHEN y = -1 THEN CAST(above AS INTEGER) END), 9) AS far FROM p GROUP BY 1"""
+
+
+@query(_staged_sql())
+def staged_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy, sensitivity and false alarm rate by the number of rounds, from one fit and one pass."""
+    figures = _model(spark, sf_dir, max(_STAGES)).staged_figures(embeddings(spark, sf_dir), "y", list(_STAGES))
+    return figures.select("rounds", "m", *[F.round(c, 9).alias(c) for c in ("accuracy", "sensitivity", "far")])
+
+
 @query("SELECT quality AS y, count(*) AS n, count(*) / sum(count(*)) OVER () AS prior FROM labels GROUP BY quality")
 def class_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.class_priors(table(spark, sf_dir, "labels").select(F.col("quality").alias("y")))
@@ -238,9 +257,9 @@ def one_vs_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- images: embeddings as 8 x 8 gray images ----
 
 
-def _gray(rows: DataFrame) -> DataFrame:
+def _gray(rows: DataFrame, *keep: str) -> DataFrame:
     gray = F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v.cast("double") + 1) * 128))).cast("smallint"))
-    return rows.select(F.col("vec_id").alias("img_id"), F.lit(8).alias("h"), F.lit(8).alias("w"), gray.alias("pixels"))
+    return rows.select(F.col("vec_id").alias("img_id"), F.lit(8).alias("h"), F.lit(8).alias("w"), gray.alias("pixels"), *keep)
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,12 +422,10 @@ def _two_scales(spark: SparkSession) -> DataFrame:
 
 def _image_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, boosting.BoostedModel]:
     """A catalogue of features and a model of three rounds over their values in the whole images."""
-    features, pictures, sized = rectangles.catalogue(spark, 2, 1), images(spark, sf_dir), _two_scales(spark)
-    windows = detection.sliding_windows(pictures.select("img_id", F.col("h").alias("height"), F.col("w").alias("width")), sized.where("s = 1"))
-    values = rectangles.window_features(windows, rectangles.scaled_boxes(features, sized), rectangles.integral_arrays(pictures))
-    x = F.transform(F.array_sort(F.collect_list(F.struct("f", "value"))), lambda v: v["value"].cast("double"))
-    labels = embeddings(spark, sf_dir).select(F.col("vec_id").alias("img_id"), "y")
-    train = values.groupBy("img_id").agg(x.alias("x")).join(labels, "img_id")
+    features = rectangles.catalogue(spark, 2, 1)
+    whole = F.array(F.struct(F.lit(0).alias("j"), F.lit(0).alias("k"), "h", "w"))
+    rows = _gray(embeddings(spark, sf_dir), "y").withColumnRenamed("img_id", "id")
+    train = rectangles.window_arrays(rows.withColumns({"img_id": F.struct("id", "y"), "windows": whole}), features).select("img_id.y", "x")
     return features, boosting.BoostedBins(ROUNDS, BINS, TRIM, MOST).fit(train, "y", "x")
 
 
@@ -430,16 +447,90 @@ def detect_in_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, found.withColumn("score", F.round("score", 6)))
 
 
-@query()
+def _u(what: str) -> str:
+    return f"(('0x' || substr(md5(CAST(img_id AS VARCHAR) || '/' || CAST(draw AS VARCHAR) || '/{what}'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE)"
+
+
+#: Frames are mosaics of so many tiles of 8 x 8 pixels: 480 x 640.
+_TALL, _WIDE = 60, 80
+
+
+def _frames_detected_sql() -> str:
+    """The model of _detected_sql(), its boxes at nine scales, and four corners of each from the mosaics' integral image."""
+    head = _detected_sql()
+    model = head[: head.index("scored AS (")]
+    terms = " UNION ALL ".join(f"SELECT img_id, s, size, j0, k0, coalesce(l, 0) AS l FROM (SELECT v.*, c.j, {bin_sql('value')} AS b FROM fvals v JOIN s{t} c ON c.j = v.f JOIN ranges r ON r.j = v.f) LEFT JOIN h{t} USING (j, b)" for t in range(ROUNDS))
+    corner = lambda j, k, h, w: " + ".join(f"{sign}(SELECT ii FROM fi WHERE fi.img_id = x.img_id AND fi.j = {a} AND fi.k = {b})" for sign, a, b in (("", f"j0 + {j} + {h}", f"k0 + {k} + {w}"), ("-", f"j0 + {j}", f"k0 + {k} + {w}"), ("-", f"j0 + {j} + {h}", f"k0 + {k}"), ("", f"j0 + {j}", f"k0 + {k}")))
+    return (
+        model
+        + f"""fid AS (SELECT DISTINCT vec_id // {_TALL * _WIDE} AS img_id FROM embeddings),
+fpx AS (SELECT vec_id // {_TALL * _WIDE} AS img_id, vec_id % {_TALL * _WIDE} // {_WIDE} * 8 + place // 8 AS j, vec_id % {_WIDE} * 8 + place % 8 AS k, CAST(greatest(0, least(255, floor((x + 1) * 128))) AS BIGINT) AS v FROM (SELECT vec_id, unnest(range(0, 64)) AS place, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)),
+fall AS (SELECT g.img_id, g.j, g.k, coalesce(v, 0) AS v FROM (SELECT img_id, a.j, b.k FROM fid, (SELECT unnest(range(0, {8 * _TALL})) AS j) a, (SELECT unnest(range(0, {8 * _WIDE})) AS k) b) g LEFT JOIN fpx USING (img_id, j, k)),
+fi AS MATERIALIZED (SELECT img_id, j + 1 AS j, k + 1 AS k, sum(r) OVER (PARTITION BY img_id, k ORDER BY j) AS ii FROM (SELECT img_id, j, k, sum(v) OVER (PARTITION BY img_id, j ORDER BY k) AS r FROM fall)
+    UNION ALL SELECT img_id, 0, unnest(range(0, {8 * _WIDE} + 1)), 0 FROM fid UNION ALL SELECT img_id, unnest(range(1, {8 * _TALL} + 1)), 0, 0 FROM fid),
+fz AS (SELECT s, CAST(round_even(96 * 1.2::DOUBLE ** s, 0) AS BIGINT) AS size FROM (SELECT unnest(range(0, 9)) AS s)),
+fd AS (SELECT s, size, CAST(round_even(size * 0.05::DOUBLE, 0) AS BIGINT) AS d FROM fz),
+fwin AS (SELECT img_id, s, size, j0, unnest(range(({8 * _WIDE} - size) % d // 2, {8 * _WIDE} - size + 1, d)) AS k0 FROM (SELECT *, unnest(range(({8 * _TALL} - size) % d // 2, {8 * _TALL} - size + 1, d)) AS j0 FROM fid, fd WHERE size <= {8 * _TALL})),
+chosen AS ({" UNION ".join(f"SELECT j AS f FROM s{t}" for t in range(ROUNDS))}),
+fcut AS (SELECT s, f, trunc(size * (0.5::DOUBLE - h / 2)) AS bj, trunc(size * (0.5::DOUBLE - v / 2)) AS bk, trunc(size * h) AS bh, trunc(size * v) AS bw,
+    trunc(size * (a * h + (0.5::DOUBLE - h / 2))) AS wj, trunc(size * (b * v + (0.5::DOUBLE - v / 2))) AS wk, trunc(size * (c * h)) AS wh, trunc(size * (d * v)) AS ww FROM feat, fz WHERE f IN (SELECT f FROM chosen)),
+fx AS (SELECT * FROM fwin JOIN fcut USING (s)),
+fsums AS (SELECT img_id, s, size, j0, k0, f, bh * bw AS area, wh * ww AS part, {corner("bj", "bk", "bh", "bw")} AS whole, {corner("wj", "wk", "wh", "ww")} AS white FROM fx x),
+fvals AS MATERIALIZED (SELECT img_id, s, size, j0, k0, f, CASE WHEN part > 0 AND area > part THEN trunc(white / part - (whole - white) / (area - part)) ELSE 0 END AS value FROM fsums),
+fscored AS (SELECT img_id, s, size, j0, k0, sum(l) AS score FROM ({terms}) GROUP BY ALL)
+SELECT img_id, CAST(s AS INTEGER) AS s, CAST(j0 AS INTEGER) AS j, CAST(k0 AS INTEGER) AS k, CAST(size AS INTEGER) AS h, CAST(size AS INTEGER) AS w, round(score, 6) AS score FROM fscored WHERE round(score, 9) > 0"""
+    )
+
+
+@query(_frames_detected_sql())
+def detect_in_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings as mosaics of 480 x 640 pixels, each with 22,278 windows of nine scales: those above a threshold."""
+    features, model = _image_model(spark, sf_dir)
+    mosaics = readers.mosaics(images(spark, sf_dir), _TALL, _WIDE)
+    found = detection.detect(mosaics, features, detection.scales(spark), model)
+    return found.withColumn("score", F.round("score", 6))
+
+
+def _examples_sql() -> str:
+    """Targets and drawn windows of all images, and the features of a catalogue of two sizes and places in each."""
+    iou = "(dj * dk) / (ah * aw + bh * bw - dj * dk)::DOUBLE"
+    return (
+        _PIXELS
+        + f""",
+t AS ({_TEMPLATES_SQL}),
+axis AS (SELECT s, p, 0.25::DOUBLE + s * 0.5::DOUBLE AS side FROM (SELECT unnest([0, 1]) AS s), (SELECT unnest([-1, 0, 1]) AS p)),
+place AS (SELECT *, 0.5::DOUBLE + p * ((1.0::DOUBLE - side) / 2) - side / 2 AS start FROM axis),
+feat AS (SELECT (((t * 2 + y.s) * 2 + x.s) * 3 + y.p + 1) * 3 + x.p + 1 AS f, y.start AS bj, x.start AS bk, y.side AS bh, x.side AS bw, a * y.side + y.start AS wj, b * x.side + x.start AS wk, c * y.side AS wh, d * x.side AS ww FROM t, place y, place x),
+img AS (SELECT DISTINCT img_id FROM px),
+tgt AS (SELECT img_id, CAST(0 AS BIGINT) AS o, CAST(img_id % 2 AS INTEGER) AS j, CAST(img_id % 4 AS INTEGER) AS k, CAST(img_id % 3 + 3 AS INTEGER) AS h, CAST(img_id % 3 + 3 AS INTEGER) AS w FROM img),
+good AS (SELECT * FROM tgt WHERE j + h <= 8 AND k + w <= 8),
+d0 AS (SELECT img_id, draw FROM img, (SELECT unnest(range(0, 200)) AS draw)),
+d1 AS (SELECT img_id, draw, CAST(greatest(floor((0.1::DOUBLE + {_u("side")} * 0.4::DOUBLE) * 8), 1) AS INTEGER) AS h FROM d0),
+d2 AS (SELECT *, h AS w, CAST(floor({_u("j")} * (8 - h + 1)) AS INTEGER) AS j, CAST(floor({_u("k")} * (8 - h + 1)) AS INTEGER) AS k FROM d1),
+hit AS (SELECT DISTINCT img_id, draw FROM (SELECT a.img_id, a.draw, a.h AS ah, a.w AS aw, b.h AS bh, b.w AS bw, least(a.j + a.h, b.j + b.h) - greatest(a.j, b.j) AS dj, least(a.k + a.w, b.k + b.w) - greatest(a.k, b.k) AS dk FROM d2 a JOIN good b ON a.img_id = b.img_id)
+    WHERE dj > 0 AND dk > 0 AND {iou} >= 0.5),
+neg AS (SELECT img_id, draw, j, k, h, w FROM (SELECT d2.*, row_number() OVER (PARTITION BY d2.img_id ORDER BY d2.draw) AS n FROM d2 ANTI JOIN hit USING (img_id, draw)) WHERE n <= 3),
+win AS (SELECT *, CAST(row_number() OVER (PARTITION BY img_id ORDER BY y DESC, o) - 1 AS INTEGER) AS nth FROM (SELECT img_id, 1 AS y, o, j, k, h, w FROM good UNION ALL SELECT img_id, -1, draw, j, k, h, w FROM neg)),
+cut AS (SELECT win.*, f, j + trunc(h * bj) AS b1, k + trunc(w * bk) AS b2, trunc(h * bh) AS b3, trunc(w * bw) AS b4, j + trunc(h * wj) AS w1, k + trunc(w * wk) AS w2, trunc(h * wh) AS w3, trunc(w * ww) AS w4 FROM win, feat),
+e AS (SELECT img_id, list(v ORDER BY j, k) AS p FROM px GROUP BY img_id),
+total AS (SELECT c.img_id, nth, y, j, k, h, w, f, b3 * b4 AS area, w3 * w4 AS part,
+    list_sum(list_filter(p, lambda v, i: (i - 1) // 8 >= b1 AND (i - 1) // 8 < b1 + b3 AND (i - 1) % 8 >= b2 AND (i - 1) % 8 < b2 + b4)) AS whole,
+    list_sum(list_filter(p, lambda v, i: (i - 1) // 8 >= w1 AND (i - 1) // 8 < w1 + w3 AND (i - 1) % 8 >= w2 AND (i - 1) % 8 < w2 + w4)) AS white FROM cut c JOIN e USING (img_id))
+SELECT img_id, nth, CAST(y AS INTEGER) AS y, j, k, h, w, CAST(f AS INTEGER) AS f, CAST(CASE WHEN part > 0 AND area > part THEN trunc(white / part - (whole - white) / (area - part)) ELSE 0 END AS DOUBLE) AS value FROM total"""
+    )
+
+
+@query(_examples_sql())
 def window_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled feature rows of every image: a target, and three negatives that overlap it by less than half."""
     pictures = images(spark, sf_dir)
     size = (F.col("img_id") % 3 + 3).cast("int")
     targets = pictures.select("img_id", F.lit(0).alias("nth"), (F.col("img_id") % 2).cast("int").alias("j"), (F.col("img_id") % 4).cast("int").alias("k"), size.alias("h"), size.alias("w"))
-    return builders.examples(pictures, targets, rectangles.catalogue(spark, 2, 2), 3)
+    rows = builders.examples(pictures, targets, rectangles.catalogue(spark, 2, 2), 3)
+    return rows.select("img_id", "nth", F.col("y").cast("int").alias("y"), *"jkhw", F.posexplode("x").alias("f", "value"))
 
 
-@query()
+@query(scores_sql(80) + "\nSELECT vec_id, round(score, 6) AS score, CASE WHEN score > 0 THEN 1 ELSE -1 END AS prediction FROM scored")
 def score_long_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eighty rounds on the embeddings: margins are written down on the way, and the score is folded over a constant."""
     return _scored(spark, sf_dir, 80).select("vec_id", F.round("score", 6).alias("score"), "prediction")
@@ -456,10 +547,6 @@ def valid_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detection.valid_targets(sized, 0.15).select("box")
 
 
-def _u(what: str) -> str:
-    return f"(('0x' || substr(md5(CAST(img_id AS VARCHAR) || '/' || CAST(draw AS VARCHAR) || '/{what}'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE)"
-
-
 @query(
     f"""WITH {_BOXES_SQL},
 img AS (SELECT DISTINCT img_id FROM boxes),

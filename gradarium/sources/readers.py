@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +70,26 @@ def gray_images(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("origin").alias("path"), F.col("height").alias("h"), F.col("width").alias("w"), gray("data", "nChannels").alias("pixels"))
 
 
+def mosaics(tiles: DataFrame, tall: int, wide: int) -> DataFrame:
+    """(img_id, h, w, pixels) of images put together from tall x wide tiles (img_id, h, w, pixels) of one size: tile n lies
+    in image n // (tall * wide), by rows; places without a tile are 0. An image gathers its own tiles, whose number is a
+    parameter. Of tiles with one number any may show."""
+    own = tiles.select(F.floor(F.col("img_id") / (tall * wide)).alias("image"), F.struct((F.col("img_id") % (tall * wide)).cast("int").alias("at"), "h", "w", "pixels").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held = batch.column(1)[i].values
+                h, w = held.field("h")[0].as_py(), held.field("w")[0].as_py()
+                grid = np.zeros((tall * wide, h, w), np.int16)
+                grid[held.field("at").to_numpy()] = held.field("pixels").flatten().to_numpy(zero_copy_only=False).reshape(-1, h, w)
+                flat = grid.reshape(tall, wide, h, w).transpose(0, 2, 1, 3).ravel()
+                pixels = pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([tall * h], pa.int32()), pa.array([wide * w], pa.int32()), pixels], ["img_id", "h", "w", "pixels"])
+
+    return own.groupBy("image").agg(F.collect_list("t").alias("tiles")).mapInArrow(run, "img_id long, h int, w int, pixels array<smallint>")
+
+
 def ellipse_annotations(spark: SparkSession, path: str) -> DataFrame:
     """(file, image, nth, major, minor, angle, cx, cy) of annotation files: a path, a count, then so many lines of
     ellipses (five numbers and a flag). Lines of an ellipse follow the nearest path line before them."""

@@ -62,6 +62,30 @@ def test_fit_equals_numpy(data):
     assert "rounds=20" in model.describe() and model.describe(verbose=True).count("\n") == 21
 
 
+def test_stages_equal_shorter_models(data, spark):
+    df, _, y = data
+    model = BoostedBins(rounds=12).fit(df, "y", "x").with_threshold(0.05)
+    stages = [12, 1, 5, 5]
+    rows = model.staged(df.withColumn("other", F.lit("a")), stages).collect()
+    figures = {r.rounds: r for r in model.staged_figures(df, "y", stages).collect()}
+    assert set(figures) == {1, 5, 12} and len(rows) == 300
+    for k, t in enumerate((1, 5, 12)):
+        short = model.truncated(t).transform(df)
+        score = {r.id: (r.score, r.prediction) for r in short.collect()}
+        assert all(r.scores[k] == score[r.id][0] for r in rows)
+        want = accuracies(short, []).first()
+        f = figures[t]
+        assert f.m == 300 and (f.accuracy, f.sensitivity, f.far) == pytest.approx((want.accuracy, want.sensitivity, want.far))
+    columns = df.select("y", *[F.col("x")[k].alias(f"c{k}") for k in range(7)])
+    named = BoostedBins(rounds=4).fit(columns, "y", [f"c{k}" for k in range(7)])
+    assert named.staged_figures(columns, F.when(F.col("c0") > 0, F.col("y")), [4]).first().m == int((data[1][:, 0] > 0).sum())
+    one_class = named.staged_figures(columns.where("y = 1"), "y", [2]).first()
+    assert one_class.far is None and one_class.accuracy == one_class.sensitivity
+    for bad in ([], [0], [13]):
+        with pytest.raises(ValueError, match="stages"):
+            model.staged(df, bad)
+
+
 def test_many_rounds_score_alike(data, spark):
     df, _, _ = data
     model = BoostedBins(rounds=2).fit(df, "y", "x")

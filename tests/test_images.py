@@ -1,10 +1,11 @@
+import math
 import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradarium.operators import builders, detection, rectangles
+from gradarium.operators import builders, detection, kernels, rectangles
 from gradarium.operators.boosting import BoostedModel
 from gradarium.sources import readers, sinks
 
@@ -83,6 +84,69 @@ def test_detection_equals_features_and_scores(spark, pictures):
     assert got.keys() == want.keys() and len(want) > 3 and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_early_exit_changes_nothing(monkeypatch):
+    rng = np.random.default_rng(11)
+    image = rng.integers(0, 256, (70, 90))
+    scales_ = [(0, 20, 20, 2, 3), (1, 31, 40, 4, 4), (2, 90, 20, 1, 1)]
+    rounds = 60
+    side = [np.array([s[1], s[2], s[1], s[2]]) for s in scales_]
+    unit = np.stack([rng.random(rounds) * 0.4, rng.random(rounds) * 0.4, 0.1 + rng.random(rounds) * 0.5, 0.1 + rng.random(rounds) * 0.5], 1)
+    inner = unit * [1, 1, 0.5, 0.6] + np.stack([unit[:, 2] * 0.2, unit[:, 3] * 0.3, np.zeros(rounds), np.zeros(rounds)], 1)
+    bg, white = (np.stack([(u * s).astype(int) for s in side]) for u in (unit, inner))
+    lo, hi = np.full(rounds, -40.0), np.where(np.arange(rounds) % 9, 40.0, -40.0)
+    logits = rng.normal(size=(rounds, 8))
+    for threshold in (-1e9, 0.0, 12.0, 1e9):
+        found, score = kernels.Cascade(scales_, bg, white, lo, hi, logits, threshold).detected(kernels.integral(image), True)
+        want = []
+        for p, (s, h, w, dj, dk) in enumerate(scales_):
+            for j in range((70 - h) % dj // 2, 70 - h + 1, dj):
+                for k in range((90 - w) % dk // 2, 90 - w + 1, dk):
+                    total = 0.0
+                    for t in range(rounds):
+                        (a, b, c, d), (e, f, g, i) = bg[p, t], white[p, t]
+                        whole, lit = image[j + a : j + a + c, k + b : k + b + d], image[j + e : j + e + g, k + f : k + f + i]
+                        v = int(lit.sum() / lit.size - (whole.sum() - lit.sum()) / (whole.size - lit.size)) if lit.size and whole.size > lit.size else 0
+                        total += logits[t, min(7, max(0, math.floor(8 * (v + 40) / 80))) if hi[t] > lo[t] else 0]
+                    if total > threshold:
+                        want.append((s, j, k, h, w, total))
+            if threshold < 0:
+                break
+        mine = [(*map(int, r), float(v)) for r, v in zip(found, score, strict=True) if threshold >= 0 or r[0] == 0]
+        assert mine == want and (len(want) > 5 or threshold > 100)
+    for dtype, big in ((np.int16, 30_000), (np.uint8, 255)):
+        p = rng.integers(0, big, (9, 13)).astype(dtype)
+        assert (kernels.integral(p)[1:, 1:] == p.astype(np.int64).cumsum(0).cumsum(1)).all()
+
+
+def test_images_without_pixels_and_odd_ones(spark):
+    features, sized = rectangles.catalogue(spark, 2, 1), detection.scales(spark, 2, 4, 4, 1.3, 0.5)
+    model = BoostedModel(rows=[(0, 3, -9.0, 9.0, 1.0, [1.0] * 8)], classes=[-1, 1], features=[], array_column="x", n_bins=8)
+    schema = "img_id string, h int, w int, pixels array<int>"
+    none = spark.createDataFrame([("a", None, None, None), ("b", 0, 0, []), ("c", 4, 4, [9] * 16)], schema)
+    assert [(r.img_id, len(r.found)) for r in detection.detections_in_rows(none, features, sized, {"m": model}).orderBy("img_id").collect()] == [("a", 0), ("b", 0), ("c", 1)]
+    assert [r.ii for r in rectangles.integral_arrays(none).orderBy("img_id").collect()][:2] == [[], []]
+    assert detection.detections_in_rows(none.where("h > 9"), features, sized, {"m": model}).count() == 0
+    wide = spark.createDataFrame([("d", 4, 4, [3000, 5] * 8)], schema)  # more than eight bits
+    assert detection.detect(wide, features, sized, model).first().score == 1.0
+    for bad in ((4, 4, [1] * 15), (4, 4, [None] * 16), (None, 4, [1] * 4)):
+        with pytest.raises(Exception, match="pixels"):
+            detection.detect(spark.createDataFrame([("x", *bad)], schema), features, sized, model).collect()
+
+
+def test_mosaics(spark):
+    rng = np.random.default_rng(1)
+    tiles = {i: rng.integers(0, 256, (2, 3)) for i in (0, 1, 2, 5, 6, 13)}
+    rows = spark.createDataFrame([(i, 2, 3, t.ravel().tolist()) for i, t in tiles.items()], "img_id long, h int, w int, pixels array<int>").repartition(3)
+    got = {r.img_id: np.array(r.pixels).reshape(r.h, r.w) for r in readers.mosaics(rows, 2, 3).collect()}
+    assert set(got) == {0, 1, 2}
+    for n, picture in got.items():
+        want = np.zeros((4, 9), int)
+        for i, t in tiles.items():
+            if i // 6 == n:
+                want[i % 6 // 3 * 2 :, i % 3 * 3 :][:2, :3] = t
+        assert (picture == want).all()
+
+
 def greedy(boxes, least):
     def iou(a, b):
         dj, dk = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]), min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
