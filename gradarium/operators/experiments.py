@@ -14,6 +14,7 @@ from gradarium.functions.expressions import clean_name, experiment_code
 from gradarium.functions.ordering import written
 from gradarium.operators.boosting import BoostedBins
 from gradarium.operators.metrics import max_ratios
+from gradarium.operators.trees import LeafwiseTrees
 from gradarium.sources.readers import random_matrix
 
 SCHEMA = "data_name string, classifier string, rounds int, n_bins int, metric string, value double"
@@ -26,6 +27,12 @@ def boosted_bins(train: DataFrame, x: str, rounds: int, n_bins: int) -> Callable
     return BoostedBins(rounds=rounds, n_bins=n_bins).fit(train, "y", x).transform
 
 
+def leafwise_trees(train: DataFrame, x: str, rounds: int, n_bins: int) -> Callable[[DataFrame], DataFrame]:
+    """Gradient boosting of trees of up to 31 leaves over n_bins bins (2 at least), grown leaf by leaf."""
+    model = LeafwiseTrees(rounds=rounds, n_bins=max(2, n_bins)).fit(train, "y", x)
+    return lambda df: model.transform(df).drop("score")
+
+
 def _vectors(df: DataFrame, x: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
@@ -81,7 +88,7 @@ def adaptive_boosting(train: DataFrame, x: str, rounds: int, n_bins: int) -> Cal
     return predict
 
 
-CLASSIFIERS: dict[str, Classifier] = {"boosted_bins": boosted_bins, "boosted_stumps": boosted_stumps, "boosted_trees": boosted_trees, "adaptive_boosting": adaptive_boosting}
+CLASSIFIERS: dict[str, Classifier] = {"boosted_bins": boosted_bins, "leafwise_trees": leafwise_trees, "boosted_stumps": boosted_stumps, "boosted_trees": boosted_trees, "adaptive_boosting": adaptive_boosting}
 
 
 def grid_name(spark: SparkSession, kind: str, settings: dict, digits: int = 10) -> str:
@@ -111,6 +118,19 @@ def run_grid(spark: SparkSession, data: dict[str, tuple[DataFrame, DataFrame]],
     return max_ratios(spark.createDataFrame(out, SCHEMA), ["data_name", "rounds", "n_bins", "metric"])
 
 
+def staged_grid(spark: SparkSession, data: dict[str, tuple[DataFrame, DataFrame]], label: Column | str, features: str, rounds: list[int], n_bins: list[int]) -> DataFrame:
+    """(data_name, n_bins, rounds, part, m, accuracy, sensitivity, far) of the boosted bins: for each data set (train, test)
+    and number of bins one fit of the most rounds, whose prefixes are read off in one pass over each part."""
+    y, out = F.col(label) if isinstance(label, str) else label, None
+    for (name, (train, test)), b in product(data.items(), n_bins):
+        parts = {k: written(df.select(y.cast("int").alias("y"), features)) for k, df in (("train", train), ("test", test))}
+        model = BoostedBins(rounds=max(rounds), n_bins=b).fit(parts["train"], "y", features)
+        for part, df in parts.items():
+            rows = model.staged_figures(df, "y", rounds).select(F.lit(name).alias("data_name"), F.lit(b).alias("n_bins"), "rounds", F.lit(part).alias("part"), "m", "accuracy", "sensitivity", "far")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def random_grid(spark: SparkSession, sizes: list[tuple[int, int, int]], rounds: list[int], n_bins: list[int], classifiers: dict[str, Classifier] | None = None, seed: int = 0) -> DataFrame:
     """run_grid over random data sets of (features, train rows, test rows), named by these."""
     data = {f"{n}-{m}-{k}": (random_matrix(spark, m, n, 62, True, seed), random_matrix(spark, k, n, 62, True, seed + 1)) for n, m, k in sizes}

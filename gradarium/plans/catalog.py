@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gradarium.functions import expressions as E
 from gradarium.functions.ordering import shared_dir
-from gradarium.operators import binning, boosting, builders, detection, metrics, rectangles
+from gradarium.operators import binning, boosting, builders, detection, metrics, rectangles, trees
 from gradarium.sources import readers
 from gradarium.streaming import streams
 
@@ -205,6 +205,36 @@ def staged_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return figures.select("rounds", "m", *[F.round(c, 9).alias(c) for c in ("accuracy", "sensitivity", "far")])
 
 
+_TREES, _LEAVES, _RATE, _L2, _LEAST = 2, 4, 0.3, 1.0, 20
+
+
+def _trees_sql() -> str:
+    """Trees grown one split at a time: of all splits of all leaves the one of greatest gain, until there are enough."""
+    parts = [_EMBEDDED, ranges_sql("long"), f"binned AS MATERIALIZED (SELECT vec_id, y, long.j, {bin_sql('x')} AS b FROM long JOIN ranges USING (j))"]
+    parts.append("m0 AS MATERIALIZED (SELECT vec_id, y, ln((SELECT count(*) FROM e WHERE y = 1) / (SELECT count(*) FROM e WHERE y = -1)) AS margin FROM e)")
+    for t in range(_TREES):
+        parts.append(f"g{t} AS MATERIALIZED (SELECT vec_id, p - CAST(y = 1 AS INTEGER) AS g, p * (1 - p) AS h FROM (SELECT vec_id, y, 1 / (1 + exp(-margin)) AS p FROM m{t}))")
+        parts.append(f"n{t}_0 AS (SELECT vec_id, 0 AS leaf FROM e)")
+        for k in range(1, _LEAVES):
+            parts += [
+                f"c{t}_{k} AS (SELECT leaf, j, b, sum(g) AS g, sum(h) AS h, count(*) AS c FROM binned JOIN g{t} USING (vec_id) JOIN n{t}_{k - 1} USING (vec_id) GROUP BY leaf, j, b)",
+                f"l{t}_{k} AS (SELECT leaf, j, b, sum(g) OVER o AS gl, sum(h) OVER o AS hl, sum(c) OVER o AS cl, sum(g) OVER a AS gw, sum(h) OVER a AS hw, sum(c) OVER a AS cw FROM c{t}_{k} WINDOW o AS (PARTITION BY leaf, j ORDER BY b), a AS (PARTITION BY leaf, j))",
+                f"p{t}_{k} AS MATERIALIZED (SELECT leaf, j, b FROM (SELECT *, gl * gl / (hl + {_L2}) + (gw - gl) * (gw - gl) / (hw - hl + {_L2}) - gw * gw / (hw + {_L2}) AS gain FROM l{t}_{k} WHERE cl >= {_LEAST} AND cw - cl >= {_LEAST}) WHERE gain > 1e-12 ORDER BY round(gain, 9) DESC, leaf, j, b LIMIT 1)",
+                f"n{t}_{k} AS MATERIALIZED (SELECT n.vec_id, CASE WHEN n.leaf = p.leaf AND x.b > p.b THEN {k} ELSE n.leaf END AS leaf FROM n{t}_{k - 1} n LEFT JOIN p{t}_{k} p ON true LEFT JOIN binned x ON x.vec_id = n.vec_id AND x.j = p.j)",
+            ]
+        parts.append(f"v{t} AS (SELECT leaf, -sum(g) / (sum(h) + {_L2}) * {_RATE} AS v FROM n{t}_{_LEAVES - 1} JOIN g{t} USING (vec_id) GROUP BY leaf)")
+        parts.append(f"m{t + 1} AS MATERIALIZED (SELECT vec_id, y, margin + v AS margin FROM m{t} JOIN n{t}_{_LEAVES - 1} USING (vec_id) JOIN v{t} USING (leaf))")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT vec_id, round(margin, 6) AS score, CASE WHEN margin > 0 THEN 1 ELSE -1 END AS prediction FROM m{_TREES}"
+
+
+@query(_trees_sql())
+def leafwise_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two trees of four leaves each, grown leaf by leaf, score the embeddings they were fitted on."""
+    rows = embeddings(spark, sf_dir)
+    model = trees.LeafwiseTrees(_TREES, _LEAVES, BINS, _RATE, _L2, _LEAST, TRIM).fit(rows, "y", "embedding")
+    return model.transform(rows).select("vec_id", F.round("score", 6).alias("score"), "prediction")
+
+
 @query("SELECT quality AS y, count(*) AS n, count(*) / sum(count(*)) OVER () AS prior FROM labels GROUP BY quality")
 def class_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.class_priors(table(spark, sf_dir, "labels").select(F.col("quality").alias("y")))
