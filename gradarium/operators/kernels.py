@@ -37,6 +37,69 @@ def integral(image: np.ndarray) -> np.ndarray:
     return out
 
 
+def blended(n: int, to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of `to` places along n pixels the two pixels around its centre, and the share of the second."""
+    at = np.clip((np.arange(to) + 0.5) * (n / to) - 0.5, 0, n - 1)
+    low = np.minimum(at.astype(np.int64), max(n - 2, 0))
+    return low, np.minimum(low + 1, n - 1), at - low
+
+
+def resized(image: np.ndarray, height: int, width: int, kind: str = "linear") -> np.ndarray:
+    """The image at another size, one axis after the other. linear: each place blends the two pixels around its centre, the
+    border going on; area: the mean over what a place covers, for smaller images."""
+    out = image.astype(np.float64)
+    for axis, to in ((0, height), (1, width)):
+        n = out.shape[axis]
+        if kind == "linear":
+            low, high, share = blended(n, to)
+            share = share[:, None] if axis == 0 else share
+            out = out.take(low, axis) * (1 - share) + out.take(high, axis) * share
+        elif kind == "area":
+            sums = np.insert(out.cumsum(axis), 0, 0, axis)
+            edge = np.arange(to + 1) * n / to
+            low = np.minimum(edge.astype(np.int64), n - 1)
+            share = (edge - low)[:, None] if axis == 0 else edge - low
+            out = np.diff(sums.take(low, axis) * (1 - share) + sums.take(low + 1, axis) * share, axis=axis) * (to / n)
+        else:
+            raise ValueError("kind must be linear or area")
+    return out
+
+
+def turned(image: np.ndarray, degrees: float) -> np.ndarray:
+    """The image turned counter-clockwise about its centre, in a frame that holds all of it; places outside are 0. Each
+    place is looked up in the image, between its four neighbours."""
+    h, w = image.shape
+    angle = np.deg2rad(degrees)
+    cos, sin = (np.rint(v) if abs(v - np.rint(v)) < 1e-12 else v for v in (np.cos(angle), np.sin(angle)))
+    height, width = (int(np.ceil(v - 1e-9)) for v in (abs(h * cos) + abs(w * sin), abs(w * cos) + abs(h * sin)))
+    y, x = np.arange(height)[:, None] - (height - 1) / 2, np.arange(width)[None, :] - (width - 1) / 2
+    j, k = y * cos + x * sin + (h - 1) / 2, x * cos - y * sin + (w - 1) / 2
+    padded = np.zeros((h + 2, w + 2))
+    padded[1:-1, 1:-1] = image
+    inside = (j > -1) & (j < h) & (k > -1) & (k < w)
+    j, k = np.where(inside, j, 0) + 1, np.where(inside, k, 0) + 1
+    a, b = np.floor(j + 1e-9).astype(np.int64), np.floor(k + 1e-9).astype(np.int64)
+    u, v = np.maximum(j - a, 0), np.maximum(k - b, 0)
+    near = lambda r, c: padded[np.minimum(r, h + 1), np.minimum(c, w + 1)]
+    value = (near(a, b) * (1 - v) + near(a, b + 1) * v) * (1 - u) + (near(a + 1, b) * (1 - v) + near(a + 1, b + 1) * v) * u
+    return np.where(inside, value, 0.0)
+
+
+#: Stencils whose weights add up to 1: a place and its eight neighbours.
+SHARPER = np.array([[0.0, -1.0, 0.0], [-1.0, 5.0, -1.0], [0.0, -1.0, 0.0]])
+SOFTER = np.full((3, 3), 1 / 9)
+
+
+def stencilled(image: np.ndarray, stencil: np.ndarray) -> np.ndarray:
+    """Each place as the weighted sum of what is around it; beyond the border the image is mirrored, without its edge line
+    twice (a single line stands for itself)."""
+    a, b = (n // 2 for n in stencil.shape)
+    j, k = ([abs(i) if n > 1 else 0 for i in range(-r, n + r)] for n, r in ((image.shape[0], a), (image.shape[1], b)))
+    fold = lambda i, n: np.array([min(v, 2 * (n - 1) - v) if n > 1 else 0 for v in i]).clip(0)
+    wide = image.astype(np.float64)[np.ix_(fold(j, image.shape[0]), fold(k, image.shape[1]))]
+    return np.einsum("jkab,ab->jk", np.lib.stride_tricks.sliding_window_view(wide, stencil.shape), stencil)
+
+
 def corners(box: np.ndarray, stride: int) -> np.ndarray:
     """The four flat offsets of boxes (j, k, height, width) in an integral image of so many columns: their sum is
     a - b - c + d."""

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from gradarium.functions import expressions as E
 from gradarium.functions.ordering import shared_dir
-from gradarium.operators import binning, boosting, builders, detection, metrics, rectangles, trees
+from gradarium.operators import binning, boosting, builders, detection, metrics, rectangles, trees, warping
 from gradarium.sources import readers
-from gradarium.streaming import streams
+from gradarium.streaming import frames, streams
 
 ROUNDS, BINS, TRIM, MOST = 3, 8, 0.05, 2.0
 
@@ -333,9 +333,9 @@ def rectangle_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nine templates at one size and place in all windows of two scales of every image."""
     features = rectangles.catalogue(spark, 1, 1).select(F.col("t").cast("long").alias("f"), "bg", "white")
     sized = F.broadcast(spark.createDataFrame([(s, n, n, 1, 1) for s, n in _SIZES], "s int, h int, w int, dj int, dk int"))
-    frames = images(spark, sf_dir)
-    windows = detection.sliding_windows(frames.select("img_id", F.col("h").alias("height"), F.col("w").alias("width")), sized)
-    out = rectangles.window_features(windows, rectangles.scaled_boxes(features, sized), rectangles.integral_arrays(frames))
+    pictures = images(spark, sf_dir)
+    windows = detection.sliding_windows(pictures.select("img_id", F.col("h").alias("height"), F.col("w").alias("width")), sized)
+    out = rectangles.window_features(windows, rectangles.scaled_boxes(features, sized), rectangles.integral_arrays(pictures))
     return out.withColumn("value", F.col("value").cast("int"))
 
 
@@ -344,7 +344,7 @@ def rectangle_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FRAMES_SQL = "frames AS (SELECT p_partkey AS img_id, 100 + p_size AS height, 120 + p_size AS width FROM part)"
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frame_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("img_id"), (F.col("p_size") + 100).alias("height"), (F.col("p_size") + 120).alias("width"))
 
 
@@ -358,7 +358,7 @@ k AS (SELECT *, unnest(range(CAST(((rk % d) // 2) AS BIGINT), CAST(rk + 1 AS BIG
 SELECT img_id, CAST(s AS INTEGER) AS s, count(*) AS n, CAST(sum(j0) AS BIGINT) AS j_sum, CAST(max(k0) AS INTEGER) AS k_last FROM k GROUP BY 1, 2"""
 )
 def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = detection.sliding_windows(frames(spark, sf_dir), detection.scales(spark, 4, 48, 48, 1.2, 0.25))
+    windows = detection.sliding_windows(frame_sizes(spark, sf_dir), detection.scales(spark, 4, 48, 48, 1.2, 0.25))
     return windows.groupBy("img_id", "s").agg(F.count(F.lit(1)).alias("n"), F.sum("j0").alias("j_sum"), F.max("k0").alias("k_last"))
 
 
@@ -446,6 +446,38 @@ det AS MATERIALIZED (SELECT img_id, j0 AS j, k0 AS k, size AS h, size AS w, scor
     return boosting_sql(ROUNDS, values, "WITH RECURSIVE ") + ",\n" + det + ",\n" + greedy[greedy.index("pairs AS") :] + _CLUSTER_MEANS
 
 
+def _axis_sql(n: int, to: int, name: str) -> str:
+    """Two pixels and a share for each place along an axis."""
+    at = f"greatest(0, least({n - 1}, (i + 0.5::DOUBLE) * ({n}::DOUBLE / {to}) - 0.5::DOUBLE))"
+    return f"{name} AS (SELECT i, lo, least(lo + 1, {n - 1}) AS hi, p - lo AS u FROM (SELECT i, p, least(CAST(floor(p) AS INTEGER), {n - 2}) AS lo FROM (SELECT i, {at} AS p FROM (SELECT unnest(range(0, {to})) AS i))))"
+
+
+@query(
+    _PIXELS
+    + f""",
+{_axis_sql(8, 13, "a")},
+d AS (SELECT img_id, list(v ORDER BY j, k) AS p FROM px GROUP BY img_id),
+r AS (SELECT img_id, y.i AS j, x.i AS k, (p[y.lo * 8 + x.lo + 1] * (1 - y.u) + p[y.hi * 8 + x.lo + 1] * y.u) * (1 - x.u) + (p[y.lo * 8 + x.hi + 1] * (1 - y.u) + p[y.hi * 8 + x.hi + 1] * y.u) * x.u AS v FROM d, a y, a x)
+SELECT img_id, CAST(j AS INTEGER) AS j, CAST(k AS INTEGER) AS k, round(v, 6) AS v, 8 / 13::DOUBLE AS scale FROM r"""
+)
+def resized_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image at a height of 13 pixels."""
+    rows = warping.resized(images(spark, sf_dir), 13, whole=False)
+    return rectangles.pixels(rows).withColumns({"v": F.round("v", 6), "scale": F.lit(8 / 13)})
+
+
+@query(
+    _PIXELS
+    + """,
+w AS (SELECT unnest([0, -1, 0, 1, 0]) AS dj, unnest([0, 0, -1, 0, 1]) AS dk, unnest([5, -1, -1, -1, -1]) AS f),
+n AS (SELECT img_id, j, k, f, CASE WHEN abs(j + dj) > 7 THEN 6 ELSE abs(j + dj) END AS nj, CASE WHEN abs(k + dk) > 7 THEN 6 ELSE abs(k + dk) END AS nk FROM px, w)
+SELECT n.img_id, n.j, n.k, CAST(greatest(0, least(255, sum(f * v))) AS INTEGER) AS v FROM n JOIN px ON px.img_id = n.img_id AND px.j = nj AND px.k = nk GROUP BY 1, 2, 3"""
+)
+def sharpened_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image through a stencil of its neighbours, mirrored at the border."""
+    return rectangles.pixels(warping.sharpened(images(spark, sf_dir))).withColumn("v", F.col("v").cast("int"))
+
+
 def _two_scales(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s, n, n, 1, 1) for s, n in _SIZES], "s int, h int, w int, dj int, dk int")
 
@@ -643,7 +675,7 @@ def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path if _is_folder(spark, path) else f"{path}*")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path if _is_folder(spark, path) else f"{path[: -len('.parquet')]}.parque[t]")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -665,6 +697,21 @@ def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, scored.select("vec_id", "model", F.round("score", 6).alias("score"), "prediction"))
 
 
+@query(
+    """WITH px AS (SELECT vec_id // 100 AS frame, vec_id % 100 // 10 * 8 + place // 8 AS j, vec_id % 10 * 8 + place % 8 AS k, CAST(greatest(0, least(255, floor((x + 1) * 128))) AS BIGINT) AS v FROM (SELECT vec_id, unnest(range(0, 64)) AS place, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings))
+SELECT frame, CAST(j AS INTEGER) AS j, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (79 - k)) AS BIGINT) AS moment FROM px WHERE v > 0 GROUP BY 1, 2"""
+)
+def mirrored_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mosaics of the embeddings as picture files that come as a stream of frames, sixteen a batch, mirrored: of each line the sum of
+    its pixels, and the sum weighted by their new places."""
+    folder = f"{shared_dir(spark)}/frames-{uuid.uuid4().hex}"
+    frames.write_frames(readers.mosaics(images(spark, sf_dir), 10, 10), f"{folder}/in")
+    stream = frames.frame_stream(spark, f"{folder}/in", 16, mirror=True)
+    streams.run_until_quiet(stream, f"{folder}/out", f"{folder}/checkpoint")
+    rows = rectangles.pixels(spark.read.schema(stream.schema).parquet(f"{folder}/out").withColumnRenamed("frame", "img_id")).where("v > 0")
+    return rows.groupBy(F.col("img_id").alias("frame"), "j").agg(F.sum("v").alias("total"), F.sum(F.col("v").cast("long") * F.col("k")).alias("moment"))
+
+
 _EMA_SQL = """WITH r AS (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
 s AS (SELECT event_id, event_type, n, list(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 400 PRECEDING AND CURRENT ROW) AS seen FROM r)
 SELECT event_id, event_type, round(list_reduce(list_prepend(0.0::DOUBLE, seen), lambda a, x: 0.9::DOUBLE * a + 0.1::DOUBLE * x) / (1 - 0.9::DOUBLE ** n), 6) AS ema FROM s"""
@@ -681,3 +728,14 @@ def stream_running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals that the stateful stream keeps for each key."""
     out = _streamed(spark, streams.moving_average_stream(_stream(spark, sf_dir, "events"), "event_type", "event_id", "value"))
     return out.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"))
+
+
+_TOTALS_SQL = _EMA_SQL.replace("SELECT event_id, event_type, value, row_number()", "SELECT event_id, event_type, value, CAST(sum(value) OVER (PARTITION BY event_type ORDER BY event_id) AS DOUBLE) AS total, row_number()").replace("SELECT event_id, event_type, n, list", "SELECT event_id, event_type, n, total, list").replace("SELECT event_id, event_type, round", "SELECT event_id, event_type, n, round(total, 3) AS total, round")
+
+
+@query(_TOTALS_SQL)
+def moving_average_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same averages with numbers and totals of the rows so far, from a stream whose batches are folded in ranges."""
+    folder = f"{shared_dir(spark)}/averages-{uuid.uuid4().hex}"
+    rows = streams.moving_average_batches(_stream(spark, sf_dir, "events"), "event_type", "event_id", "value", folder)
+    return rows.select("event_id", "event_type", "n", F.round("total", 3).alias("total"), F.round("ema", 6).alias("ema"))

@@ -48,41 +48,87 @@ def folded(x: np.ndarray, start: float, decay: float, step: int = 256) -> np.nda
 
 
 def moving_average(rows: DataFrame, key: str, order: str, value: str, decay: float = DECAY) -> DataFrame:
-    """Exponential moving average of each key up to each row, corrected for its start, for batches. Ties in order are
-    not defined.
+    """rows with ema: the exponential moving average of each key up to each row, corrected for its start, for batches. Ties
+    in order are not defined."""
+    return folded_in_ranges(rows, key, order, value, decay).drop("n", "total")
+
+
+def folded_in_ranges(rows: DataFrame, key: str, order: str, value: str, decay: float = DECAY, start: DataFrame | None = None) -> DataFrame:
+    """rows with ema, n and total: average, number and sum of each key's rows up to each row. start (key, average, n, total)
+    is what earlier rows of some keys left; averages in it are not corrected for their start.
 
     Rows are dealt out by ranges of (key, order) and each range is folded from zero in one pass; the average is linear in
     where it starts, so a range's start, folded over the ranges of its key before it, is added with its weight. A key
     with most of the rows is many ranges; only a row for each key and range meets in a window."""
     ranged = rows.repartitionByRange(key, order).sortWithinPartitions(key, order).withColumn("__part", F.spark_partition_id())
-    names = [*ranged.columns, "__own", "__n"]
+    names = [*ranged.columns, "__own", "__n", "__sum"]
     at = ranged.columns.index(key), ranged.columns.index(value)
-    schema = ranged.select("*", F.lit(0.0).alias("__own"), F.lit(0).cast("long").alias("__n")).schema
+    schema = ranged.select("*", F.lit(0.0).alias("__own"), F.lit(0).cast("long").alias("__n"), F.lit(0.0).alias("__sum")).schema
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name: Any = None
-        average, n, fresh = 0.0, 0, True
+        average, n, total, fresh = 0.0, 0, 0.0, True
         for batch in batches:
             keys, x = batch.column(at[0]).to_pandas().to_numpy(), batch.column(at[1]).to_numpy(zero_copy_only=False).astype(np.float64)
-            own, count = np.empty(len(x)), np.empty(len(x), np.int64)
+            own, count, sums = np.empty(len(x)), np.empty(len(x), np.int64), np.empty(len(x))
             new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
             for a, b in zip(new, np.append(new[1:], len(x))[: len(new)], strict=True):
                 if fresh or keys[a] != name:
-                    name, average, n, fresh = keys[a], 0.0, 0, False
+                    name, average, n, total, fresh = keys[a], 0.0, 0, 0.0, False
                 own[a:b] = folded(x[a:b], average, decay)
                 count[a:b] = np.arange(n + 1, n + 1 + b - a)
-                average, n = own[b - 1], n + b - a
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(count)], names)
+                sums[a:b] = np.cumsum(np.append(total, x[a:b]))[1:]
+                average, n, total = own[b - 1], n + b - a, sums[b - 1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own), pa.array(count), pa.array(sums)], names)
 
     local = written(ranged.mapInArrow(fold, schema))
-    ends = local.groupBy(key, "__part").agg(F.max("__n").alias("n"), F.max_by("__own", "__n").alias("own"))  # a row for each key and range
-    seen = F.collect_list(F.struct("n", "own")).over(Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    ends = local.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__of")).agg(F.max("__n").alias("n"), F.max_by(F.struct("__own", "__sum"), "__n").alias("e"))  # a row for each key and range
+    seen = F.collect_list(F.struct("n", F.col("e.__own").alias("own"), F.col("e.__sum").alias("total"))).over(Window.partitionBy("__key").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.withColumn("__seen", seen)
     power = lambda n: F.pow(F.lit(decay), n.cast("double"))
-    begin = F.aggregate(seen, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("own")), lambda s, e: F.struct((s["n"] + e["n"]).alias("n"), (s["own"] * power(e["n"]) + e["own"]).alias("own")))
-    starts = written(ends.select(F.col(key).alias("__key"), F.col("__part").alias("__of"), begin.alias("__start")))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("own"), F.lit(0.0).alias("total"))
+    if start is not None:
+        ends = ends.join(start.select(F.col(key).alias("__known"), F.struct(F.col("n"), F.col("average").alias("own"), "total").alias("__zero")), F.col("__key") == F.col("__known"), "left")
+        zero = F.coalesce("__zero", zero)
+    begin = F.aggregate("__seen", zero, lambda s, e: F.struct((s["n"] + e["n"]).alias("n"), (s["own"] * power(e["n"]) + e["own"]).alias("own"), (s["total"] + e["total"]).alias("total")))
+    starts = written(ends.select("__key", "__of", begin.alias("__start")))
     out = local.join(starts, (F.col(key) == F.col("__key")) & (F.col("__part") == F.col("__of")))
-    ema = (F.col("__own") + F.col("__start.own") * power(F.col("__n"))) / (F.lit(1.0) - power(F.col("__start.n") + F.col("__n")))
-    return out.select(*rows.columns, ema.alias("ema"))
+    n = F.col("__start.n") + F.col("__n")
+    ema = (F.col("__own") + F.col("__start.own") * power(F.col("__n"))) / (F.lit(1.0) - power(n))
+    return out.select(*rows.columns, ema.alias("ema"), n.alias("n"), (F.col("__start.total") + F.col("__sum")).alias("total"))
+
+
+def moving_average_batches(stream: DataFrame, key: str, order: str, value: str, folder: str, decay: float = DECAY) -> DataFrame:
+    """Everything a stream has now, as rows with ema, n and total, written under `folder` and read back; a later call with
+    the same folder goes on where this one ended.
+
+    Each batch is a table of its own that is folded in ranges, so neither a key's rows of a batch nor its state stand in one
+    task; what each key has come to is a small table (key, average, n, total) for the next batch. Rows that come in a later
+    batch than greater ones of their key are folded when they come. Results and states are named by the batch's number and
+    replaced when it runs again, so each row counts once."""
+    spark = stream.sparkSession
+    state = f"{key_type(stream, key)}, average double, n long, total double"
+
+    def step(rows: DataFrame, epoch: int) -> None:
+        own = rows.sparkSession
+        before = own.read.schema(state).parquet(f"{folder}/state/epoch={epoch - 1}") if epoch else None
+        out = folded_in_ranges(rows, key, order, value, decay, before)
+        path = f"{folder}/out/epoch={epoch}"
+        out.write.mode("overwrite").parquet(path)
+        last = own.read.schema(out.schema).parquet(path).groupBy(key).agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"), F.max_by("ema", "n").alias("ema"))
+        last = last.select(key, (F.col("ema") * (F.lit(1.0) - F.pow(F.lit(decay), F.col("n").cast("double")))).alias("average"), "n", "total")
+        if before is not None:
+            last = last.unionByName(before.join(last, key, "left_anti"))
+        last.write.mode("overwrite").parquet(f"{folder}/state/epoch={epoch}")
+
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    schema = stream.withColumns({"ema": F.lit(0.0), "n": F.lit(0).cast("long"), "total": F.lit(0.0)}).schema
+    return spark.read.schema(schema).parquet(f"{folder}/out/epoch=*")
+
+
+def key_type(stream: DataFrame, key: str) -> str:
+    return f"`{key}` {stream.schema[key].dataType.simpleString()}"
 
 
 def moving_average_stream(stream: DataFrame, key: str, order: str, value: str, decay: float = DECAY) -> DataFrame:
@@ -104,6 +150,15 @@ def moving_average_stream(stream: DataFrame, key: str, order: str, value: str, d
     return own.groupBy("key").applyInPandasWithState(update, schema, "average double, n long, total double", "append", GroupStateTimeout.NoTimeout)
 
 
+def run_until_quiet(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Batch after batch into Parquet until the source has nothing new: for sources that are read some at a time."""
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Everything that is there now, once, into Parquet."""
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
