@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from re import _parser as parser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,61 +33,163 @@ PATTERNS = (*[rf"//([^/?#]*[.-])?{name}([.-][^/?#]*)?([/?#:]|$)" for name in BLO
 @dataclass(frozen=True)
 class PatternRule:
     pattern: str
-    tokens: tuple[str, ...]  # one of them is in every url that the pattern matches
+    clauses: tuple[frozenset[str], ...]  # of each, every url that the pattern matches holds a token
 
 
-_CHOICE = re.compile(r"(?<![a-z0-9])\(((?:[a-z0-9]+\|)+[a-z0-9]+)\)(?![?*{a-z0-9])")
-_ELEMENT = r"(?:\[[^\]]*\]|\\.|\((?:[^()]|\([^()]*\))*\)|.)[*+?]?"
+ALNUM = "abcdefghijklmnopqrstuvwxyz0123456789"
+#: Spelled-out strings that a run of a pattern may have.
+SPELLINGS = 64
 
 
-def _side(element: str) -> str:
-    """A space if what the element matches can't continue a token, else a mark."""
-    body = element.rstrip("*+?") if len(element) > 1 else element
-    if element[-1] in "*?" and len(element) > 1 or body == ".":
-        return "\0"
-    if body.startswith("["):
-        return "\0" if re.search(body, "abcdefghijklmnopqrstuvwxyz0123456789") else " "
-    return "\0" if body.isalnum() else " "
+@dataclass(frozen=True)
+class Part:
+    """A piece of a pattern: the strings of letters and digits that it spells (None: it may match other things), whether
+    what it matches surely begins or ends with something else than a letter or digit, whether it may match nothing, and
+    clauses that hold inside of it."""
 
+    spells: frozenset[str] | None = None
+    left: bool = False
+    right: bool = False
+    empty: bool = False
+    needs: tuple[frozenset[str], ...] = ()
 
-def pattern_rule(pattern: str) -> PatternRule:
-    """Whole literal tokens of a pattern: runs of literals between things that can't continue a token, outside of
-    groups and repeats. Of a choice between literals each alternative is indexed."""
-    choice = _CHOICE.search(pattern)
-    if choice:
-        return PatternRule(pattern, tuple(choice[1].split("|")))
-    plain = ""
-    for element in re.findall(_ELEMENT, pattern):
-        if element.startswith("("):
-            parts = [re.findall(_ELEMENT, x) for x in re.split(r"\|(?![^\[]*\])", element.rstrip("*+?")[1:-1])]
-            sides = [max((_side(p[k]) if p else "\0" for p in parts), key=lambda c: c == "\0") for k in (0, -1)]
-            plain += f"{sides[0]} {sides[1]}"
-        elif len(element) == 1 and element != ".":
-            plain += element if element.isalnum() else " "
+
+BREAK, ANYTHING = Part(None, True, True, False), Part(None, False, False, True)
+
+
+def _edge(parts: list[Part], side: str) -> bool:
+    """Whether all that a sequence can begin (or end) with is no letter or digit; true also for what is empty."""
+    for p in parts if side == "left" else parts[::-1]:
+        if not getattr(p, side):
+            return False
+        if not p.empty:
+            return True
+    return True
+
+
+def _members(items: list) -> tuple[set[str], bool]:
+    """(letters and digits of a character class, whether it has nothing else)."""
+    sure, negated = set(), False
+    kinds = {"CATEGORY_DIGIT": r"\d", "CATEGORY_NOT_DIGIT": r"\D", "CATEGORY_WORD": r"\w", "CATEGORY_NOT_WORD": r"\W", "CATEGORY_SPACE": r"\s", "CATEGORY_NOT_SPACE": r"\S"}
+    own = True
+    for op, value in items:
+        name = str(op)
+        if name == "NEGATE":
+            negated = True
+        elif name == "CATEGORY":
+            sure |= {c for c in ALNUM if re.match(kinds[str(value)], c, re.ASCII)}
+            own &= str(value) == "CATEGORY_DIGIT"
         else:
-            plain += _side(element)
-    tokens = [t for t in re.split("[^a-z0-9\0]+", plain) if t and "\0" not in t]
-    if not tokens:
+            low, high = value if name == "RANGE" else (value, value)
+            sure |= {c for c in ALNUM if low <= ord(c) <= high or low <= ord(c.upper()) <= high}
+            own &= chr(low) in ALNUM and chr(high) in ALNUM and chr(low).isdigit() == chr(high).isdigit()
+    return (set(ALNUM) - sure, False) if negated else (sure, own)
+
+
+def _ways(tree) -> list[list[Part]]:
+    """The sequences of parts of which each match of a parsed pattern has one: choices are multiplied out while they are few."""
+    out: list[list[Part]] = [[]]
+    for op, value in tree:
+        name = str(op)
+        if name == "LITERAL":
+            c = chr(value).lower()
+            new = [[Part(frozenset([c])) if c in ALNUM else BREAK]]
+        elif name == "IN":
+            found, own = _members(value)
+            new = [[BREAK if not found else Part(frozenset(found)) if own and len(found) <= 16 else Part()]]
+        elif name == "AT":
+            new = [[BREAK if "NON_BOUNDARY" not in str(value) else ANYTHING]]
+        elif name in ("SUBPATTERN", "ATOMIC_GROUP"):
+            new = _ways(value[3] if name == "SUBPATTERN" else value)
+        elif name == "BRANCH":
+            new = [w for x in value[1] for w in _ways(x)]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            least, most, x = value
+            own = _ways(x)
+            if (least, most) == (1, 1):
+                new = own
+            elif (least, most) == (0, 1):
+                new = [[], *own]
+            else:
+                new = [[_summed(own, least == 0)]]
+        elif name in ("ANY", "NOT_LITERAL"):
+            new = [[Part()]]
+        else:  # looks around, references
+            new = [[ANYTHING]]
+        if len(out) * len(new) > SPELLINGS:
+            new = [[_summed(new, False)]]
+        out = [a + b for a in out for b in new]
+    return out
+
+
+def _summed(ways: list[list[Part]], optional: bool) -> Part:
+    """One part that stands for all ways; what each of them requires inside of itself is required of it."""
+    edges = (all(_edge(w, side) for w in ways) for side in ("left", "right"))
+    return Part(None, *edges, optional or any(all(p.empty for p in w) for w in ways), () if optional else tuple(_required(ways)))
+
+
+def _required(ways: list[list[Part]]) -> list[frozenset[str]]:
+    """Clauses that hold whichever way a match goes: those of all ways, or else the shortest of each way together."""
+    each = [list(dict.fromkeys([*_clauses(w), *[c for p in w for c in p.needs]])) for w in ways]
+    common = [c for c in each[0] if all(c in e for e in each)]
+    if common or not all(each):
+        return common
+    return [frozenset().union(*[min(e, key=lambda c: (len(c), -min(map(len, c)), sorted(c))) for e in each])]
+
+
+def _spelled(parts: list[Part]) -> frozenset[str] | None:
+    """The strings that a sequence spells, if it spells only letters and digits, and not too many of them."""
+    whole = frozenset([""])
+    for p in parts:
+        if p.spells is None or len(whole) * len(p.spells) > SPELLINGS:
+            return None
+        whole = frozenset(a + b for a in whole for b in p.spells)
+    return whole
+
+
+def _clauses(parts: list[Part]) -> list[frozenset[str]]:
+    """Runs of spelling parts between things that cannot continue a token: each match holds one of the run's strings as a
+    whole token."""
+    out, k = [], 0
+    while k < len(parts):
+        end = k
+        while end < len(parts) and parts[end].spells is not None:
+            end += 1
+        if end > k:
+            spelled = _spelled(parts[k:end])
+            sides = any(not p.empty for p in parts[:k]) and _edge(parts[:k], "right") and any(not p.empty for p in parts[end:]) and _edge(parts[end:], "left")
+            if spelled and "" not in spelled and sides:
+                out.append(spelled)
+        k = end + 1
+    return out
+
+
+def pattern_rule(pattern: str) -> PatternRule:
+    """The clauses of a pattern: sets of tokens of which every url that it matches holds one, whole. Literals count where
+    nothing beside them can continue the token, so neither at the pattern's own ends nor beside wild cards; a choice gives
+    the tokens of all its ways, something that may be left out gives none."""
+    clauses = _required(_ways(parser.parse(pattern, re.ASCII)))
+    if not clauses:
         raise ValueError(f"no literal token in {pattern!r}")
-    return PatternRule(pattern, tuple(tokens))
+    return PatternRule(pattern, tuple(dict.fromkeys(clauses)))
 
 
 def rarest_token_index(patterns: tuple[str, ...], frequency: dict[str, int] | None = None) -> dict[str, list[str]]:
-    """token -> patterns. A rule stands under its rarest token, by `frequency` in urls, then by use in rules, then by
-    length; a rule with a choice of literals stands under each of them."""
+    """token -> patterns. A rule stands under the tokens of its rarest clause, by `frequency` in urls, then by use in rules,
+    then by length: a clause of one token, or of several where the pattern has a choice."""
     rules = [pattern_rule(p) for p in patterns]
-    used = Counter(t for r in rules for t in r.tokens)
+    used = Counter(t for r in rules for c in r.clauses for t in c)
     index: dict[str, list[str]] = defaultdict(list)
+    total = lambda count, c: sum(count.get(t, 0) for t in c)
     for r in rules:
-        own = r.tokens if _CHOICE.search(r.pattern) else [min(r.tokens, key=lambda t: ((frequency or {}).get(t, 0), used[t], -len(t), t))]
-        for t in own:
+        for t in min(r.clauses, key=lambda c: (total(frequency or {}, c), total(used, c), -min(map(len, c)), sorted(c))):
             index[t].append(r.pattern)
     return dict(index)
 
 
 def token_frequency(urls: DataFrame, url: str, patterns: tuple[str, ...]) -> dict[str, int]:
     """How many times the urls hold each token that the rules use: at most one row for each such token."""
-    own = sorted({t for p in patterns for t in pattern_rule(p).tokens})
+    own = sorted({t for p in patterns for c in pattern_rule(p).clauses for t in c})
     used = F.broadcast(urls.sparkSession.createDataFrame([(t,) for t in own], "t string"))  # as large as the rules
     found = urls.select(F.explode(F.array_distinct(F.split(F.lower(F.col(url)), "[^a-z0-9]+"))).alias("t"))
     return {r[0]: r[1] for r in found.join(used, "t").groupBy("t").count().collect()}

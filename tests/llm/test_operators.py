@@ -468,6 +468,34 @@ def test_index_holds_a_rule_under_its_rarest_token():
         url_filter.pattern_rule(r"[0-9]+")
 
 
+def test_choices_and_what_may_be_left_out():
+    clauses = lambda p: {frozenset(c) for c in url_filter.pattern_rule(p).clauses}
+    assert clauses(r"(/(aa|bb)/)?/foo/") == {frozenset(["foo"])}
+    assert clauses(r"/foo/|/bar-baz/") in ({frozenset(["foo", "bar"])}, {frozenset(["foo", "baz"])})
+    assert clauses(r"//(escort|escorts)[.]") == {frozenset(["escort", "escorts"])}
+    assert clauses(r"/x(a|b)y?/") == {frozenset(["xa", "xb", "xay", "xby"])} and clauses(r"/x(a|b)/foo/") >= {frozenset(["foo"])}
+    assert clauses(r"(/ad/)+[a-z]") == {frozenset(["ad"])}
+    for p in ("foo|bar", "foo", "/foo", "/foo.*", "/(foo/)?", "/foo[0-9]*/", "(?:/a/|b)", "/[ab]{2}/", "/foo(?=x)", "/fo.o/", r"/foo\B/"):
+        with pytest.raises(ValueError):
+            url_filter.pattern_rule(p)
+
+
+_ATOM = st.sampled_from(["foo", "bar", "x", "7", "/", "-", ".", r"\.", "[.-]", "[a-f]", "[0-9]+", "[^/]*", "x?", "$", "^", r"\b", r"\w", "a|b", "(?!x)"])
+_PATTERN = st.recursive(_ATOM, lambda p: st.one_of(st.lists(p, min_size=2, max_size=4).map("".join), st.lists(p, min_size=2, max_size=3).map(lambda x: f"({'|'.join(x)})"), st.tuples(p, st.sampled_from(["?", "*", "+", "{2}", "??"])).map(lambda x: f"(?:{x[0]}){x[1]}")), max_leaves=8)
+
+
+@settings(max_examples=600, deadline=None)
+@given(_PATTERN, st.lists(st.text(alphabet="fobar/x7-._a", max_size=14), min_size=1, max_size=12), st.randoms())
+def test_index_against_plain_patterns(pattern, urls, rng):
+    try:
+        index = url_filter.PatternIndex(url_filter.rarest_token_index((pattern, "/common/")))
+    except ValueError:
+        return
+    near = ["".join(rng.choice(["/foo/", "bar", "-", "x", "/7/", "/", ".", "foo", "a", "b"]) for _ in range(rng.randint(1, 6))) for _ in range(30)]
+    for u in [*urls, *near]:
+        assert index.blocks(u) == bool(re.search(pattern, u, re.ASCII) or re.search("/common/", u)), (pattern, u)
+
+
 def test_urls_run_only_the_rules_their_tokens_fetch(spark):
     patterns = tuple(f"/bad{k}/x[0-9]+" for k in range(20_000))
     index = url_filter.PatternIndex(url_filter.rarest_token_index(patterns))
