@@ -16,6 +16,8 @@ from gradarium.llm.quotient_filter import CountingQuotientFilter
 #: Upper bits of a fingerprint that name the slice of the filter it lies in; slices merge independently. Their number
 #: grows with the rows: a slice has about this many fingerprints.
 SLICE_ROWS = 200_000
+#: Copies of a group of equal texts where groups are too many to be broadcast.
+SALTS = 32
 BLOCKS = pa.schema([("block", pa.int32()), ("cqf", pa.binary())])
 
 
@@ -66,8 +68,13 @@ def _copies(held: DataFrame, text: str, doc_id: str, broadcast_rows: int) -> Dat
     candidates = semi_join(normal, asked.select("row"), "row", asked.count(), broadcast_rows)
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("row"))).alias("first")
     equal = candidates.groupBy("same").agg(first, F.count(F.lit(1)).alias("n"))
-    groups = equal.where("n > 1").select(F.sha2(F.col("same"), 256).alias("sha"), "first", "n")
-    return thin.select("row", "id", "sha").join(groups, "sha", "left")
+    sha = F.coalesce(F.sha2(F.col("same"), 256), F.lit(""))  # never null, so no filter on it is put before the semi join
+    groups = stored(equal.where("n > 1").select(sha.alias("sha"), "first", "n"), "groups")
+    rows = thin.select("row", "id", "sha")
+    if groups.count() <= broadcast_rows // 8:  # hashes are eight times as long as row numbers
+        return rows.join(F.broadcast(groups), "sha", "left")
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # rows of one hot text go to many tasks
+    return rows.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["sha", "salt"], "left").drop("salt")
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
