@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from gradarium.llm.common import stored, utf8
 from gradarium.llm.gru import ByteGRU
 
-#: The training sample: so many documents of each language (those of least hash), and so many places drawn from all of
-#: the text of each, at which so many characters are read.
-SAMPLE_DOCS, PLACES, PLACE_CHARS = 250, 24, 72
+#: The training sample: so many labelled documents of each language at most (those of least hash).
+SAMPLE_DOCS = 250
 #: Languages that may be broadcast; beyond it the join with documents shuffles.
 FEW_LANGUAGES = 10_000
 #: Training: steps, rows of a step, bytes of a row.
@@ -53,7 +52,8 @@ class LanguageModel:
 
 
 def train(texts: list[tuple[str, str]], seed: int = 7) -> LanguageModel:
-    """From (language, text): a step draws rows of LENGTH bytes, first a language, then a text, then a place in it."""
+    """From (language, text), a text being a stretch of a document: a step draws rows of LENGTH bytes, first a language, then
+    a text, then a place in it."""
     languages = sorted({lang for lang, _ in texts})
     random = np.random.default_rng(seed)
     by_label = [[np.frombuffer(t.encode("utf-8", "replace"), np.uint8) for lang, t in texts if lang == name and t] for name in languages]
@@ -80,17 +80,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, text: str, lang: str, doc_id: str) -> list[tuple[str, str]]:
-    """(language, characters at a place) of at most SAMPLE_DOCS documents of each language, by hash; the places are drawn by
-    hash from all of the text. Documents are first thinned by their hash to about four times as many, whatever the
-    size of the language, so the ranking below meets few rows."""
+    """(language, LENGTH characters) of at most SAMPLE_DOCS documents of each language, by hash. Training reads STEPS * ROWS
+    rows of LENGTH bytes; as many are drawn by hash here, where the texts are, each document's anywhere in its whole text,
+    so what reaches the driver doesn't grow with the texts. Documents are first thinned by their hash to about four
+    times as many, whatever the size of the language, so the ranking below meets few rows."""
     rows = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("h"))
     share = stored(rows.groupBy("lang").agg((F.lit(4.0 * SAMPLE_DOCS) / F.count(F.lit(1))).alias("share")), "languages")
     rows = rows.join(F.broadcast(share) if share.count() <= FEW_LANGUAGES else share, "lang").where(F.shiftrightunsigned("h", 12) < F.col("share") * F.lit(2.0**52))
-    room = F.greatest(F.length("text") - PLACE_CHARS, F.lit(0)) + 1
-    drawn = F.transform(F.sequence(F.lit(1), F.lit(PLACES)), lambda i: F.substring(F.col("text"), (F.pmod(F.xxhash64(F.col("h"), i), room) + 1).cast("int"), F.lit(PLACE_CHARS)))
-    rows = rows.select("lang", drawn.alias("t"), "h")
-    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).where(F.col("k") <= SAMPLE_DOCS)
-    return sorted((r.lang, t) for r in first.select("lang", "t").collect() for t in r.t)
+    first = stored(rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= SAMPLE_DOCS), "labelled")
+    shares = first.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).collect()  # a row for each language
+    each = {r.lang: -(-STEPS * ROWS // (len(shares) * r.docs)) for r in shares}
+    counts = F.broadcast(docs.sparkSession.createDataFrame(sorted(each.items()), "lang string, places int"))
+    start = lambda i: F.floor(F.pmod(F.xxhash64(F.col("h"), i), F.lit(2**52)) / F.lit(2.0**52) * (F.greatest(F.length("text") - LENGTH, F.lit(0)) + 1)).cast("int")
+    drawn = F.transform(F.sequence(F.lit(1), F.col("places")), lambda i: F.substring(F.col("text"), start(i) + 1, F.lit(LENGTH)))
+    found = first.join(counts, "lang").select("lang", drawn.alias("t"))
+    return sorted((r.lang, t) for r in found.collect() for t in r.t)
 
 
 def score_texts(column: pa.Array, model: LanguageModel) -> tuple[list[str], list[float]]:

@@ -316,6 +316,11 @@ def test_rules_are_ordered_by_rejection_per_cost_of_what_is_left(spark):
     order = quality.ordered_rules(spark.createDataFrame(corpus(6), EMPTY))
     assert {x.name for x, _, _ in order} == {x.name for x in quality.RULES} and all(c > 0 for _, c, _ in order)
     assert len(quality.ordered_rules(spark.createDataFrame([], EMPTY))) == len(quality.RULES)
+    known = quality.ordered_rules(spark.createDataFrame(corpus(6), EMPTY), known=True)
+    assert {x.name for x, _, _ in known} == {x.name for x in quality.RULES}
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    seen = [int(r.t[1:]) for r in quality.sampled(many, "text", 500).collect()]
+    assert 300 < len(seen) < 700 and max(seen) > 18_000 and min(seen) < 2000  # from all of the table
 
 
 # ---- 8 ----
@@ -396,6 +401,32 @@ def test_language_id(spark, monkeypatch):
     assert langid.identify(df.where("doc_id < 0")).count() == 0
 
 
+def test_training_reads_anywhere_in_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(langid, "STEPS", 50)
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 4)
+    text = {"aa": "".join(f"{k:05d}," for k in range(4000)), "bb": "b" * 10}
+    rows = [(i, text[k], k) for i in range(40) for k in text] + [(50, None, "aa"), (51, "x", None), (52, "", "bb")]
+    drawn = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id")
+    own = [t for lang, t in drawn if lang == "aa"]
+    assert len(own) >= 50 * langid.ROWS // 2 and all(len(t) == langid.LENGTH for t in own)
+    at = [text["aa"].index(t) for t in own]
+    assert min(at) < 1500 and max(at) > 22_000 and len({a // 2400 for a in at}) == 10
+    assert {t for lang, t in drawn if lang == "bb"} == {"b" * 10}
+
+
+def test_windows_of_the_given_long_texts(spark, monkeypatch):
+    """Windows against one unbroken pass over texts of 1.5 to 60 kB: the same languages, the same scores."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(langid.training_sample(docs, "text", "lang", "doc_id"))
+    length = F.octet_length("text")
+    texts = [r.text for lo, hi, n in ((1500, 4000, 20), (4000, 12_000, 10), (12_000, 60_000, 4)) for r in docs.where((length > lo) & (length <= hi)).orderBy(F.xxhash64("text")).limit(n).collect()]
+    windows = langid.score_texts(pa.array(texts), model)
+    monkeypatch.setattr(langid, "WINDOW", 10**9)
+    whole = langid.score_texts(pa.array(texts), model)
+    assert len(texts) >= 24 and windows[0] == whole[0]
+    assert max(abs(a - b) for a, b in zip(windows[1], whole[1], strict=True)) < 2e-3
+
+
 # ---- 9 ----
 
 
