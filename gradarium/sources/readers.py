@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradarium.functions.expressions import portable_uniform
+from gradarium.sources.json_scan import json_entries
 
 #: Shares of blue, green and red in a gray level.
 GRAY = np.array([0.114, 0.587, 0.299])
@@ -117,8 +118,9 @@ def ellipse_targets(ellipse_rows: DataFrame) -> DataFrame:
 
 
 def box_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """(image, nth, label, x, y, bw, bh) of JSON files {image: {bboxes: [[x, y, w, h]], labels: [..]}}."""
-    return boxes_of_json(spark.read.text(path, wholetext=True), "value")
+    """(image, nth, label, x, y, bw, bh) of JSON files {image: {bboxes: [[x, y, w, h]], labels: [..]}}, each read by many
+    tasks."""
+    return boxes_of_json(json_entries(spark, path), "entry")
 
 
 def boxes_of_json(df: DataFrame, column: str) -> DataFrame:
