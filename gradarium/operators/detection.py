@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradarium.functions.expressions import iou_sizes, portable_uniform
-from gradarium.functions.ordering import running_sums, written
+from gradarium.functions.expressions import iou_sizes
+from gradarium.functions.ordering import running_sums
 from gradarium.operators import kernels
 from gradarium.operators.boosting import BoostedModel
 from gradarium.operators.rectangles import scaled_boxes
@@ -219,28 +220,50 @@ def negative_windows(images: DataFrame, targets: DataFrame, per_image: int, draw
     """(img_id, draw, j, k, h, w): square windows of 0.1 to 0.5 of the height (cut to a whole number, or rounded) at places
     drawn by a hash, whose IoU with every target of the image is below most_iou; the first `per_image` of them.
 
-    Draws come `draws` at a time; images that are still short go on with the next ones, until none is. Images where
-    most_rounds rounds don't suffice have no room: that is an error."""
-    u = lambda what: portable_uniform(F.col("img_id"), F.col("draw"), F.lit(what))
-    whole = F.rint if rounded else F.floor
-    short, out = images.select("img_id", "height", "width", F.lit(0).cast("long").alias("__have")), None
-    corner = lambda s: tuple(F.col(f"{s}.{c}") for c in "jkhw")
-    for k in range(most_rounds):
-        drawn = short.withColumn("draw", F.explode(F.sequence(F.lit(k * draws), F.lit((k + 1) * draws - 1))))
-        side = F.greatest(whole((F.lit(0.1) + u("side") * 0.4) * F.col("height")), F.lit(1)).cast("int")
-        drawn = drawn.withColumn("h", side).withColumn("w", F.col("h"))
-        drawn = drawn.withColumns({"j": F.floor(u("j") * (F.col("height") - F.col("h") + 1)).cast("int"), "k": F.floor(u("k") * (F.col("width") - F.col("w") + 1)).cast("int")})
-        a, b = drawn.alias("a"), targets.select("img_id", *"jkhw").alias("b")
-        clear = a.join(b, (F.col("a.img_id") == F.col("b.img_id")) & (iou_sizes(corner("a"), corner("b")) >= most_iou), "left_anti")
-        nth = F.row_number().over(Window.partitionBy("img_id").orderBy("draw"))
-        taken = written(clear.withColumn("__n", nth).where(F.col("__n") <= per_image - F.col("__have")).select("img_id", "draw", *"jkhw"))
-        out = taken if out is None else out.unionByName(taken)
-        new = taken.groupBy("img_id").agg(F.count(F.lit(1)).alias("__new"))
-        have = F.col("__have") + F.coalesce("__new", F.lit(0))
-        short = written(short.join(new, "img_id", "left").select("img_id", "height", "width", have.alias("__have")).where(F.col("__have") < per_image))
-        if not short.limit(1).count():
-            return out
-    raise ValueError(f"no room for {per_image} negative windows in image {short.first().img_id}")
+    An image meets its own targets in one row, and its task draws `draws` windows at a time until it has enough. An image
+    that has too few after most_rounds times has no room for more: it returns those it has, see short_images()."""
+    own = targets.groupBy("img_id").agg(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in "jkhw"])).alias("targets"))  # an image's own
+    rows = images.select("img_id", F.col("height").cast("int"), F.col("width").cast("int")).join(own, "img_id", "left").withColumn("name", F.col("img_id").cast("string"))
+    whole = np.rint if rounded else np.floor
+
+    def uniform(name: str, first: int, what: str) -> np.ndarray:
+        """portable_uniform() of a run of draws."""
+        return np.array([int(hashlib.md5(f"{name}/{d}/{what}".encode()).hexdigest()[:12], 16) for d in range(first, first + draws)]) / 2.0**48
+
+    def clear(box: np.ndarray, taken: np.ndarray) -> np.ndarray:
+        (j, k, h, w), (a, b, c, d) = box.T[:, :, None], taken.T[:, None, :]
+        both = np.maximum(np.minimum(j + h, a + c) - np.maximum(j, a), 0) * np.maximum(np.minimum(k + w, b + d) - np.maximum(k, b), 0)
+        return (both / (h * w + c * d - both) < most_iou).all(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, found = [], [np.zeros((0, 5), np.int64)]
+            for i, (height, width, name) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("height", "width", "name")], strict=True)):
+                held = batch.column("targets")[i]
+                taken = np.stack([held.values.field(c).to_numpy() for c in "jkhw"], 1).astype(np.int64) if held.is_valid else np.zeros((0, 4), np.int64)
+                have = 0
+                for first in range(0, most_rounds * draws, draws):
+                    if have == per_image or not height or not width:
+                        break
+                    side = np.maximum(whole((0.1 + uniform(name, first, "side") * 0.4) * height), 1).astype(np.int64)
+                    j, k = (np.floor(uniform(name, first, c) * (room - side + 1)).astype(np.int64) for c, room in (("j", height), ("k", width)))
+                    box = np.stack([j, k, side, side], 1)
+                    fine = np.flatnonzero(clear(box, taken))[: per_image - have]
+                    found.append(np.column_stack([first + fine, box[fine]]))
+                    of += [i] * len(fine)
+                    have += len(fine)
+            columns = np.concatenate(found).T.astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("img_id").take(pa.array(of, pa.int64())), *map(pa.array, np.ascontiguousarray(columns))], ["img_id", "draw", *"jkhw"])
+
+    kind = images.schema["img_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"img_id {kind}, draw int, j int, k int, h int, w int")
+
+
+def short_images(images: DataFrame, windows: DataFrame, per_image: int) -> DataFrame:
+    """(img_id, found): the images for which negative_windows() found too few windows."""
+    found = windows.groupBy("img_id").agg(F.count(F.lit(1)).alias("__found"))
+    counted = images.select("img_id").join(found, "img_id", "left").select("img_id", F.coalesce("__found", F.lit(0)).alias("found"))
+    return counted.where(F.col("found") < per_image)
 
 
 def head_tail_split(rows: DataFrame, ratio: float, *order: str) -> DataFrame:
