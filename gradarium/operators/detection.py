@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,9 @@ def sliding_windows(frames: DataFrame, sized: DataFrame) -> DataFrame:
 FOUND = "array<struct<s: int, j: int, k: int, h: int, w: int, score: double>>"
 
 
-def detections_in_rows(images: DataFrame, features: DataFrame, sized: DataFrame, models: dict[str, BoostedModel]) -> DataFrame:
-    """(img_id, model, found array<struct<s, j, k, h, w, score>>), a row for each image and model: windows of the images
+def detections_in_rows(images: DataFrame, features: DataFrame, sized: DataFrame, models: dict[str, BoostedModel], timed: bool = False) -> DataFrame:
+    """(img_id, model, found array<struct<s, j, k, h, w, score>>), with the seconds that the integral image and the windows
+    took if they are to be timed, a row for each image and model: windows of the images
     (img_id, h, w, pixels) whose score is above the model's threshold, in the order of scale, row and column. Feature
     numbers of all models are those of the catalogue `features`. A null or empty image has no windows.
 
@@ -56,12 +58,16 @@ def detections_in_rows(images: DataFrame, features: DataFrame, sized: DataFrame,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, names, sizes, windows, scores = [], [], [], [np.zeros((0, 5), np.int64)], [np.zeros(0)]
+            of, names, sizes, windows, scores, took = [], [], [], [np.zeros((0, 5), np.int64)], [np.zeros(0)], []
             for i, image in kernels.images_of(batch):
+                began = time.perf_counter()
                 ii = kernels.integral(image) if image is not None else None
+                ready = time.perf_counter()
                 gray = image is not None and 0 <= image.min() and image.max() <= kernels.GRAY
                 for name, cascade in cascades.items():
+                    start = time.perf_counter()
                     found, score = cascade.detected(ii, gray) if ii is not None else (windows[0], scores[0])
+                    took.append((ready - began, time.perf_counter() - start))
                     of.append(i)
                     names.append(name)
                     sizes.append(len(score))
@@ -69,10 +75,11 @@ def detections_in_rows(images: DataFrame, features: DataFrame, sized: DataFrame,
                     scores.append(score)
             flat = pa.StructArray.from_arrays([*[pa.array(c) for c in np.ascontiguousarray(np.concatenate(windows).T.astype(np.int32))], pa.array(np.concatenate(scores))], [*"sjkhw", "score"])
             found = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(names, pa.string()), found], ["img_id", "model", "found"])
+            seconds = [pa.array(np.array(took).reshape(-1, 2)[:, k]) for k in (0, 1)] if timed else []
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(names, pa.string()), found, *seconds], ["img_id", "model", "found", "integral_s", "windows_s"][: 3 + len(seconds)])
 
     rows = images.select("img_id", "h", "w", "pixels")
-    return rows.mapInArrow(run, f"img_id {kind.simpleString()}, model string, found {FOUND}")
+    return rows.mapInArrow(run, f"img_id {kind.simpleString()}, model string, found {FOUND}" + (", integral_s double, windows_s double" if timed else ""))
 
 
 def detect(images: DataFrame, features: DataFrame, sized: DataFrame, models: BoostedModel | dict[str, BoostedModel]) -> DataFrame:

@@ -34,6 +34,13 @@ def detect_stream(frames: DataFrame, features: DataFrame, sized: DataFrame, mode
     return suppress_in_rows(detections_in_rows(frames, features, sized, models), least, average, drop_last)
 
 
+def detection_times(frames: DataFrame, features: DataFrame, sized: DataFrame, models: dict[str, BoostedModel]) -> DataFrame:
+    """(img_id, model, n_found, integral_s, windows_s) of frames, as a stream or not: how many windows each model found and
+    the seconds that it took. Their moving averages are those of moving_average_batches() with the model as key."""
+    timed = detections_in_rows(frames, features, sized, models, timed=True)
+    return timed.select("img_id", "model", F.size("found").alias("n_found"), "integral_s", "windows_s")
+
+
 def folded(x: np.ndarray, start: float, decay: float, step: int = 256) -> np.ndarray:
     """a' = decay * a + (1 - decay) * x from a = start, after each x. Weights run over pieces of bounded length, so their
     powers stay in range."""

@@ -91,3 +91,11 @@ def test_a_stream_of_frames_is_detected(spark, tmp_path):
     want = detection.suppress(detection.detect(rows, features, sized, model), average=True)
     assert sorted(got.collect()) == sorted(want.select(got.columns).collect()) and want.count() > 3
     assert got.agg(F.countDistinct("img_id")).first()[0] <= 5
+    rows.write.parquet(f"{tmp_path}/rows")
+    source = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/rows")
+    times = streams.detection_times(source, features, sized, {"m": model, "n": model})
+    averages = streams.moving_average_batches(times, "model", "img_id", "windows_s", f"{tmp_path}/times").collect()
+    assert {(r.model, r.img_id, r.n) for r in averages} == {(m, i, i + 1) for m in "mn" for i in range(5)}
+    assert all(r.ema > 0 and r.integral_s >= 0 and r.total >= r.windows_s > 0 for r in averages)
+    seen = {r.img_id: len(r.found) for r in detection.detections_in_rows(rows, features, sized, {"m": model}).collect()}
+    assert all(r.n_found == seen[r.img_id] for r in averages)
