@@ -446,6 +446,32 @@ def test_sharding(spark):
     assert sharding.shard(sharding.measured(spark.createDataFrame([], EMPTY))).count() == 0
 
 
+@pytest.mark.parametrize(("n", "most"), [(7, 500_000), (40, 500_000), (5, 20)])
+def test_sharding_equals_a_slow_shuffle(spark, tmp_path, monkeypatch, n, most):
+    """The same hashes, drawn and permuted row by row: of the partitions in turn as many rows as the matrix says go to each
+    shard in the order of a hash, and each shard is ordered by a second one."""
+    monkeypatch.setattr(sharding, "n_slices", lambda rows, groups: max(1, -(-rows // (groups * most))))
+    rows = [(i, t, k) for k, (i, t, *_) in enumerate(corpus(8, 300))]
+    spark.createDataFrame(rows, "doc_id long, text string, k long").repartition(3).write.parquet(f"{tmp_path}/docs")
+    df = sharding.measured(spark.read.parquet(f"{tmp_path}/docs"))
+    h = F.xxhash64(F.col("doc_id").cast("string"), F.col("text_crc32"), F.lit(sharding.SEED))
+    hashed = df.withColumns({"part": F.spark_partition_id(), "h": h, "again": F.xxhash64(h, F.lit(sharding.SEED + 1))}).collect()
+    parts, total = sorted({r.part for r in hashed}), len(hashed)
+    sizes = np.array([total // n + (j < total % n) for j in range(n)])
+    matrix = sharding.communication_matrix(np.array([sum(r.part == p for r in hashed) for p in parts]), sizes)
+    slots = [sharding.n_slices(total, len(parts)), sharding.n_slices(total, n)]
+    shards = [[] for _ in range(n)]
+    for p, counts in zip(parts, matrix, strict=True):
+        own = sorted((r for r in hashed if r.part == p), key=lambda r: (r.h % slots[0], r.h, r.doc_id))
+        for shard, count in enumerate(counts):
+            shards[shard] += own[:count]
+            own = own[count:]
+    want = {(r.doc_id, r.h, shard, slot) for shard, own in enumerate(shards) for slot, r in enumerate(sorted(own, key=lambda r: (r.again % slots[1], r.again, r.doc_id)))}
+    by_k = {r.k: r.h for r in hashed}
+    got = sharding.shard(df, n).collect()
+    assert {(r.doc_id, by_k[r.k], r.shard, r.slot) for r in got} == want and len(got) == total
+
+
 def test_communication_matrix_is_hypergeometric():
     rows, columns = np.array([30, 0, 50, 20]), np.array([34, 33, 33])
     draws = np.stack([sharding.communication_matrix(rows, columns, seed) for seed in range(2000)])
