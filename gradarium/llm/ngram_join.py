@@ -23,6 +23,9 @@ COARSE_BITS = 40
 BUCKET = 2_000_000
 #: Sets that meet one other set in one task; a set with more candidates is copied to several tasks.
 GROUP = 200
+#: A set's parity map has so many words of 64 bits.
+MAPS = 4
+SETS = "doc long, n long, grams binary, kept long, " + ", ".join(f"m{k} long" for k in range(MAPS))
 #: Bytes that are read at a time, and the places in a word that have random numbers of their own in a table.
 PIECE, PLACES = 2_000_000, 64
 SIZE = 3
@@ -242,6 +245,13 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def parity_map(gram: np.ndarray) -> list[int]:
+    """64 * MAPS bits as numbers: whether an odd number of the n-grams fall on each. Bits in which the maps of two sets differ
+    are at most the n-grams in which the sets do."""
+    odd = np.bincount((gram & (64 * MAPS - 1)).astype(np.int64), minlength=64 * MAPS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _ordered(num: int, den: int):
     """A set as its size n and its shared n-grams by (frequency, fingerprint); those that no other set has come first
     in the order and are only counted. A set whose prefix holds none of the shared ones has no partner."""
@@ -259,9 +269,10 @@ def _ordered(num: int, den: int):
         for a, b in zip(start, np.append(start[1:], len(d))[: len(start)], strict=True):
             n = n_of[int(d[a])]
             if prefix_size(n, num, den) > n - (b - a):
-                rows.append((int(d[a]), n, gram[a:b].tobytes()))
-        docs, n, grams = zip(*rows, strict=True) if rows else [()] * 3
-        return pa.table([pa.array(docs, pa.int64()), pa.array(n, pa.int64()), pa.array(grams, pa.binary())], ["doc", "n", "grams"])
+                rows.append((int(d[a]), n, gram[a:b].tobytes(), b - a, *parity_map(gram[a:b])))
+        columns = zip(*rows, strict=True) if rows else [()] * (4 + MAPS)
+        kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * (1 + MAPS)]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], SETS.replace(" long", "").replace(" binary", "").split(", "))
 
     return run
 
@@ -356,8 +367,8 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     pairs = stored(pairs.distinct(), "pairs")
     parts = stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts")), "pivots")
     placed = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
-    left = placed.join(sets.toDF("b", "b_n", "b_grams"), "b")
-    right = parts.join(sets.toDF("a", "a_n", "a_grams"), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    left = placed.join(sets.select("doc", "n", "grams").toDF("b", "b_n", "b_grams"), "b")
+    right = parts.join(sets.select("doc", "n", "grams").toDF("a", "a_n", "a_grams"), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     return stored(left.groupBy("a", "part").cogroup(right.groupBy("a", "part")).applyInPandas(_verify(num, den), "a long, b long"), "links")
 
 
@@ -435,8 +446,11 @@ def candidates_below(rows: DataFrame, sets: DataFrame, num: int, den: int, width
         # bounds for the case that the node is all that both have in common so far: sizes, and what can follow
         # a pair meets at the node of the greater of its ranges only
         here = here.withColumn("own", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)))
+        # what two sets can have in common, given in how many bits their maps differ
+        here = here.join(sets.drop("n", "grams"), "doc")
+        differ = " + ".join(f"bit_count(x.m{k} ^ y.m{k})" for k in range(MAPS))
         x, y = here.where("label != most").alias("x"), here.alias("y")
-        fits = "greatest(x.own, y.own) = x.range and x.label != y.label and (y.label = y.most or x.doc < y.doc) and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and ({num} + {den}) * (x.level + least(x.n - x.at, y.n - y.at) - 1) >= {num} * (x.n + y.n)".format(num=num, den=den)
+        fits = "greatest(x.own, y.own) = x.range and x.label != y.label and (y.label = y.most or x.doc < y.doc) and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and ({num} + {den}) * (x.level + least(x.n - x.at, y.n - y.at) - 1) >= {num} * (x.n + y.n) and ({num} + {den}) * (x.kept + y.kept - ({differ})) >= 2 * {num} * (x.n + y.n)".format(num=num, den=den, differ=differ)
         own = x.join(y, F.col("x.node") == F.col("y.node")).where(fits).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
         pairs = own if pairs is None else pairs.unionByName(own)
         if below is None or not better.limit(1).count():
@@ -468,7 +482,7 @@ def _linked(held: DataFrame, n: int, num: int, den: int, text: str, doc_id: str)
     rows = semi_join(own, reps, "doc", n_reps)
     able = buckets(rows, _coarse(n, n_buckets, n_homes), _count_shared(n_homes), _sum_shared(num, den), "doc long", "able")
     rows = semi_join(own, able, "doc", able.count())
-    sets = buckets(rows, _exact(n, n_buckets, n_homes), _frequencies(n_homes), _ordered(num, den), "doc long, n long, grams binary", "sets")
+    sets = buckets(rows, _exact(n, n_buckets, n_homes), _frequencies(n_homes), _ordered(num, den), SETS, "sets")
     prefixes = stored(sets.select("doc", "n", "grams").mapInArrow(_prefixes(num, den), "gram long, doc long, n long, at long"), "prefixes")
 
     # a set of n meets those of num/den * n to den/num * n: pivots are chosen in ranges of sizes of that width
@@ -506,7 +520,8 @@ def similarity_components(docs: DataFrame, n: int = 4, num: int = 85, den: int =
        traversed with the pivot: overlaps are shared along it, subtrees that can't reach the threshold are left. Sets
        that link to a pivot are in one component whatever else holds between them.
     5. N-grams whose sets are still in several components are nodes of the trie over all prefixes: pairs across
-       components are compared, and where many sets stand at a node, only those that also meet further down.
+       components are compared, and where many sets stand at a node, only those that also meet further down. Pairs whose
+       sizes, places or parity maps show that too little can be common never leave the node.
        So large groups of near copies cost a comparison a member, and no link between components is lost.
     Shingles are compared by 64-bit fingerprints (for a pair of sets of k shingles each, the chance that two that differ
     agree is below k * k / 2^64), equal sets by 128 bits.

@@ -142,6 +142,31 @@ def test_boilerplate_makes_few_candidates(spark, monkeypatch):
     assert seen[1] <= seen[0] < 1500 * 1499 / 2 / 100
 
 
+@pytest.mark.parametrize("n_docs", [200, 400])
+def test_templates_make_few_candidates(spark, monkeypatch, n_docs):
+    """Texts of twelve phrases with two variants each, hardly any of them similar: pairs don't grow with their square."""
+    r = random.Random(n_docs)
+    phrases = [[" ".join(f"{chr(97 + k)}{v}{r.randint(0, 9**6)}" for _ in range(8)) for v in (0, 1)] for k in range(12)]
+    docs = [(i, " ".join(r.choice(p) for p in phrases)) for i in range(n_docs)]
+    docs += [(n_docs + i, t[: t.rindex(" ")] + " end") for i, t in docs[:40]]  # a word of each of these is another
+    asked = []
+    whole = ngram_join.similar_pairs
+    monkeypatch.setattr(ngram_join, "similar_pairs", lambda pairs, *a: asked.append(pairs.distinct().count()) or whole(pairs, *a))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in similarity_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs, 4, 85, 100)
+    assert sum(asked) <= 20 * len(docs), asked
+
+
+def test_parity_maps_bound_the_difference():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(-(2**63), 2**63 - 1, int(rng.integers(1, 400)))) for _ in range(2))
+        b = np.unique(np.append(b, a[: int(rng.integers(0, len(a) + 1))]))
+        x, y = ngram_join.parity_map(a), ngram_join.parity_map(b)
+        bits = sum((int(i) ^ int(j)).bit_count() if (int(i) ^ int(j)) >= 0 else ((int(i) ^ int(j)) & (2**64 - 1)).bit_count() for i, j in zip(x, y, strict=True))
+        assert len(x) == ngram_join.MAPS and bits <= len(np.setxor1d(a, b))
+
+
 def test_trie_leaves_whole_subtrees():
     far = np.arange(1000, 1200, dtype=np.int64)
     sets = [(200, np.concatenate([np.arange(k, k + 20), far[20:]]).astype(np.int64)) for k in range(0, 400, 20)]
