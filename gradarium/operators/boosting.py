@@ -127,7 +127,8 @@ class BoostedBins:
 
     def fit(self, df: DataFrame, label: Column | str, features: list[str] | str) -> BoostedModel:
         """Ranges, bins (written once), then the rounds. Only ranges and histograms reach the driver: their size is that
-        of the model's inputs, features x bins, not of the data. A round is one pass over the bins, a byte each."""
+        of the model's inputs, features x bins, not of the data. A round is one pass over the bins, a byte each. df itself is
+        read about seven times, so write it down first where its features are dear to compute."""
         rows, classes = feature_rows(df, label, features)
         ranges = find_ranges(rows, self.outliers_ratio)
         n = len(ranges)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from gradarium.functions import expressions as E
 from gradarium.functions.ordering import shared_dir
 from gradarium.operators import binning, boosting, builders, detection, metrics, rectangles, trees, warping
-from gradarium.sources import readers
+from gradarium.sources import readers, sinks
+from gradarium.sources.json_scan import json_entries
 from gradarium.streaming import frames, streams
 
 ROUNDS, BINS, TRIM, MOST = 3, 8, 0.05, 2.0
@@ -478,6 +479,12 @@ def sharpened_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rectangles.pixels(warping.sharpened(images(spark, sf_dir))).withColumn("v", F.col("v").cast("int"))
 
 
+@query(_PIXELS + "\nSELECT img_id, CAST(7 - k AS INTEGER) AS j, CAST(j AS INTEGER) AS k, CAST(v AS INTEGER) AS v FROM px")
+def turned_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image turned by a right angle."""
+    return rectangles.pixels(warping.turned(images(spark, sf_dir), 90.0)).withColumn("v", F.col("v").cast("int"))
+
+
 def _two_scales(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s, n, n, 1, 1) for s, n in _SIZES], "s int, h int, w int, dj int, dk int")
 
@@ -697,6 +704,20 @@ def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, scored.select("vec_id", "model", F.round("score", 6).alias("score"), "prediction"))
 
 
+@query(
+    f"""WITH {_BOXES_SQL} SELECT CAST(img_id AS VARCHAR) AS image, CAST(row_number() OVER (PARTITION BY img_id ORDER BY box) - 1 AS INTEGER) AS nth, CASE WHEN box % 3 = 0 THEN 'palm' ELSE 'no "}}{{' END AS label,
+    k / 200::DOUBLE AS x, j / 200::DOUBLE AS y, w / 200::DOUBLE AS bw, h / 200::DOUBLE AS bh FROM boxes"""
+)
+def scanned_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes of all images as annotations in files of one JSON object each, read back in ranges of 64 kB."""
+    folder = f"{shared_dir(spark)}/annotations-{uuid.uuid4().hex}"
+    part = lambda c: F.col(c) / F.lit(200.0)
+    own = boxes(spark, sf_dir).select("img_id", F.struct("box", F.array(*map(part, "kjwh")).alias("b"), F.when(F.col("box") % 3 == 0, "palm").otherwise('no "}{').alias("l")).alias("v"))
+    lists = own.groupBy("img_id").agg(F.array_sort(F.collect_list("v")).alias("v"))  # an image's own boxes
+    sinks.save_json_objects(lists.select("img_id", F.to_json(F.struct(F.col("v.b").alias("bboxes"), F.col("v.l").alias("labels"))).alias("a")), "img_id", "a", folder)
+    return readers.boxes_of_json(json_entries(spark, f"{folder}/part-*", 65_536), "entry")
+
+
 @query(
     """WITH px AS (SELECT vec_id // 100 AS frame, vec_id % 100 // 10 * 8 + place // 8 AS j, vec_id % 10 * 8 + place % 8 AS k, CAST(greatest(0, least(255, floor((x + 1) * 128))) AS BIGINT) AS v FROM (SELECT vec_id, unnest(range(0, 64)) AS place, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings))
 SELECT frame, CAST(j AS INTEGER) AS j, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (79 - k)) AS BIGINT) AS moment FROM px WHERE v > 0 GROUP BY 1, 2"""

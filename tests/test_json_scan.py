@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradarium.sources import json_scan, readers
+from gradarium.sources import json_scan, readers, sinks
 
 
 def entries_of(text, size, tmp_path):
@@ -70,3 +70,12 @@ def test_annotations_in_ranges_equal_whole_files(spark, tmp_path):
     assert sorted(readers.boxes_of_json(entries, "entry").collect()) == sorted(want) == sorted(readers.box_annotations(spark, f"{tmp_path}/*.json").collect())
     assert entries.count() == 600 and entries.where(F.col("path").contains("0.json")).count() == 200
     assert entries.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_objects_are_written_and_read_back(spark, tmp_path):
+    rows = [(i, json.dumps({"a": [i, 'x"}{,' * (i % 3)]})) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, v string").repartition(4)
+    sinks.save_json_objects(df.unionByName(df.limit(0)), "k", "v", f"{tmp_path}/out")
+    for size in (50, 5000):
+        got = json_scan.json_entries(spark, f"{tmp_path}/out/part-*", size).collect()
+        assert sorted((int(k), json.dumps(v)) for r in got for k, v in json.loads(r.entry).items()) == sorted(rows)
