@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradarium.functions import expressions as E
-from gradarium.functions.ordering import shared_dir
+from gradarium.functions.ordering import shared_dir, written
 from gradarium.operators import binning, boosting, builders, detection, metrics, rectangles, trees, warping
 from gradarium.sources import readers, sinks
 from gradarium.sources.json_scan import json_entries
@@ -495,6 +495,7 @@ def _image_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, boosting.
     whole = F.array(F.struct(F.lit(0).alias("j"), F.lit(0).alias("k"), "h", "w"))
     rows = _gray(embeddings(spark, sf_dir), "y").withColumnRenamed("img_id", "id")
     train = rectangles.window_arrays(rows.withColumns({"img_id": F.struct("id", "y"), "windows": whole}), features).select("img_id.y", "x")
+    train = written(train)  # a fit reads its rows several times
     return features, boosting.BoostedBins(ROUNDS, BINS, TRIM, MOST).fit(train, "y", "x")
 
 
