@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Counts that a pass may send to the driver (8 bytes each), the least and most bits of a digit, and how many values the
 #: last pass may fetch instead of counting them: all bounds of what the driver holds, whatever the number of rows.
-COUNTS, LEAST_BITS, MOST_BITS, FETCHED = 2**19, 5, 12, 2**18
+COUNTS, LEAST_BITS, MOST_BITS, FETCHED = 2**19, 5, 16, 2**18
 WORD = 64
 
 
