@@ -10,17 +10,18 @@ of bytes find the long matches. Fingerprints choose what is compared; what is re
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from gradarium.llm.common import fingerprints, mixed, numbered, prefix_sums, slices, stored, utf8
+from gradarium.llm.common import fingerprints, mixed, prefix_sums, semi_join, shared_dir, slices, stored, utf8
 
 LENGTH, ANCHOR = 50, 24
 #: Neighbouring strings that can share a sampled place, and the bytes that they cover.
@@ -37,6 +38,8 @@ HOT = 50_000
 BATCHES = 8
 #: Bytes of spans that may be broadcast to the documents; beyond it the join shuffles.
 BROADCAST_BYTES = 64_000_000
+#: Places of one value among those that a task has gathered, above which a level keeps them beside its ranges.
+MANY = 16
 #: Stands for a null doc_id, which is greater than any other.
 LAST = np.iinfo(np.int64).max
 #: Bytes of a text that are read at a time.
@@ -44,8 +47,12 @@ PIECE = 500_000
 
 SENT = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("rows", pa.binary())])
 SENT_SQL = "kind int, bucket int, rows binary"
-#: Kinds of messages: what is to be compared; spans of removed strings; stretches to be compared; hot values.
-COMPARE, REMOVED, ASKED, HOT_VALUES = 0, 1, 2, 3
+#: Kinds of messages: what is to be compared; spans of removed strings; stretches to be compared; hot values; values
+#: whose places levels keep beside their ranges.
+COMPARE, REMOVED, ASKED, HOT_VALUES, BESIDE = 0, 1, 2, 3, 4
+#: A level: a record for each range of values, and places of a value that are kept beside it (bucket is null).
+LEVEL_SQL = "bucket int, value long, n long, rows binary"
+LEVEL = pa.schema([("bucket", pa.int32()), ("value", pa.int64()), ("n", pa.int64()), ("rows", pa.binary())])
 
 
 # ---- columns of whole numbers as bytes ----
@@ -252,15 +259,18 @@ def found_strings(value: np.ndarray, age: np.ndarray, row: np.ndarray, first: np
     return tuple(np.concatenate([x[found], y]) for x, y in zip((row, first, n), runs, strict=True))
 
 
-def ages(doc: np.ndarray, row: np.ndarray) -> np.ndarray:
+def ages(doc: np.ndarray, row: np.ndarray, since: int = 0) -> np.ndarray:
     """Numbers in the order of the rows' documents: by doc_id, where rows of one doc_id tie. Rows without a doc_id
-    (row < 0) are documents of their own and come last, by row number. They compare within this call's rows only."""
-    tie = np.where(row < 0, -row, 0)
-    if not tie.any():
+    (row < 0) are documents of their own and come last, by row number. Rows from 0 to since - 1 are of earlier batches:
+    all of one age, before the others. They compare within this call's rows only."""
+    tie, new = np.where(row < 0, -row, 0), (row < 0) | (row >= since)
+    if not tie.any() and new.all():
         return doc
-    order = np.lexsort((tie, doc))
+    doc = np.where(new, doc, 0)
+    order = np.lexsort((tie, doc, new))
+    d, t, w = doc[order], tie[order], new[order]
     out = np.zeros(len(doc), np.int64)
-    out[order] = np.cumsum(np.append(False, (doc[order][1:] != doc[order][:-1]) | (tie[order][1:] != tie[order][:-1])))
+    out[order] = np.cumsum(np.append(False, (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (w[1:] != w[:-1])))
     return out
 
 
@@ -312,8 +322,9 @@ def place_messages(n_buckets: int, n_homes: int):
     return run
 
 
-def shared_places(n_homes: int, hot: int):
-    """Of each bucket the stretches whose value is in several rows, and the values that are in more than `hot` stretches."""
+def shared_places(n_homes: int, hot: int, since: int = 0):
+    """Of each bucket the stretches whose value is in several rows, one of them `since` or later, and those of these
+    values that are in more than `hot` stretches."""
 
     def run(table: pa.Table) -> pa.Table:
         out = pass_on(table, ASKED)
@@ -325,9 +336,12 @@ def shared_places(n_homes: int, hot: int):
             group = np.cumsum(head) - 1
             size = group[-1] + 1
             many = np.bincount(group, weights=row < 0, minlength=size) + np.bincount(group[1:], weights=~head[1:] & (row[1:] != row[:-1]), minlength=size)
+            many[np.bincount(group, weights=(row == -1) | (row >= since), minlength=size) == 0] = 0
+            beside = np.unique(value[(many[group] > 0) & (row == -2)])
+            out += message(BESIDE, np.zeros(len(beside), np.int64), [beside])
             asked = (many[group] > 0) & (row >= 0)
             out += message(ASKED, by_doc(row[asked], n_homes), [row[asked], first[asked], n[asked]])
-            warm = value[head][np.bincount(group, weights=count) > hot]
+            warm = value[head][(many > 0) & (np.bincount(group, weights=count) > hot)]
             out += message(HOT_VALUES, np.zeros(len(warm), np.int64), [warm])
         return pa.Table.from_batches(out, SENT)
 
@@ -345,7 +359,7 @@ def asked_by_row(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(row[cut], pa.int64()), pa.array(ends - cut, pa.int64()), pa.array(spans, pa.binary())], ["__row", "__n", "__spans"])
 
 
-def stretch_messages(n_buckets: int, n_homes: int, hot: np.ndarray):
+def stretch_messages(n_buckets: int, n_homes: int, hot: np.ndarray, since: int = 0):
     """The bytes of the asked stretches, to buckets by value; those of hot values as single strings, by their own hash.
     A stretch that a smaller document of what the task has gathered has too is settled and never sent."""
 
@@ -355,7 +369,7 @@ def stretch_messages(n_buckets: int, n_homes: int, hot: np.ndarray):
         def send() -> Iterator[pa.RecordBatch]:
             value, doc, row, first, n, keys = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            age = ages(doc, row)
+            age = ages(doc, row, since)
             order = np.argsort(age, kind="stable")
             order = order[np.argsort(keys[order], kind="stable")]
             k, a = keys[order], age[order]
@@ -414,7 +428,7 @@ def least_at(data: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def merge_scan(n_homes: int):
+def merge_scan(n_homes: int, since: int = 0):
     """The index families of a bucket: out come the spans of strings that a smaller document has."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -427,7 +441,7 @@ def merge_scan(n_homes: int):
             found.append((*columns, m.view(f"S{WIDTH}").ravel()))
         if found:
             doc, value, row, first, n, keys = (np.concatenate(c) for c in zip(*found, strict=True))
-            spans = found_strings(value, ages(doc, row), row, first, n, keys)
+            spans = found_strings(value, ages(doc, row, since), row, first, n, keys)
             out += message(REMOVED, by_doc(spans[0], n_homes), list(spans))
         return pa.Table.from_batches(out, SENT)
 
@@ -485,6 +499,166 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(out, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string()), pa.array(runs, pa.list_(pa.int64()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "runs"])
 
 
+# ---- levels of a stored family ----
+
+
+def level_messages(n_buckets: int):
+    """The sampled places of texts, to buckets by value, less the stretches whose strings are all removed, as an older
+    document holds these, and less those that are equal to another one of what a task has gathered. Of a value with
+    many places the bucket gets one record (of row -2) from each task; the places are kept beside it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def send() -> Iterator[pa.RecordBatch]:
+            value, row, first, n, keys = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((keys, value))
+            value, row, first, n, keys = (x[order] for x in (value, row, first, n, keys))
+            new = np.append(True, (value[1:] != value[:-1]) | (keys[1:] != keys[:-1]))[: len(value)]
+            value, row, first, n = value[new].view(np.int64), row[new], first[new], n[new]
+            start = np.flatnonzero(np.append(True, value[1:] != value[:-1])[: len(value)])
+            count = np.diff(np.append(start, len(value)))
+            big = np.flatnonzero(count > MANY)
+            few = np.repeat(count <= MANY, count)
+            none = np.zeros(len(big), np.int64)
+            columns = zip((value[start[big]], count[big], none - 2, none, none), (value[few], np.ones(few.sum(), np.int64), row[few], first[few], n[few]), strict=True)
+            columns = [np.concatenate(c) for c in columns]
+            for m in message(COMPARE, by_hash(columns[0], n_buckets), columns):
+                yield pa.record_batch([m.column(1), pa.nulls(len(m), pa.int64()), pa.nulls(len(m), pa.int64()), m.column(2)], schema=LEVEL)
+            if len(big):
+                parts = [slice(start[g], start[g] + count[g]) for g in big]
+                parts = [(x, np.argsort(row[x], kind="stable")) for x in parts]
+                rows = [encode(row[x][o], first[x][o], n[x][o]) for x, o in parts]
+                yield pa.record_batch([pa.nulls(len(big), pa.int32()), pa.array(value[start[big]]), pa.array(count[big], pa.int64()), pa.array(rows, pa.binary())], schema=LEVEL)
+
+        for batch in batches:
+            row = batch.column(0).to_numpy(zero_copy_only=False)
+            data, ends = utf8(batch.column(1))
+            spans = [decode(x, 2) if x is not None else (np.zeros(0, np.int64),) * 2 for x in batch.column(2).to_pylist()]
+            for i, j, a, b in segments(ends):
+                part = data[a:b]
+                value, of, first, n = stretches(part, np.clip(ends[i : j + 1], a, b) - a)
+                # removed starts in the order of data: the last span that begins before a stretch must reach over it
+                begin, size = (np.concatenate(c) for c in zip(*[(x + ends[t], m) for t, (x, m) in enumerate(spans[i:j], i)], strict=True))
+                reach = np.append(begin + size, 0)[np.searchsorted(begin, first + a, "right") - 1]
+                kept = reach < first + a + n
+                value, of, first, n = value[kept], of[kept], first[kept], n[kept]
+                if len(value):
+                    held.append((value, row[i:j][of], first + a - ends[i:j][of], n, bytes_of(part, first, n)))
+                if sum(len(h[0]) for h in held) >= GATHER_STRETCHES:
+                    yield from send()
+        if held:
+            yield from send()
+
+    return run
+
+
+def into_buckets(n_buckets: int, sent: bool):
+    """The records of levels, whose buckets may be fewer, to the buckets of this run, as messages or as records of a
+    level. Both are ranges of values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                columns = decode(raw, 5)
+                for m in message(COMPARE, by_hash(columns[0], n_buckets), columns):
+                    nulls = pa.nulls(len(m), pa.int64())
+                    yield m if sent else pa.record_batch([m.column(1), nulls, nulls, m.column(2)], schema=LEVEL)
+
+    return run
+
+
+def merged_level(table: pa.Table) -> pa.Table:
+    """One record for each bucket: its places in the order of their values."""
+    columns = [np.concatenate(c) for c in zip(*[decode(raw, 5) for raw in table.column("rows").to_pylist()], strict=True)]
+    order = np.lexsort((columns[3], columns[2], columns[0].view(np.uint64)))
+    rows = encode(*[c[order] for c in columns])
+    return pa.table([table.column("bucket")[:1], pa.nulls(1, pa.int64()), pa.array([len(order)], pa.int64()), pa.array([rows], pa.binary())], LEVEL.names)
+
+
+def level_of(records: DataFrame) -> DataFrame:
+    """A level of records that may have many of a bucket."""
+    ranges = records.where(F.col("bucket").isNotNull()).groupBy("bucket").applyInArrow(merged_level, LEVEL_SQL)
+    return ranges.unionByName(records.where(F.col("bucket").isNull()))
+
+
+def values_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            yield pa.record_batch([pa.array(decode(raw, 1)[0])], ["value"])
+
+
+def asked_beside(n_homes: int):
+    """Stretches of values whose places stand beside the ranges of a level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                row, first, n = decode(raw, 3)
+                yield from message(ASKED, by_doc(row, n_homes), [row, first, n])
+
+    return run
+
+
+# ---- jobs ----
+
+
+def _numbered(docs: DataFrame, text: str, doc_id: str, since: int) -> DataFrame:
+    """(row, held): doc_id and text of each row, with unique numbers from since."""
+    if not isinstance(docs.schema[doc_id].dataType, IntegralType):
+        raise TypeError(f"{doc_id} must be a whole number")
+    row = (F.monotonically_increasing_id() + F.lit(since)).alias("row")
+    return docs.select(row, F.struct(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).alias("held"))
+
+
+def _joined(held: DataFrame, spans: DataFrame, how: str, broadcast_bytes: int, since: int = 0) -> DataFrame:
+    """doc_id, row, text and spans of the rows (all, or those that have some). Rows of this batch without a doc_id have
+    negative numbers."""
+    number = F.when(F.col("held.doc_id").isNull() & (F.col("row") >= since), -1 - F.col("row")).otherwise(F.col("row"))
+    size = spans.agg(F.coalesce(F.sum(F.octet_length("__spans") + 24), F.lit(0))).first()[0]
+    rows = held.join(F.broadcast(spans) if size <= broadcast_bytes else spans.hint("merge"), F.col("row") == F.col("__row"), how)
+    return rows.select("held.doc_id", number.alias("row"), "held.text", "__spans")
+
+
+def _spans(held: DataFrame, n_bytes: int, broadcast_bytes: int, hot: int, since: int = 0, older: DataFrame | None = None, levels: DataFrame | None = None) -> DataFrame:
+    """(__row, __spans) of the rows of held that repeat an older document: one of held, or, where levels (rows) are
+    given, one of `older`, to whose rows the levels point and whose numbers are below since."""
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = max(parts, n_bytes // BUCKET_BYTES)
+    n_homes = max(8, n_buckets // 4)  # what is found about rows goes there: a bucket sends at most so many messages
+    places = held.select("row", "held.text").mapInArrow(place_messages(n_buckets, n_homes), SENT_SQL)
+    texts = held
+    if levels is not None:
+        ranges = levels.where(F.col("bucket").isNotNull()).select("rows")
+        places = places.unionByName(ranges.mapInArrow(into_buckets(n_buckets, True), SENT_SQL))
+        texts = held.unionByName(older)
+    shared = stored(places.groupBy("bucket").applyInArrow(shared_places(n_homes, max(hot, n_bytes // (14 * 1_000_000)), since), SENT_SQL), "shared")
+    asked = shared.where(F.col("kind") == ASKED)
+    if levels is not None:
+        values = stored(shared.where(F.col("kind") == BESIDE).select("rows").mapInArrow(values_beside, "value long"), "beside")
+        beside = semi_join(levels.where(F.col("bucket").isNull()), values, "value", values.count()).select("rows")
+        asked = asked.unionByName(beside.mapInArrow(asked_beside(n_homes), SENT_SQL))
+    asked = stored(asked.groupBy("bucket").applyInArrow(asked_by_row, "__row long, __n long, __spans binary"), "asked")
+    warm = [decode(r[0], 1)[0] for r in shared.where(F.col("kind") == HOT_VALUES).select("rows").collect()]  # a million values at most
+    warm = np.concatenate([np.zeros(0, np.int64), *warm]).view(np.uint64)
+    n_buckets = max(parts, asked.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0] // BUCKET_STRETCHES)
+    sent = _joined(texts, asked, "inner", broadcast_bytes, since).mapInArrow(stretch_messages(n_buckets, n_homes, warm, since), SENT_SQL)
+    found = stored(sent.groupBy("bucket").applyInArrow(merge_scan(n_homes, since), SENT_SQL), "found")
+    spans = found.where(F.col("kind") == REMOVED).groupBy("bucket").applyInArrow(spans_by_row(REMOVED), "__row long, __spans binary")
+    spans = spans.select(F.when(F.col("__row") < 0, -1 - F.col("__row")).otherwise(F.col("__row")).alias("__row"), "__spans")
+    return stored(spans, "spans")
+
+
+def _bytes(texts: DataFrame) -> int:
+    return texts.agg(F.coalesce(F.sum(F.octet_length("held.text")), F.lit(0))).first()[0]
+
+
+def _rest(held: DataFrame, spans: DataFrame, broadcast_bytes: int) -> DataFrame:
+    rows = _joined(held, spans, "left", broadcast_bytes).select("doc_id", "text", "__spans")
+    return rows.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, runs array<long>")
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_bytes: int = BROADCAST_BYTES, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, runs): what is left of each text without the bytes that lie
     in a 50-byte string which also starts in a document with a smaller doc_id. runs: begin and end of each removed run.
@@ -504,30 +678,85 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     than all with one; among them the row number decides, which is given once and stored with the texts. A text of any
     length is read in pieces. Other columns are not read. No rows: none.
     """
-    if not isinstance(docs.schema[doc_id].dataType, IntegralType):
-        raise TypeError(f"{doc_id} must be a whole number")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "numbered")
-    number = F.when(F.col("held.doc_id").isNull(), -1 - F.col("row")).otherwise(F.col("row"))  # < 0 where doc_id is null
-    n_bytes = held.agg(F.coalesce(F.sum(F.octet_length("held.text")), F.lit(0))).first()[0]
-    n_buckets = max(parts, n_bytes // BUCKET_BYTES)
-    n_homes = max(8, n_buckets // 4)  # what is found about rows goes there: a bucket sends at most so many messages
+    held = stored(_numbered(docs, text, doc_id, 0), "numbered")
+    spans = _spans(held, _bytes(held), broadcast_bytes, hot)
+    return _rest(held, spans, broadcast_bytes)
 
-    def joined(spans: DataFrame, how: str) -> DataFrame:
-        """doc_id, row, text and spans of the rows (all, or those that have some)."""
-        size = spans.agg(F.coalesce(F.sum(F.octet_length("__spans") + 24), F.lit(0))).first()[0]
-        rows = held.join(F.broadcast(spans) if size <= broadcast_bytes else spans.hint("merge"), F.col("row") == F.col("__row"), how)
-        return rows.select("held.doc_id", number.alias("row"), "held.text", "__spans")
 
-    places = held.select("row", "held.text").mapInArrow(place_messages(n_buckets, n_homes), SENT_SQL).groupBy("bucket")
-    shared = stored(places.applyInArrow(shared_places(n_homes, max(hot, n_bytes // (14 * 1_000_000))), SENT_SQL), "shared")
-    asked = stored(shared.where(F.col("kind") == ASKED).groupBy("bucket").applyInArrow(asked_by_row, "__row long, __n long, __spans binary"), "asked")
-    warm = [decode(r[0], 1)[0] for r in shared.where(F.col("kind") == HOT_VALUES).select("rows").collect()]  # a million values at most
-    warm = np.concatenate([np.zeros(0, np.int64), *warm]).view(np.uint64)
-    n_buckets = max(parts, asked.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0] // BUCKET_STRETCHES)
-    sent = joined(asked, "inner").mapInArrow(stretch_messages(n_buckets, n_homes, warm), SENT_SQL)
-    found = stored(sent.groupBy("bucket").applyInArrow(merge_scan(n_homes), SENT_SQL), "found")
-    spans = found.where(F.col("kind") == REMOVED).groupBy("bucket").applyInArrow(spans_by_row(REMOVED), "__row long, __spans binary")
-    spans = spans.select(F.when(F.col("__row") < 0, -1 - F.col("__row")).otherwise(F.col("__row")).alias("__row"), "__spans")
-    rows = joined(stored(spans, "spans"), "left").select("doc_id", "text", "__spans")
-    return rows.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, runs array<long>")
+STATE = "version long, next_row long, n_bytes long, level string, n long, place long, texts array<string>"
+
+
+class StoredFamily:
+    """A family of sparse suffix arrays in a shared folder, to which batches of documents are added one after the other.
+
+    A level is a table of sampled places, (value, row, first, n) in the order of values, cut into ranges of values, and
+    the names of the tables that hold the texts to which its places point. A batch's places are an array of the same
+    kind: it is merge-scanned with all levels, range by range. Where values agree, the bytes of both sides meet as
+    suffixes, and common prefixes decide. Then the batch's places, less the stretches that older documents hold, are
+    stored as a level; levels of about equal size are merged, so a place is rewritten as often as the logarithm of the
+    number of batches and there are about as many levels.
+
+    A batch is judged against all documents of earlier batches, whatever their doc_ids, and against those of its own
+    with smaller ones. So batches in ascending order of doc_id lose the same bytes as one run over all of them.
+    Nulls, ties, repeats and long texts: as in remove_repeats. An empty batch changes nothing.
+
+    The folder's state is a small table for each version, written last: where an addition fails, the next one begins at
+    the version before it. Additions must come one at a time. Tables of earlier versions aren't deleted.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+        self.spark, self.path = spark, path or f"{shared_dir(spark)}/suffixes-{uuid.uuid4().hex}"
+        self.version = self.next_row = self.n_bytes = 0
+        #: (table, number of places, tables of texts), the largest level first.
+        self.levels: list[tuple[str, int, list[str]]] = []
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            states = spark.read.schema(STATE).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(f"{self.path}/state")
+            newest = states.agg(F.max("version")).first()[0]
+            rows = states.where(F.col("version") == newest).orderBy("place").collect() if newest else []  # a row for each level
+            if rows:
+                self.version, self.next_row, self.n_bytes = rows[0].version, rows[0].next_row, rows[0].n_bytes
+                self.levels = [(r.level, r.n, list(r.texts)) for r in rows]
+
+    def _table(self, df: DataFrame, name: str) -> str:
+        name = f"{name}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{name}")
+        return name
+
+    def _read(self, names: list[str], schema: str) -> DataFrame:
+        """Tables of the folder as one."""
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{n}" for n in names])
+
+    def add_batch(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broadcast_bytes: int = BROADCAST_BYTES, hot: int = HOT) -> DataFrame:
+        """Add docs and return what is left of each of them, as remove_repeats does."""
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        since, texts = self.next_row, "row long, held struct<doc_id: long, text: string>"
+        name = self._table(_numbered(docs, text, doc_id, since), "texts")
+        held = self._read([name], texts)
+        last, n_bytes = held.agg(F.max("row"), F.coalesce(F.sum(F.octet_length("held.text")), F.lit(0))).first()
+        total = self.n_bytes + n_bytes
+        older = levels = None
+        if self.levels:
+            older = self._read([t for _, _, own in self.levels for t in own], texts)
+            levels = self._read([level for level, _, _ in self.levels], LEVEL_SQL)
+        spans = _spans(held, total, broadcast_bytes, hot, since, older, levels)
+        result = _rest(held, spans, broadcast_bytes)
+        if last is None:
+            return result
+        n_buckets = max(parts, total // BUCKET_BYTES)
+        places = _joined(held, spans, "left", broadcast_bytes, last + 1).select("row", "text", "__spans").mapInArrow(level_messages(n_buckets), LEVEL_SQL)
+        level = self._table(level_of(stored(places, "places")), "level")
+        n = self._read([level], "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        kept, tables, names = list(self.levels), [level], [name]
+        while kept and kept[-1][1] <= 2 * n:
+            table, size, own = kept.pop()
+            n, tables, names = n + size, [table, *tables], [*own, *names]
+        if len(tables) > 1:
+            records = self._read(tables, LEVEL_SQL)
+            ranges = records.where(F.col("bucket").isNotNull()).select("rows").mapInArrow(into_buckets(n_buckets, False), LEVEL_SQL)
+            level = self._table(level_of(ranges.unionByName(records.where(F.col("bucket").isNull()))), "level")
+        kept.append((level, n, names))
+        state = [(self.version + 1, last + 1, total, t, size, k, own) for k, (t, size, own) in enumerate(kept)]
+        self.spark.createDataFrame(state, STATE).coalesce(1).write.json(f"{self.path}/state/{self.version + 1}")
+        self.version, self.next_row, self.n_bytes, self.levels = self.version + 1, last + 1, total, kept
+        return result

@@ -7,7 +7,7 @@ import pyarrow.compute as pc
 import pytest
 
 from gradarium.llm import suffix_dedup
-from gradarium.llm.suffix_dedup import LENGTH, SuffixIndexFamily, decode, encode, remove_repeats
+from gradarium.llm.suffix_dedup import LENGTH, StoredFamily, SuffixIndexFamily, decode, encode, remove_repeats
 
 
 def brute(docs):
@@ -144,6 +144,37 @@ def test_family_is_geometric_and_finds_every_earlier_suffix():
     assert suffix_dedup.common_prefix(a, b).tolist() == [2, 5, 0, 0]
 
 
+@pytest.mark.parametrize(("many", "broadcast_bytes", "hot"), [(16, 1 << 30, 50_000), (0, 0, 3)])
+def test_batches_of_a_stored_family_equal_one_run(spark, tmp_path, monkeypatch, many, broadcast_bytes, hot):
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
+    docs = sorted(corpus(7, 120))
+    cuts, got, path = [0, 10, 30, 90, 90, 95, len(docs)], {}, f"file://{tmp_path}/family"
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        family = StoredFamily(spark, path)  # each batch finds the levels that the one before has stored
+        df = spark.createDataFrame(docs[a:b][::-1], "doc_id long, text string").repartition(3)
+        got |= {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in family.add_batch(df, broadcast_bytes=broadcast_bytes, hot=hot).collect()}
+        sizes = [n for _, n, _ in family.levels]
+        assert all(x > 2 * y for x, y in zip(sizes, sizes[1:], strict=False))
+        for table, n, _ in family.levels:
+            assert n == sum(r.n for r in spark.read.parquet(f"{path}/{table}").select("n").collect() if r.n)
+    assert got == brute(docs)
+    assert 1 < len(sizes) < 5 and family.version == 5
+
+
+def test_earlier_batches_are_older_whatever_their_ids(spark):
+    r = random.Random(6)
+    a, b, c = ("".join(r.choice("abcdefgh ") for _ in range(90)) for _ in range(3))
+    family = StoredFamily(spark)
+    assert family.add_batch(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    first = family.add_batch(spark.createDataFrame([(9, a), (None, b), (10, None)], "doc_id long, text string")).collect()
+    assert sorted(x.n_removed for x in first) == [0, 0, 0]
+    rows = [(-(2**63), a), (None, "x" + b), (9, c), (9, c), (None, c), (1, a[:60] + b[30:])]
+    got = family.add_batch(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id or 0, x.n_bytes, x.n_removed) for x in got) == [(-(2**63), 90, 90), (0, 90, 90), (0, 91, 90), (1, 120, 120), (9, 90, 0), (9, 90, 0)]
+    with pytest.raises(TypeError):
+        family.add_batch(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_columns_round_trip():
     a = np.sort(np.random.default_rng(1).integers(-(2**62), 2**62, 1000))
     b = np.arange(1000) % 7
