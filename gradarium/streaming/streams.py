@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gradarium.functions.ordering import written
 from gradarium.operators.boosting import BoostedModel
@@ -138,23 +138,53 @@ def key_type(stream: DataFrame, key: str) -> str:
     return f"`{key}` {stream.schema[key].dataType.simpleString()}"
 
 
-def moving_average_stream(stream: DataFrame, key: str, order: str, value: str, decay: float = DECAY) -> DataFrame:
-    """(key, order, value, ema, n, total) of a stream of rows that come in order within each key: the state is the
-    average, the number and the total of the rows so far. Keys are strings, order is a whole number. A key's rows of one
-    trigger are put in order together, so a source of files should be read a bounded number of files at a time."""
-
-    def update(name: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        average, n, total = state.get if state.exists else (0.0, 0, 0.0)
-        rows = pd.concat(list(batches)).sort_values("order")
-        x = rows["value"].to_numpy()
-        own, count = folded(x, average, decay), np.arange(n + 1, n + 1 + len(x))
-        sums = np.cumsum(np.append(total, x))[1:]
-        state.update((float(own[-1]), int(count[-1]), float(sums[-1])))
-        yield pd.DataFrame({"key": name[0], "order": rows["order"].to_numpy(), "value": x, "ema": own / (1 - decay ** count.astype(float)), "n": count, "total": sums})
-
-    own = stream.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("order"), F.col(value).cast("double").alias("value"))
+def moving_average_stream(stream: DataFrame, key: str, order: str, value: str, decay: float = DECAY, block: int = 512) -> DataFrame:
+    """(key, order, value, ema, n, total) of a stream of rows that come in order within each key from trigger to trigger;
+    rows that come later than greater ones are folded when they come. Keys are strings, order is a whole number, rows
+    without an order or a value are left out.
+
+    The state of a key is the average, number and total of its rows so far. Rows of one trigger come in any order: they
+    are put aside in the state, in blocks that are in order in themselves, and merged from there, so a worker holds the
+    blocks that overlap and never all rows of a key. The session's state store becomes RocksDB, which this needs."""
+
+    class Average(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.sofar = handle.getValueState("sofar", "average double, n long, total double")
+            self.aside = handle.getMapState("aside", "block long", "orders binary, numbers binary")
+
+        def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+            blocks: list[tuple[int, int]] = []
+            for part in rows:
+                x = part.sort_values("order", kind="stable")
+                orders, numbers = x["order"].to_numpy(np.int64), x["value"].to_numpy(np.float64)
+                for a in range(0, len(orders), block):
+                    self.aside.updateValue((len(blocks),), (orders[a : a + block].tobytes(), numbers[a : a + block].tobytes()))
+                    blocks.append((int(orders[a]), len(blocks)))
+            average, n, total = self.sofar.get() if self.sofar.exists() else (0.0, 0, 0.0)
+            blocks.sort()
+            orders, numbers = np.zeros(0, np.int64), np.zeros(0)
+            for k, (_, name) in enumerate(blocks):
+                raw = self.aside.getValue((name,))
+                self.aside.removeKey((name,))
+                orders, numbers = np.append(orders, np.frombuffer(raw[0], np.int64)), np.append(numbers, np.frombuffer(raw[1], np.float64))
+                at = np.argsort(orders, kind="stable")
+                orders, numbers = orders[at], numbers[at]
+                done = int(np.searchsorted(orders, blocks[k + 1][0])) if k + 1 < len(blocks) else len(orders)
+                if done:
+                    own, count = folded(numbers[:done], average, decay), np.arange(n + 1, n + 1 + done)
+                    sums = np.cumsum(np.append(total, numbers[:done]))[1:]
+                    average, n, total = float(own[-1]), int(count[-1]), float(sums[-1])
+                    yield pd.DataFrame({"key": key[0], "order": orders[:done], "value": numbers[:done], "ema": own / (1 - decay ** count.astype(float)), "n": count, "total": sums})
+                    orders, numbers = orders[done:], numbers[done:]
+            self.sofar.update((average, n, total))
+
+        def close(self) -> None:
+            pass
+
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own = stream.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("order"), F.col(value).cast("double").alias("value")).dropna(subset=["order", "value"])
     schema = "key string, order long, value double, ema double, n long, total double"
-    return own.groupBy("key").applyInPandasWithState(update, schema, "average double, n long, total double", "append", GroupStateTimeout.NoTimeout)
+    return own.groupBy("key").transformWithStateInPandas(Average(), schema, "append", "none")
 
 
 def run_until_quiet(stream: DataFrame, path: str, checkpoint: str) -> None:

@@ -42,6 +42,25 @@ def test_moving_average_with_state(spark, rows, tmp_path):
         assert got[r.id][1:] == (n, pytest.approx(t))
 
 
+def test_moving_average_of_a_trigger_in_any_order_is_merged_from_blocks(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    n = 4000
+    key, x = rng.choice(["hot"] * 9 + ["b"], n), rng.normal(size=n)
+    df = spark.createDataFrame([(int(i), str(k), float(v)) for i, (k, v) in enumerate(zip(key, x, strict=True))], "id long, name string, v double")
+    for a, b in ((0, 2500), (2500, n)):  # two triggers of a few files in any order of rows
+        df.where(f"id >= {a} and id < {b}").repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+        out = streams.moving_average_stream(source, "name", "id", "v", block=16)
+        streams.run_available(out, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    got = {r.order: (r.ema, r.n, r.total) for r in spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect()}
+    state, want = {}, {}
+    for i, (k, v) in enumerate(zip(key, x, strict=True)):
+        a, c, t = state.get(k, (0.0, 0, 0.0))
+        state[k] = a, c, t = 0.9 * a + 0.1 * v, c + 1, t + v
+        want[i] = (a / (1 - 0.9**c), c, t)
+    assert len(got) == n and all(got[i] == (pytest.approx(want[i][0]), want[i][1], pytest.approx(want[i][2])) for i in range(n))
+
+
 def test_moving_average_of_batches_goes_on_from_its_state(spark, tmp_path):
     rng = np.random.default_rng(5)
     n = 900
