@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 #: Rows of 8-byte keys that may be broadcast (16 MB); beyond it the same join shuffles.
 BROADCAST_ROWS = 2_000_000
+#: Bytes that Spark hands to a Python task at a time where rows hold texts; its own limit counts rows, however long.
+BATCH_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +46,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that start inside hand texts to Python about BATCH_BYTES at a time, and a longer text alone: both ends hold a
+    batch whole, the JVM in buffers of up to twice its size outside the heap. What the session itself has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is not None:
+        yield
+        return
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """(row, held): each row of docs as a struct with a unique number from 0, stored once so that it stays the same in
     all later jobs. Numbers say nothing about the order of doc_ids."""

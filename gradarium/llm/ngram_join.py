@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradarium.llm.common import anti_join, mixed, numbered, semi_join, slices, stored, utf8
+from gradarium.llm.common import anti_join, mixed, numbered, semi_join, slices, stored, text_batches, utf8
 from gradarium.llm.suffix_dedup import COMPARE, SENT, SENT_SQL, by_doc, by_hash, decode_all, message
 
 #: N-grams that a task gathers before it sorts them and sends them on.
@@ -465,7 +465,8 @@ def _linked(held: DataFrame, n: int, num: int, den: int, text: str, doc_id: str)
     spark = held.sparkSession
     own = held.select(F.col("row").alias("doc"), F.col("held").getField(text).alias("text"), F.col("held").getField(doc_id).alias("doc_id"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    signed = stored(own.mapInArrow(_signatures(n), f"doc long, doc_id {kind}, n long, s1 long, s2 long"), "signatures")
+    with text_batches(spark):
+        signed = stored(own.mapInArrow(_signatures(n), f"doc long, doc_id {kind}, n long, s1 long, s2 long"), "signatures")
     own = own.drop("doc_id")
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("doc").alias("row"))).alias("least")
     classes = stored(signed.where("n > 0").groupBy("s1", "s2", "n").agg(smallest).withColumn("rep", F.col("least.row")), "classes")
@@ -476,7 +477,8 @@ def _linked(held: DataFrame, n: int, num: int, den: int, text: str, doc_id: str)
 
     def buckets(rows: DataFrame, send, meet, home, schema: str, name: str) -> DataFrame:
         there = rows.mapInArrow(send, SENT_SQL).groupBy("bucket").applyInArrow(meet, SENT_SQL)
-        return stored(there.groupBy("bucket").applyInArrow(home, schema), name)
+        with text_batches(spark):
+            return stored(there.groupBy("bucket").applyInArrow(home, schema), name)
 
     reps = classes.select(F.col("rep").alias("doc"))
     rows = semi_join(own, reps, "doc", n_reps)

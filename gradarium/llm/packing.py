@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import bisect
 import json
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradarium.llm.common import n_slices, salted_rank, stored
+from gradarium.llm.common import n_slices, salted_rank, stored, text_batches
 
 CAPACITY, END_ID = 1024, 2
 #: Numbers of groups and least lengths of a "large" piece that are tried; the plan with fewest sequences is taken.
@@ -62,10 +64,17 @@ def added_tokens_of(tokenizer_json: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in added}
 
 
+@lru_cache(maxsize=1)
+def _loaded(tokenizer_json: str, changed: int) -> tuple[tiktoken.Encoding, dict[str, int]]:
+    """The vocabulary and the added tokens, once in a Python worker: the memory of one that a task lets go doesn't come back
+    whole, so a worker would grow with its tasks. `changed` tells a file that was written anew."""
+    return load_encoding(tokenizer_json), added_tokens_of(tokenizer_json)
+
+
 def encoder(tokenizer_json: str) -> Callable[[str], bytes]:
     """text -> the ids that the tokenizers library gives it, as unsigned little-endian 32-bit words. The file's added
     tokens (<|endoftext|>) are found in the text first and keep their ids."""
-    encoding = load_encoding(tokenizer_json)
+    encoding, added_ids = _loaded(tokenizer_json, os.stat(tokenizer_json).st_mtime_ns)
     split = re.compile(LATIN_WORDS).findall
 
     class Words(dict):
@@ -86,7 +95,7 @@ def encoder(tokenizer_json: str) -> Callable[[str], bytes]:
             return np.array(encoding.encode_ordinary(text), "<u4").tobytes()
         return b"".join(map(words.__getitem__, split(text)))
 
-    added = {t: np.array([i], "<u4").tobytes() for t, i in added_tokens_of(tokenizer_json).items()}
+    added = {t: np.array([i], "<u4").tobytes() for t, i in added_ids.items()}
     if not added:
         return encode
     cut_at = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
@@ -279,7 +288,8 @@ def pack(docs: DataFrame, tokenizer_json: str, text: str = "text", doc_id: str =
     text spells get their ids, as in the tokenizers library. No rows give no rows. Other columns are not read.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    cut_up = stored(pieces(docs, tokenizer_json, text, doc_id, capacity).withColumn("__h", F.xxhash64(F.col("doc_id").cast("string"), "piece", "ids_crc32")), "pieces")
+    with text_batches(docs.sparkSession):
+        cut_up = stored(pieces(docs, tokenizer_json, text, doc_id, capacity).withColumn("__h", F.xxhash64(F.col("doc_id").cast("string"), "piece", "ids_crc32")), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for n, c in cut_up.groupBy("length").count().collect():  # at most `capacity` rows
         counts[n] = c

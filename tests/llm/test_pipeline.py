@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -73,3 +74,56 @@ def test_stages_take_nulls_ties_repeats_long_texts_and_clashing_names(spark):
     assert {(r.doc_id) for r in packed} <= {1, 2, 5}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, df.where("doc_id > 99"), "").count() == 0
+
+
+def test_texts_reach_python_in_batches_of_bounded_bytes(spark, monkeypatch):
+    from gradarium.llm.common import BATCH_BYTES
+
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 3 * BATCH_BYTES // 2
+    frame = type(spark.range(0))
+    map_in_arrow, read = frame.mapInArrow, spark.sparkContext.accumulator(0)
+
+    def counted(self, func, schema, *args, **more):
+        def run(batches):
+            def each():
+                for b in batches:
+                    if b.nbytes > most:
+                        raise ValueError(f"a batch of {b.nbytes} bytes")
+                    read.add(b.nbytes)
+                    yield b
+
+            yield from func(each())
+
+        return map_in_arrow(self, run, schema, *args, **more)
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    text = F.concat_ws(" ", F.sequence(F.col("doc_id") * 1000, F.col("doc_id") * 1000 + 999))
+    docs = spark.range(2500, numPartitions=1).withColumnRenamed("id", "doc_id").select("doc_id", text.alias("text"), F.lit("a").alias("source"))
+    for stage in (corpus_pipeline.near_copies, corpus_pipeline.pack_sequences):
+        read.value = 0
+        assert stage(spark, docs, "").select("doc_id").distinct().count() == 2500
+        assert read.value > 3 * BATCH_BYTES and spark.conf.get(key, None) is None
+    spark.conf.set(key, str(BATCH_BYTES // 2))
+    most = BATCH_BYTES
+    try:
+        assert corpus_pipeline.pack_sequences(spark, docs, "").count() >= 2500 and spark.conf.get(key) == str(BATCH_BYTES // 2)
+    finally:
+        spark.conf.unset(key)
+
+
+def test_a_worker_keeps_one_vocabulary(tmp_path):
+    import os
+    import shutil
+
+    import public_tokenizers
+
+    from gradarium.llm import packing
+
+    path = str(tmp_path / "t.json")
+    shutil.copy(public_tokenizers.path("byte_bpe_50k.json"), path)
+    packing._loaded.cache_clear()
+    one, two = packing.encoder(path), packing.encoder(path)
+    assert one("a b") == two("a b") and packing._loaded.cache_info().misses == 1
+    os.utime(path, ns=(1, 1))
+    packing.encoder(path)
+    assert packing._loaded.cache_info().misses == 2
