@@ -19,7 +19,9 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: Rows of 8-byte keys that may be broadcast (16 MB); beyond it the same join shuffles.
 BROADCAST_ROWS = 2_000_000
 #: Bytes that Spark hands to a Python task at a time where rows hold texts; its own limit counts rows, however long.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
+#: Rows that a file of a narrow intermediate table has at least, where it is known how many there are.
+FILE_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends, later jobs survive lost executors."""
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends, later jobs survive lost executors.
+
+    rows, for narrow tables: how many there are at most. They are written by as many tasks as there are cores, or more where
+    files would have more than FILE_ROWS rows, and not by a task and a file for each of hundreds of near-empty partitions: a
+    local file costs an executor processes of its own (chmod, twice a file), each of which begins as a copy of it."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -16,18 +16,22 @@ from gradarium.llm.common import anti_join, mixed, numbered, semi_join, slices,
 from gradarium.llm.suffix_dedup import COMPARE, SENT, SENT_SQL, by_doc, by_hash, decode_all, message
 
 #: N-grams that a task gathers before it sorts them and sends them on.
-GATHER = 2_000_000
+GATHER = 500_000
 #: Bits of an n-gram's fingerprint in the first, coarse count; equal ones there are a superset of equal n-grams.
 COARSE_BITS = 40
 #: N-grams that meet in one bucket, about: the number of buckets follows from the counted n-grams.
 BUCKET = 2_000_000
 #: Sets that meet one other set in one task; a set with more candidates is copied to several tasks.
 GROUP = 200
+#: A pair with the n-grams of both is about as much to read as so many narrow rows.
+PAIR = 20
 #: A set's parity map has so many words of 64 bits.
 MAPS = 4
 SETS = "doc long, n long, grams binary, kept long, " + ", ".join(f"m{k} long" for k in range(MAPS))
-#: Bytes that are read at a time, and the places in a word that have random numbers of their own in a table.
-PIECE, PLACES = 2_000_000, 64
+#: Bytes of whole texts whose n-grams are made at a time: numpy holds about sixty bytes for each.
+READ = 250_000
+#: Bytes of a long text that are read at a time, and the places in a word that have random numbers of their own in a table.
+PIECE, PLACES = 500_000, 64
 SIZE = 3
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -119,7 +123,7 @@ def _each(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarra
     for batch in batches:
         doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         data, ends = utf8(batch.column(1))
-        for i, j in slices(ends):
+        for i, j in slices(ends, READ):
             yield doc[i:j], *ngram_sets(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i], n)
 
 
@@ -130,7 +134,7 @@ def _signatures(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = utf8(batch.column(1))
-            for i, j in slices(ends):
+            for i, j in slices(ends, READ):
                 part, at = data[ends[i] : ends[j]], ends[i : j + 1] - ends[i]
                 found = []
                 for seed in (1, 2):
@@ -362,27 +366,29 @@ def _verify(num: int, den: int):
     return run
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The similar ones of the distinct pairs (a, b): the candidates of a meet it in groups of about GROUP."""
-    pairs = stored(pairs.distinct(), "pairs")
-    parts = stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts")), "pivots")
+def similar_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int, about: int) -> DataFrame:
+    """The similar ones of the distinct pairs (a, b), about so many: the candidates of a meet it in groups of about GROUP."""
+    pairs = stored(pairs.distinct(), "pairs", about)
+    n_pairs = pairs.count()
+    parts = stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts")), "pivots", n_pairs)
     placed = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
     left = placed.join(sets.select("doc", "n", "grams").toDF("b", "b_n", "b_grams"), "b")
     right = parts.join(sets.select("doc", "n", "grams").toDF("a", "a_n", "a_grams"), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return stored(left.groupBy("a", "part").cogroup(right.groupBy("a", "part")).applyInPandas(_verify(num, den), "a long, b long"), "links")
+    return stored(left.groupBy("a", "part").cogroup(right.groupBy("a", "part")).applyInPandas(_verify(num, den), "a long, b long"), "links", PAIR * n_pairs)
 
 
 def components(links: DataFrame) -> DataFrame:
     """(doc, label) of the ends of links (a, b): the smallest doc that each can reach. Labels spread along links and
     then jump to their label's label, so rounds grow with the logarithm of a component's width."""
-    both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("doc"), F.least("a", "m").alias("label")), "labels")
+    n = 2 * links.count()
+    both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", n)
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("doc"), F.least("a", "m").alias("label")), "labels", n)
     while True:
         near = both.join(labels.withColumnRenamed("doc", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         spread = labels.join(near, labels["doc"] == near["a"]).select("doc", F.col("label").alias("old"), F.least("label", "near").alias("l"))
-        spread = stored(spread, "spread")
+        spread = stored(spread, "spread", n)
         jump = labels.select(F.col("doc").alias("l"), F.col("label").alias("far"))
-        new = stored(spread.join(jump, "l", "left").select("doc", "old", F.least("l", F.coalesce("far", "l")).alias("label")), "labels")
+        new = stored(spread.join(jump, "l", "left").select("doc", "old", F.least("l", F.coalesce("far", "l")).alias("label")), "labels", n)
         if not new.where("label < old").limit(1).count():
             return new.select("doc", "label")
         labels = new.select("doc", "label")
@@ -390,12 +396,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (doc, label) after more links (a, b): only the labels that these touch spread anew."""
+    n = links.count()
     by = lambda end: labels.select(F.col("doc").alias(end), F.col("label").alias(f"l{end}"))
     ends = links.join(by("a"), "a", "left").join(by("b"), "b", "left")
-    ends = stored(ends.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")), "ends")
+    ends = stored(ends.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")), "ends", n)
     moved = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("doc").alias("label"), F.col("label").alias("to"))
     all_ = labels.unionByName(ends.select(F.col("a").alias("doc"), F.col("la").alias("label"))).unionByName(ends.select(F.col("b").alias("doc"), F.col("lb").alias("label"))).distinct()
-    return stored(all_.join(moved, "label", "left").select("doc", F.coalesce("to", "label").alias("label")), "labels")
+    return stored(all_.join(moved, "label", "left").select("doc", F.coalesce("to", "label").alias("label")), "labels", labels.count() + 2 * n)
 
 
 def _below(num: int, den: int):
@@ -431,8 +438,9 @@ def candidates_below(rows: DataFrame, sets: DataFrame, num: int, den: int, width
     together at one node of each level, so none is lost whichever is taken. Sets at a node have sizes of two ranges."""
     pairs = None
     for quarter in (1, 2, 3, 4):
-        nodes = stored(_open_nodes(rows, ["node"]), "nodes")
-        here = stored(rows.join(nodes, "node"), "at_nodes")
+        n_rows = rows.count()
+        nodes = stored(_open_nodes(rows, ["node"]), "nodes", n_rows)
+        here = stored(rows.join(nodes, "node"), "at_nodes", n_rows)
         least = F.ceil(F.lit(num) * F.floor(F.exp((F.col("range") - 1) * F.lit(width)) * F.lit(1 - 1e-9)) / F.lit(den))
         to = F.greatest(F.col("level") + 1, F.floor(least * quarter / 4))
         big, below = here.withColumn("to", to.cast("long")).where((F.col("k") > GROUP) & (F.col("to") <= least)), None
@@ -441,7 +449,7 @@ def candidates_below(rows: DataFrame, sets: DataFrame, num: int, den: int, width
             below = stored(down.mapInArrow(_below(num, den), "node long, range long, doc long, label long, n long, at long, level long, above long"), "below")
             less = _open_nodes(below, ["above", "node"]).groupBy("above").agg(F.sum(F.col("k") * (F.col("k") - 1)).alias("pairs"))
             left = big.select("node", "k").distinct().join(less.withColumnRenamed("above", "node"), "node", "left")
-            better = stored(left.where(F.coalesce("pairs", F.lit(0)) * 2 <= F.col("k") * (F.col("k") - 1)).select("node"), "better")
+            better = stored(left.where(F.coalesce("pairs", F.lit(0)) * 2 <= F.col("k") * (F.col("k") - 1)).select("node"), "better", n_rows)
             here = here.join(better, "node", "left_anti")
         # bounds for the case that the node is all that both have in common so far: sizes, and what can follow
         # a pair meets at the node of the greater of its ranges only
@@ -455,7 +463,7 @@ def candidates_below(rows: DataFrame, sets: DataFrame, num: int, den: int, width
         pairs = own if pairs is None else pairs.unionByName(own)
         if below is None or not better.limit(1).count():
             break
-        rows = stored(below.join(better.withColumnRenamed("node", "above"), "above").drop("above").distinct(), "rows_below")
+        rows = stored(below.join(better.withColumnRenamed("node", "above"), "above").drop("above").distinct(), "rows_below", below.count())
     return pairs
 
 
@@ -469,7 +477,7 @@ def _linked(held: DataFrame, n: int, num: int, den: int, text: str, doc_id: str)
         signed = stored(own.mapInArrow(_signatures(n), f"doc long, doc_id {kind}, n long, s1 long, s2 long"), "signatures")
     own = own.drop("doc_id")
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("doc").alias("row"))).alias("least")
-    classes = stored(signed.where("n > 0").groupBy("s1", "s2", "n").agg(smallest).withColumn("rep", F.col("least.row")), "classes")
+    classes = stored(signed.where("n > 0").groupBy("s1", "s2", "n").agg(smallest).withColumn("rep", F.col("least.row")), "classes", signed.count())
     n_reps, n_grams = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     # n-grams meet in n_buckets, what is found about rows in n_homes: a bucket sends at most n_homes messages
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_grams // BUCKET)
@@ -478,7 +486,7 @@ def _linked(held: DataFrame, n: int, num: int, den: int, text: str, doc_id: str)
     def buckets(rows: DataFrame, send, meet, home, schema: str, name: str) -> DataFrame:
         there = rows.mapInArrow(send, SENT_SQL).groupBy("bucket").applyInArrow(meet, SENT_SQL)
         with text_batches(spark):
-            return stored(there.groupBy("bucket").applyInArrow(home, schema), name)
+            return stored(there.groupBy("bucket").applyInArrow(home, schema), name, n_grams // PAIR)
 
     reps = classes.select(F.col("rep").alias("doc"))
     rows = semi_join(own, reps, "doc", n_reps)
@@ -488,23 +496,23 @@ def _linked(held: DataFrame, n: int, num: int, den: int, text: str, doc_id: str)
     prefixes = stored(sets.select("doc", "n", "grams").mapInArrow(_prefixes(num, den), "gram long, doc long, n long, at long"), "prefixes")
 
     # a set of n meets those of num/den * n to den/num * n: pivots are chosen in ranges of sizes of that width
-    width = float(np.log(den / num)) or 1.0
+    width, n_prefixes = float(np.log(den / num)) or 1.0, prefixes.count()
     ranged = prefixes.withColumn("range", F.floor(F.log(F.col("n").cast("double")) / width))
     # the pivot is the set with the fewest rare n-grams: an original rather than one of its altered copies
     central = F.min(F.struct("at", "doc"))["doc"].alias("a")
-    pivots = stored(ranged.groupBy("gram", "range").agg(central, F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "pivots")
-    first = similar_pairs(ranged.join(pivots, ["gram", "range"]).where("a <> doc").select("a", F.col("doc").alias("b")), sets, num, den)
+    pivots = stored(ranged.groupBy("gram", "range").agg(central, F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "pivots", n_prefixes)
+    first = similar_pairs(ranged.join(pivots, ["gram", "range"]).where("a <> doc").select("a", F.col("doc").alias("b")), sets, num, den, n_prefixes)
     labels = components(first)
 
     # ranges of two similar sets differ by one at most, so they meet in the greater: each set stands in its own and the next
     labelled = ranged.join(labels, "doc", "left").withColumn("range", F.explode(F.array("range", F.col("range") + 1)))
     labelled = labelled.select(F.xxhash64("gram", "range").alias("node"), "range", "doc", F.coalesce("label", "doc").alias("label"), "n", "at", F.lit(1).cast("long").alias("level"))
-    second = similar_pairs(candidates_below(stored(labelled, "labelled"), sets, num, den, width), sets, num, den)
+    second = similar_pairs(candidates_below(stored(labelled, "labelled", 2 * n_prefixes), sets, num, den, width), sets, num, den, 2 * n_prefixes)
     labels = (joined_labels(labels, second) if second.limit(1).count() else labels).withColumnRenamed("doc", "rep")
 
     named = classes.join(labels, "rep", "left").select("s1", "s2", F.col("n").alias("size"), "least", "label")
-    named = stored(named, "named")
-    firsts = stored(named.where("label is not null").groupBy("label").agg(F.min("least").alias("first")), "firsts")
+    named = stored(named, "named", n_reps)
+    firsts = stored(named.where("label is not null").groupBy("label").agg(F.min("least").alias("first")), "firsts", n_reps)
     named = named.join(firsts, "label", "left").select("s1", "s2", "size", F.coalesce("first", "least").alias("least"))
     out = signed.join(named, (signed["s1"] == named["s1"]) & (signed["s2"] == named["s2"]) & (signed["n"] == named["size"]), "left")
     return out.select(F.col("doc").alias("row"), "doc_id", F.col("n").alias("n_shingles"), "least")
@@ -543,5 +551,5 @@ def drop_near_copies(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     greater than all), and of several with it that with the smallest row number. Rows without a word all stay."""
     held = numbered(docs, "numbered")
     found = _linked(held, n, num, den, text, doc_id)
-    dropped = stored(found.where("row != least.row").select(F.col("row").alias("__dropped")), "near_copies")
+    dropped = stored(found.where("row != least.row").select(F.col("row").alias("__dropped")), "near_copies", held.count())
     return anti_join(held, dropped, "row", "__dropped").select("held.*")

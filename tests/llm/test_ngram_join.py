@@ -186,3 +186,54 @@ def test_trie_counts_exactly():
     got = trie_overlaps(base, 210, sets, 85, 100)
     want = [100 * len(s) >= 85 * (210 + n - len(s)) for n, s in sets]
     assert got.tolist() == want
+
+
+def test_small_tables_are_few_files(spark, monkeypatch):
+    import os
+    from urllib.parse import urlparse
+
+    from gradarium.llm.common import stored
+
+    files = {}
+
+    def watched(df, name, *rows):
+        out = stored(df, name, *rows)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        assert all(os.path.exists(urlparse(f).path) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", watched)
+    docs = corpus(4, 60)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for (k, _), v in zip(kept.items(), ("40", "false"), strict=True):
+            spark.conf.set(k, v)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in similarity_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == brute(docs, 4, 85, 100)
+    few = ("able", "pairs", "links", "classes", "edges", "labels", "spread", "nodes", "at_nodes", "labelled", "named", "firsts")
+    assert {n: c for n, c in files.items() if n in few and max(c) > spark.sparkContext.defaultParallelism} == {}
+    assert {"edges", "labels", "spread", "nodes"} <= set(files)
+    monkeypatch.setattr("gradarium.llm.common.FILE_ROWS", 10)
+    assert len(stored(spark.range(1000, numPartitions=200), "t", 1000).inputFiles()) == 100
+
+
+def test_a_task_holds_little_beside_its_texts():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(5000)]
+    made = lambda: pa.array([" ".join(r.choices(words, k=2000)) for _ in range(70)])
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(100 * k, 100 * k + 70)), made(), pa.array(["x"] * 70)], ["doc", "text", "doc_id"]) for k in range(15)]
+    for run, most in ((ngram_join._exact(5, 50, 8), 60), (ngram_join._signatures(5), 25)):
+        tracemalloc.start()
+        try:
+            sent = sum(b.num_rows for b in run(iter(batches)))
+            peak = tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+        assert sent and peak < most, peak
